@@ -77,7 +77,7 @@ def make_plan(tokens: dict, target_entropy: float | None = None, max_epochs: flo
     else:
         a = _bisect(lambda x: repeats(x) <= max_epochs)
     p = weights(some, a)
-    return Plan(a, budget or min(some[s] / w for s, w in p.items()), {s: p.get(s, 0.0) for s in tokens}, tokens)
+    return Plan(a, budget or max(some[s] / w for s, w in p.items()), {s: p.get(s, 0.0) for s in tokens}, tokens)
 
 
 def _placed(docs: DataFrame) -> DataFrame:
