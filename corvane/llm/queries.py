@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import mixing, pieces, quality_rules, simhash, substring
+from corvane.llm import class_lm, mixing, neighbours, pieces, quality_classifier, quality_rules, sharding, simhash, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +27,68 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_sentencepiece, op3_simhash, op7_mixing, op10_substring)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_sentencepiece,
+        op3_simhash,
+        op4_class_lm,
+        op5_quality_classifier,
+        op6_sharding,
+        op7_mixing,
+        op8_token_files,
+        op9_neighbours,
+        op10_substring,
+    )
+}
+
+#: Distinct words of a window are compared as whole sequences; the rest of the operators have no SQL form.
+SQL: dict[str, str] = {
+    "op10_substring": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, unnest(generate_series(1, len(words) - 19)) AS s, words FROM w WHERE len(words) >= 20),
+ranked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(words[s:s+19], ' ') ORDER BY doc_id, s) AS k FROM win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM ranked WHERE k > 1),
+lost AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+each_word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM w),
+kept AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS t
+  FROM each_word e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p WHERE g.p IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+""",
 }
-SQL: dict[str, str] = {}
