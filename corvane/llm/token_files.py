@@ -29,7 +29,7 @@ from corvane.llm.common import fresh_path, text_bytes
 
 MAGIC, BLOCK, SLOTS, NODES, END_ID = b"CVT1", 4096, 2048, 1024, 2
 #: Bytes of text that go to one file, about; distinct words that a worker remembers.
-FILE_BYTES, CACHE = 24_000_000, 500_000
+FILE_BYTES, CACHE = 12_000_000, 500_000
 _TOP, _LOW, _MASK = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
 _SHIFT, _OUT = np.uint64(16), np.uint64(32)
 
