@@ -29,7 +29,15 @@ UNIGRAM, BPE = 1, 2
 MARK = "▁"
 #: Segments kept from batch to batch in each worker, at most.
 CACHE = 500_000
-_SEGMENT = re.compile(rb" +[^ ]*")
+_SEGMENT = re.compile(rb" ( *[^ ]*)")
+
+
+def _cut(text: bytes) -> list[bytes]:
+    """The blank-led segments of a text with a blank in front, each without its first blank."""
+    if not text:
+        return []
+    led = b" " + text
+    return _SEGMENT.findall(led) if b"  " in led else text.split(b" ")
 
 
 def model_path() -> str:
@@ -178,12 +186,12 @@ class Codec:
         ]
 
     def _learn(self, segments: list[bytes]) -> None:
+        """Caches segments, named without the first of the blanks that lead them."""
         texts = [s.decode() for s in segments]
-        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        # the original library adds one blank of its own in front
-        want = self.peer.encode([t[1:] for t in texts], num_threads=1)
+        got = [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        want = self.peer.encode(texts, num_threads=1)  # which adds the blank in front itself
         for s, a, b in zip(segments, got, want, strict=True):
-            if a != b and s != b" ":
+            if a != b and s:
                 self.odd += 1
                 a = b
             self.known[s] = np.array(a, dtype=np.int32).tobytes()
@@ -195,11 +203,12 @@ class Codec:
             want = self.peer.encode([t.decode() for t in texts], num_threads=1)
             self.odd += sum(a != b for a, b in zip(got, want, strict=True))
             return [np.array(x, dtype=np.int32) for x in want]
-        cut = [_SEGMENT.findall(b" " + t) if t else [] for t in texts]
-        new = {s for c in cut for s in c if s not in self.known}
+        cut = [_cut(t) for t in texts]
+        seen = set().union(*cut)
+        new = seen.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = {s for c in cut for s in c}
+            new = seen
         if new:
             self._learn(list(new))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), dtype=np.int32) for c in cut]
