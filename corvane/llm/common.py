@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +68,22 @@ def id_crc32(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def tidy(run):
+    """A function of Arrow batches that hands freed memory back to the system at its end: workers
+    live on from stage to stage, and what an allocator keeps for one is missing in the next."""
+
+    @wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def byte_rows(batches: Iterator[pa.RecordBatch], column: str = "text", chunk: int = 512):
     """(record batch, list of bytes) in slices of a few hundred rows, to bound memory."""
     for batch in batches:

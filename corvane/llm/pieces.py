@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import byte_rows, text_bytes
+from corvane.llm.common import byte_rows, text_bytes, tidy
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 #: Segments kept from batch to batch in each worker, at most.
-CACHE = 500_000
+CACHE = 300_000
+#: Segments encoded in one call; what the library holds for a call grows with their number.
+LEARN = 16384
 _SEGMENT = re.compile(rb" ( *[^ ]*)")
 
 
@@ -207,10 +209,10 @@ class Codec:
         seen = set().union(*cut)
         new = seen.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = seen
-        if new:
-            self._learn(list(new))
+            self.known = {s: self.known[s] for s in seen.difference(new)}  # words that come again and again stay
+        new = list(new)
+        for at in range(0, len(new), LEARN):
+            self._learn(new[at : at + LEARN])
         return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), dtype=np.int32) for c in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -232,9 +234,10 @@ def codec(path: str) -> Codec:
 
 
 def _encode(path: str):
+    @tidy
     def run(batches):
         c = codec(path)
-        for part, texts in byte_rows(batches):
+        for part, texts in byte_rows(batches, chunk=256):
             odd = c.odd
             ids = c.encode(texts)
             ends = np.cumsum([0, *map(len, ids)])

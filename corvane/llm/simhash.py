@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import byte_rows, materialise, text_bytes
+from corvane.llm.common import byte_rows, materialise, text_bytes, tidy
 from corvane.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -56,6 +56,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(shingle: int):
+    @tidy
     def run(batches):
         for part, texts in byte_rows(batches):
             found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
@@ -122,6 +123,7 @@ def link_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+@tidy
 def _emit_keys(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -163,6 +165,7 @@ def _verify(radius: int):
         edges = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0) if us else np.empty((0, 2), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
+    @tidy
     def run(batches):
         kept = None  # the last group of a batch may go on in the next one
         for batch in batches:
