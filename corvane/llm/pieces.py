@@ -27,7 +27,7 @@ from corvane.llm.common import byte_rows, text_bytes, tidy
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-#: Segments kept from batch to batch in each worker, at most.
+#: Segments kept from batch to batch of a task, at most.
 CACHE = 300_000
 #: Segments encoded in one call; what the library holds for a call grows with their number.
 LEARN = 16384
@@ -252,6 +252,7 @@ def _encode(path: str):
                 ],
                 names=["doc_id", "n_tokens", "ids", "round_trip", "mended"],
             )
+        c.known.clear()  # a worker that waits for its next stage holds no segments
 
     return run
 
