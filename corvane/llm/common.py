@@ -58,6 +58,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows of whole texts go to Python workers in Arrow batches of at most so many; a smaller setting of the session stays.
+
+    A batch is held by the executor's JVM and by the worker at once, and the session's usual 10,000 rows are
+    a whole split of texts.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import byte_rows, text_bytes, tidy
+from corvane.llm.common import byte_rows, small_batches, text_bytes, tidy
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -230,6 +230,7 @@ class Codec:
 @lru_cache(2)
 def codec(path: str) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")  # each task's worker has its own threads, and each thread its own heap
     return Codec(path)
 
 
@@ -264,5 +265,6 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     row's batch for which the rebuilt tokenizer differed from the original library, whose ids were then
     taken. Null and empty texts have no ids. Equal texts have equal ids; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids array<int>, round_trip boolean, mended long"
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(_encode(path or model_path()), schema)
