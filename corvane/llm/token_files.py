@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import fresh_path, text_bytes
+from corvane.llm.common import fresh_path, small_batches, text_bytes
 
 MAGIC, BLOCK, SLOTS, NODES, END_ID = b"CVT1", 4096, 2048, 1024, 2
 #: Bytes of text that go to one file, about; distinct words that a worker remembers.
@@ -343,11 +343,14 @@ def write_files(docs: DataFrame, path: str | None = None, to: str | None = None,
     import public_tokenizers
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     to = to or fresh_path(docs.sparkSession, "token-files")
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    ranged = rows.repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
+    # The driver samples the keys that ranges are cut at: there the first bytes stand for a text, in the same order.
+    cuts = [order[0], F.substring("text", 1, 32)]
+    ranged = rows.repartitionByRange(max(1, -(-size // FILE_BYTES)), *cuts).sortWithinPartitions(*order)
     ranged.mapInArrow(_write(path, end), FILE_SCHEMA).write.parquet(to)
     return to
 
