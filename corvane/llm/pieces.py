@@ -29,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 #: Segments kept from batch to batch of a task, at most.
-CACHE = 800_000
+CACHE = 300_000
 #: Segments encoded in one call; what the library holds for a call grows with their number.
 LEARN = 16384
 _SEGMENT = re.compile(rb" ( *[^ ]*)")
