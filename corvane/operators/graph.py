@@ -16,12 +16,13 @@ def entity_chunks(found: DataFrame) -> DataFrame:
     return found.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_chunks"), F.min("doc_id").alias("first_chunk"))
 
 
-def edges(found: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
-    """(src, dst, weight), src < dst: entities that share ``least`` chunks; entities of over ``most`` chunks carry no relation."""
-    many = entity_chunks(found).where(F.col("n_chunks").between(least, most)).select("entity")
-    some = found.join(many, "entity")
-    a, b = some.select("doc_id", F.col("entity").alias("src")), some.select("doc_id", F.col("entity").alias("dst"))
-    return a.join(b, "doc_id").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
+def edges(found: DataFrame, least: int = 2) -> DataFrame:
+    """(src, dst, weight), src < dst: entities that share ``least`` chunks, however frequent they are."""
+    many = entity_chunks(found).where(F.col("n_chunks") >= least).select("entity")  # rarer ones can't share as many
+    each = found.where("doc_id IS NOT NULL").join(many, "entity").groupBy("doc_id").agg(F.sort_array(F.collect_set("entity")).alias("all"))
+    firsts = each.select("all", F.posexplode("all").alias("i", "src"))
+    pairs = firsts.select("src", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("dst"))
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 
 
 def degrees(e: DataFrame) -> DataFrame:

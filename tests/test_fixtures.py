@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, extract, lexical, relational, retrieval, semcache
+from corvane.operators import chunking, classify, extract, graph, lexical, relational, retrieval, semcache
 from corvane.sources import files
 from corvane.streaming import events
 
@@ -89,3 +89,13 @@ def test_chunks_cache_roles_files_and_streams(spark, tmp_path):
     q.stop()
     assert spark.table("w").count() == events.windowed(table).count()
     assert events.sessions(table).agg(F.sum("n")).first()[0] == table.count()
+
+
+def test_frequent_entities_keep_their_edges(spark):
+    words = "constitutionnel jurisprudence"
+    found = graph.mentions(spark.createDataFrame([(i, f"{words} parlementaire" if i < 2 else words) for i in range(60)], "doc_id long, text string"))
+    e = graph.edges(found)
+    assert sorted(map(tuple, e.collect())) == [
+        ("constitutionnel", "jurisprudence", 60), ("constitutionnel", "parlementaire", 2), ("jurisprudence", "parlementaire", 2),
+    ]
+    assert {r["node"]: (r["degree"], r["strength"]) for r in graph.degrees(e).collect()}["jurisprudence"] == (2, 62)
