@@ -43,10 +43,13 @@ def pack(text: str, size: int, overlap: int) -> list[tuple[str, str | None]]:
         if held and total + _estimate(unit) > size:
             out.append(("\n\n".join(held), article))
             tail: list[str] = []
-            for u in reversed(held):  # whole trailing units, in characters
-                if sum(map(len, tail)) + len(u) > overlap:
+            for u in reversed(held):  # whole trailing units, in characters, then the end of the next if over 50 are left
+                left = overlap - sum(map(len, tail))
+                if len(u) > left:
+                    tail += [] if left <= 50 else [u[-left:]]
                     break
-                tail.insert(0, u)
+                tail.append(u)
+            tail.reverse()
             held, total = tail, sum(map(_estimate, tail))
         if _HEADER.match(unit) and (m := _NUMBER.search(unit)):
             article = m[1]

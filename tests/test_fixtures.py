@@ -99,3 +99,9 @@ def test_frequent_entities_keep_their_edges(spark):
         ("constitutionnel", "jurisprudence", 60), ("constitutionnel", "parlementaire", 2), ("jurisprudence", "parlementaire", 2),
     ]
     assert {r["node"]: (r["degree"], r["strength"]) for r in graph.degrees(e).collect()}["jurisprudence"] == (2, 62)
+
+
+def test_chunks_overlap_by_the_end_of_a_long_unit():
+    first, second = "a" * 100 + " b" * 30, "c d " * 10
+    assert [c for c, _ in chunking.pack(f"{first}\n\n{second}", 45, 80)] == [first, f"{first[-80:]}\n\n{second.strip()}"]
+    assert [c for c, _ in chunking.pack(f"{first}\n\n{second}", 45, 50)] == [first, second.strip()]
