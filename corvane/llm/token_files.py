@@ -2,12 +2,14 @@
 
 A file holds the ids of consecutive documents: a header with the documents' ids and lengths, then blocks of
 ``BLOCK`` ids. Every block is coded on its own, starting from fresh statistics, and has a
-CRC-32 of its ids. In a block each id is first compared with two predictions: the id that last
+CRC-32 of its ids. In a block each id is compared with two predictions: the id that last
 followed the two ids before it (order 2) and the id that last followed the one before it (order
-1). Whether a prediction holds is a yes/no decision whose probability is a logistic mix, with
-weights that learn, of two adaptive counters chosen by how often the predictions held so far. An id that neither
-foresees is spelled in four hexadecimal digits with adaptive frequencies (order 0). All arithmetic is
-on integers, so files read alike on every machine.
+1). Which of them holds, if any, is one decision of three outcomes. Its probabilities are a logistic mix of three
+estimates: by how far order 2 is trusted, by how far order 1 is, and by how frequent order 0 finds the predicted
+id; the weights are learned in the block. An id that neither foresees is spelled in two bytes with the
+frequencies of order 0. Decision and spelling are one step of the range coder. Counts change with every id; the tables
+made of them are renewed at fixed places. All arithmetic is on integers (divisions of numbers below 2**53 by
+doubles, which every machine rounds alike), so files read alike on every machine.
 
 Blocks are independent, so all blocks of a file are coded side by side, one position of every block per step,
 with numpy. Encoder and decoder run the same model code and differ only in the coder.
@@ -18,20 +20,25 @@ from __future__ import annotations
 import struct
 import zlib
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import fresh_path, small_batches, text_bytes
+from corvane.llm.common import fresh_path, small_batches, text_bytes, tidy
 
-MAGIC, BLOCK, SLOTS, NODES, END_ID = b"CVT1", 4096, 2048, 1024, 2
-#: Bytes of text that go to one file, about; distinct words that a worker remembers.
-FILE_BYTES, CACHE = 12_000_000, 500_000
-_TOP, _LOW, _MASK = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
-_SHIFT, _OUT = np.uint64(16), np.uint64(32)
+MAGIC, BLOCK, SLOTS, END_ID = b"CVT2", 4096, 2048, 2
+#: Bytes of text that go to one file, about; bytes of words that a worker remembers, with what Python needs for
+#: an entry; words encoded in one call, as what the library holds for a call grows with their number.
+RANGES_BITS = 12
+FILE_BYTES, CACHE_BYTES, ENTRY, LEARN = 12_000_000, 64_000_000, 180, 8192
+#: A state's range stays at 2**36 or more and is cut into 2**34 units: 12 bits of decision, 11 for each byte.
+_LEAST_BITS, _TOTAL, _WORD = np.uint64(36), np.uint64(34), np.uint64(16)
+_LEAST, _REST = np.uint64(1 << 36), np.uint64((1 << 36) - 1)
 
 
 @lru_cache(1)
@@ -45,192 +52,235 @@ def _logistic() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
+    """Range coder of many blocks at once: 52-bit states, 16-bit words; a word's 17th bit is a carry, settled at the end."""
+
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, _MASK, dtype=np.uint64)
-        self.out = np.zeros((lanes, 1024), dtype=np.uint16)
+        self.range = np.full(lanes, (1 << 52) - 1, dtype=np.uint64)
+        self.out = np.zeros((2048, lanes), dtype=np.uint32)
         self.at = np.zeros(lanes, dtype=np.int64)
 
-    def _put(self, i: np.ndarray) -> None:
-        if int(self.at[i].max()) >= self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        self.out[i, self.at[i]] = (self.low[i] >> _OUT).astype(np.uint16)
-        self.at[i] += 1
-        self.low[i] = (self.low[i] << _SHIFT) & _MASK
-        self.range[i] = np.minimum(self.range[i] << _SHIFT, _MASK)
-
-    def narrow(self, lane, start, size, bits: int) -> None:
-        r = self.range.take(lane) >> np.uint64(bits)
-        low = self.low.take(lane) + r * start.astype(np.uint64)
-        r = r * size.astype(np.uint64)
-        self.low[lane], self.range[lane] = low, r
-        while True:
-            settled = (low ^ (low + r)) < _TOP
-            tight = ~settled & (r < _LOW)
-            move = settled | tight
-            if not move.any():
-                return
-            if tight.any():  # cut the interval at the next multiple, so that its front words settle
-                self.range[lane[tight]] = (_LOW - (low[tight] & (_LOW - np.uint64(1)))) & _MASK
-            lane = lane[move]
+    def _put(self, lane: np.ndarray) -> None:
+        low = self.low[lane]
+        at = self.at[lane]
+        self.out.reshape(-1)[at * len(self.low) + lane] = low >> _LEAST_BITS
+        self.at[lane] = at + 1
+        self.low[lane] = (low & _REST) << _WORD
+
+    def room(self, steps: int) -> None:
+        """Place for the words of so many further ids."""
+        if int(self.at.max(initial=0)) + 4 * steps + 8 > len(self.out):
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)])
+
+    def narrow(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
+        r = self.range[:m] >> _TOTAL
+        self.low[:m] += r * start.view(np.uint64)
+        r *= size.view(np.uint64)
+        self.range[:m] = r
+        lane = np.flatnonzero(r < _LEAST)
+        while len(lane):
             self._put(lane)
-            low, r = self.low[lane], self.range[lane]
-
-    def bit(self, lane, p, bit):
-        self.narrow(lane, np.where(bit, 0, p), np.where(bit, p, 4096 - p), 12)
-        return bit
-
-    def digit(self, lane, ends, digit):
-        at = np.arange(0, 16 * len(lane), 16) + digit
-        before = np.where(digit > 0, ends.take(at - 1, mode="clip"), 0)
-        self.narrow(lane, before, ends.take(at) - before, 15)
-        return digit
+            r = self.range[lane] << _WORD
+            self.range[lane] = r
+            lane = lane[r < _LEAST]
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
         if not len(every):
             return []
-        for _ in range(3):
+        self.room(4)
+        for _ in range(4):
             self._put(every)
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in every]
+        for p in range(int(self.at.max()) - 1, 0, -1):
+            self.out[p - 1] += self.out[p] >> np.uint32(16)
+        words = np.ascontiguousarray(self.out[: int(self.at.max())].T).astype("<u2")  # carries fall off
+        return [words[i, :n].tobytes() for i, n in enumerate(self.at)]
 
 
 class Decoder:
     def __init__(self, blobs: list[bytes]):
         longest = max(map(len, blobs)) // 2 + 8
-        self.words = np.zeros((len(blobs), longest), dtype=np.uint64)
+        words = np.zeros((len(blobs), longest), dtype=np.uint64)
         for i, b in enumerate(blobs):
-            self.words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
-        self.low = np.zeros(len(blobs), dtype=np.uint64)
-        self.range = np.full(len(blobs), _MASK, dtype=np.uint64)
-        self.code = self.words[:, 0] << _OUT | self.words[:, 1] << _SHIFT | self.words[:, 2]
-        self.at = np.full(len(blobs), 3)
-
-    def narrow(self, lane, start, size, bits: int) -> None:
-        r = self.range.take(lane) >> np.uint64(bits)
-        low = self.low.take(lane) + r * start.astype(np.uint64)
-        r = r * size.astype(np.uint64)
-        self.low[lane], self.range[lane] = low, r
-        while True:
-            settled = (low ^ (low + r)) < _TOP
-            tight = ~settled & (r < _LOW)
-            move = settled | tight
-            if not move.any():
-                return
-            if tight.any():
-                self.range[lane[tight]] = (_LOW - (low[tight] & (_LOW - np.uint64(1)))) & _MASK
-            lane = lane[move]
-            self.code[lane] = ((self.code[lane] << _SHIFT) & _MASK) | self.words[lane, np.minimum(self.at[lane], self.words.shape[1] - 1)]
-            self.at[lane] += 1
-            self.low[lane] = low = (self.low[lane] << _SHIFT) & _MASK
-            self.range[lane] = r = np.minimum(self.range[lane] << _SHIFT, _MASK)
-
-    def _place(self, lane, bits: int) -> np.ndarray:
-        r = self.range.take(lane) >> np.uint64(bits)
-        return np.minimum((self.code.take(lane) - self.low.take(lane)) // r, np.uint64((1 << bits) - 1)).astype(np.int32)
-
-    def bit(self, lane, p, _):
-        bit = self._place(lane, 12) < p
-        self.narrow(lane, np.where(bit, 0, p), np.where(bit, p, 4096 - p), 12)
-        return bit
-
-    def digit(self, lane, ends, _):
-        digit = np.count_nonzero(ends <= self._place(lane, 15)[:, None], axis=1)
-        at = np.arange(0, 16 * len(lane), 16) + digit
-        before = np.where(digit > 0, ends.take(at - 1, mode="clip"), 0)
-        self.narrow(lane, before, ends.take(at) - before, 15)
-        return digit
-
-
-class Mixer:
-    """Yes/no decisions: two counters of 16 bits, mixed by two weights of 16 bits in each lane."""
-
-    def __init__(self, lanes: int, contexts: int):
-        self.contexts = contexts
-        self.p0 = np.full(lanes * contexts, 1 << 15, dtype=np.int32)
-        self.p1 = self.p0.copy()
-        self.w0 = np.full(lanes, 1 << 15, dtype=np.int32)
-        self.w1 = self.w0.copy()
-
-    def decide(self, coder, lane, c0, c1, bit):
-        stretch, squash = _logistic()
-        at = lane * self.contexts
-        i0, i1 = at + c0, at + c1
-        p0, p1 = self.p0.take(i0), self.p1.take(i1)
-        s0, s1 = stretch.take(p0 >> 4), stretch.take(p1 >> 4)
-        w0, w1 = self.w0.take(lane), self.w1.take(lane)
-        p = squash.take(np.minimum(np.maximum((w0 * s0 + w1 * s1) >> 16, -2047), 2047) + 2048)
-        bit = coder.bit(lane, p, bit)
-        err = np.where(bit, 4096, 0) - p
-        self.w0[lane] = w0 + ((s0 * err) >> 9)
-        self.w1[lane] = w1 + ((s1 * err) >> 9)
-        goal = np.where(bit, 65535, 0).astype(np.int32)
-        self.p0[i0] = p0 + ((goal - p0) >> 4)
-        self.p1[i1] = p1 + ((goal - p1) >> 4)
-        return bit
-
-
-#: Where the cumulative frequencies of a digit move to: all but 16 of 32768 for each other digit.
-_GOALS = np.array([[16 * (j + 1) if j < s else 32768 - 16 * (15 - j) for j in range(16)] for s in range(16)], dtype=np.int32)
-
-
-class Digits:
-    """Order-0 digits: cumulative frequencies of 16 symbols at each node, out of 32768, at least 1 each."""
+            words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
+        w = [words[:, k] << np.uint64(n) for k, n in ((0, 36), (1, 20), (2, 4))]
+        self.ahead = w[0] | w[1] | w[2] | words[:, 3] >> np.uint64(12)  # how far the code lies above the low end
+        # a state holds 52 bits, so the words to come are cut four bits later
+        self.words = ((words[:, 3:-1] & np.uint64(0xFFF)) << np.uint64(4) | words[:, 4:] >> np.uint64(12)).astype(np.uint16)
+        self.range = np.full(len(blobs), (1 << 52) - 1, dtype=np.uint64)
+        self.at = np.zeros(len(blobs), dtype=np.int64)
+        self.unit = self.range
+
+    def place(self, m: int) -> np.ndarray:
+        """Where the code lies in the unit of 2**34; both numbers fit a double, so the division is exact enough to floor."""
+        self.unit = self.range[:m] >> _TOTAL
+        return np.minimum((self.ahead[:m] / self.unit).astype(np.int64), (1 << 34) - 1)
+
+    def narrow(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
+        self.ahead[:m] -= self.unit * start.view(np.uint64)
+        r = self.unit * size.view(np.uint64)
+        self.range[:m] = r
+        lane = np.flatnonzero(r < _LEAST)
+        flat, width = self.words.reshape(-1), self.words.shape[1]
+        while len(lane):
+            at = self.at[lane]
+            self.ahead[lane] = self.ahead[lane] << _WORD | flat[lane * width + np.minimum(at, width - 1)]
+            self.at[lane] = at + 1
+            r = self.range[lane] << _WORD
+            self.range[lane] = r
+            lane = lane[r < _LEAST]
+
+
+#: Trust levels of a prediction, classes of order-0 evidence, contexts of a decision.
+TRUST, EVIDENCE = 4, 4
+CONTEXTS = TRUST * TRUST * EVIDENCE * 2
+_EVIDENCE_OF = np.digitize(np.arange(2049), [4, 16, 64]).astype(np.int64)
+
+
+class Decisions:
+    """Which prediction holds: (order 2, order 1, neither), as cumulative 12-bit probabilities in each context.
+
+    Three logits, of the hit rates by order-2 trust, by order-1 trust and by order-0 evidence, are mixed
+    with weights that each block learns. Counts go on with every id, mixed tables are renewed at ``_due`` steps.
+    """
 
     def __init__(self, lanes: int):
-        self.ends = np.tile((np.arange(16, dtype=np.int32) + 1) * 2048, (lanes * NODES, 1)).astype(np.uint16)
+        self.seen = np.zeros(lanes * CONTEXTS * 3, dtype=np.int32)
+        self.weights = np.full((2, 3, lanes), 26_000, dtype=np.int64)
+        self.renew()
 
-    def code(self, coder, lane, ids):
-        so_far, first = np.zeros(len(lane), dtype=np.int64), lane * NODES
-        for level, base in enumerate((0, 1, 17, 273)):
-            node = first + base + (so_far if level < 3 else so_far * 40503 % (NODES - 273))
-            ends = self.ends.take(node, axis=0).astype(np.int32)
-            digit = coder.digit(lane, ends, None if ids is None else ids >> (12 - 4 * level) & 15)
-            self.ends[node] = ends + ((_GOALS.take(digit, axis=0) - ends) >> 4)
-            so_far = so_far << 4 | digit
-        return so_far
+    def _mix(self, hits: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """hits, n: (lanes, trust 2, trust 1, evidence, same). The mixed 12-bit probability of a hit."""
+        stretch, squash = _logistic()
+        logits = []
+        for axes in ((2, 3), (1, 3), (1, 2)):
+            h, k = hits.sum(axis=axes, keepdims=True), n.sum(axis=axes, keepdims=True)
+            logits.append(stretch[np.minimum(((2 * h + 1) * 4096) // (2 * k + 4), 4095)].astype(np.int64))
+        w = weights[:, :, None, None, None, None]
+
+        def mixed():
+            total = w[0] * logits[0] + w[1] * logits[1] + w[2] * logits[2]
+            return squash[np.clip(total >> 16, -2047, 2047) + 2048].astype(np.int64)
+
+        miss = hits * 4096 - n * mixed()
+        every = np.maximum(n.sum(axis=(1, 2, 3, 4)), 1)
+        for i, s in enumerate(logits):
+            weights[i] += ((miss * s).sum(axis=(1, 2, 3, 4)) // every) >> 5
+        np.clip(weights, -65_536, 131_072, out=weights)
+        return np.clip(mixed(), 64, 4032)
+
+    def renew(self) -> None:
+        by = self.seen.reshape(-1, TRUST, TRUST, EVIDENCE, 2, 3).astype(np.int64)
+        second = self._mix(by[..., 0], by.sum(axis=-1), self.weights[0])
+        first = self._mix(by[..., 1], by[..., 1] + by[..., 2], self.weights[1])
+        until = second + ((4096 - second) * first >> 12)
+        until[..., 1] = second[..., 1]  # equal predictions fail together
+        self.ends = (second << 16 | until).astype(np.uint32).reshape(-1)
+
+
+class Spelling:
+    """Order 0: an id is its high byte, then its low byte in one of four contexts, by their frequencies among the ids spelled so far."""
+
+    def __init__(self, lanes: int, inverse: bool):
+        self.counts = np.zeros((2, lanes * 1024), dtype=np.uint16)
+        self.inverse = inverse
+        self.lanes = lanes
+        self.renew()
+
+    def renew(self) -> None:
+        self.high, self.high_of = self._tables(self.counts[0].reshape(-1, 1024)[:, :256])
+        self.low, self.low_of = self._tables(self.counts[1].reshape(-1, 256))
+
+    def _tables(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """start << 16 | size of each byte out of 2048, at least 1 each; the byte at each of the 2048 places."""
+        ends = np.cumsum(counts, axis=1, dtype=np.int64)
+        total = ends[:, -1:]
+        ends = np.where(total > 0, ends * 1792 // np.maximum(total, 1), 7 * np.arange(1, 257)) + np.arange(1, 257)
+        size = np.diff(ends, axis=1, prepend=0)
+        packed = ((ends - size) << 16 | size).astype(np.uint32).reshape(-1)
+        if not self.inverse:
+            return packed, None
+        return packed, np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(size)), size.reshape(-1))
+
+    def add(self, lane: np.ndarray, high: np.ndarray, low_at: np.ndarray) -> None:
+        self.counts[0][lane * 1024 + high] += 1
+        self.counts[1][low_at] += 1
+
+
+def _due(t: int) -> bool:
+    """Tables are renewed often at first, then every 256 ids."""
+    return t % 256 == 0 or t in (8, 16, 32, 64, 128)
 
 
 def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Codes (or, with ids None, decodes) blocks side by side; lengths fall from lane to lane."""
+    """Codes (or, with ids None, decodes) blocks side by side; lengths fall from lane to lane, ids are (steps, lanes)."""
     lanes = len(lengths)
     steps = int(lengths.max(initial=0))
-    by_step = np.zeros((steps, lanes), dtype=np.int64) if ids is None else np.ascontiguousarray(ids.T)
-    guess = np.zeros((2, lanes * SLOTS), dtype=np.uint16)
-    trust = np.zeros((2, lanes * SLOTS), dtype=np.int8)
-    second, first, digits = Mixer(lanes, 16), Mixer(lanes, 16), Digits(lanes)
+    out = np.zeros((steps, lanes), dtype=np.uint16) if ids is None else ids
+    tables = np.zeros((2, lanes * SLOTS), dtype=np.uint32)  # trust << 16 | predicted id, by order
+    decisions, spelling = Decisions(lanes), Spelling(lanes, ids is None)
+    every = np.arange(lanes)
+    slot, context, byte = every * SLOTS, every * CONTEXTS, every * 256
     one = np.zeros(lanes, dtype=np.int64)
     two = np.zeros(lanes, dtype=np.int64)
-    every = np.arange(lanes)
     for t in range(steps):
-        m = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-        lane, a, b = every[:m], one[:m], two[:m]
-        mixed, at = a * 40503, lane * SLOTS
-        h2, h1 = at + ((mixed + b * 30011 >> 5) & (SLOTS - 1)), at + ((mixed >> 5) & (SLOTS - 1))
-        g2, g1 = guess[0].take(h2), guess[1].take(h1)
-        k2, k1 = trust[0].take(h2), trust[1].take(h1)
-        same = g1 == g2
-        now = None if ids is None else by_step[t, :m]
-        hit = second.decide(coder, lane, k2 * 2 + same, k1 * 2 + same, None if now is None else now == g2)
-        got = np.where(hit, g2, 0).astype(np.int64)
-        rest = np.flatnonzero(~(hit | same))
-        if len(rest):
-            r1 = g1.take(rest)
-            yes = first.decide(coder, rest, k1.take(rest), k2.take(rest), None if now is None else now.take(rest) == r1)
-            taken = rest[yes]
-            got[taken] = r1[yes]
-            hit[taken] = True
-        rest = np.flatnonzero(~hit)
-        if len(rest):
-            got[rest] = digits.code(coder, rest, None if now is None else now.take(rest))
+        m = lanes if t < lengths[-1] else int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
+        if t and _due(t):
+            decisions.renew()
+            spelling.renew()
+        if ids is not None and t % 64 == 0:
+            coder.room(64)
+        mixed, at = one[:m] * 40503, slot[:m]
+        h2, h1 = at + ((mixed + two[:m] * 30011 >> 5) & (SLOTS - 1)), at + ((mixed >> 5) & (SLOTS - 1))
+        e2, e1 = tables[0].take(h2).astype(np.int64), tables[1].take(h1).astype(np.int64)
+        g2, g1, k2, k1 = e2 & 0xFFFF, e1 & 0xFFFF, e2 >> 16, e1 >> 16
+        evidence = _EVIDENCE_OF.take(spelling.high.take(byte[:m] + (g2 >> 8)) & np.uint32(0xFFFF))
+        where = context[:m] + (((k2 * TRUST + k1) * EVIDENCE + evidence) * 2 + (g1 == g2))
+        ends = decisions.ends.take(where).astype(np.int64)
+        until2, until1 = ends >> 16, ends & 0xFFFF
+        if ids is None:
+            place = coder.place(m)
+            digit = place >> 22
+            kind = (digit >= until2).astype(np.int64) + (digit >= until1)
+            got = np.where(kind == 0, g2, g1)
+        else:
+            got = out[t, :m].astype(np.int64)
+            kind = np.where(got == g2, 0, np.where(got == g1, 1, 2))
+        start = np.where(kind == 0, 0, until2) << 22
+        size = np.where(kind == 0, until2, until1 - until2) << 22
+        lane = np.flatnonzero(kind == 2)
+        if len(lane):
+            before = until1.take(lane)
+            share = 4096 - before
+            before <<= 22
+            if ids is None:
+                place = ((place.take(lane) - before) / share).astype(np.int64)
+                high = spelling.high_of.take(lane * 2048 + (place >> 11)).astype(np.int64)
+            else:
+                spelled = got.take(lane)
+                high = spelled >> 8
+            a = spelling.high.take(lane * 256 + high).astype(np.int64)
+            a_start, a_size = a >> 16, a & 0xFFFF
+            base = lane * 4 + (high & 3)
+            if ids is None:
+                place = ((place - (a_start << 11)) / a_size).astype(np.int64)
+                low = spelling.low_of.take(base * 2048 + place).astype(np.int64)
+                got[lane] = high << 8 | low
+            else:
+                low = spelled & 255
+            low_at = base * 256 + low
+            b = spelling.low.take(low_at).astype(np.int64)
+            start[lane] = before + share * ((a_start << 11) + a_size * (b >> 16))
+            size[lane] = share * a_size * (b & 0xFFFF)
+            spelling.add(lane, high, low_at)
+        coder.narrow(m, start, size)
+        decisions.seen[where * 3 + kind] += 1
         if ids is None:
-            by_step[t, :m] = got
-        for order, h, g, k in ((0, h2, g2, k2), (1, h1, g1, k1)):
-            right = g == got
-            trust[order, h] = np.where(right, np.minimum(k + 1, 7), np.maximum(k - 2, 0))
-            guess[order, h] = np.where(right | (k > 1), g, got)
-        two[:m], one[:m] = a, got
-    return np.ascontiguousarray(by_step.T)
+            out[t, :m] = got
+        for table, h, e, g, k in ((tables[0], h2, e2, g2, k2), (tables[1], h1, e1, g1, k1)):
+            table[h] = np.where(g == got, e + ((k < TRUST - 1) << 16), np.where(k > 1, e - (2 << 16), got))
+        two[:m], one[:m] = one[:m], got
+    return out
 
 
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -241,13 +291,13 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     lengths = np.full(n, BLOCK, dtype=np.int64)
     if n:
         lengths[-1] = len(ids) - BLOCK * (n - 1)
-    table = np.zeros((n, BLOCK), dtype=np.int64)
+    table = np.zeros((n, BLOCK), dtype=np.uint16)
     table.reshape(-1)[: len(ids)] = ids
+    sums = [zlib.crc32(row[:k].astype("<u4").tobytes()) for row, k in zip(table, lengths, strict=True)]
     coder = Encoder(n)
     if n:
-        _run(coder, lengths, table)
+        _run(coder, lengths, np.ascontiguousarray(table.T))
     blobs = coder.finish()
-    sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(n)]
     header = zlib.compress(np.asarray(doc_ids, "<i8").tobytes() + np.asarray(counts, "<i8").tobytes())
     index = b"".join(struct.pack("<III", int(k), len(b), s) for k, b, s in zip(lengths, blobs, sums, strict=True))
     return MAGIC + struct.pack("<QQI", len(doc_ids), len(header), n) + header + index + b"".join(blobs)
@@ -268,13 +318,14 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         blobs.append(data[at : at + length])
         at += length
     if not n:
-        return head[:docs], head[docs:], np.empty(0, dtype=np.int64)
+        return head[:docs], head[docs:], np.empty(0, dtype=np.uint16)
     lengths = np.array([x[0] for x in index], dtype=np.int64)
-    table = _run(Decoder(blobs), lengths, None)
+    table = np.ascontiguousarray(_run(Decoder(blobs), lengths, None).T)
     for i, (k, _, s) in enumerate(index):
         if zlib.crc32(table[i, :k].astype("<u4").tobytes()) != s:
             raise ValueError(f"block {i} is damaged")
-    return head[:docs], head[docs:], table.reshape(-1)[: int(lengths.sum())] if n > 1 else table[0, : lengths[0]]
+    # all blocks but the last one are full, whatever BLOCK the writer had
+    return head[:docs], head[docs:], table.reshape(-1)[: int(lengths.sum())]
 
 
 class WordTokens:
@@ -285,17 +336,20 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def ids(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         cut = [t.split() for t in texts]
         new = {w for words in cut for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
             new = {w for words in cut for w in words}
-        if new:
-            words = list(new)
+        learn = list(new)
+        for at in range(0, len(learn), LEARN):
+            words = learn[at : at + LEARN]
             for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u2").tobytes()
+                self.known[w] = found = np.array(e.ids, dtype="<u2").tobytes()
+                self.size += len(w) + len(found) + ENTRY
         last = np.array([end], dtype="<u2").tobytes()
         return [np.frombuffer(b"".join([*map(self.known.__getitem__, words), last]), dtype="<u2") for words in cut]
 
@@ -308,6 +362,7 @@ def _words(path: str) -> WordTokens:
 def _write(path: str, end: int):
     def run(batches):
         tokens, doc_ids, ids, size = _words(path), [], [], 0
+        made = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -316,22 +371,22 @@ def _write(path: str, end: int):
                 ids += tokens.ids(texts, end)
                 size += sum(map(len, texts))
                 if size >= FILE_BYTES:
-                    yield _file(doc_ids, ids)
+                    yield _file(next(made), doc_ids, ids)
                     doc_ids, ids, size = [], [], 0
         if ids:
-            yield _file(doc_ids, ids)
+            yield _file(next(made), doc_ids, ids)
 
-    def _file(doc_ids, ids):
+    def _file(nth, doc_ids, ids):
         known = np.array([-1 if d is None else d for d in doc_ids], dtype=np.int64)
-        first = next((d for d in doc_ids if d is not None), None)
-        data = pack(known, np.array([len(i) for i in ids]), np.concatenate(ids).astype(np.int64))
-        rows = [[first], [len(ids)], [sum(map(len, ids))], [[d is None for d in doc_ids].count(True)], [data]]
-        return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["first_doc", "docs", "tokens", "unnamed", "data"])
+        data = pack(known, np.array([len(i) for i in ids]), np.concatenate(ids))
+        row = (nth, len(ids), sum(map(len, ids)), doc_ids.count(None))
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([data], pa.binary())], names=["nth", "docs", "tokens", "unnamed", "data"])
 
-    return run
+    return tidy(run)
 
 
-FILE_SCHEMA = "first_doc long, docs long, tokens long, unnamed long, data binary"
+#: nth: range and number of the file in it; files follow each other in this order.
+FILE_SCHEMA = "nth long, docs long, tokens long, unnamed long, data binary"
 
 
 def write_files(docs: DataFrame, path: str | None = None, to: str | None = None, end: int = END_ID) -> str:
@@ -378,15 +433,18 @@ def _read(batches):
 def read_files(spark, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files; a damaged block raises an error.
 
-    start counts the ids of all documents before it. Files are few beside documents; only
-    their sizes are summed up.
+    start counts the ids of all documents before it. Only the files' sizes are summed up: within
+    groups of 2**RANGES_BITS ranges, then over the groups, of which ten million ranges make some thousands.
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(folder)
-    order = Window.orderBy(F.col("first_doc").asc_nulls_last(), "at").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.concat(F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
-    offsets = files.select("first_doc", "tokens", at.alias("at")).select("at", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("offset"))
-    rows = files.select("unnamed", "data", at.alias("at")).join(offsets, "at").select("unnamed", "data", "offset")
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    sizes = files.select("nth", "tokens", F.shiftright("nth", 32 + RANGES_BITS).alias("part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    parts = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(parts, "part")
+    rows = files.select("nth", "unnamed", "data").join(offsets.select("nth", (F.col("base") + F.col("offset")).alias("offset")), "nth")
+    return rows.select("unnamed", "data", "offset").mapInArrow(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
