@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -21,10 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir`` of the session.
 
-    A folder of our own is set only where the session names none (a local test session).
+    A folder of our own is set only where the session names none and driver and executors are one
+    process (a local test session); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -28,10 +28,10 @@ from corvane.llm.common import byte_rows, small_batches, text_bytes, tidy
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-#: Segments kept from batch to batch of a task, at most.
-CACHE = 300_000
+#: Bytes of segments kept from batch to batch of a task, with what Python needs for an entry.
+CACHE_BYTES, ENTRY = 48_000_000, 180
 #: Segments encoded in one call; what the library holds for a call grows with their number.
-LEARN = 16384
+LEARN = 8192
 _SEGMENT = re.compile(rb" ( *[^ ]*)")
 
 
@@ -182,7 +182,7 @@ class Codec:
         self.segments = self.model.by_segment
         self.tokenizer = build_tokenizer(self.model, whole=not self.segments)
         self.known: dict[bytes, bytes] = {}
-        self.odd = 0
+        self.size = self.odd = 0
         bytes_of = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, t in self.model.pieces
@@ -198,7 +198,8 @@ class Codec:
             if a != b and s:
                 self.odd += 1
                 a = b
-            self.known[s] = array("i", a).tobytes()
+            self.known[s] = found = array("i", a).tobytes()
+            self.size += len(s) + len(found) + ENTRY
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """ids of each text (UTF-8)."""
@@ -210,8 +211,9 @@ class Codec:
         cut = [_cut(t) for t in texts]
         seen = set().union(*cut)
         new = seen.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        if self.size > CACHE_BYTES:
             self.known = {s: self.known[s] for s in seen.difference(new)}  # words that come again and again stay
+            self.size = sum(len(s) + len(i) + ENTRY for s, i in self.known.items())
         new = list(new)
         for at in range(0, len(new), LEARN):
             self._learn(new[at : at + LEARN])
@@ -261,7 +263,7 @@ def _encode(path: str):
                 ],
                 names=["doc_id", "n_tokens", "ids", "round_trip", "mended"],
             )
-        c.known.clear()  # a worker that waits for its next stage holds no segments
+        c.known, c.size = {}, 0  # a worker that waits for its next stage holds no segments
 
     return run
 

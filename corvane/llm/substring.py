@@ -277,8 +277,7 @@ class SubstringIndex:
         release(self.spark)
         wide = at.join(texts, "doc_id").select("doc_id", text_bytes().alias("text"), "at")
         names, schema = ["w1", "w2", "doc_id", "start"], "w1 long, w2 int, doc_id long, start int"
-        windows = wide.mapInArrow(_candidates(self.window, self.anchor), schema)
-        again = self._reduce(windows, names, schema, 2, True, _later, "doc_id long, start int")
+        again = self._reduce(wide, names, schema, 2, True, _later, "doc_id long, start int", _candidates(self.window, self.anchor))
         if history:
             again = again.join(batch.select("doc_id"), "doc_id", "left_semi")
         found = materialise(again.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "repeats")
@@ -288,9 +287,13 @@ class SubstringIndex:
             self.compact()
         return found
 
-    def _reduce(self, rows: DataFrame, names: list[str], schema: str, keys: int, first_only: bool, last, to: str) -> DataFrame:
-        """Decides equal keys first inside each task, then among one row of each task, by one shuffle."""
-        split = rows.mapInArrow(_reduced(names, keys, first_only), f"{schema}, kind int")
+    def _reduce(self, rows: DataFrame, names: list[str], schema: str, keys: int, first_only: bool, last, to: str, make=iter) -> DataFrame:
+        """Decides equal keys first inside each task, then among one row of each task, by one shuffle.
+
+        make turns batches of rows into those with the keys, in the same worker: a second one would hold its memory too.
+        """
+        reduce = _reduced(names, keys, first_only)
+        split = rows.mapInArrow(lambda batches: reduce(make(batches)), f"{schema}, kind int")
         here = F.when(F.col("kind") == 0, F.hash(*names[:keys])).otherwise(F.hash(*names[keys:]))
         dealt = split.select(*names, "kind").repartition(here).sortWithinPartitions("kind", *names)
 

@@ -17,8 +17,10 @@ with numpy. Encoder and decoder run the same model code and differ only in the c
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import count
 
@@ -348,7 +350,7 @@ class WordTokens:
         for at in range(0, len(learn), LEARN):
             words = learn[at : at + LEARN]
             for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-                self.known[w] = found = np.array(e.ids, dtype="<u2").tobytes()
+                self.known[w] = found = array("H", e.ids).tobytes()
                 self.size += len(w) + len(found) + ENTRY
         last = np.array([end], dtype="<u2").tobytes()
         return [np.frombuffer(b"".join([*map(self.known.__getitem__, words), last]), dtype="<u2") for words in cut]
@@ -356,6 +358,7 @@ class WordTokens:
 
 @lru_cache(2)
 def _words(path: str) -> WordTokens:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # single words are too short to share among threads
     return WordTokens(path)
 
 
