@@ -28,15 +28,19 @@ def normalize(c, squeeze: bool = True) -> Column:
     return F.lower(F.trim(F.regexp_replace(out, " +", " ") if squeeze else out))
 
 
+_CID = r"(?i)\(cid:[0-9]+\)"
+
+
 def clean_cid(c) -> Column:
-    """Without (cid:N) marks, runs of blanks and of more than two newlines."""
-    out = F.regexp_replace(_col(c), r"\(cid:[0-9]+\)", "")
+    """A blank for each (cid:N) mark, without runs of blanks and of more than two newlines."""
+    out = F.regexp_replace(_col(c), _CID, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
 def cid_garbage(c) -> Column:
-    n = F.greatest(F.size(words(c)), F.lit(1))
-    return (F.trim(_col(c)) == "") | (F.regexp_count(_col(c), F.lit(r"\(cid:[0-9]+\)")) / n > 0.30)
+    """True for an empty text and one with over 0.3 marks a word; a text of blanks has no words and is not."""
+    n = F.size(words(c))
+    return (_col(c) == "") | ((n > 0) & (F.regexp_count(_col(c), F.lit(_CID)) / F.greatest(n, F.lit(1)) > 0.30))
 
 
 def garbage(c) -> Column:
@@ -86,10 +90,32 @@ def sentences(c) -> Column:
     return F.split(F.regexp_replace(_col(c), r"([.!?])[ \t\n\r\f]+", "$1\x01"), "\x01")
 
 
+_BREAK = r"(\n[ \t\n\r\f]*\n|\r\n[ \t\n\r\f]*\r\n)"
+
+
 def paragraphs(c) -> Column:
     return F.split(_col(c), r"\n[ \t\n\r\f]*\n")
 
 
+def starts(parts: Column) -> Column:
+    """How many characters lie before each part."""
+    return F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, p: n + F.length(p)))
+
+
+def placed_paragraphs(c) -> Column:
+    """(text, start, end) of each non-blank paragraph; offsets are those before blanks at its ends go."""
+    parts = F.split(F.regexp_replace(_col(c), _BREAK, "\x01$1\x01"), "\x01")
+    each = F.zip_with(parts, starts(parts), lambda p, at: F.struct(F.trim(p, F.lit(" \t\n\r\f")).alias("text"), at.alias("start"), (at + F.length(p)).alias("end")))
+    return F.filter(each, lambda x, i: (i % 2 == 0) & (x["text"] != ""))
+
+
+def matches(c, pattern: str) -> Column:
+    """(text, start) of every match of a pattern without groups."""
+    parts = F.split(F.regexp_replace(_col(c), f"({pattern})", "\x01$1\x01"), "\x01")
+    each = F.zip_with(parts, starts(parts), lambda p, at: F.struct(p.alias("text"), at.alias("start")))
+    return F.filter(each, lambda x, i: i % 2 == 1)
+
+
 #: Replacements of question words, in order.
 REPLACEMENTS = (
     ("c koi", "qu'est-ce que"),
@@ -103,7 +129,7 @@ REPLACEMENTS = (
 
 def expand_question(c) -> Column:
     """One or two variants of a question: normalised, and with a word added that usually goes with it."""
-    q = F.regexp_replace(F.lower(_col(c)), r"\b(art\.|art|article)[ ]*([0-9]+)", "article $2")
+    q = F.regexp_replace(F.lower(_col(c)), r"\b(art|art\.|article)\b[ \t\n\r\f]*([0-9]+)", "article $2")
     for a, b in REPLACEMENTS:
         q = F.replace(q, F.lit(a), F.lit(b))
     q = F.trim(q)
@@ -120,18 +146,28 @@ def repair_numbers(c) -> Column:
 
 
 def strip_markdown(c) -> Column:
-    out = F.regexp_replace(_col(c), r"(?m)^#+[ ]*", "")
-    return F.regexp_replace(out, r"[*_`]+", "")
+    """Without the signs of bold and italic text, pair by pair."""
+    out = _col(c)
+    for mark in (r"\*\*", r"\*", "__", "_"):
+        out = F.regexp_replace(out, f"{mark}(.*?){mark}", "$1")
+    return out
 
 
 def to_html(c) -> Column:
-    out = _col(c)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    out = strip_markdown(c)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, r"(https?://[^ \n]+)", '<a href="$1">$1</a>')
+    link = '<a href="$1" target="_blank" style="color: var(--accent-green); text-decoration: underline;">$1</a>'
+    out = F.regexp_replace(out, r"(https?://[^ \t\n\r\f]+)", link)
     return F.replace(out, F.lit("\n"), F.lit("<br>"))
 
 
+def sanitise_json(c) -> Column:
+    """The outermost braces of a text that may be fenced, with single blanks; ``{}`` if there are none."""
+    body = F.regexp_extract(F.regexp_replace(_col(c), r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
+    return F.when(body == "", "{}").otherwise(F.regexp_replace(body, BLANKS, " "))
+
+
 def parse_json(c) -> Column:
     """The value as VARIANT: as it is, else its outermost braces, else an empty object."""
     body = F.regexp_extract(_col(c), r"(?s)\{.*\}", 0)
@@ -142,6 +178,35 @@ def short_sha(*parts, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, length)
 
 
+def document_uid(text, path) -> Column:
+    """16 hex digits of the first 5000 characters and the path, one after the other."""
+    return F.substring(F.sha2(F.concat(F.substring(_col(text), 1, 5000), _col(path)), 256), 1, 16)
+
+
+def chunk_uid(doc, article, index, text) -> Column:
+    return short_sha(_col(doc), _col(article), _col(index).cast("string"), F.substring(_col(text), 1, 40))
+
+
+def article_uid(doc, number) -> Column:
+    """Of the article with a number in a document; without a number the document's first article."""
+    number = F.substring(F.md5(_col(number).cast("binary")), 1, 8)
+    return F.concat(_col(doc), F.lit("_art_"), F.coalesce(number, F.lit("0")))
+
+
+#: Fixed values of our own: frequent words that tell the languages apart.
+STOP_WORDS = {
+    "fr": ("le", "la", "les", "des", "est", "une", "dans", "pour", "que", "et"),
+    "en": ("the", "of", "and", "is", "to", "in", "that", "for", "with", "are"),
+}
+
+
+def detected_language(c, fallback: str = "fr") -> Column:
+    """ar above 0.3 Arabic letters, else fr or en by which frequent words occur more often, else the fallback."""
+    low = words(F.lower(_col(c)))
+    fr, en = (F.size(F.filter(low, lambda w, s=s: w.isin(*STOP_WORDS[s]))) for s in ("fr", "en"))
+    return F.when(arabic_share(c) > 0.3, "ar").when(fr > en, "fr").when(en > fr, "en").otherwise(fallback)
+
+
 def plain_key(c) -> Column:
     """Compatibility-decomposed, lower-cased, without signs: Spark has no such decomposition of its own."""
 

@@ -36,6 +36,32 @@ RELATIONAL = {
 FACTUAL = r"^(quel[ ]+est[ ]+l'article|article[ ]+[0-9]+|définition|qu'est-ce|c'est[ ]+quoi|donne[ ]+moi|cite)"
 MULTI_HOP = r"article[ ]+[0-9]+.+article[ ]+[0-9]+|(code|loi).+(code|loi)|(bail|contrat|vente).+(obligations|pénal|civil)"
 DEFINITION = r"^(qu'est-ce que|définition|c'est quoi|ما هو|تعريف)"
+#: Questions that need no hypothetical answer, tested without punctuation.
+GATE = (
+    r"^(quel(le)?s?[ ]+est[ ]+(l[' ])?article|article[ ]+[0-9]+|définition[ ]+de|qu[' ]est[- ]ce[ ]+que"
+    r"|المادة[ ]+[0-9]+|ما[ ]+هو[ ]+تعريف|من[ ]+هو|cite(z)?[ ]+|donne(z)?[ ]+moi)"
+)
+ARTICLE_REFERENCE = r"(?:art\.?|article|المادة)[ \t\n\r\f]*[.\-]?[ \t\n\r\f]*([0-9]+)"
+APPOINTMENT = r"(rdv|rendez-vous|appointment|date|réserver|book|fixer)"
+MODE_TYPES = {"penal": ["articles_cp", "articles_cpp", "gravite", "peine"], "civil": ["articles_coc", "parties", "montants"]}
+MODE_WORDS = {
+    "penal": ["crime", "délit", "peine", "prison", "pénal", "جنائي", "جزاء"],
+    "civil": ["bail", "contrat", "vente", "société", "coc", "civil", "كراء", "عقد"],
+}
+#: What in a file name speaks for a document type.
+NAME_HINTS = {
+    "Jugement": ["jugement", "حكم", "jugmt"],
+    "Arrêt": ["arret", "arrêt", "قرار", "cassation"],
+    "Contrat": ["contrat", "عقد", "convention"],
+    "Bail": ["bail", "كراء", "location"],
+    "PV": ["pv", "محضر", "proces"],
+    "Code_de_loi": ["code", "مجلة", "loi"],
+    "Acte_notarié": ["acte", "notaire", "حجة"],
+    "Ordonnance": ["ordonnance", "أمر"],
+}
+PENAL_WORDS = ["جناية", "جنحة", "مخالفة", "crime", "délit", "contravention", "pénal", "pénale", "CPP", "code pénal"]
+FOLDERS = (("Civil", ["civil", "مدني"]), ("Pénal", ["penal", "pénal", "جنائي"]), ("Administratif", ["admin", "إداري"]))
+CASE_TYPES = (("Accident de circulation", ["حوادث", "accident", "مرور"]), ("Affaire de stupéfiants", ["مخدرات", "stupéfiant", "drogue"]))
 PROCEDURAL = ["procédure", "délai", "délais", "compétence", "juridiction", "appel", "cassation", "pourvoi", "recours", "مسطرة", "أجل", "محكمة"]
 GREETINGS = ["bonjour", "salut", "hello", "hi", "مرحبا", "أهلا"]
 LEGAL = [
@@ -84,6 +110,11 @@ def hits(text: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(k)).cast("int") for k in keywords])
 
 
+def _which(text: Column, keywords: list[str]) -> Column:
+    """The keywords that occur, in order of the list."""
+    return F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k))
+
+
 def _by_language(text: Column, lower: Column, lists: dict[str, list[str]]) -> Column:
     return F.when(language(text) == "ar", hits(lower, lists["ar"])).otherwise(hits(lower, lists["fr"]))
 
@@ -93,34 +124,55 @@ def _length_points(n: Column) -> Column:
 
 
 def route(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds route_score, mode, top_k and confidence."""
+    """Adds route_score, mode, top_k, confidence, use_hypothesis, use_graph and reason."""
     t, q = F.col(text), F.trim(F.lower(F.col(text)))
     articles, codes = F.regexp_count(q, F.lit(r"art(?:icle)?[. ]*[0-9]+")), F.regexp_count(q, F.lit("code|loi|décret"))
     points = _length_points(F.size(words(q))) + 1.5 * _by_language(t, q, COMPLEX)
     points = points + F.when((articles >= 2) | (codes >= 2), 1.0).when(articles >= 1, 0.3).otherwise(0.0)
-    s = F.col("route_score")
+    s, n = F.col("route_score"), F.size(words(q))
+    found = F.when(language(t) == "ar", _which(q, COMPLEX["ar"])).otherwise(_which(q, COMPLEX["fr"]))
+    reasons = F.concat_ws(
+        "; ",
+        F.when(n > 18, "long").when(n > 12, "medium"),
+        F.when(F.size(found) > 0, F.concat(F.lit("keywords: "), F.array_join(F.slice(found, 1, 2), ", "))),
+        F.when((articles >= 2) | (codes >= 2), "several references").when(articles >= 1, "one reference"),
+    )
+    reason = F.when(q.rlike(FACTUAL), "factual").when(reasons == "", "default").otherwise(reasons)
     return df.withColumn("route_score", F.when(q.rlike(FACTUAL), 0.0).otherwise(F.round(points, 6))).withColumns(
         {
             "mode": F.when(s >= 2, "complex").when(s >= 1, "intermediate").otherwise("simple"),
             "top_k": F.when(s >= 2, 50).when(s >= 1, 40).otherwise(30),
             "confidence": F.round(s / (s + 1), 6),
+            "use_hypothesis": s >= 1,
+            "use_graph": s >= 2,
+            "reason": reason,
         }
     )
 
 
+def route_stats(routed: DataFrame, order: str, last: int = 100) -> DataFrame:
+    """One row over the last routed questions: n, shares of the modes and the mean confidence."""
+    some = routed.orderBy(F.desc(order)).limit(last)
+    n = F.greatest(F.count(F.lit(1)), F.lit(1))
+    share = [F.round(F.count_if(F.col("mode") == m) / n, 4).alias(m) for m in ("simple", "intermediate", "complex")]
+    return some.agg(F.count(F.lit(1)).alias("n"), *share, F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
 def graph_trigger(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds trigger_score, use_graph and graph_mode."""
+    """Adds trigger_score, use_graph, graph_mode and graph_confidence."""
     t, q = F.col(text), F.lower(F.col(text))
     points = 0.15 * _by_language(t, q, RELATIONAL) + _length_points(F.size(words(q)))
     points = points + F.when(q.rlike("article|chapitre"), 0.3).otherwise(0.0) + F.when(q.rlike(" et | ou |comparé| contre "), 0.25).otherwise(0.0)
     points = points + F.when(q.rlike(MULTI_HOP), 0.4).otherwise(0.0) - F.when(q.rlike(FACTUAL), 0.3).otherwise(0.0)
     s = F.col("trigger_score")
     mode = F.when(s > 0.7, "hybrid").when(s > 0.5, "local").when(s >= 0.5, "global").otherwise("disabled")
-    return df.withColumn("trigger_score", F.round(points, 6)).withColumns({"use_graph": s >= 0.5, "graph_mode": mode})
+    return df.withColumn("trigger_score", F.round(points, 6)).withColumns(
+        {"use_graph": s >= 0.5, "graph_mode": mode, "graph_confidence": F.round(F.least(s / 1.5, F.lit(1.0)), 6)}
+    )
 
 
 def analyse(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, is_definition, is_procedural, is_precise, strategy and alpha (the weight of BM25)."""
+    """Adds lang, article_refs, n_words, is_definition, is_procedural, is_precise, strategy, alpha (the weight of BM25) and wants_graph."""
     t, q = F.col(text), F.lower(F.col(text))
     n = F.col("n_words")
     strategy = F.when(F.col("is_precise"), "bm25_heavy").when(F.col("is_definition"), "semantic").otherwise("hybrid")
@@ -129,6 +181,8 @@ def analyse(df: DataFrame, text: str = "text") -> DataFrame:
     return (
         df.withColumns(
             {
+                "lang": language(t),
+                "article_refs": F.regexp_extract_all(t, F.lit("(?iu)" + ARTICLE_REFERENCE), F.lit(1)),
                 "n_words": F.size(words(t)),
                 "is_definition": q.rlike(DEFINITION),
                 "is_procedural": hits(q, PROCEDURAL) > 0,
@@ -137,48 +191,156 @@ def analyse(df: DataFrame, text: str = "text") -> DataFrame:
         )
         .withColumn("strategy", strategy)
         .withColumn("alpha", F.round(alpha, 6))
+        .withColumn("wants_graph", F.col("is_procedural") | F.col("is_definition") | (hits(q, ["différence", "relation"]) > 0))
     )
 
 
 def intent(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds intent, intent_confidence, is_legal and lang; a greeting counts as French."""
     q = F.lower(F.col(text))
     greets = (hits(q, GREETINGS) > 0) & (F.length(text) < 50)
-    legal = hits(q, LEGAL) > 0
+    legal = ~greets & (hits(q, LEGAL) > 0)
     return df.withColumns(
         {
             "intent": F.when(greets, "greeting").when(legal, "legal_question").otherwise("discussion"),
             "intent_confidence": F.when(greets, 0.8).when(legal, 0.6).otherwise(0.3),
+            "is_legal": legal,
+            "lang": F.when(greets, "fr").otherwise(language(F.col(text))),
         }
     )
 
 
+def wants_appointment(c: Column) -> Column:
+    return c.rlike("(?iu)" + APPOINTMENT)
+
+
+def legal_mode(entities: Column) -> Column:
+    """penal, civil or general from an array of (type, value): the first entity of a telling type, else keywords of the values."""
+    kinds = F.transform(
+        entities, lambda e: F.when(e["type"].isin(MODE_TYPES["penal"]), "penal").when(e["type"].isin(MODE_TYPES["civil"]), "civil")
+    )
+    values = F.lower(F.array_join(F.transform(entities, lambda e: e["value"]), " "))
+    by_words = F.when(hits(values, MODE_WORDS["penal"]) > 0, "penal").when(hits(values, MODE_WORDS["civil"]) > 0, "civil").otherwise("general")
+    return F.coalesce(F.get(F.filter(kinds, lambda k: k.isNotNull()), F.lit(0)), by_words)
+
+
 def skip_expansion(c: Column) -> Column:
-    """Short and factual questions, and those under five characters, are not expanded."""
-    plain = F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}_ ']", "")
-    return ((F.size(words(c)) < 6) & plain.rlike(FACTUAL)) | (F.length(F.trim(c)) < 5)
+    """Questions of under six words that ask for a fact, and those under five characters, are not expanded."""
+    plain = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}_ \t\n\r\f]", ""))
+    return ((F.size(words(c)) < 6) & plain.rlike(GATE)) | (F.length(F.trim(c)) < 5)
+
+
+def hypothesis(question: Column, answer: Column, mode: str = "combined") -> Column:
+    """What is searched for with a hypothetical answer: it alone, question and answer, or the question alone."""
+    has = F.coalesce(F.trim(answer), F.lit("")) != ""
+    if mode == "query_only":
+        return question
+    joined = answer if mode == "hypo_only" else F.concat(question, F.lit("\n\n"), answer)
+    return F.when(has & ~skip_expansion(question), joined).otherwise(question)
+
+
+def valid_request(message: Column, top_k: Column, mode: Column, session: Column) -> Column:
+    """3 to 3000 characters, 1 to 20 results, a known mode, a session name of 100 characters at most."""
+    sized = F.length(message).between(3, 3000) & top_k.between(1, 20) & mode.isin("auto", "penal", "civil", "general")
+    return F.coalesce(sized & (session.isNull() | (F.length(session) <= 100)), F.lit(False))
+
+
+def valid_intent(name: Column, lang: Column, confidence: Column) -> Column:
+    named = name.isin("legal_question", "greeting", "discussion", "error") & lang.isin("fr", "ar", "en", "mixed")
+    return F.coalesce(named & confidence.between(0.0, 1.0), F.lit(False))
+
 
+def request_language(c: Column) -> Column:
+    """ar, en or fr from what a request names."""
+    low = F.lower(F.trim(c))
+    return F.when(low.startswith("ar") | (low == "عربية"), "ar").when(low.startswith("en"), "en").otherwise("fr")
 
-def detect_type(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds doc_type, type_confidence and category from weighted patterns found in the first 3000 characters.
 
-    Every pattern is a literal of the plan, compiled once. Ties go to the type declared first.
+def _points(kind: str, weight: float, patterns: list[str], head: Column, name: Column) -> tuple[Column, Column]:
+    """Score and signals of one document type."""
+    found = [(head.rlike(f"(?iu){p}"), weight / len(patterns), p[:40]) for p in patterns]
+    found += [(F.contains(name, F.lit(h)), 0.15, f"filename:{h}") for h in NAME_HINTS.get(kind, [])]
+    score = reduce(lambda a, b: a + b, [F.when(hit, F.lit(w)).otherwise(F.lit(0.0)) for hit, w, _ in found])
+    return F.least(F.lit(1.0), score), F.array_compact(F.array(*(F.when(hit, F.lit(s)) for hit, _, s in found)))
+
+
+def detect_type(df: DataFrame, text: str = "text", file_name: str | None = None) -> DataFrame:
+    """Adds doc_type, type_confidence, category, doc_lang, signals (five at most) and type_scores.
+
+    Weighted patterns of the first 3000 characters, and hints in the file name, make a type's score. Every pattern is
+    a literal of the plan, compiled once. Ties go to the type declared first; scores are rounded at the end only.
+    A penal word in the first 2000 characters makes the category Pénal. Null texts count as empty.
     """
-    head = F.substring(F.col(text), 1, 3000)
-    arabic = language(F.col(text), 0.3, 0.1) == "ar"
+    t = F.coalesce(F.col(text), F.lit(""))
+    head, lang = F.substring(t, 1, 3000), language(t, 0.3, 0.1)
+    name = F.lower(F.coalesce(F.col(file_name), F.lit(""))) if file_name else F.lit("")
     found = []
-    for i, (name, (weight, category, fr, ar)) in enumerate(TYPES.items()):
-        def share(patterns, weight=weight):
-            return reduce(lambda a, b: a + b, [head.rlike(f"(?iu){p}").cast("int") for p in patterns]) * (weight / len(patterns))
-
-        score = F.round(F.least(F.lit(1.0), F.when(arabic, share(ar)).otherwise(share(fr))), 3)
-        found.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("t"), F.lit(category).alias("c")))
-    best = F.array_max(F.array(*found))
-    known = F.col("_best.s") >= 0.1
-    out = df.withColumn("_best", best).withColumns(
+    for i, (kind, (weight, category, fr, ar)) in enumerate(TYPES.items()):
+        (a_score, a_signals), (f_score, f_signals) = _points(kind, weight, ar, head, name), _points(kind, weight, fr, head, name)
+        score, signals = F.when(lang == "ar", a_score).otherwise(f_score), F.when(lang == "ar", a_signals).otherwise(f_signals)
+        found.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(kind).alias("t"), F.lit(category).alias("c"), signals.alias("w")))
+    out = df.withColumn("_all", F.array(*found)).withColumn("_best", F.array_max(F.transform("_all", lambda x: F.struct(x["s"], x["o"], x["t"], x["c"], x["w"]))))
+    known = (F.col("_best.s") >= 0.1) & (t != "")
+    penal = hits(F.lower(F.substring(t, 1, 2000)), PENAL_WORDS) > 0
+    positive = F.transform(F.filter("_all", lambda x: x["s"] > 0), lambda x: F.struct(x["t"], F.round(x["s"], 3)))
+    none = F.map_from_entries(F.array().cast("array<struct<t:string,s:double>>"))
+    return out.withColumns(
         {
             "doc_type": F.when(known, F.col("_best.t")).otherwise("Inconnu"),
-            "type_confidence": F.when(known, F.col("_best.s")).otherwise(0.0),
-            "category": F.when(known, F.col("_best.c")).otherwise("Général"),
+            "type_confidence": F.when(known, F.round("_best.s", 3)).otherwise(0.0),
+            "category": F.when(known & penal, "Pénal").when(known, F.col("_best.c")).otherwise("Général"),
+            "doc_lang": F.when(t == "", "fr").otherwise(lang),
+            "signals": F.when(known, F.slice("_best.w", 1, 5)).when(t == "", F.array(F.lit("Texte vide"))).otherwise(F.array(F.lit("Aucun pattern trouvé"))),
+            "type_scores": F.when(known, F.map_from_entries(positive)).otherwise(none),
+        }
+    ).drop("_all", "_best")
+
+
+def detector_accuracy(cases: DataFrame) -> DataFrame:
+    """One row: n, n_right, percent of cases(text, file_name, expected)."""
+    ok = F.count_if(F.col("doc_type") == F.col("expected"))
+    n = F.count(F.lit(1))
+    return detect_type(cases, file_name="file_name").agg(n.alias("n"), ok.alias("n_right"), F.round(100 * F.try_divide(ok, n), 1).alias("percent"))
+
+
+def topology(df: DataFrame, path: str = "path", corpus: str = "corpus") -> DataFrame:
+    """Adds hierarchy, context_path, category and subcategory of a file from the folders below the corpus folder.
+
+    That is the first part of the path whose name contains ``corpus``, in any case, else the fourth part from the end.
+    """
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    n = F.size(parts)
+    first = F.array_position(F.transform(parts, lambda p: F.contains(F.lower(p), F.lit(corpus.lower()))), True)
+    pivot = F.when(first > 0, first).otherwise(F.greatest(F.lit(1), n - 3)).cast("int")
+    out = df.withColumn("hierarchy", F.when(pivot < n, F.slice(parts, pivot + 1, F.greatest(n - pivot - 1, F.lit(0)))).otherwise(F.slice(parts, 1, F.greatest(n - 1, F.lit(0)))))
+    top = F.lower(F.get("hierarchy", F.lit(0)))
+    category = F.lit(None).cast("string")
+    for name, keys in reversed(FOLDERS):
+        category = F.when(hits(top, keys) > 0, name).otherwise(category)
+    return out.withColumns(
+        {
+            "context_path": F.when(F.size("hierarchy") > 0, F.array_join("hierarchy", " > ")).otherwise("racine"),
+            "category": F.coalesce(category, F.lit("Général")),
+            "subcategory": F.coalesce(F.get("hierarchy", F.lit(1)), F.get("hierarchy", F.lit(0)), F.lit("général")),
         }
     )
-    return out.drop("_best")
+
+
+def nature(classified: Column, doc_type: Column, confidence: Column) -> Column:
+    """A model's class, or the detected type where that is unknown and the detector is sure enough."""
+    known = F.coalesce(classified, F.lit("Inconnu"))
+    return F.when((known == "Inconnu") & (confidence >= 0.6), doc_type).otherwise(known)
+
+
+def extractor_for(category: Column) -> Column:
+    """penal, contract or ruling: which extractor reads a document of a category."""
+    c = F.lower(F.trim(F.coalesce(category, F.lit(""))))
+    return F.when(c.isin("pénal", "penal", "pénale"), "penal").when(c == "civil", "contract").otherwise("ruling")
+
+
+def case_type(context_path: Column) -> Column:
+    """What a folder says about the case, or null."""
+    out = F.lit(None).cast("string")
+    for name, keys in reversed(CASE_TYPES):
+        out = F.when(hits(context_path, keys) > 0, name).otherwise(out)
+    return out

@@ -5,14 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import text as T
+from corvane.operators.classify import extractor_for, hits
+
 # Patterns and cascades.
 ARTICLE = r"(?iu)(Art(?:icle)?\.?[ ]*[0-9]+|(?:المادة|الفصل|الباب)[ ]*[0-9]+)"
-DATE = r"([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})"
+DATE = r"\b([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})\b"
 AMOUNT = r"(?iu)([0-9][0-9 ,.]*)[ ]*(?:TND|DT|دينار|dinars?)"
 NUMBER = r"(?iu)(?:Article|Art\.?|المادة|الفصل)[ ]*(?:n°|numéro|number|رقم)?[ ]*([0-9]+)"
 HEADER = r"(?iu)^((CHAPITRE|chapter|SECTION|TITRE|title)[ ]+[\p{L}\p{N}_]+|(ARTICLE|art\.?|المادة)[ ]+[0-9]+|[\x{0600}-\x{06FF}]{3,20}[ ]*$)"
 CP = r"(?iu)Art\.?[ ]*([0-9]+)[ ]*du[ ]*Code[ ]*pénal"
 CPP = r"(?iu)Art\.?[ ]*([0-9]+)[ ]*du[ ]*Code[ ]*de[ ]*procédure[ ]*pénale"
+TRIBUNAL = r"(?iu)(Tribunal[ ]+(?:de[ ]+)?(?:Première[ ]+Instance|d'Instance|de[ ]+Sfax|Tunis|Ariana))"
+PAGE = r"(?i)\bPage[ ]+[0-9]+\b"
+MONEY = r"[0-9][0-9 \t\n\r\f.,]*(?:DT|TND|دينار|dinars?)"
+MONEY_PARTS = r"(?iu)^([0-9][0-9 \t\n\r\f.,]*)(DT|TND|دينار|dinars?)$"
+PARTIES = (
+    r"(?iu)Entre[ ]*:?[ ]*([\p{L}\p{M}\p{N}_ \t\n\r\f]+?)(?:,|et|;)",
+    r"(?iu)(?:Promettant|Promettante)[ ]*:?[ ]*([^\n]+)",
+    r"(?iu)(?:Vendeur|Acheteur|Locator|Preneur)[ ]*:?[ ]*([^\n,]+)",
+    r"(?iu)الطرف[ ]+(?:الأول|الثاني)[ ]*:?[ ]*([^\n]+)",
+)
+TRANSACTIONS = {
+    "vente_immobiliere": ["vente", "بيع", "شراء", "acte authentique"],
+    "bail": ["bail", "location", "إيجار", "كراء"],
+    "societe": ["société", "capital", "أجل", "شركة", "مساهمة"],
+    "pret": ["prêt", "قرض", "emprunt", "ضمان"],
+    "travail": ["contrat de travail", "عقد عمل", "salarié"],
+}
+CITIES = ["Tunis", "Sfax", "Sousse", "Ariana", "Ezzahra", "تونس", "صفاقس", "سوسة"]
+DUTY = r"(?iu)(?:doit|s'engage|obligé| obliged|ملزم|يلتزم)[ \t\n\r\f]+([^.]+)"
+TELLING = r"[0-9]|DT|دينار|Article"
+CONTRACT_DATE = r"(?iu)([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{1,2}[ ]+(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)[ ]+[0-9]{4})"
+COC = r"(?iu)Art\.?[ ]*([0-9]+)[ ]*(?:du[ ]+)?Code[ ]+(?:des[ ]+obligations|des[ ]+contrats|civil)"
+GOODS = r"(?iu)(appartement|terrain|immeuble|voiture|véhicule|معدات|bien[ ]+immobilier)"
+DURATION = r"(?iu)([0-9]+[ ]*(?:année|an|mois|jour|سنة|شهر|يوم)s?)"
+PLAINTIFFS = (r"(?iu)(?: demandeur|مطالب|المدعي)s?[ ]*:?[ ]*([^\n,]+)", r"(?iu)(?:appelant|طاعن)s?[ ]*:?[ ]*([^\n,]+)")
+DEFENDANTS = (r"(?iu)(?:défendeur|مدعى[ ]+عليه|مطلوب[ ]+ضده)s?[ ]*:?[ ]*([^\n,]+)", r"(?iu)(?:intimé|معني|المحكوم[ ]+عليه)s?[ ]*:?[ ]*([^\n,]+)")
+FACTS = r"(?isu)(?:Faits[ ]*et[ ]*procédure|وقائع|الوقائع|الحيثيات)(.*?)(?:Droit|En[ ]*droit|القانون|المنطوق|$)"
+MEANS = r"(?isu)(?:Moyens|Means|الوسائل)(.*?)(?:Réponse|Réponses|الرد|$)"
+HOLDING = r"(?iu)(?:Dispositif|Par[ ]*ces[ ]*motifs|المنطوق|قررنا)"
+HOLDING_TEXT = r"(?isu)(?:Dispositif|Par[ ]*ces[ ]*motifs|المنطوق|قررنا)(.*)$"
+PRINCIPLES = (r"(?iu)(?:Attendu[ ]+que|Considérant[ ]+que|حيث[ ]+أن)([^.]+)", r"(?iu)(?:alors[ ]+que|بما[ ]+أن)([^.]+)")
+APPLIED = r"(Articles?|Art\.)[ ]*([0-9]+[ -]*[0-9]*)[ ]*(?:du[ ]+)?(Code[ ]+[\p{L}\p{M}\p{N}_]+|loi[ ]+[\p{L}\p{M}\p{N}_]+)"
 INCIDENTS = (
     ("Accident de la route", ("accident", "حادث", "دهس", "اصطدام")),
     ("Vol", ("vol", "سرقة", "اختلاس")),
@@ -38,8 +73,20 @@ COURTS = (
 )
 
 
-def every(text: Column, pattern: str, most: int = 10) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), 1, most)
+def found(text: Column, pattern: str, group: int = 1) -> Column:
+    """What a group of the pattern holds, match after match; none for a null text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+
+
+def every(text: Column, pattern: str, most: int | None = None) -> Column:
+    """Different matches in order of first occurrence, all of them unless ``most`` is given."""
+    out = F.array_distinct(found(text, pattern))
+    return out if most is None else F.slice(out, 1, most)
+
+
+def trimmed(items: Column, longer_than: int = 0) -> Column:
+    out = F.transform(items, lambda x: F.trim(x, F.lit(" \t\n\r\f")))
+    return F.filter(out, lambda x: F.length(x) > longer_than)
 
 
 def cascade(text: Column, steps, otherwise: str) -> Column:
@@ -56,7 +103,7 @@ def entities(df: DataFrame, text: str = "text") -> DataFrame:
     amounts = F.slice(F.regexp_extract_all(t, F.lit(AMOUNT), F.lit(1)), 1, 3)
     return df.withColumns(
         {
-            "articles": every(t, ARTICLE),
+            "articles": every(t, ARTICLE, 10),
             "dates": every(t, DATE, 5),
             "amounts": amounts,
             "article_number": F.nullif(F.regexp_extract(t, NUMBER, 1), F.lit("")),
@@ -71,6 +118,7 @@ def penal(df: DataFrame, text: str = "text") -> DataFrame:
         {
             "articles_cp": every(t, CP),
             "articles_cpp": every(t, CPP),
+            "courts": every(t, TRIBUNAL),
             "incident": cascade(t, INCIDENTS, "Non spécifié"),
             "gravity": cascade(t, GRAVITY, "Indéterminée"),
         }
@@ -87,7 +135,115 @@ def decision(df: DataFrame, text: str = "text") -> DataFrame:
         {
             "decision": cascade(F.substring(t, 1, 1000), DECISIONS, "Decision_Judiciaire"),
             "court": F.coalesce(*courts),
-            "case_number": F.nullif(F.regexp_extract(t, r"([0-9]{1,5}[/-][0-9]{4})", 1), F.lit("")),
+            "case_number": F.nullif(F.regexp_extract(t, r"([0-9]{1,5}[/\\-][0-9]{4})", 1), F.lit("")),
             "decided": F.when(head.rlike(day), date),
         }
     )
+
+
+def page_breaks(text: Column, pages: Column) -> Column:
+    """Where ``Page N`` stands; with fewer marks than pages - 1, breaks at even distances."""
+    marks = F.transform(T.matches(text, PAGE), lambda m: m["start"])
+    step = F.when(pages > 1, F.floor(F.length(text) / pages)).otherwise(F.length(text)).cast("int")
+    even = F.when(pages > 1, F.transform(F.sequence(F.lit(1), F.greatest(pages - 1, F.lit(1))), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(marks) < pages - 1, even).otherwise(marks)
+
+
+def amounts(text: Column) -> Column:
+    """(value without spaces, currency, 20 characters of context on either side) of every amount."""
+    return F.transform(
+        T.matches(text, "(?iu)" + MONEY),
+        lambda m: F.struct(
+            F.replace(F.regexp_extract(m["text"], MONEY_PARTS, 1), F.lit(" "), F.lit("")).alias("value"),
+            F.regexp_extract(m["text"], MONEY_PARTS, 2).alias("currency"),
+            F.trim(
+                F.substring(text, F.greatest(m["start"] - 19, F.lit(1)), F.length(m["text"]) + 20 + F.least(m["start"], F.lit(20))), F.lit(" \t\n\r\f")
+            ).alias("context"),
+        ),
+    )
+
+
+def transaction(text: Column) -> Column:
+    """The type with the most keywords, the one declared first among equals."""
+    low = F.lower(text)
+    scored = [F.struct(hits(low, keys).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("t")) for i, (name, keys) in enumerate(TRANSACTIONS.items())]
+    best = F.array_max(F.array(*scored))
+    return F.when(best["n"] > 0, best["t"]).otherwise("non_identifie")
+
+
+def contract(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds what a contract holds: amounts, parties, dates, articles_coc, transaction, city, duties, goods, durations, snippets."""
+    t = T.repair_numbers(F.coalesce(F.col(text), F.lit("")))
+    parties = F.array_distinct(F.concat(*(trimmed(found(t, p), 3) for p in PARTIES)))
+    city = F.coalesce(*(F.when(F.contains(t, F.lit(c)), F.lit(c)) for c in CITIES))
+    return df.withColumns(
+        {
+            "amounts": amounts(t),
+            "parties": F.slice(parties, 1, 10),
+            "dates": every(t, CONTRACT_DATE),
+            "articles_coc": every(t, COC),
+            "transaction": transaction(t),
+            "city": city,
+            "duties": F.slice(trimmed(found(t, DUTY), -1), 1, 5),
+            "goods": every(t, GOODS),
+            "durations": every(t, DURATION),
+            "snippets": F.slice(F.filter(F.split(t, "\n\n"), lambda p: p.rlike(TELLING)), 1, 3),
+        }
+    )
+
+
+def section(text: Column, pattern: str) -> Column:
+    """The first match's text, at most 2000 characters and dots; null without a match."""
+    body = F.trim(F.regexp_extract(text, pattern, 1), F.lit(" \t\n\r\f"))
+    cut = F.when(F.length(body) > 2000, F.concat(F.substring(body, 1, 2000), F.lit("..."))).otherwise(body)
+    return F.when(text.rlike(pattern), cut)
+
+
+def ruling(df: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
+    """Adds plaintiffs, defendants, facts, means, holding, principles and applied (reference, number, code) to ``decision``.
+
+    strict: the holding is empty wherever its heading occurs; otherwise it is what follows the heading.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    whole, number, code = (found(t, "(?iu)" + APPLIED, g) for g in (0, 2, 3))
+    applied = F.transform(F.arrays_zip(whole.alias("r"), number.alias("n"), code.alias("c")), lambda x: F.struct(x["r"].alias("reference"), x["n"].alias("number"), x["c"].alias("code")))
+    principles = F.concat(*(F.transform(F.filter(found(t, p), lambda x: F.length(x) > 20), lambda x: F.trim(x, F.lit(" \t\n\r\f"))) for p in PRINCIPLES))
+    return decision(df, text).withColumns(
+        {
+            "plaintiffs": F.concat(*(trimmed(found(t, p), -1) for p in PLAINTIFFS)),
+            "defendants": F.concat(*(trimmed(found(t, p), -1) for p in DEFENDANTS)),
+            "facts": section(t, FACTS),
+            "means": section(t, MEANS),
+            "holding": F.when(t.rlike(HOLDING), F.lit("")) if strict else section(t, HOLDING_TEXT),
+            "principles": F.slice(principles, 1, 10),
+            "applied": applied,
+        }
+    )
+
+
+def valid_contract(df: DataFrame) -> Column:
+    """Two parties or an amount."""
+    return (F.size("parties") >= 2) | (F.size("amounts") > 0)
+
+
+def valid_ruling(df: DataFrame) -> Column:
+    """A court or a section with text."""
+    return F.col("court").isNotNull() | F.greatest(*(F.length(F.coalesce(c, F.lit(""))) for c in ("facts", "means", "holding"))).cast("boolean")
+
+
+def valid_penal(df: DataFrame) -> Column:
+    """An article or a known gravity."""
+    return (F.size("articles_cp") > 0) | (F.size("articles_cpp") > 0) | (F.col("gravity") != "Indéterminée")
+
+
+def dispatch(df: DataFrame, category: str = "category", text: str = "text") -> DataFrame:
+    """(all columns of df, extractor, valid, entities as JSON): each document by the extractor of its category."""
+    rows = df.withColumn("extractor", extractor_for(F.col(category)))
+    out = None
+    for name, read, valid in (("penal", penal, valid_penal), ("contract", contract, valid_contract), ("ruling", ruling, valid_ruling)):
+        some = rows.where(F.col("extractor") == name)
+        full = read(some, text)
+        added = [c for c in full.columns if c not in rows.columns]
+        part = full.select(*rows.columns, valid(full).alias("valid"), F.to_json(F.struct(*added)).alias("entities"))
+        out = part if out is None else out.unionByName(part)
+    return out

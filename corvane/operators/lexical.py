@@ -1,54 +1,208 @@
-"""BM25 over postings: (term, doc_id, tf), document lengths and term weights as tables."""
+"""BM25 in two passes over the texts: document frequencies first, then only the terms that are asked for.
+
+No text and no posting of a term that nobody asks for is ever shuffled.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.frames import spread
 from corvane.functions.text import search_tokens
 from corvane.settings import SETTINGS
 
+#: Rows of (query, term) and bytes of their matrix that go to every task at most; a larger query set is joined by a shuffle.
+BROADCAST_ROWS, MATRIX_BYTES = 200_000, 64 << 20
+
+
+def once(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) with distinct keys: of rows that share one the smallest text counts. Rows without key are left out.
+
+    Only keys are shuffled, unless some do repeat.
+    """
+    rows = docs.select(key, text).where(F.col(key).isNotNull())
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    if many.isEmpty():
+        return rows
+    first = rows.join(many, key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
+    return rows.join(many, key, "left_anti").unionByName(first)
+
+
+def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, tokens), one row for each distinct key."""
+    rows = spread(once(docs, key, text)).select(key, F.coalesce(search_tokens(text), F.array().cast("array<string>")).alias("tokens"))
+    return rows.select(key, F.size("tokens").cast("long").alias("dl"), "tokens")
+
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each term of each document; repeated keys count once (the first text in order)."""
-    once = docs.groupBy(key).agg(F.min(text).alias(text)) if docs.isStreaming else docs
-    return once.select(F.col(key), F.explode(search_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, dl, term, tf): the whole index, for one that is kept (``files.write_postings``)."""
+    return tokenised(docs, key, text).select(key, "dl", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key), F.size(search_tokens(text)).cast("long").alias("dl"))
+    return tokenised(docs, key, text).select(key, "dl")
 
 
-def term_weights(post: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, idf); a negative idf becomes epsilon times the mean idf before replacement."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_weights(tokens: DataFrame, n_docs: int) -> DataFrame:
+    """(term, df, idf) of ``tokenised``; a negative idf becomes epsilon times the mean idf before replacement."""
+    # outer: an inferred filter on the number of tokens would tokenise every text once more, at the scan
+    terms = tokens.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = F.when(F.col("raw") < 0, SETTINGS.epsilon * F.col("mean")).otherwise(F.col("raw"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
-def search(docs: DataFrame, queries: DataFrame, top: int, qkey: str = "item_id") -> DataFrame:
+def _figures(rows: DataFrame, asked: DataFrame) -> tuple[int, float, dict[str, float]]:
+    """Documents, mean length and idf of the asked terms, from one pass over the texts.
+
+    An empty term stands for the document itself. What comes to the driver are the asked terms and how many terms
+    have each document frequency.
+    """
+    marks = F.array_append(F.array_distinct("tokens"), F.lit(""))
+    each = rows.select(F.explode_outer(marks).alias("term"), "dl")
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(0)).alias("m"))
+    some = df.join(F.broadcast(asked), "term", "left_semi").unionByName(df.where("term = ''"))
+    often = df.where("term <> ''").groupBy("df").agg(F.count(F.lit(1)).alias("m")).select(F.lit(None).cast("string").alias("term"), "df", "m")
+    found = some.unionByName(often).collect()
+    whole = next((r for r in found if r["term"] == ""), None)
+    if whole is None:
+        return 0, 1.0, {}
+    n = whole["df"]
+
+    def idf(k: int) -> float:
+        return math.log(n - k + 0.5) - math.log(k + 0.5)
+
+    spread = [(r["df"], r["m"]) for r in found if r["term"] is None]
+    mean = sum(idf(k) * m for k, m in spread) / max(1, sum(m for _, m in spread))
+    weights = {r["term"]: idf(r["df"]) if idf(r["df"]) >= 0 else SETTINGS.epsilon * mean for r in found if r["term"]}
+    return n, whole["m"] / n, weights
+
+
+def _score(names: list[str], weights: np.ndarray, asks: np.ndarray, avgdl: float, top: int, most: float):
+    """Scores of every query for blocks of documents as products of matrices; a task returns its best rows and the spread of each query.
+
+    weights: (terms, queries); asks: where a query has a term; most: below this distance ranks may change by rounding.
+    """
+    k1, b = SETTINGS.k1, SETTINGS.b
+    terms, queries = weights.shape
+    slack = most * np.abs(weights).sum(axis=0) * (k1 + 1)
+
+    def cut(parts):
+        q, d, r = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((-r, q))
+        q, d, r = q[order], d[order], r[order]
+        first = np.searchsorted(q, np.arange(queries))
+        many = np.searchsorted(q, np.arange(queries), side="right") - first
+        last = np.where(many >= top, r[np.minimum(first + top - 1, len(r) - 1)], -np.inf)
+        kept = r >= (last - slack)[q]
+        return q[kept], d[kept], r[kept]
+
+    def run(batches):
+        dictionary = pa.array(names, pa.string())
+        low, high, met = np.full(queries, np.inf), np.full(queries, -np.inf), np.zeros(queries, dtype=np.int64)
+        best: list = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(2)
+                at_term = pc.index_in(lists.flatten(), value_set=dictionary)
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                known = at_term.is_valid().to_numpy(zero_copy_only=False)
+                cell = row[known] * terms + at_term.drop_null().to_numpy()
+                cell, tf = np.unique(cell, return_counts=True)
+                dl = part.column(1).to_numpy()[cell // terms]
+                block = np.zeros(len(lists) * terms)
+                block[cell] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                block = block.reshape(-1, terms)
+                raw, hit = block @ weights, (block > 0).astype(np.float32) @ asks > 0
+                met += hit.sum(axis=0)
+                low = np.minimum(low, np.where(hit, raw, np.inf).min(axis=0))
+                high = np.maximum(high, np.where(hit, raw, -np.inf).max(axis=0))
+                i, j = np.nonzero(hit & (raw > 0))
+                best.append((j, part.column(0).to_numpy()[i], raw[i, j]))
+                if sum(len(x[0]) for x in best) > 1 << 20:
+                    best = [cut(best)]
+        q, d, r = cut(best) if best and sum(len(x[0]) for x in best) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        some = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[q, some], pa.int32()),
+                pa.concat_arrays([pa.array(d, pa.int64()), pa.nulls(len(some), pa.int64())]),
+                pa.array(np.r_[r, low[some]]),
+                pa.array(np.r_[np.zeros(len(q)), high[some]]),
+                pa.array(np.r_[np.zeros(len(q), dtype=np.int64), met[some]], pa.int64()),
+            ],
+            names=["_q", "doc_id", "raw", "high", "met"],
+        )
+
+    return run
+
+
+def search(docs: DataFrame, queries: DataFrame, top: int, qkey: str | list[str] = "item_id") -> DataFrame:
     """(qkey, doc_id, raw, score, rnk) for all queries at once.
 
     score: min-max over all documents of the corpus, those without a match counting as zero; a query whose
-    scores are all equal has no result. Ranked by rounded score, then doc_id.
+    scores are all equal has no result. Ranked by rounded score, then doc_id. Repeated documents count once.
+
+    A query set whose terms make a matrix of up to ``MATRIX_BYTES`` is multiplied with blocks of documents, and each
+    task returns its best rows; a larger one is joined with the documents' terms.
     """
-    post = postings(docs).persist()
-    dl = lengths(docs)
-    sums = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    if not sums["n"]:
-        return queries.select(qkey, F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("raw"), F.lit(0.0).alias("score"), F.lit(0).alias("rnk")).limit(0)
-    terms = queries.select(qkey, F.explode(search_tokens("text")).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    spark = docs.sparkSession
+    q = [qkey] if isinstance(qkey, str) else qkey
+    rows = tokenised(docs)
+    terms = queries.select(*q, F.explode_outer(search_tokens("text")).alias("term")).where("term IS NOT NULL").groupBy(*q, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    found = terms.limit(BROADCAST_ROWS + 1).collect()
+    names = sorted({r["term"] for r in found})
+    keys = sorted({tuple(r[k] for k in q) for r in found})
+    if len(found) > BROADCAST_ROWS or len(names) * len(keys) * 8 > MATRIX_BYTES:
+        return _joined(rows, terms, top, q)
+    number, place = {k: i for i, k in enumerate(keys)}, {t: i for i, t in enumerate(names)}
+    asked = spark.createDataFrame([(t,) for t in names], "term string")
+    n, avgdl, idf = _figures(rows, asked)
+    weights = np.zeros((len(names), len(keys)))
+    asks = np.zeros(weights.shape, dtype=np.float32)
+    for r in found:
+        at = place[r["term"]], number[tuple(r[k] for k in q)]
+        weights[at] = r["qtf"] * idf.get(r["term"], 0.0)
+        asks[at] = 1
+    shared = _score(names, weights, asks, avgdl or 1.0, top, 1e-6)
+    ids = spark.createDataFrame([(*k, i) for k, i in number.items()], ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in q) + ", _q int")
+    scored = rows.select(F.col("doc_id").cast("long"), "dl", "tokens").mapInArrow(shared, "_q int, doc_id long, raw double, high double, met long")
+    w = Window.partitionBy("_q")
+    own = F.col("doc_id").isNull()  # the rows that tell a query's spread
+    low = F.min(F.when(own, F.col("raw"))).over(w)
+    low = F.when(F.sum("met").over(w) < n, F.least(F.lit(0.0), low)).otherwise(low)
+    spread = scored.select("_q", "doc_id", "raw", low.alias("low"), F.max(F.when(own, F.col("high"))).over(w).alias("high"))
+    kept = _ranked(spread.where("doc_id IS NOT NULL"), ["_q"], top)
+    return kept.join(F.broadcast(ids), "_q").select(*q, "doc_id", F.round("raw", 6).alias("raw"), "score", "rnk")
+
+
+def _ranked(spread: DataFrame, q: list[str], top: int) -> DataFrame:
+    kept = spread.where("raw > 0 AND high > low").withColumn("score", F.round((F.col("raw") - F.col("low")) / (F.col("high") - F.col("low")), 6))
+    rank = F.row_number().over(Window.partitionBy(*q).orderBy(F.desc("score"), "doc_id"))
+    return kept.withColumn("rnk", rank).where(F.col("rnk") <= top)
+
+
+def _joined(rows: DataFrame, terms: DataFrame, top: int, q: list[str]) -> DataFrame:
+    """The same for a query set of any size: an equi-join of the queries' terms with the documents' terms."""
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    asked = terms.select("term").distinct()
+    each = rows.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).join(asked, "term", "left_semi")
+    post = each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weights = terms.join(term_weights(rows, sums["n"]), "term").select(*q, "term", (F.col("qtf") * F.col("idf")).alias("w"))
     k1, b = SETTINGS.k1, SETTINGS.b
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / sums["avgdl"]))
-    scored = (
-        terms.join(term_weights(post, sums["n"]), "term").join(post, "term").join(dl, "doc_id").groupBy(qkey, "doc_id").agg(F.sum(weight).alias("raw"))
-    )
-    w = Window.partitionBy(qkey)
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(sums["avgdl"] or 1.0)))
+    scored = post.join(weights, "term").groupBy(*q, "doc_id").agg(F.sum(part).alias("raw"))
+    w = Window.partitionBy(*q)
     low = F.when(F.count(F.lit(1)).over(w) < sums["n"], F.least(F.lit(0.0), F.min("raw").over(w))).otherwise(F.min("raw").over(w))
-    spread = scored.select(qkey, "doc_id", "raw", low.alias("low"), F.max("raw").over(w).alias("high"))
-    kept = spread.where("raw > 0 AND high > low").withColumn("score", F.round((F.col("raw") - F.col("low")) / (F.col("high") - F.col("low")), 6))
-    rank = F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), "doc_id"))
-    return kept.withColumn("rnk", rank).where(F.col("rnk") <= top).select(qkey, "doc_id", F.round("raw", 6).alias("raw"), "score", "rnk")
+    spread = scored.select(*q, "doc_id", "raw", low.alias("low"), F.max("raw").over(w).alias("high"))
+    return _ranked(spread, q, top).select(*q, "doc_id", F.round("raw", 6).alias("raw"), "score", "rnk")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,18 +10,51 @@ from corvane.operators.vector import search
 from corvane.settings import SETTINGS
 
 
-def lookup(entries: DataFrame, questions: DataFrame, threshold: float = SETTINGS.cache_hit) -> DataFrame:
-    """(query_id, vec_id, sim, hit): the best entry other than the question itself."""
-    return search(entries, questions, 1, keep_self=False).select("query_id", "vec_id", "sim", (F.col("sim") >= threshold).alias("hit"))
+def lookup(entries: DataFrame, questions: DataFrame, threshold: float = SETTINGS.cache_hit, now=None, ttl: int | None = None, keep_self: bool = False) -> DataFrame:
+    """(query_id, vec_id, sim, hit): the best entry, other than the question itself unless ``keep_self``.
+
+    With now and ttl only entries (with ts) that have not expired are looked at.
+    """
+    alive = entries if now is None else live(entries, now, ttl)
+    return search(alive, questions, 1, keep_self).select("query_id", "vec_id", "sim", (F.col("sim") >= threshold).alias("hit"))
+
+
+def counted(entries: DataFrame, found: DataFrame, now) -> DataFrame:
+    """entries with hits and accessed_at as they are after the lookups ``found``."""
+    used = found.where("hit").groupBy("vec_id").agg(F.count(F.lit(1)).alias("_n"))
+    out = entries.join(used, "vec_id", "left")
+    return out.withColumns({"hits": F.col("hits") + F.coalesce("_n", F.lit(0)), "accessed_at": F.when(F.col("_n") > 0, F.lit(now)).otherwise(F.col("accessed_at"))}).drop("_n")
 
 
 def stats(found: DataFrame) -> DataFrame:
+    """One row: lookups, hits, misses, hit_rate to four places and hit_percent to two."""
     n = F.count(F.lit(1))
-    return found.agg(n.alias("lookups"), F.count_if("hit").alias("hits"), F.round(F.try_divide(F.count_if("hit"), n), 4).alias("hit_rate"))
+    share = F.coalesce(F.try_divide(F.count_if("hit"), n), F.lit(0.0))
+    return found.agg(n.alias("lookups"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(share, 4).alias("hit_rate"), F.round(100 * share, 2).alias("hit_percent"))
+
 
+def live(entries: DataFrame, now, ttl: int | Column) -> DataFrame:
+    secs = F.lit(ttl) if isinstance(ttl, int) else ttl
+    return entries.where(F.col("ts") + F.make_dt_interval(secs=secs) >= F.lit(now))
 
-def live(entries: DataFrame, now, ttl: int) -> DataFrame:
-    return entries.where(F.col("ts") + F.make_dt_interval(secs=F.lit(ttl)) >= F.lit(now))
+
+def put(entries: DataFrame, new: DataFrame, same: float = SETTINGS.cache_same, least: int = 20) -> DataFrame:
+    """entries(vec_id, embedding, answer, ts) after new ones (of distinct ids) came.
+
+    Answers of under ``least`` characters are ignored. A new entry whose question is nearer than ``same`` to an old one does
+    not come in: its answer and time go to the oldest such entry (smallest vec_id), the latest of several winning.
+    New entries are compared with the old ones, not with each other.
+    """
+    usable = new.where(F.length(F.trim("answer")) >= least)
+    near = search(entries, usable, SETTINGS.retrieve_k).where(F.col("sim") > same)
+    first = near.groupBy("query_id").agg(F.min("vec_id").alias("vec_id"))
+    told = first.join(usable.select(F.col("vec_id").alias("query_id"), "answer", "ts"), "query_id")
+    last = told.groupBy("vec_id").agg(F.max(F.struct("ts", "query_id", "answer")).alias("_new"))
+    old = entries.join(last, "vec_id", "left").select(
+        "vec_id", "embedding", F.coalesce("_new.answer", "answer").alias("answer"), F.coalesce("_new.ts", "ts").alias("ts")
+    )
+    fresh = usable.join(first.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    return old.unionByName(fresh.select("vec_id", "embedding", "answer", "ts"))
 
 
 def evict(entries: DataFrame, most: int) -> DataFrame:
@@ -30,9 +63,21 @@ def evict(entries: DataFrame, most: int) -> DataFrame:
 
 
 def invalidate(entries: DataFrame, category: str) -> DataFrame:
-    return entries.where(~F.contains(F.lower("question"), F.lit(category.lower())))
+    """entries without those whose question, or category_hint if there is one, holds the category."""
+    key = F.lit(category.lower())
+    gone = F.contains(F.lower("question"), key)
+    if "category_hint" in entries.columns:
+        gone = gone | F.contains(F.lower(F.coalesce("category_hint", F.lit(""))), key)
+    return entries.where(~F.coalesce(gone, F.lit(False)))
 
 
 def newest(entries: DataFrame, key: str, ts: str) -> DataFrame:
-    """Upsert: the last row of each key stays."""
-    return entries.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts)))).where("_k = 1").drop("_k")
+    """Upsert: the last row of each key stays; of rows with one time the one that is last in order of a hash of all columns."""
+    every = F.xxhash64(*(F.col(f"`{c}`") for c in entries.columns))
+    return entries.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), every.desc()))).where("_k = 1").drop("_k")
+
+
+def distinct_vectors(texts: DataFrame, now, ttl: int, most: int) -> DataFrame:
+    """(md5, ts): what an encoder's cache of ``most`` texts holds: those encoded last, none older than ttl."""
+    rows = texts.select(F.md5(F.col("text").cast("binary")).alias("md5"), "ts")
+    return live(rows.groupBy("md5").agg(F.max("ts").alias("ts")), now, ttl).orderBy(F.desc("ts"), "md5").limit(most)

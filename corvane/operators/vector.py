@@ -1,11 +1,16 @@
-"""Exact vector search of a query set, and scores from distances."""
+"""Exact vector search of a query set, scores from distances, and vectors of articles."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Queries that are sent to every task as one matrix at most; a larger set goes as a table, in blocks of this many.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -16,14 +21,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int, keep_self: bool = True) -> DataFrame:
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(size > 0, size, 1.0)
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, top: int):
+    """The best of every Arrow batch for each query, and all that tie with the last of them."""
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(own), 4096):
+                sims = np.round(matrix @ _unit(_matrix(batch.column(1).slice(at, 4096), matrix.shape[1])).T, 6)
+                k = min(top, sims.shape[1])
+                last = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+                i, j = np.nonzero(sims >= last[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[at + j]), pa.array(sims[i, j])], names=["query_id", "vec_id", "sim"])
+
+    return run
+
+
+def search(vectors: DataFrame, queries: DataFrame, top: int, keep_self: bool = True, same: str | None = None) -> DataFrame:
     """(query_id, vec_id, sim, rnk): every query of the stated set against every vector, the nearest ``top`` kept.
 
-    The query set is the small side of the nested loop; ranks are cut before rows are shuffled.
+    A set of up to ``BLOCK`` queries is one matrix that every batch of vectors is multiplied with; a larger one is
+    joined block by block. Ties go to the smaller vec_id. Null vectors take no part, zero vectors have
+    similarity 0; all vectors have one length. ``same`` names a column that a query and its results must share.
     """
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    pairs = v.crossJoin(q).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("sim"))
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    asked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    few = asked.select("vec_id", F.col("embedding").cast("array<double>")).limit(BLOCK + 1).toArrow() if same is None else None
+    if few is not None and few.num_rows <= BLOCK:
+        if not few.num_rows:
+            return rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("sim"), F.lit(1).alias("rnk")).limit(0)
+        ids = few.column(0).to_numpy()
+        matrix = _unit(_matrix(few.column(1).combine_chunks(), len(few.column(1)[0])))
+        v = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+        pairs = v.mapInArrow(_nearest(ids, matrix, top if keep_self else top + 1), "query_id long, vec_id long, sim double").select("query_id", "vec_id", F.round("sim", 6).alias("sim"))
+    else:
+        keys = [] if same is None else [same]
+        v = rows.select("vec_id", *keys, F.col("embedding").cast("array<double>").alias("v"))
+        q = asked.select(F.col("vec_id").alias("query_id"), *keys, F.col("embedding").cast("array<double>").alias("q"))
+        met = v.join(q, same) if same else v.crossJoin(q)
+        pairs = met.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("sim"))
     if not keep_self:
         pairs = pairs.where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
@@ -36,3 +81,18 @@ def min_max(found: DataFrame, value: str = "sim", key: str = "query_id") -> Data
     low, high = F.min(value).over(w), F.max(value).over(w)
     span = F.when(high == low, 1.0).otherwise(high - low)
     return found.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - low) / span)))
+
+
+def article_index(chunks: DataFrame) -> DataFrame:
+    """(article_id, doc_uid, title, section, n_chunks, chunk_ids) of chunks(article_id, doc_uid, chunk_id, index, section).
+
+    Title and section are the first chunk's section. The lists of ids are an article's, not the corpus'.
+    """
+    first = F.min_by("section", F.struct("index", "chunk_id"))
+    return chunks.groupBy("article_id").agg(
+        F.min("doc_uid").alias("doc_uid"),
+        first.alias("title"),
+        first.alias("section"),
+        F.countDistinct("chunk_id").alias("n_chunks"),
+        F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"),
+    )

@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, context, evaluation, extract, graph, lexical, relational, retrieval, semcache, vector
+from corvane.operators import chunking, classify, evaluation, extract, graph, lexical, relational, retrieval, semcache, vector
+from corvane.plans.base import ARA, QUERIES, SQL, TOK, WRD, query
+from corvane.plans.base import has as _has
+from corvane.plans.base import quote as _quote
+from corvane.plans.base import rx as _rx
+from corvane.plans.base import table as _t
+from corvane.plans import samples, search
+from corvane.plans.search import BM25, KNN, POST
+from corvane.plans.samples import QUESTIONS as SAMPLES
 from corvane.streaming import events as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-TOK = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), lambda x: length(x) > 1)"
-WRD = r"list_filter(string_split_regex({0}, '[ \t\n\r\f]+'), lambda x: x <> '')"
-ARA = r"(len(regexp_extract_all({0}, '[\x{{0600}}-\x{{06FF}}]')) / greatest(length({0}), 1))"
+__all__ = ["QUERIES", "SQL"]
 
 
 @query(r"SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), '[^\p{L}\p{M}\p{N}_ ]', ' ', 'g'), ' +', ' ', 'g')))) AS norm, md5(lower(trim(regexp_replace(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), '[^\p{L}\p{M}\p{N}_ ]', ' ', 'g')))) AS loose FROM documents")
@@ -61,16 +46,16 @@ def lang_ratio(spark, d):
 
 @query(
     r"""SELECT doc_id, length(trim(text)) < 10 OR (len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) + len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}]'))) / greatest(length(text), 1) > 0.05
-    OR len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}]')) > 50 AS garbage, trim(text) = '' OR len(regexp_extract_all(text, '\(cid:[0-9]+\)')) / greatest(len(list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '')), 1) > 0.3 AS cid,
-    md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\(cid:[0-9]+\)', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS clean FROM documents"""
+    OR len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}]')) > 50 AS garbage, text = '' OR len(regexp_extract_all(text, '(?i)\(cid:[0-9]+\)')) / nullif(len(list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '')), 0) > 0.3 IS TRUE AS cid,
+    md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\(cid:[0-9]+\)', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS clean FROM documents"""
 )
 def garbage_flag(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.garbage("text").alias("garbage"), T.cid_garbage("text").alias("cid"), F.md5(T.clean_cid("text").cast("binary")).alias("clean"))
 
 
-@query("SELECT doc_id, substr(sha256(substr(text, 1, 5000) || ':' || source), 1, 16) AS uid, substr(md5(text), 1, 8) AS short FROM documents")
+@query("SELECT doc_id, substr(sha256(substr(text, 1, 5000) || source), 1, 16) AS uid, substr(md5(text), 1, 8) AS short FROM documents")
 def doc_uid(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.short_sha(F.substring("text", 1, 5000), "source").alias("uid"), F.substring(F.md5(F.col("text").cast("binary")), 1, 8).alias("short"))
+    return _t(spark, d, "documents").select("doc_id", T.document_uid("text", "source").alias("uid"), F.substring(F.md5(F.col("text").cast("binary")), 1, 8).alias("short"))
 
 
 @query(r"SELECT doc_id, CAST(len(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1))) AS INT) AS sentences, CAST(len(string_split_regex(text, '\n[ \t\n\r\f]*\n')) AS INT) AS paragraphs FROM documents")
@@ -99,137 +84,19 @@ def fixed_window_chunks(spark, d):
 
 @query()
 def paragraph_chunks(spark, d):
-    return chunking.paragraphs(_t(spark, d, "documents"))
-
-
-POST = f"""tok AS (SELECT doc_id, unnest({TOK}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
-dl AS (SELECT doc_id, len({TOK}) AS dl FROM documents), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf, s GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
-
-
-@query(f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
-def term_stats(spark, d):
-    docs = _t(spark, d, "documents")
-    return lexical.term_weights(lexical.postings(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
-
-
-@query(f"SELECT doc_id, CAST(len({TOK}) AS BIGINT) AS dl FROM documents")
-def doc_lengths(spark, d):
-    return lexical.lengths(_t(spark, d, "documents"))
-
-
-BM25 = f"""{POST}, qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) GROUP BY 1, 2),
-sc AS (SELECT item_id, tf.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), s GROUP BY 1, 2),
-mm AS (SELECT *, CASE WHEN count(*) OVER w < (SELECT n FROM s) THEN least(0, min(raw) OVER w) ELSE min(raw) OVER w END AS lo, max(raw) OVER w AS hi FROM sc WINDOW w AS (PARTITION BY item_id)),
-un AS (SELECT item_id, doc_id, raw, round((raw - lo) / (hi - lo), 6) AS score FROM mm WHERE raw > 0 AND hi > lo),
-bm AS (SELECT item_id, doc_id, round(raw, 6) AS raw, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM un)"""
-
-
-@query(f"WITH {BM25} SELECT item_id, doc_id, raw, score, CAST(rnk AS INT) AS rnk FROM bm WHERE rnk <= 10")
-def bm25_topk(spark, d):
-    return lexical.search(_t(spark, d, "documents"), _t(spark, d, "benchmark"), 10)
-
-
-KNN = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
-nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rnk FROM pairs)"""
-
-
-@query(f"WITH {KNN} SELECT query_id, vec_id, sim, CAST(rnk AS INT) AS rnk, round(greatest(0, least(1, (sim - min(sim) OVER w) / CASE WHEN max(sim) OVER w = min(sim) OVER w THEN 1 ELSE max(sim) OVER w - min(sim) OVER w END)), 6) AS score FROM nn WHERE rnk <= 10 WINDOW w AS (PARTITION BY query_id)")
-def knn_cosine(spark, d):
-    e = _t(spark, d, "embeddings")
-    found = vector.min_max(vector.search(e, e.where("vec_id % 50 = 0"), 10))
-    return found.select("query_id", "vec_id", "sim", "rnk", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {KNN}, vote AS (SELECT query_id, label, count(*) AS n, sum(sim) AS s FROM nn JOIN embeddings USING (vec_id) WHERE rnk BETWEEN 2 AND 6 GROUP BY 1, 2) SELECT query_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS k FROM vote) WHERE k = 1")
-def label_vote(spark, d):
-    e = _t(spark, d, "embeddings")
-    near = vector.search(e, e.where("vec_id % 50 = 0"), 6).where("rnk >= 2").join(e.select("vec_id", "label"), "vec_id")
-    votes = near.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "label"))
-    return votes.withColumn("k", k).where("k = 1").drop("k")
-
-
-HYB = f"""{BM25}, dq AS (SELECT b.item_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
-dp AS (SELECT item_id, vec_id AS doc_id, round(list_cosine_similarity(dq.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS sim FROM dq, embeddings v),
-dr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, doc_id) AS k FROM dp),
-dn AS (SELECT item_id, doc_id, (sim - min(sim) OVER w) / CASE WHEN max(sim) OVER w = min(sim) OVER w THEN 1 ELSE max(sim) OVER w - min(sim) OVER w END AS d FROM dr WHERE k <= 50 WINDOW w AS (PARTITION BY item_id)),
-fu AS (SELECT item_id, doc_id, coalesce(score, 0) AS b, coalesce(d, 0) AS d FROM (SELECT * FROM bm WHERE rnk <= 50) x FULL JOIN dn USING (item_id, doc_id)),
-sc2 AS (SELECT item_id, doc_id, (b - min(b) OVER w) / CASE WHEN max(b) OVER w = min(b) OVER w THEN 1 ELSE max(b) OVER w - min(b) OVER w END AS b,
- (d - min(d) OVER w) / CASE WHEN max(d) OVER w = min(d) OVER w THEN 1 ELSE max(d) OVER w - min(d) OVER w END AS d FROM fu WINDOW w AS (PARTITION BY item_id)),
-hy AS (SELECT item_id AS query_id, doc_id AS chunk_id, b, d, round(greatest(0, least(1, 0.5 * pow(b, 1.2) + 0.5 * pow(d, 1.1))), 6) AS hybrid, 'art_' || (doc_id // 4) AS article_id FROM sc2),
-ar AS (SELECT query_id, article_id, count(*) AS n, round((0.6 * avg(hybrid) + 0.4 * max(hybrid) + 0.2 * (1 - stddev_pop(hybrid))) / ln(1 + count(*)), 6) AS score FROM hy GROUP BY 1, 2),
-ta AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rnk FROM ar QUALIFY rnk <= 20),
-ca AS (SELECT hy.*, text FROM hy JOIN ta USING (query_id, article_id) LEFT JOIN documents ON doc_id = chunk_id),
-cd AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(text, '[EMPTY_CHUNK]'), article_id ORDER BY hybrid DESC, chunk_id) AS k FROM ca),
-ck AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, chunk_id) AS rnk FROM cd WHERE k = 1 AND hybrid > 0.2),
-fi AS (SELECT * FROM (SELECT *, avg(hybrid) OVER (PARTITION BY query_id) AS m FROM ck WHERE rnk <= 12) WHERE hybrid >= greatest(0.3, 0.5 * m))"""
-
-
-def _fused(spark, d):
-    docs, items, e = _t(spark, d, "documents"), _t(spark, d, "benchmark"), _t(spark, d, "embeddings")
-    lex = lexical.search(docs, items, 50).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("score").alias("b"))
-    asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id")
-    near = vector.min_max(vector.search(e, asked, 50)).select("query_id", F.col("vec_id").alias("chunk_id"), F.col("score").alias("d"))
-    return retrieval.fuse(lex, near).withColumn("article_id", F.concat(F.lit("art_"), (F.col("chunk_id") / 4).cast("long")))
-
-
-def _final(spark, d):
-    fused = _fused(spark, d)
-    best = retrieval.top_articles(retrieval.article_scores(fused))
-    texts = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.final_ranks(retrieval.candidates(fused, best, texts))
-
-
-@query(f"WITH {HYB} SELECT query_id, chunk_id, hybrid FROM hy")
-def hybrid_score(spark, d):
-    return _fused(spark, d).select("query_id", "chunk_id", "hybrid")
-
-
-@query(f"WITH {HYB} SELECT query_id, article_id, n, score, CAST(rnk AS INT) AS rnk FROM ta")
-def top_articles(spark, d):
-    return retrieval.top_articles(retrieval.article_scores(_fused(spark, d)))
-
-
-@query(f"WITH {HYB} SELECT query_id, chunk_id, article_id, hybrid, CAST(rnk AS INT) AS rnk FROM fi")
-def hybrid_retrieval(spark, d):
-    return _final(spark, d).select("query_id", "chunk_id", "article_id", "hybrid", "rnk")
-
-
-@query(f"WITH {HYB}, cf AS (SELECT query_id, count(*) AS n, round(0.5 * max(CASE WHEN rnk <= 1 THEN hybrid END) + 0.3 * avg(CASE WHEN rnk <= 3 THEN hybrid END) + 0.2 * (1 - stddev_pop(CASE WHEN rnk <= 5 THEN hybrid END)), 6) AS confidence FROM fi GROUP BY 1) SELECT *, n >= 2 AND confidence >= 0.45 AS answered FROM cf")
-def confidence_gate(spark, d):
-    return retrieval.confidence(_final(spark, d))
-
-
-@query(
-    f"""WITH {HYB}, pt AS (SELECT query_id, rnk, '**Source:** ' || article_id || chr(10) || substr(text, 1, 600) AS part, row_number() OVER (PARTITION BY query_id, article_id ORDER BY rnk) AS nth FROM fi),
-    rs AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY query_id ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM pt WHERE nth <= 3)
-    SELECT query_id, count(*) AS n_chunks, CAST(sum(length(part)) + 2 * (count(*) - 1) AS BIGINT) AS chars, md5(string_agg(part, chr(10) || chr(10) ORDER BY rnk)) AS context FROM rs WHERE bf <= 2100 GROUP BY 1"""
-)
-def context_pack(spark, d):
-    packed = context.pack(_final(spark, d).select("query_id", "article_id", "rnk", "text"), budget=3000)
-    return packed.withColumn("context", F.md5(F.col("context").cast("binary")))
+    return chunking.paragraphs(_t(spark, d, "documents")).drop("text", "normalized_text")
 
 
 @query(
     r"""WITH s AS (SELECT source, doc_id, unnest(p) AS x, unnest(generate_series(1, len(p))) AS pos FROM (SELECT source, doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)),
     k AS (SELECT *, row_number() OVER (PARTITION BY source, regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}_]', '', 'g') ORDER BY doc_id, pos) AS k FROM s)
-    SELECT source, doc_id, md5(string_agg(x, ' ' ORDER BY pos)) AS digest FROM k WHERE k = 1 GROUP BY 1, 2 HAVING length(string_agg(x, ' ' ORDER BY pos)) > 20"""
+    SELECT source, doc_id, md5(string_agg(x, ' ' ORDER BY pos)) AS digest FROM k WHERE k = 1 OR regexp_matches(x, '(?i)(Art\.?|Article|المادة)[ \t\n\r\f]*[0-9]+') GROUP BY 1, 2 HAVING length(trim(string_agg(x, ' ' ORDER BY pos))) > 20"""
 )
 def sentence_dedup(spark, d):
     kept = retrieval.drop_repeated_sentences(_t(spark, d, "documents"), "source", "doc_id")
     return kept.select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-# Questions and rulings in the languages that the classifiers know; the tables hold none.
-SAMPLES = (
-    "Article 15", "c'est quoi un bail", "délai d'appel", "quelle différence entre vente et bail", "كيف", "Article 5", "bonjour",
-    "pourquoi comment analyse synthèse article 3 et article 9 du code pénal et de la loi", "divorce et pension", "art. 198 du Code pénal",
-    "contrat de bail d'habitation bailleur: Mohamed Ali locataire: Ahmed", "AU NOM DU PEUPLE TUNISIEN Le tribunal de première instance",
-    "مجلة الجزاء التونسية الفصل الأول الباب الأول", "باسم الشعب التونسي تقضي المحكمة بإدانة المتهم", "procès-verbal dressé par l'officier de police judiciaire",
-    "Arrêt 123/2023 du 5/3/2023 Cour de Cassation", "Article 3 Objet", "الفصل 12 من المجلة", "vol et agression, délit, amende 1 500,00 DT le 12/05/2021", "1 000 DT",
-)
 _ROWS = ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(SAMPLES))
 ASK = f"asked AS (SELECT 'u' || conv_id || '_' || turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT 'f' || i, t FROM (VALUES {_ROWS}) AS v(i, t))"
 
@@ -239,20 +106,21 @@ def _asked(spark, d):
     return said.unionByName(_samples(spark))
 
 
-def _samples(spark):
-    return spark.createDataFrame([(f"f{i}", s) for i, s in enumerate(SAMPLES)], "id string, text string")
+def _all_texts(spark, d):
+    docs = _t(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    return _asked(spark, d).unionByName(docs)
 
 
-def _has(col: str, words: list[str]) -> str:
-    return "(" + " + ".join("CAST(contains({}, '{}') AS INT)".format(col, w.replace("'", "''")) for w in words) + ")"
+def _samples(spark):
+    return spark.createDataFrame([(f"f{i}", s) for i, s in enumerate(SAMPLES)], "id string, text string")
 
 
 _LANG = f"CASE WHEN {ARA.format('text')} > 0.3 THEN 'ar' ELSE 'fr' END"
-_LEN = f"CASE WHEN len({WRD.format('q')}) > 18 THEN 1.0 WHEN len({WRD.format('q')}) > 12 THEN 0.5 ELSE 0 END"
+def _some(keywords: list[str]) -> str:
+    return "list_filter([" + ", ".join(map(_quote, keywords)) + "], lambda k: contains(q, k))"
 
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+_LEN = f"CASE WHEN len({WRD.format('q')}) > 18 THEN 1.0 WHEN len({WRD.format('q')}) > 12 THEN 0.5 ELSE 0 END"
 
 
 @query(
@@ -260,10 +128,13 @@ def _quote(s: str) -> str:
     p AS (SELECT *, CASE WHEN regexp_matches(q, {_quote(classify.FACTUAL)}) THEN 0 ELSE round({_LEN} + 1.5 * CASE WHEN lg = 'ar' THEN {_has('q', classify.COMPLEX['ar'])} ELSE {_has('q', classify.COMPLEX['fr'])} END
     + CASE WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 2 OR len(regexp_extract_all(q, 'code|loi|décret')) >= 2 THEN 1.0 WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 1 THEN 0.3 ELSE 0 END, 6) END::DOUBLE AS route_score FROM a)
     SELECT id, route_score, CASE WHEN route_score >= 2 THEN 'complex' WHEN route_score >= 1 THEN 'intermediate' ELSE 'simple' END AS mode,
-    CAST(CASE WHEN route_score >= 2 THEN 50 WHEN route_score >= 1 THEN 40 ELSE 30 END AS INT) AS top_k, round(route_score / (route_score + 1), 6) AS confidence FROM p"""
+    CAST(CASE WHEN route_score >= 2 THEN 50 WHEN route_score >= 1 THEN 40 ELSE 30 END AS INT) AS top_k, round(route_score / (route_score + 1), 6) AS confidence, route_score >= 1 AS use_hypothesis, route_score >= 2 AS use_graph,
+    CASE WHEN regexp_matches(q, {_quote(classify.FACTUAL)}) THEN 'factual' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN len({WRD.format('q')}) > 18 THEN 'long' WHEN len({WRD.format('q')}) > 12 THEN 'medium' END,
+    CASE WHEN len(CASE WHEN lg = 'ar' THEN {_some(classify.COMPLEX['ar'])} ELSE {_some(classify.COMPLEX['fr'])} END) > 0 THEN 'keywords: ' || array_to_string((CASE WHEN lg = 'ar' THEN {_some(classify.COMPLEX['ar'])} ELSE {_some(classify.COMPLEX['fr'])} END)[1:2], ', ') END,
+    CASE WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 2 OR len(regexp_extract_all(q, 'code|loi|décret')) >= 2 THEN 'several references' WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 1 THEN 'one reference' END), ''), 'default') END AS reason FROM p"""
 )
 def route_queries(spark, d):
-    return classify.route(_asked(spark, d)).select("id", "route_score", "mode", "top_k", "confidence")
+    return classify.route(_asked(spark, d)).select("id", "route_score", "mode", "top_k", "confidence", "use_hypothesis", "use_graph", "reason")
 
 
 @query(
@@ -271,92 +142,117 @@ def route_queries(spark, d):
     p AS (SELECT *, round((0.15 * CASE WHEN lg = 'ar' THEN {_has('q', classify.RELATIONAL['ar'])} ELSE {_has('q', classify.RELATIONAL['fr'])} END + {_LEN}
     + CASE WHEN regexp_matches(q, 'article|chapitre') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(q, ' et | ou |comparé| contre ') THEN 0.25 ELSE 0 END
     + CASE WHEN regexp_matches(q, {_quote(classify.MULTI_HOP)}) THEN 0.4 ELSE 0 END - CASE WHEN regexp_matches(q, {_quote(classify.FACTUAL)}) THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS trigger_score FROM a)
-    SELECT id, trigger_score, trigger_score >= 0.5 AS use_graph, CASE WHEN trigger_score > 0.7 THEN 'hybrid' WHEN trigger_score > 0.5 THEN 'local' WHEN trigger_score >= 0.5 THEN 'global' ELSE 'disabled' END AS graph_mode FROM p"""
+    SELECT id, trigger_score, trigger_score >= 0.5 AS use_graph, CASE WHEN trigger_score > 0.7 THEN 'hybrid' WHEN trigger_score > 0.5 THEN 'local' WHEN trigger_score >= 0.5 THEN 'global' ELSE 'disabled' END AS graph_mode, round(least(trigger_score / 1.5, 1), 6) AS graph_confidence FROM p"""
 )
 def trigger_scores(spark, d):
-    return classify.graph_trigger(_asked(spark, d)).select("id", "trigger_score", "use_graph", "graph_mode")
+    return classify.graph_trigger(_asked(spark, d)).select("id", "trigger_score", "use_graph", "graph_mode", "graph_confidence")
 
 
 @query(
-    f"""WITH {ASK}, a AS (SELECT id, text, lower(text) AS q, CAST(len({WRD.format('text')}) AS INT) AS n_words FROM asked),
-    f AS (SELECT *, regexp_matches(q, {_quote(classify.DEFINITION)}) AS is_definition, {_has('q', classify.PROCEDURAL)} > 0 AS is_procedural, regexp_matches(text, '[0-9]') AND regexp_matches(q, 'art|المادة') AS is_precise FROM a),
-    s AS (SELECT *, CASE WHEN is_precise THEN 'bm25_heavy' WHEN is_definition THEN 'semantic' ELSE 'hybrid' END AS strategy FROM f)
-    SELECT id, n_words, is_definition, is_procedural, is_precise, strategy, round(CASE strategy WHEN 'bm25_heavy' THEN least(0.9, 0.5 + 0.02 * n_words) WHEN 'semantic' THEN 0.4 ELSE least(0.8, 0.4 + 0.02 * n_words) END::DOUBLE, 6) AS alpha FROM s"""
+    f"""WITH {ASK}, {search.analysed('asked')} SELECT id, {_LANG} AS lang, array_to_string(regexp_extract_all(text, {_quote('(?i)' + classify.ARTICLE_REFERENCE)}, 1), '|') AS article_refs, n_words, is_definition, is_procedural, is_precise, strategy, alpha,
+    is_procedural OR is_definition OR contains(q, 'différence') OR contains(q, 'relation') AS wants_graph FROM sa"""
 )
 def query_alpha(spark, d):
-    return classify.analyse(_asked(spark, d)).drop("text")
+    return classify.analyse(_asked(spark, d)).drop("text").withColumn("article_refs", F.array_join("article_refs", "|"))
 
 
 @query(
     f"""WITH {ASK}, a AS (SELECT id, text, lower(text) AS q FROM asked), f AS (SELECT *, {_has('q', classify.GREETINGS)} > 0 AND length(text) < 50 AS g, {_has('q', classify.LEGAL)} > 0 AS l FROM a)
-    SELECT id, CASE WHEN g THEN 'greeting' WHEN l THEN 'legal_question' ELSE 'discussion' END AS intent, (CASE WHEN g THEN 0.8 WHEN l THEN 0.6 ELSE 0.3 END)::DOUBLE AS intent_confidence FROM f"""
+    SELECT id, CASE WHEN g THEN 'greeting' WHEN l THEN 'legal_question' ELSE 'discussion' END AS intent, (CASE WHEN g THEN 0.8 WHEN l THEN 0.6 ELSE 0.3 END)::DOUBLE AS intent_confidence, l AND NOT g AS is_legal, CASE WHEN g THEN 'fr' ELSE {_LANG} END AS lang FROM f"""
 )
 def intent_heuristic(spark, d):
     return classify.intent(_asked(spark, d)).drop("text")
 
 
-_EXP = r"regexp_replace(lower(text), '\b(art\.|art|article)[ ]*([0-9]+)', 'article \2', 'g')"
-for _a, _b in T.REPLACEMENTS:
-    _EXP = f"replace({_EXP}, {_quote(_a)}, {_quote(_b)})"
-
-
-@query(
-    f"""WITH {ASK}, a AS (SELECT id, trim({_EXP}) AS q FROM asked), b AS (SELECT id, q, q || CASE WHEN contains(q, 'appel') AND NOT contains(q, 'cour') THEN ' cour' ELSE '' END || CASE WHEN contains(q, 'divorce') AND NOT contains(q, 'juge') THEN ' juge' ELSE '' END AS e FROM a)
-    SELECT id, q AS variant FROM b UNION ALL SELECT id, e FROM b WHERE e <> q"""
-)
+@query(f"WITH {ASK}, a AS (SELECT id, {search.expanded('text')} AS q FROM asked), b AS (SELECT id, q, {search.widened('q')} AS e FROM a) SELECT id, q AS variant FROM b UNION ALL SELECT id, e FROM b WHERE e <> q")
 def expand_query(spark, d):
     return _asked(spark, d).select("id", F.explode(T.expand_question("text")).alias("variant"))
 
 
-def _type_sql() -> str:
+def _type_sql(source: str) -> str:
+    """source: asked AS (id, text, file_name)."""
     parts = []
     for i, (name, (weight, category, fr, ar)) in enumerate(classify.TYPES.items()):
-        def some(ps, weight=weight):
-            return "(" + " + ".join(f"CAST(regexp_matches(head, {_quote('(?i)' + p)}) AS INT)" for p in ps) + f") * ({weight}::DOUBLE / {len(ps)})"
+        def some(ps, weight=weight, name=name):
+            named = [f"CASE WHEN contains(fn, {_quote(h)}) THEN 0.15::DOUBLE ELSE 0 END" for h in classify.NAME_HINTS.get(name, [])]
+            return " + ".join([f"CASE WHEN regexp_matches(head, {_quote('(?i)' + p)}) THEN {weight / len(ps)!r}::DOUBLE ELSE 0 END" for p in ps] + named)
 
-        parts.append(f"SELECT id, {i} AS o, {_quote(name)} AS t, {_quote(category)} AS c, round(least(1, CASE WHEN lg = 'ar' THEN {some(ar)} ELSE {some(fr)} END), 3) AS s FROM h")
-    lang = f"CASE WHEN {ARA.format('text')} > 0.3 THEN 'ar' WHEN {ARA.format('text')} > 0.1 THEN 'mixed' ELSE 'fr' END"
-    return f"""WITH {ASK}, h AS (SELECT id, substr(text, 1, 3000) AS head, {lang} AS lg FROM asked), u AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, o) AS k FROM u)
-    SELECT id, CASE WHEN s >= 0.1 THEN t ELSE 'Inconnu' END AS doc_type, CASE WHEN s >= 0.1 THEN s ELSE 0 END AS type_confidence, CASE WHEN s >= 0.1 THEN c ELSE 'Général' END AS category FROM r WHERE k = 1"""
+        def marks(ps, name=name):
+            named = [f"CASE WHEN contains(fn, {_quote(h)}) THEN {_quote('filename:' + h)} END" for h in classify.NAME_HINTS.get(name, [])]
+            return "list_filter([" + ", ".join([f"CASE WHEN regexp_matches(head, {_quote('(?i)' + p)}) THEN {_quote(p[:40])} END" for p in ps] + named) + "], lambda x: x IS NOT NULL)[1:5]"
 
+        parts.append(f"SELECT id, t, lg, {i} AS o, {_quote(name)} AS kind, {_quote(category)} AS c, least(1, CASE WHEN lg = 'ar' THEN {some(ar)} ELSE {some(fr)} END) AS s, CASE WHEN lg = 'ar' THEN {marks(ar)} ELSE {marks(fr)} END AS w FROM h")
+    lang = f"CASE WHEN text = '' THEN 'fr' WHEN {ARA.format('text')} > 0.3 THEN 'ar' WHEN {ARA.format('text')} > 0.1 THEN 'mixed' ELSE 'fr' END"
+    penal = _has("lower(substr(t, 1, 2000))", classify.PENAL_WORDS)
+    return f"""WITH {source}, h AS (SELECT id, text AS t, substr(text, 1, 3000) AS head, {lang} AS lg, lower(coalesce(file_name, '')) AS fn FROM (SELECT id, coalesce(text, '') AS text, file_name FROM asked)),
+    u AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, o) AS k FROM u)
+    SELECT id, CASE WHEN s >= 0.1 AND t <> '' THEN kind ELSE 'Inconnu' END AS doc_type, CASE WHEN s >= 0.1 AND t <> '' THEN round(s, 3) ELSE 0 END AS type_confidence,
+    CASE WHEN s < 0.1 OR t = '' THEN 'Général' WHEN {penal} > 0 THEN 'Pénal' ELSE c END AS category, lg AS doc_lang,
+    array_to_string(CASE WHEN s >= 0.1 AND t <> '' THEN w WHEN t = '' THEN ['Texte vide'] ELSE ['Aucun pattern trouvé'] END, '~') AS signals FROM r WHERE k = 1"""
 
-@query(_type_sql())
+
+def _typed(rows, file_name=None):
+    found = classify.detect_type(rows, file_name=file_name)
+    return found.select("id", "doc_type", "type_confidence", "category", "doc_lang", F.array_join("signals", "~").alias("signals"))
+
+
+@query(_type_sql(ASK.replace("asked AS (", "asked AS (SELECT *, NULL::VARCHAR AS file_name FROM (") + ")"))
 def detect_type(spark, d):
-    return classify.detect_type(_asked(spark, d)).drop("text")
+    return _typed(_asked(spark, d))
 
 
-def _list(p: str, most: int, distinct: bool = True) -> str:
-    found = f"regexp_extract_all(text, {_quote(p.replace('(?iu)', '(?i)'))}, 1)"
+@query(_type_sql("asked AS (SELECT doc_id AS id, text, source AS file_name FROM documents)"))
+def detect_documents(spark, d):
+    docs = _t(spark, d, "documents")
+    return _typed(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("file_name")), "file_name")
+
+
+@query(_type_sql(f"{samples.cte('rulings')}, asked AS (SELECT id, text, regexp_extract(path, '[^/]+$') AS file_name FROM rulings)"))
+def detect_rulings(spark, d):
+    return _typed(samples.table(spark, "rulings").select("id", "text", F.regexp_extract("path", "[^/]+$", 0).alias("file_name")), "file_name")
+
+
+def _list(p: str, most: int | str = "", distinct: bool = True) -> str:
+    found = f"regexp_extract_all(text, {_rx(p)}, 1)"
     firsts = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)" if distinct else found
     return f"array_to_string(({firsts})[1:{most}], '|')"
 
 
-@query(
-    f"""WITH {ASK} SELECT id, {_list(extract.ARTICLE, 10)} AS articles, {_list(extract.DATE, 5)} AS dates, {_list(extract.AMOUNT, 3, False)} AS amounts,
-    nullif(regexp_extract(text, {_quote(extract.NUMBER.replace('(?iu)', '(?i)'))}, 1), '') AS article_number, regexp_matches(trim(text), {_quote(extract.HEADER.replace('(?iu)', '(?i)'))}) AS is_header FROM asked"""
-)
+_ENT = f"""SELECT id, {_list(extract.ARTICLE, 10)} AS articles, {_list(extract.DATE, 5)} AS dates, {_list(extract.AMOUNT, 3, False)} AS amounts,
+    nullif(regexp_extract(text, {_rx(extract.NUMBER)}, 1), '') AS article_number, regexp_matches(trim(text), {_rx(extract.HEADER)}) AS is_header FROM asked"""
+
+
+def _entities(rows):
+    return extract.entities(rows).select("id", *(F.array_join(c, "|").alias(c) for c in ("articles", "dates", "amounts")), "article_number", "is_header")
+
+
+@query(f"WITH {ASK} {_ENT}")
 def extract_entities(spark, d):
-    found = extract.entities(_asked(spark, d))
-    return found.select("id", *(F.array_join(c, "|").alias(c) for c in ("articles", "dates", "amounts")), "article_number", "is_header")
+    return _entities(_asked(spark, d))
+
+
+@query(f"WITH asked AS (SELECT doc_id AS id, text FROM documents) {_ENT}")
+def document_entities(spark, d):
+    return _entities(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _steps(col: str, steps, other: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({col}, {_quote('|'.join(keys))}) THEN {_quote(name)}" for name, keys in steps) + f" ELSE {_quote(other)} END"
 
 
-@query(f"WITH {ASK} SELECT id, {_list(extract.CP, 10)} AS articles_cp, {_list(extract.CPP, 10)} AS articles_cpp, {_steps('lower(text)', extract.INCIDENTS, 'Non spécifié')} AS incident, {_steps('lower(text)', extract.GRAVITY, 'Indéterminée')} AS gravity FROM asked")
+@query(f"WITH {ASK}, asked2 AS (SELECT * FROM asked UNION ALL SELECT 'd' || doc_id, text FROM documents) SELECT id, {_list(extract.CP)} AS articles_cp, {_list(extract.CPP)} AS articles_cpp, {_list(extract.TRIBUNAL)} AS courts, {_steps('lower(text)', extract.INCIDENTS, 'Non spécifié')} AS incident, {_steps('lower(text)', extract.GRAVITY, 'Indéterminée')} AS gravity FROM asked2")
 def extract_penal(spark, d):
-    found = extract.penal(_asked(spark, d))
-    return found.select("id", *(F.array_join(c, "|").alias(c) for c in ("articles_cp", "articles_cpp")), "incident", "gravity")
+    found = extract.penal(_all_texts(spark, d))
+    return found.select("id", *(F.array_join(c, "|").alias(c) for c in ("articles_cp", "articles_cpp", "courts")), "incident", "gravity")
 
 
 @query(
-    f"""WITH {ASK} SELECT id, {_steps('lower(substr(text, 1, 1000))', extract.DECISIONS, 'Decision_Judiciaire')} AS decision,
-    coalesce({', '.join(f"nullif(regexp_extract(text, {_quote(p.replace('(?iu)', '(?i)'))}, 1), '')" for p in extract.COURTS)}) AS court, nullif(regexp_extract(text, '([0-9]{{1,5}}[/-][0-9]{{4}})', 1), '') AS case_number,
-    CASE WHEN regexp_matches(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})') THEN regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 3) || '-' || regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 2) || '-' || regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 1) END AS decided FROM asked"""
+    f"""WITH {ASK}, asked2 AS (SELECT * FROM asked UNION ALL SELECT 'd' || doc_id, text FROM documents) SELECT id, {_steps('lower(substr(text, 1, 1000))', extract.DECISIONS, 'Decision_Judiciaire')} AS decision,
+    coalesce({', '.join(f"nullif(regexp_extract(text, {_quote(p.replace('(?iu)', '(?i)'))}, 1), '')" for p in extract.COURTS)}) AS court, nullif(regexp_extract(text, '([0-9]{{1,5}}[/\\\\-][0-9]{{4}})', 1), '') AS case_number,
+    CASE WHEN regexp_matches(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})') THEN regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 3) || '-' || regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 2) || '-' || regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 1) END AS decided FROM asked2"""
 )
 def extract_juris(spark, d):
-    return extract.decision(_asked(spark, d)).drop("text")
+    return extract.decision(_all_texts(spark, d)).drop("text")
 
 
 TURNS = "turns AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, lead(role) OVER w AS r2, lag(text) OVER w AS before, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), qa AS (SELECT conv_id, turn, question, answer, coalesce(before, '') || ' ' || question AS context FROM turns WHERE role = 'user' AND r2 = 'assistant')"
@@ -385,14 +281,6 @@ def batch_report(spark, d):
     return evaluation.report(evaluation.faithfulness(_answers(spark, d)).withColumn("suite", F.col("conv_id") % 10), "suite")
 
 
-@query(f"WITH {BM25}, rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text)), be AS (SELECT item_id, min(rnk) AS rnk FROM rel LEFT JOIN (SELECT * FROM bm WHERE rnk <= 10) USING (item_id, doc_id) GROUP BY 1) SELECT count(*) AS items, count(*) FILTER (rnk <= 1) AS hit_1, count(*) FILTER (rnk <= 10) AS hit_10, round(avg(coalesce(1.0 / rnk, 0)), 6) AS mrr FROM be")
-def hit_at_k(spark, d):
-    docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
-    b = items.select("item_id", F.col("text").alias("passage"))
-    relevant = docs.join(b, F.contains(docs.text, b.passage)).select("item_id", "doc_id")
-    return evaluation.hit_at_k(lexical.search(docs, items, 10), relevant)
-
-
 @query(f"WITH {KNN}, o AS (SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS k FROM pairs WHERE query_id <> vec_id) SELECT query_id, vec_id, sim, sim >= 0.9 AS hit FROM o WHERE k = 1")
 def cache_lookup(spark, d):
     e = _t(spark, d, "embeddings")
@@ -406,7 +294,7 @@ def cache_evict(spark, d):
 
 
 MEN = r"me AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda x: length(x) >= 12)) AS entity FROM documents), ec AS (SELECT entity, count(*) AS n_chunks, min(doc_id) AS first_chunk FROM me GROUP BY 1)"
-EDG = f"{MEN}, so AS (SELECT me.* FROM me JOIN ec USING (entity) WHERE n_chunks BETWEEN 2 AND 50), ed AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM so a JOIN so b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 2)"
+EDG = f"{MEN}, so AS (SELECT me.* FROM me JOIN ec USING (entity) WHERE n_chunks >= 2), ed AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM so a JOIN so b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
 @query(f"WITH {MEN} SELECT * FROM ec")

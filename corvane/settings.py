@@ -20,9 +20,12 @@ class Settings:
     window_chars: int = 2400
     overlap_chars: int = 480
     min_tokens: int = 100
+    pack_tokens: int = 600
+    pack_overlap: int = 120
     context_chars: int = 15000
     chunk_chars: int = 600
     per_article: int = 3
+    same_variant: float = 0.90
     cache_hit: float = 0.90
     cache_same: float = 0.98
     gap_seconds: int = 2
