@@ -203,7 +203,11 @@ STOP_WORDS = {
 def detected_language(c, fallback: str = "fr") -> Column:
     """ar above 0.3 Arabic letters, else fr or en by which frequent words occur more often, else the fallback."""
     low = words(F.lower(_col(c)))
-    fr, en = (F.size(F.filter(low, lambda w, s=s: w.isin(*STOP_WORDS[s]))) for s in ("fr", "en"))
+
+    def said(lang: str) -> Column:
+        return F.size(F.filter(low, lambda w: w.isin(*STOP_WORDS[lang])))
+
+    fr, en = said("fr"), said("en")
     return F.when(arabic_share(c) > 0.3, "ar").when(fr > en, "fr").when(en > fr, "en").otherwise(fallback)
 
 

@@ -344,3 +344,16 @@ def case_type(context_path: Column) -> Column:
     for name, keys in reversed(CASE_TYPES):
         out = F.when(hits(context_path, keys) > 0, name).otherwise(out)
     return out
+
+
+def correct_words(df: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", most: int = 2) -> DataFrame:
+    """(key, text): every word that the dictionary(word) lacks becomes its nearest one of at most ``most`` edits, the first in order
+    among equals; words without one stay. Different unknown words are few beside the texts and are compared once each."""
+    each = df.select(key, F.posexplode(words(text)).alias("_pos", "_w"))
+    unknown = each.select("_w").distinct().join(dictionary.select(F.col("word").alias("_w")), "_w", "left_anti")
+    met = unknown.join(dictionary, F.abs(F.length("_w") - F.length("word")) <= most).withColumn("_n", F.levenshtein("_w", "word"))
+    best = met.where(F.col("_n") <= most).groupBy("_w").agg(F.min(F.struct("_n", "word"))["word"].alias("_best"))
+    fixed = each.join(best, "_w", "left").withColumn("_w", F.coalesce("_best", "_w"))
+    lists = fixed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_ws"))
+    out = F.array_join(F.transform("_ws", lambda x: x["_w"]), " ")
+    return df.select(key).join(lists, key, "left").select(key, F.coalesce(out, F.lit("")).alias(text))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.operators.vector import search
+from corvane.operators.vector import nearer_than, search
 from corvane.settings import SETTINGS
 
 
@@ -46,8 +46,7 @@ def put(entries: DataFrame, new: DataFrame, same: float = SETTINGS.cache_same, l
     New entries are compared with the old ones, not with each other.
     """
     usable = new.where(F.length(F.trim("answer")) >= least)
-    near = search(entries, usable, SETTINGS.retrieve_k).where(F.col("sim") > same)
-    first = near.groupBy("query_id").agg(F.min("vec_id").alias("vec_id"))
+    first = nearer_than(entries, usable, same)
     told = first.join(usable.select(F.col("vec_id").alias("query_id"), "answer", "ts"), "query_id")
     last = told.groupBy("vec_id").agg(F.max(F.struct("ts", "query_id", "answer")).alias("_new"))
     old = entries.join(last, "vec_id", "left").select(

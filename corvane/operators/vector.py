@@ -75,6 +75,39 @@ def search(vectors: DataFrame, queries: DataFrame, top: int, keep_self: bool = T
     return pairs.withColumn("rnk", rank).where(F.col("rnk") <= top)
 
 
+def _nearer(ids: np.ndarray, matrix: np.ndarray, least: float):
+    """The smallest vec_id of every Arrow batch that is nearer to a query than ``least``."""
+
+    def run(batches):
+        first = np.full(len(ids), np.iinfo(np.int64).max)
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(own), 4096):
+                sims = np.round(matrix @ _unit(_matrix(batch.column(1).slice(at, 4096), matrix.shape[1])).T, 6)
+                near = np.where(sims > least, own[at : at + 4096][None, :], np.iinfo(np.int64).max)
+                first = np.minimum(first, near.min(axis=1))
+        met = first < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(first[met])], names=["query_id", "vec_id"])
+
+    return run
+
+
+def nearer_than(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(query_id, vec_id): of the vectors nearer to a query than ``least`` the one with the smallest id. Queries as in ``search``."""
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("q"))
+    few = asked.limit(BLOCK + 1).toArrow()
+    if few.num_rows <= BLOCK:
+        if not few.num_rows:
+            return rows.select(F.col("vec_id").alias("query_id"), "vec_id").limit(0)
+        matrix = _unit(_matrix(few.column(1).combine_chunks(), len(few.column(1)[0])))
+        each = rows.mapInArrow(_nearer(few.column(0).to_numpy(), matrix, least), "query_id long, vec_id long")
+    else:
+        met = rows.crossJoin(asked.select(F.col("vec_id").alias("query_id"), "q"))
+        each = met.where(F.round(cosine(F.col("q"), F.col("v")), 6) > least).select("query_id", "vec_id")
+    return each.groupBy("query_id").agg(F.min("vec_id").alias("vec_id"))
+
+
 def min_max(found: DataFrame, value: str = "sim", key: str = "query_id") -> DataFrame:
     """score = (max distance - distance) / (max - min), clamped; all equal or alone gives 0."""
     w = Window.partitionBy(key)

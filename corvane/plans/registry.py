@@ -12,7 +12,7 @@ from corvane.plans.base import has as _has
 from corvane.plans.base import quote as _quote
 from corvane.plans.base import rx as _rx
 from corvane.plans.base import table as _t
-from corvane.plans import samples, search
+from corvane.plans import answers, documents, people, samples, search  # noqa: F401 - they register their queries
 from corvane.plans.search import BM25, KNN, POST
 from corvane.plans.samples import QUESTIONS as SAMPLES
 from corvane.streaming import events as stream

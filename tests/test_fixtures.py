@@ -1,10 +1,12 @@
 """Values worked out by hand."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, extract, graph, lexical, relational, retrieval, semcache
+from corvane.operators import chunking, classify, extract, graph, lexical, relational, retrieval, semcache, vector
 from corvane.sources import files
 from corvane.streaming import events
 
@@ -22,7 +24,11 @@ def test_text_functions(spark):
     assert one(spark, "Été  «x»", T.plain_key("text")) == "ete  x"
     assert one(spark, 'x {"a": 1} y', F.to_json(T.parse_json("text"))) == '{"a":1}'
     assert one(spark, "a<b", T.to_html("text")) == "a&lt;b"
-    assert one(spark, "# t *b*", T.strip_markdown("text")) == "t b"
+    assert one(spark, "**t** *b*", T.strip_markdown("text")) == "t b"
+    assert one(spark, "a(cid:3)b(CID:12)", T.clean_cid("text")) == "a b"
+    assert [one(spark, t, T.cid_garbage("text")) for t in ("", "   ", "(cid:1) x")] == [True, False, True]
+    assert one(spark, "art5 et art. 5 et art 5", T.expand_question("text")) == ["art5 et art. 5 et article 5"]
+    assert one(spark, "x", T.document_uid("text", F.lit("/p"))) == hashlib.sha256(b"x/p").hexdigest()[:16]
 
 
 def test_bm25_by_hand(spark):
@@ -68,7 +74,7 @@ def test_extraction(spark):
 
 
 def test_chunks_cache_roles_files_and_streams(spark, tmp_path):
-    assert chunking.pack("", 10, 5) == [] and chunking.pack("a b", 10, 5) == [("a b", None)]
+    assert chunking.pack("", 10, 5) == [] and chunking.pack("a b", 10, 5) == [("a b", None, 0, 3, True)]
     parts = chunking.pack("Article 7\n\n" + "mot " * 30 + "\n\n" + "fin " * 30, 50, 0)
     assert len(parts) == 2 and parts[0][1] == "7"
     entries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1])], "vec_id long, embedding array<double>")
@@ -103,5 +109,153 @@ def test_frequent_entities_keep_their_edges(spark):
 
 def test_chunks_overlap_by_the_end_of_a_long_unit():
     first, second = "a" * 100 + " b" * 30, "c d " * 10
-    assert [c for c, _ in chunking.pack(f"{first}\n\n{second}", 45, 80)] == [first, f"{first[-80:]}\n\n{second.strip()}"]
-    assert [c for c, _ in chunking.pack(f"{first}\n\n{second}", 45, 50)] == [first, second.strip()]
+    assert [c[0] for c in chunking.pack(f"{first}\n\n{second}", 45, 80)] == [first, f"{first[-80:]}\n\n{second.strip()}"]
+    assert [c[0] for c in chunking.pack(f"{first}\n\n{second}", 45, 50)] == [first, second.strip()]
+
+
+def test_sentences_of_an_oversized_paragraph():
+    text = "Un deux trois quatre. Cinq six sept huit. Neuf dix onze douze."
+    got = chunking.pack(text, 12, 0)  # five tokens a sentence
+    assert [c[0] for c in got] == ["Un deux trois quatre. Cinq six sept huit.", "Cinq six sept huit. Neuf dix onze douze."]
+    assert [c[4] for c in got] == [False, False] and got[0][2] == 0
+
+
+def test_packed_rulings(spark):
+    from corvane.plans import registry
+
+    rows = [r for r in registry.QUERIES["packed_rulings"](spark, "").orderBy("doc_id", "idx").collect() if r["doc_id"] == 6]
+    assert rows[0]["article_id"] == rows[0]["uid"] + "_art_" + hashlib.md5(b"1").hexdigest()[:8]
+    assert [r["idx"] for r in rows] == list(range(len(rows))) and rows[0]["chunk_id"].endswith("_chunk_0") and rows[0]["section"] == "header"
+    assert all(r["char_start"] <= r["char_end"] for r in rows)
+
+
+def test_windows_end_with_sentences():
+    text = "x" * 50 + ". " + "y" * 60
+    assert chunking.cuts(text, 100, 10) == [(0, 52), (42, 112)]
+    assert chunking.cuts("x" * 250, 100, 20) == [(0, 100), (80, 180), (160, 250)]
+    assert chunking.cuts("ab", 100, 20) == [(0, 2)]
+
+
+def test_golden_documents(spark):
+    rows = [("باسم الشعب التونسي\nتقضي المحكمة بإدانة المتهم", "حكم_2024.pdf"), ("contrat de bail d'habitation\nbailleur: Mohamed Ali\nlocataire: Ahmed", "bail.pdf"), ("procès-verbal dressé par l'officier de police judiciaire", "pv_123.pdf"), ("مجلة الجزاء التونسية\nالفصل الأول\nالباب الأول", "code_penal.pdf")]
+    got = classify.detect_type(spark.createDataFrame(rows, "text string, name string"), file_name="name").collect()
+    assert [(r["doc_type"], r["type_confidence"]) for r in got] == [("Jugement", 0.65), ("Bail", 0.625), ("PV", 0.6), ("Code_de_loi", 0.717)]
+    assert got[1]["signals"][-1] == "filename:bail"
+
+
+def test_bm25_by_join_and_by_matrix_agree(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    asks = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    first = sorted(map(tuple, lexical.search(docs, asks, 10).collect()))
+    monkeypatch.setattr(lexical, "MATRIX_BYTES", 0)
+    assert sorted(map(tuple, lexical.search(docs, asks, 10).collect())) == first
+    again = docs.unionByName(docs.where("doc_id < 50"))
+    monkeypatch.undo()
+    assert sorted(map(tuple, lexical.search(again, asks, 10).collect())) == first
+
+
+def test_many_queries_and_few_agree(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    first = sorted(map(tuple, vector.search(e, e.where("vec_id < 20"), 5).collect()))
+    near = sorted(map(tuple, vector.nearer_than(e, e.where("vec_id < 20"), 0.5).collect()))
+    monkeypatch.setattr(vector, "BLOCK", 3)
+    assert sorted(map(tuple, vector.search(e, e.where("vec_id < 20"), 5).collect())) == first
+    assert sorted(map(tuple, vector.nearer_than(e, e.where("vec_id < 20"), 0.5).collect())) == near
+    assert vector.search(e, e.limit(0), 5).count() == 0
+
+
+def test_rerank_branches(spark):
+    rows = spark.createDataFrame([(1, 1, "a", 0.2, 0.6, 0.0, 5)], "query_id long, chunk_id long, article_id string, b double, hybrid double, logit double, top_k int")
+    assert retrieval.rerank(rows, "logit").first()["final"] == pytest.approx(0.555)
+    assert retrieval.rerank(rows, failed=True).first()["final"] == pytest.approx(0.48)
+    assert retrieval.rerank(rows).first()["final"] == pytest.approx(0.6)
+
+
+def test_hooks(spark):
+    from corvane.operators import hooks
+
+    rows = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "c"), (4, None)], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in hooks.encode(rows, lambda xs: [[float(len(x))] for x in xs]).collect()}
+    assert got == {1: [2.0], 2: [2.0], 3: [1.0], 4: None}
+
+    def failing(a, b):
+        raise RuntimeError
+
+    pairs = spark.createDataFrame([("q", "t")], "question string, text string")
+    assert hooks.rerank_logits(pairs, failing).first()["logit"] is None
+    assert hooks.rerank_logits(pairs, lambda a, b: [0.5] * len(a)).first()["logit"] == 0.5
+    calls = []
+
+    def flaky(x):
+        calls.append(x)
+        raise RuntimeError
+
+    service = hooks.Retrying([flaky, lambda x: x + "!"], pause=0)
+    assert service(["a"]) == ["a!"] and len(calls) == 3
+    broken = hooks.Retrying([flaky], tries=1, pause=0, failures=2)
+    assert broken(["a", "b", "c"]) == [None, None, None] and len(calls) == 5  # closed after the second
+
+
+def test_files_round_trips(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.pdf").write_bytes(b"good text of a page")
+    (folder / "sub" / "b.PDF").write_bytes(b"x")
+    (folder / "c.png").write_bytes(b"seen")
+
+    def parse(body):
+        if body == b"x":
+            raise ValueError("broken")
+        return [body.decode(), "second page"]
+
+    def look(body):
+        if body == b"x":
+            raise ValueError("unreadable")
+        return [body.decode()]
+
+    seen = files.listing(spark, str(folder))
+    got = {r["path"].rpartition("/")[2]: r for r in files.read_texts(spark, seen, parse, look).collect()}
+    assert got["a.pdf"]["text"] == "good text of a page\nsecond page" and got["a.pdf"]["engine"] == "parser"
+    assert got["c.png"]["engine"] == "reader" and (got["b.PDF"]["engine"], got["b.PDF"]["error"]) == ("failed", "unreadable")
+    done = seen.where("path LIKE '%a.pdf'").select(F.col("path").alias("source_file"))
+    assert files.unseen(seen, done).count() == 2 and len({r["depth"] for r in seen.collect()}) == 2
+
+    docs = spark.createDataFrame([("u1", "Civil", "Baux", [("a1", "t1"), (None, "t2")])], "uid string, category string, subcategory string, chunks array<struct<article_id:string,text:string>>")
+    files.write_documents(docs, str(tmp_path / "out"))
+    back = {r["index"]: r["article_id"] for r in files.read_documents(spark, str(tmp_path / "out")).collect()}
+    assert back == {0: "a1", 1: "pos_1"}
+    corpus = spark.createDataFrame([(1, "bail bail loyer"), (2, "vente")], "doc_id long, text string")
+    files.write_postings(lexical.postings(corpus), str(tmp_path / "post"))
+    post, dl = files.read_postings(spark, str(tmp_path / "post"))
+    assert post.count() == 3 and {tuple(r) for r in dl.collect()} == {(1, 3), (2, 1)}
+    cache = spark.createDataFrame([("q", 100.0, 50.0), ("r", 100.0, 5.0)], "question string, timestamp double, ttl double")
+    files.write_cache(cache, str(tmp_path / "cache"))
+    assert [r["question"] for r in files.read_cache(spark, str(tmp_path / "cache"), 120.0).collect()] == ["q"]
+    files.append_stats(spark, str(tmp_path / "stats"), docs=1)
+    files.append_stats(spark, str(tmp_path / "stats"), docs=2)
+    assert files.last_stats(spark, str(tmp_path / "stats")).first()["docs"] == "2"
+    files.write_report(cache, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+    xml = '<graphml><graph><node id="a"/><node id="b"/><edge source="b" target="a"/></graph></graphml>'
+    (tmp_path / "g.graphml").write_text(xml)
+    assert tuple(files.graph_counts(spark, str(tmp_path / "g.graphml")).first()) == (2, 1)
+    assert tuple(files.graph_edges(spark, str(tmp_path / "g.graphml")).first()) == ("a", "b")
+    (tmp_path / "kv.json").write_text('{"x": {"count": 2}, "y": {"count": 3}}')
+    kv = files.key_value(spark, str(tmp_path / "kv.json"), "struct<count:int>")
+    assert {(r["key"], r["value"]["count"]) for r in kv.collect()} == {("x", 2), ("y", 3)}
+
+
+def test_cache_upkeep(spark):
+    rows = spark.createDataFrame([(1, "Loi pénale", "penal"), (2, "bail", None), (3, "x", "Pénal")], "id long, question string, category_hint string")
+    assert [r["id"] for r in semcache.invalidate(rows, "pénal").collect()] == [2]
+    used = spark.createDataFrame([(1, 5, 1), (2, 5, 3), (3, 9, 0)], "key long, accessed_at long, hits long")
+    assert [r["key"] for r in semcache.evict(used, 2).collect()] == [3, 2]
+    same = spark.createDataFrame([(1, 5, "a"), (1, 5, "b")], "k long, ts long, v string")
+    assert semcache.newest(same, "k", "ts").collect() == semcache.newest(same.orderBy(F.desc("v")), "k", "ts").collect()
+
+
+def test_request_gap_counts_from_the_last_one_let_through(spark):
+    rows = spark.createDataFrame([(i, 1, s) for i, s in enumerate((0, 1, 2, 3, 4, 9))], "event_id long, user_id long, s int")
+    rows = rows.withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["event_id"]: r["limited"] for r in relational.rate_limited(rows, 2).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False}
