@@ -74,6 +74,11 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, rows)
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
