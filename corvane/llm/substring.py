@@ -5,15 +5,16 @@ fingerprinted: the ``ANCHOR``-word run with the smallest hash among those it hol
 windows have equal anchors, and neighbouring windows mostly share theirs, so the index
 holds about an eighth of the word positions.
 
-The index is a folder of immutable runs, each sorted by fingerprint: (h, doc_id, pos). A new
-batch is written as the next run and merge-joined with all runs. Only windows whose
+The index is a folder of immutable runs, each sorted by fingerprint: (h, doc_id, pos), and manifests that name the
+runs in use. A new batch is written as the next run and merge-joined with all runs before it. Only windows whose
 anchor was met twice are looked at again: their texts are verified by two further
 independent hashes (64 and 32 bits) of the whole window, and all but the first start (smallest
 doc_id, then position) of each are marked. Runs are compacted into one when there are more than
 ``MAX_RUNS``. Texts of earlier batches are read from the store they came from.
 
 Hot passages: every task first decides equal keys among its own rows and passes one row of each
-key on, so the task that gathers a key gets at most a row for every slice of rows mapped.
+key on, so the task that gathers a key gets at most a row for every slice of rows mapped. What is passed on goes
+through the shuffle in packets, one for each slice of rows and bucket of keys, not row by row.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import byte_rows, discard, fresh_path, materialise, release, text_bytes, tidy
+from corvane.llm.common import byte_rows, discard, every, fresh_path, materialise, release, text_bytes, tidy
 from corvane.llm.wordhash import WordHasher, cut_words
 
-WINDOW, ANCHOR, MAX_RUNS = 20, 6, 4
-#: Batches that a whole table is fed in. Each further one reads the matching texts of those before it again,
-#: which costs more shuffled data than it saves; tables that arrive bit by bit go through ``SubstringIndex.ingest``.
-BATCHES = 1
+WINDOW, ANCHOR, MAX_RUNS = 20, 6, 2
+#: Batches that a whole table is fed in; each one meets the runs of those before it.
+BATCHES = 3
+#: Buckets of keys in a packet shuffle, for each partition of a shuffle; rows that a task sorts before it sends packets, for each bucket at least.
+BUCKETS, SLOTS = 4, 1 << 18
 #: Bytes of text hashed at once.
 SLICE = 1 << 20
 
@@ -125,66 +127,65 @@ def _candidates(window: int, anchor: int):
     return run
 
 
-def _groups(batches, keys: int):
-    """Columns of complete groups of equal keys, from rows sorted by the first ``keys`` columns."""
-    kept = None
-    for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
-        if not len(now[0]):
-            continue
-        new = np.zeros(len(now[0]), dtype=bool)
-        for k in range(keys):
-            new[1:] |= now[k][1:] != now[k][:-1]
-        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
-        kept = [c[cut:] for c in now]
-        if cut:
-            yield [c[:cut] for c in now]
-    if kept is not None and len(kept[0]):
-        yield kept
-
-
 def _places(doc_id: np.ndarray, at: np.ndarray, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(at, pa.int32())], names=["doc_id", name])
 
 
-@tidy
-def _met_twice(batches):
-    """(doc_id, pos) of each fingerprint that came more than once, from rows (h, doc_id, pos) sorted by h."""
-    for h, doc_id, pos in _groups(batches, 1):
-        same = h[1:] == h[:-1]
-        hit = np.r_[False, same] | np.r_[same, False]
-        yield _places(doc_id[hit], pos[hit], "pos")
+def _new_keys(cols: list[np.ndarray], keys: int) -> np.ndarray:
+    """Where another key begins, in rows sorted by the first ``keys`` columns."""
+    new = np.zeros(len(cols[0]), dtype=bool)
+    new[:1] = True
+    for k in range(keys):
+        new[1:] |= cols[k][1:] != cols[k][:-1]
+    return new
+
+
+def _sorted(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.lexsort(cols[::-1])
+    return [c[order] for c in cols]
+
 
+def _pack(cols: list[np.ndarray]) -> bytes:
+    return b"".join(c.tobytes() for c in cols)
 
-def _reduced(names: list[str], keys: int, first_only: bool, slots: int = 1 << 18):
+
+def _unpack(blob: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
+    n = len(blob) // sum(k.itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(blob, dtype=k, count=n, offset=at))
+        at += n * k.itemsize
+    return out
+
+
+def _reduced(keys: int, first_only: bool, buckets: int, slots: int = SLOTS):
     """Combines equal keys before the shuffle, so that a hot key sends few rows from each task.
 
-    Of rows with one key in a slice the first (in order of the other columns) goes on with kind 0.
-    The others are decided here: they go on with kind 1, as does the first unless ``first_only``.
+    Of rows with one key in a slice the first (in order of the other columns) goes on, in the packet of its key's bucket.
+    The others are decided here: they go on in packets of no bucket (-1), as does the first unless ``first_only``.
     """
 
     def flush(parts):
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort(cols[::-1])
-        cols = [c[order] for c in cols]
-        new = np.zeros(len(order), dtype=bool)
-        new[:1] = True
-        for k in range(keys):
-            new[1:] |= cols[k][1:] != cols[k][:-1]
+        cols = _sorted(parts)
+        new = _new_keys(cols, keys)
         again = ~new if first_only else ~new | np.r_[~new[1:], False]
-        at = np.r_[np.flatnonzero(new), np.flatnonzero(again)]
-        kind = np.r_[np.zeros(int(new.sum()), dtype=np.int32), np.ones(int(again.sum()), dtype=np.int32)]
-        return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in cols), pa.array(kind)], names=[*names, "kind"])
+        first = [c[new] for c in cols]
+        bucket = (first[0].view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, first = bucket[order].astype(np.int32), [c[order] for c in first]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        out = [(int(bucket[a]), _pack([c[a:b] for c in first])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        told = [c[again] for c in cols]
+        out += [(-1, _pack([c[at : at + 16384] for c in told])) for at in range(0, len(told[0]), 16384)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "rows"])
 
-    @tidy
     def run(batches):
         parts, size = [], 0
         for batch in batches:
             parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             size += batch.num_rows
-            if size >= slots:
+            if size >= max(slots, 16 * buckets):
                 yield flush(parts)
                 parts, size = [], 0
         if size:
@@ -193,12 +194,33 @@ def _reduced(names: list[str], keys: int, first_only: bool, slots: int = 1 << 18
     return run
 
 
-@tidy
-def _later(batches):
-    """(doc_id, start) of all windows but the first of each, from sorted rows (w1, w2, doc_id, start)."""
-    for w1, w2, doc_id, start in _groups(batches, 2):
-        again = np.r_[False, (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])]
-        yield _places(doc_id[again], start[again], "start")
+def _decided(kinds: list[np.dtype], keys: int, first_only: bool, name: str):
+    """(doc_id, name) of the rows whose key came more than once (first_only: without the first), bucket after bucket."""
+
+    def group(parts):
+        cols = _sorted(parts)
+        new = _new_keys(cols, keys)
+        hit = ~new if first_only else ~new | np.r_[~new[1:], False]
+        return _places(cols[keys][hit], cols[keys + 1][hit], name)
+
+    @tidy
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cols = _unpack(blob, kinds)
+                if bucket < 0:
+                    yield _places(cols[keys], cols[keys + 1], name)
+                    continue
+                if bucket != now and parts:
+                    yield group(parts)
+                    parts = []
+                now = bucket
+                parts.append(cols)
+        if parts:
+            yield group(parts)
+
+    return run
 
 
 def _cover(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -236,13 +258,41 @@ def _rewrite(window: int, with_text: bool):
 
 
 class SubstringIndex:
-    """Runs in a folder of the shared storage; ``ingest`` takes the batches in order of doc_id."""
+    """Runs in a folder of the shared storage; ``ingest`` takes the batches in order of doc_id.
+
+    An index is opened again by its path: the last manifest tells its runs.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, anchor: int = ANCHOR, max_runs: int = MAX_RUNS):
         self.spark, self.path = spark, path or fresh_path(spark, "substring-index")
         self.window, self.anchor, self.max_runs = window, anchor, max_runs
         self.runs: list[str] = []
-        self.made = 0
+        self.made = self.written = 0
+        known = sorted(n for n in self._names() if n.startswith("manifest-"))
+        if known:
+            rows = spark.read.json(f"{self.path}/{known[-1]}").collect()  # a row for each run
+            self.runs = sorted(r["run"] for r in rows if r["run"])
+            self.made = max(r["made"] for r in rows)
+            self.written = int(known[-1][9:]) + 1
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        path, fs = self._fs()
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _commit(self) -> None:
+        """Names the runs in use in the next manifest, and deletes those that the manifest before named and no one reads any more."""
+        rows = [(r, self.made) for r in self.runs or [""]]
+        self.spark.createDataFrame(rows, "run string, made int").coalesce(1).write.json(f"{self.path}/manifest-{self.written:08d}")
+        self.written += 1
+        _, fs = self._fs()
+        kept = {r.rpartition("/")[2] for r in self.runs}
+        for name in self._names():
+            if name.startswith("run-") and name not in kept:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
     def _write_run(self, rows: DataFrame) -> str:
         to = f"{self.path}/run-{self.made:05d}"
@@ -276,8 +326,7 @@ class SubstringIndex:
         at = materialise(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "met")
         release(self.spark)
         wide = at.join(texts, "doc_id").select("doc_id", text_bytes().alias("text"), "at")
-        names, schema = ["w1", "w2", "doc_id", "start"], "w1 long, w2 int, doc_id long, start int"
-        again = self._reduce(wide, names, schema, 2, True, _later, "doc_id long, start int", _candidates(self.window, self.anchor))
+        again = self._reduce(wide, "i8 i4 i8 i4", 2, True, "start", _candidates(self.window, self.anchor))
         if history:
             again = again.join(batch.select("doc_id"), "doc_id", "left_semi")
         found = materialise(again.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "repeats")
@@ -285,44 +334,28 @@ class SubstringIndex:
         release(self.spark)
         if len(self.runs) > self.max_runs:
             self.compact()
+        self._commit()
         return found
 
-    def _reduce(self, rows: DataFrame, names: list[str], schema: str, keys: int, first_only: bool, last, to: str, make=iter) -> DataFrame:
-        """Decides equal keys first inside each task, then among one row of each task, by one shuffle.
+    def _reduce(self, rows: DataFrame, kinds: str, keys: int, first_only: bool, name: str, make=iter) -> DataFrame:
+        """Decides equal keys first inside each task, then among one row of each slice of rows, by one shuffle.
 
         make turns batches of rows into those with the keys, in the same worker: a second one would hold its memory too.
         """
-        reduce = _reduced(names, keys, first_only)
-        split = rows.mapInArrow(lambda batches: reduce(make(batches)), f"{schema}, kind int")
-        here = F.when(F.col("kind") == 0, F.hash(*names[:keys])).otherwise(F.hash(*names[keys:]))
-        dealt = split.select(*names, "kind").repartition(here).sortWithinPartitions("kind", *names)
-
-        def finish(batches):
-            for batch in batches:
-                kind = batch.column(len(names)).to_numpy()
-                cut = int(np.searchsorted(kind, 1))
-                if cut < batch.num_rows:
-                    done.append(_places(batch.column(keys).slice(cut).to_numpy(), batch.column(keys + 1).slice(cut).to_numpy(), to.split()[-2]))
-                if cut:
-                    yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).slice(0, cut)
-
-        done: list = []
-
-        @tidy
-        def run(batches):
-            done.clear()
-            yield from last(finish(batches))
-            yield from done
-
-        return dealt.mapInArrow(run, to)
+        buckets = BUCKETS * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        reduce = tidy(_reduced(keys, first_only, buckets))
+        split = rows.mapInArrow(lambda batches: reduce(make(batches)), "bucket int, rows binary")
+        # packets that belong to no bucket are dealt by what they hold
+        here = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket").cast("long"))
+        dealt = split.repartition(here).sortWithinPartitions("bucket")
+        return dealt.mapInArrow(_decided([np.dtype(k) for k in kinds.split()], keys, first_only, name), f"doc_id long, {name} int")
 
     def _within(self, rows: DataFrame) -> DataFrame:
         """(doc_id, pos) of the fingerprints that occur more than once in rows."""
-        names, schema = ["h", "doc_id", "pos"], "h long, doc_id long, pos int"
-        return self._reduce(rows, names, schema, 1, False, _met_twice, "doc_id long, pos int")
+        return self._reduce(rows, "i8 i8 i4", 1, False, "pos")
 
     def compact(self) -> None:
-        """Merges all runs into one; the old folders stay until nobody reads them."""
+        """Merges all runs into one; the old ones go with the next manifest."""
         self.runs = [self._write_run(self._read(self.runs).repartition("h"))]
 
 
@@ -354,7 +387,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     That is the table's own doc_id where it serves. Otherwise rows are numbered in order of
     (doc_id, text), null ids last, so that repeated rows count as documents one after another.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.struct(*every(docs)).alias("row"), F.col("doc_id").cast("long"), "text")
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("m")).first()
     many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if seen["n"] == seen["m"] and many.isEmpty():
@@ -371,11 +404,13 @@ def _apply(docs: DataFrame, batches: int, window: int, with_text: bool) -> DataF
     if not with_text:
         slim = joined.select(F.col("row.doc_id").alias("key"), text_bytes().alias("text"), "starts")
         return slim.mapInArrow(_rewrite(window, False), f"key long, n_words long, n_removed long, {last}").withColumnRenamed("key", "doc_id")
-    others = [c for c in docs.columns if c != "text"]
-    kind = docs.select(F.struct(*others).alias("key")).schema.simpleString()[7:-1]
-    slim = joined.select(F.struct(*(F.col(f"row.`{c}`").alias(c) for c in others)).alias("key"), text_bytes().alias("text"), "starts")
+    # columns travel under numbers, so that no name of docs meets one of ours
+    slots = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    fields = [F.col("row").getField(c).alias(n) for c, n in slots.items()]
+    kind = docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in slots.items())).alias("key")).schema.simpleString()[7:-1]
+    slim = joined.select(F.struct(*fields).alias("key"), text_bytes().alias("text"), "starts")
     out = slim.mapInArrow(_rewrite(window, True), f"{kind}, n_words long, n_removed long, {last}")
-    return out.select(*(F.col(f"key.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns))
+    return out.select(*(F.col(f"key.{slots[c]}").alias(c) if c != "text" else F.col("text") for c in docs.columns))
 
 
 def repeat_report(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
@@ -383,7 +418,8 @@ def repeat_report(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW)
 
     A word goes if a window that covers it starts earlier too: in a smaller doc_id, or earlier in
     the same document. Null, empty and short texts lose nothing. Repeated rows are judged as
-    documents one after another; rows without doc_id come last. Other columns are ignored.
+    documents one after another; rows without doc_id come last. A very long text is hashed whole, by one task. An empty
+    table gives none. Other columns are ignored.
     """
     return _apply(docs, batches, window, False)
 
@@ -391,6 +427,6 @@ def repeat_report(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW)
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
     """docs with the same columns and rows; texts that lose words become the words left, joined by a space.
 
-    Texts that lose nothing stay as they are, null becomes empty.
+    Texts that lose nothing stay as they are, null becomes empty. Repeated rows, null ids and empty tables as in ``repeat_report``.
     """
     return _apply(docs, batches, window, True)
