@@ -2,14 +2,15 @@
 
 Vectors are scaled to unit length and projected on several random planes of a few dimensions. On each
 projection, shifted by its own random offset, a Hilbert curve gives every vector a key. Keys are
-cut into ranges of about equal size by quantiles of a bounded sample; a query visits its own
+cut into ranges of about equal size, however many vectors there are, by quantiles of a sample of keys (a few for each
+range; only the cuts, 64 bytes for each range, are sent to the workers); a query visits its own
 range and the ranges around it on every curve, is compared there with whole vectors, and
 the best of all windows are merged and ranked by exact cosines.
 
-How many ranges a window needs depends on the data. It is measured: the true neighbours of a
+How many ranges a window needs, and how many curves, depends on the data. It is measured: the true neighbours of a
 bounded sample of queries, found by one pass over all vectors, tell how far away on the nearest
-curve they lie, and the window is the smallest that reaches ``RECALL`` of them. Equal vectors are
-one class and cost one row; their ids come back at the end.
+curve they lie. For each number of curves the window is the smallest that reaches ``RECALL`` of them; the number
+that compares least is taken. Equal vectors are one class and cost one row; their ids come back at the end.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from corvane.llm.common import materialise
 
 TOP, EVERY = 5, 50
 CURVES, DIMS, BITS, SEED = 8, 6, 8, 3
-#: Vectors in a range, about; ranges at most; sampled vectors for quantiles; sampled queries.
-RANGE, MOST_RANGES, SAMPLE, PROBES, RECALL = 1024, 4096, 16_384, 128, 0.98
+#: Vectors in a range, about; sampled keys for each range; vectors that planes are fitted on; sampled queries; queries compared at once.
+RANGE, PER_RANGE, SAMPLE, PROBES, RECALL, TILE = 128, 4, 16_384, 256, 0.96, 256
+#: Curves that are used at least, of ``CURVES``.
+LEAST_CURVES = 2
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -98,7 +101,8 @@ def classes(table: DataFrame, top: int = TOP) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids")
 
 
-def fit(sample: pd.DataFrame, n: int) -> Curves:
+def fit(sample: pd.DataFrame) -> Curves:
+    """Planes and bounds from a bounded sample of vectors; the cuts are still to come."""
     vectors = _unit(np.stack(sample["v"].to_numpy()).astype(float))
     rng = np.random.default_rng(SEED)
     size = vectors.shape[1]
@@ -106,10 +110,26 @@ def fit(sample: pd.DataFrame, n: int) -> Curves:
     planes = np.stack([np.linalg.qr(rng.normal(size=(size, dims)))[0] for _ in range(CURVES)])
     flat = np.einsum("ns,csd->cnd", vectors, planes)
     low, high = flat.min(axis=1), flat.max(axis=1)
-    curves = Curves(planes, low, np.maximum(high - low, 1e-9), rng.uniform(0, 1, (CURVES, dims)))
-    keys = np.sort(curves.keys(vectors, sample["rep"].to_numpy() * 40503), axis=0)
-    many = int(np.clip(n // RANGE, 1, min(MOST_RANGES, max(1, len(keys) // 4))))
-    curves.cuts = keys[[len(keys) * i // many for i in range(1, many)]].T if many > 1 else np.empty((CURVES, 0), dtype=np.int64)
+    return Curves(planes, low, np.maximum(high - low, 1e-9), rng.uniform(0, 1, (CURVES, dims)))
+
+
+def _keys(curves: Curves):
+    def run(frames: Iterator[pd.DataFrame]):
+        for f in frames:
+            keys = curves.keys(_unit(np.stack(f["v"].to_numpy()).astype(float)), f["rep"].to_numpy() * 40503)
+            yield pd.DataFrame({f"k{c}": keys[:, c] for c in range(keys.shape[1])})
+
+    return run
+
+
+def cut(curves: Curves, found: DataFrame, n: int, size: int = RANGE) -> Curves:
+    """curves with the cuts of n // size ranges, from about ``PER_RANGE`` keys for each range."""
+    every = max(1, size // PER_RANGE)
+    some = found.where(F.pmod(F.xxhash64("rep", F.lit("cut")), F.lit(every)) == 0).select("rep", "v")
+    schema = ", ".join(f"k{c} long" for c in range(len(curves.planes)))
+    keys = np.sort(some.mapInPandas(_keys(curves), schema).toPandas().to_numpy(dtype=np.int64), axis=0)
+    many = max(1, min(n // size, len(keys)))
+    curves.cuts = keys[[len(keys) * i // many for i in range(1, many)]].T if many > 1 else np.empty((len(curves.planes), 0), dtype=np.int64)
     return curves
 
 
@@ -119,7 +139,12 @@ def _exact(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, base: np.ndarray, units: np.ndarray, top: int) -> pd.DataFrame:
-    """The top + 1 nearest classes of each query among base, with exact cosines."""
+    """The top + 1 nearest classes of each query among base, with exact cosines, ``TILE`` queries after another."""
+    tiles = [_tile(ids[at : at + TILE], q[at : at + TILE], own, base, units, top) for at in range(0, len(ids), TILE)]
+    return pd.concat(tiles, ignore_index=True)
+
+
+def _tile(ids: np.ndarray, q: np.ndarray, own: np.ndarray, base: np.ndarray, units: np.ndarray, top: int) -> pd.DataFrame:
     near = _unit(q) @ units.T
     k = min(top + 1, near.shape[1])
     at = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -143,23 +168,29 @@ def _nearest_all(probes: pd.DataFrame, top: int):
     return run
 
 
-def window_for(found: DataFrame, probes: pd.DataFrame, curves: Curves, recall: float = RECALL, top: int = TOP) -> int:
-    """Ranges to visit on either side so that the probes' true neighbours are met with the given recall."""
+def window_for(found: DataFrame, probes: pd.DataFrame, curves: Curves, recall: float = RECALL, top: int = TOP) -> tuple[int, int]:
+    """(curves to use, ranges to visit on either side) so that the probes' true neighbours are met with the given recall at the least cost."""
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     true = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= top).toPandas()  # PROBES x top rows
+    least = min(LEAST_CURVES, len(curves.planes))
     if not len(true):
-        return 0
+        return least, 0
 
     def ranges(reps, vs):
         return curves.ranges(curves.keys(_unit(np.stack(vs.to_numpy()).astype(float)), reps.to_numpy() * 40503))
 
     mine = pd.DataFrame(ranges(probes["rep"], probes["v"]), index=probes["rep"])
-    apart = np.abs(ranges(true["rep"], true["v"]) - mine.loc[true["query_id"]].to_numpy()).min(axis=1)
-    return int(np.quantile(apart, recall, method="higher"))
+    apart = np.abs(ranges(true["rep"], true["v"]) - mine.loc[true["query_id"]].to_numpy())
+    last = curves.cuts.shape[1]
+    options = []
+    for c in range(least, apart.shape[1] + 1):
+        reach = int(np.quantile(apart[:, :c].min(axis=1), recall, method="higher"))
+        options.append((c * min(2 * reach + 1, last + 1), c, reach))
+    return min(options)[1:]
 
 
-def _deal(curves: Curves, reach: int):
-    """Each class to its range on every curve, each query to the ranges around its own."""
+def _deal(curves: Curves, used: int, reach: int):
+    """Each class to its range on every curve that is used, each query to the ranges around its own."""
     last = curves.cuts.shape[1]
 
     def run(frames: Iterator[pd.DataFrame]):
@@ -169,7 +200,7 @@ def _deal(curves: Curves, reach: int):
                 keys = curves.keys(_unit(np.stack(f["v"].to_numpy()).astype(float)), f["rep"].to_numpy() * 40503)
                 where = curves.ranges(keys)
                 asks = f["query_ids"].map(len).to_numpy() > 0
-                for c in range(where.shape[1]):
+                for c in range(used):
                     yield f.assign(cell=c * (last + 1) + where[:, c], asks=False)[["cell", "asks", "rep", "v"]]
                     q = f[asks]
                     for off in range(-reach, reach + 1):
@@ -202,15 +233,25 @@ def _search(top: int):
     return run
 
 
-def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, recall: float = RECALL) -> DataFrame:
+def one_length(table: DataFrame) -> DataFrame:
+    """The usable vectors that have the length most of them have (the greater one of two that are as frequent)."""
+    good = table.where(usable())
+    sizes = good.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max(F.struct("n", "d"))["d"].alias("d")).first()["d"]
+    return good.where(F.size("embedding") == F.lit(most or 0))
+
+
+def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, recall: float = RECALL, size: int = RANGE) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row whose vec_id is divisible by ``every``.
 
     Ranked by cosine, ties to the smaller vec_id; fewer rows if there are fewer candidates. Null or zero vectors and
-    those with null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a
+    those with null or non-finite components take no part, nor do rows without vec_id and vectors of another length than
+    most. Components may be as long a list as memory holds; an empty table gives none. Rows that repeat a
     vec_id with the same vector count once each as candidates of other queries. Other columns are ignored.
     """
     spark = table.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    table = one_length(table)
     found = materialise(classes(table, top), "classes")
     n = found.count()
     if not n:
@@ -226,13 +267,13 @@ def nearest(table: DataFrame, every: int = EVERY, top: int = TOP, recall: float
         found.join(one, "rep", "left").select("rep", "v", F.coalesce("query_ids", F.array().cast("array<long>")).alias("query_ids")), "vectors"
     )
     sample = found.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "v").toPandas()
-    curves = fit(sample, n)
+    curves = cut(fit(sample), found, n, size)
     probes = all_rows.where(F.size("query_ids") > 0).orderBy(F.xxhash64("rep"), "rep").limit(PROBES).select("rep", "v").toPandas()
     if not len(probes):
         return empty
     true = found.select("rep", "v").mapInPandas(_nearest_all(probes, top), "query_id long, rep long, score double, v array<double>")
-    reach = window_for(true, probes, curves, recall, top)
-    dealt = all_rows.mapInPandas(_deal(curves, reach), "cell int, asks boolean, rep long, v array<double>")
+    used, reach = window_for(true, probes, curves, recall, top)
+    dealt = all_rows.mapInPandas(_deal(curves, used, reach), "cell int, asks boolean, rep long, v array<double>")
     cells = dealt.repartition("cell").sortWithinPartitions("cell", "asks")
     met = cells.mapInPandas(_search(top), "query_id long, rep long, score double").select(F.col("query_id").alias("q"), "rep", "score")
     kept = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
