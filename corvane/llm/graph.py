@@ -16,15 +16,21 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def _apart(least: DataFrame) -> DataFrame:
+    """least, dealt once more by u: a join whose sides are bare shuffles is split where a node has very many neighbours,
+    one that stands on an aggregate by the same key is not."""
+    return least.repartition("u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(_apart(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u").where("v <> m")
+    joined = edges.join(_apart(least), "u").where("v <> m")
     hung = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -34,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     root is the smallest node reachable. Every round writes its edges to the shared folder;
     the driver sees only their count and a checksum. A node with very many neighbours is
-    only ever minimised (combined map-side) and joined (split by AQE when skewed).
+    only ever minimised (combined map-side) and joined (both sides behind shuffles of their own, so that AQE splits it).
     """
     now = materialise(
         edges.where("u <> v")

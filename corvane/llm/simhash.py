@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import byte_rows, materialise, text_bytes, tidy
+from corvane.llm.common import byte_rows, every, materialise, text_bytes, tidy
 from corvane.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -187,8 +187,9 @@ def links(fps: DataFrame, radius: int = RADIUS, block_limit: int = BLOCK_LIMIT,
     """(u, v): edges between the reps of ``fps(fp long, rep long)`` (distinct fp) that
     connect exactly what links at ``radius`` or fewer differing bits connect."""
     keys = materialise(fps.select("fp", "rep").mapInArrow(_emit_keys, "key long, fp long, rep long"), "keys")
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
     met = (
+        # with bare shuffles on both sides a frequent key is split when the join is skewed
         keys.join(many, "key")
         .withColumn("blocks", F.when(F.col("n") > block_limit, F.ceil(F.col("n") / block_size)).otherwise(1))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
@@ -207,7 +208,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     fingerprint zero and are linked like any other. component_id is the smallest doc_id
     reachable over links of at most ``radius`` bits. Repeated rows are returned as often as
     they come. A row without doc_id gets its group's component, or null if no member has
-    an id. Other columns are ignored, whatever their names.
+    an id. A very long text is hashed whole, by one task; an empty table gives none. Other columns are ignored, whatever
+    their names.
     """
     found = materialise(fingerprints(docs, shingle), "fingerprints")
     fps = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
@@ -220,11 +222,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest doc_id.
+    """docs with one row of each near-duplicate group: the one with the smallest doc_id, then hash of the text.
 
-    Of repeated rows with that id one stays. Rows without doc_id stay, once for each text.
+    Rows count one by one: rows that share a doc_id but no text go by their own groups, equal rows leave one, and rows
+    without doc_id come last in their group. All columns stay, whatever their names.
     """
-    lost = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    once = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_once")
-    left = docs.join(lost, "doc_id", "left_anti").select(*docs.columns, once)
-    return left.dropDuplicates(["doc_id", "_once"]).select(*docs.columns)
+    line = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(line.alias("doc_id"), "text")
+    groups = near_duplicates(rows, shingle, radius).select(F.col("doc_id").alias("line"), "component_id")
+    named = docs.select(line.alias("line"), F.col("doc_id").cast("long").alias("doc_id")).join(groups.distinct(), "line")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line")).alias("first"))
+    whole = docs.select(line.alias("line"), F.struct(*every(docs)).alias("row"))
+    return whole.join(first.select(F.col("first.line").alias("line")), "line", "left_semi").dropDuplicates(["line"]).select("row.*")
