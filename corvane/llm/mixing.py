@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import WORD
+from corvane.llm.common import WORD, every
 
 #: No source is read more often than this; with the default budget the least repeated is read once.
 MAX_EPOCHS = 1.5
@@ -83,7 +83,7 @@ def make_plan(tokens: dict, target_entropy: float | None = None, max_epochs: flo
 def _placed(docs: DataFrame) -> DataFrame:
     """docs with _n (words) and _u, its place among 2**63 in its source's permutation, the same for equal ids."""
     return docs.select(
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*every(docs)).alias("row"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("_n"),
         F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id")), 1).alias("_u"),

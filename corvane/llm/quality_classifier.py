@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     )
     ids = F.broadcast(picked)  # at most ``rows`` ids
     some = statistics(docs.join(ids.select("doc_id"), "doc_id", "left_semi")).join(ids, "doc_id")
+    # rows that share an id are rows of their own, but the bound holds for rows too
+    order = [F.xxhash64("doc_id"), "doc_id", "n_words", "word_chars", "n_symbols", "n_upper"]
+    some = some.orderBy(*order).limit(rows)
     table = materialise(some.select(*_inputs(), "quality", (F.xxhash64("doc_id") % 3 == 0).alias("held")), "labelled")
     columns = [c for c in table.columns if c not in ("quality", "held")]
     train = table.where("NOT held")
@@ -125,10 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
 
 
 def _scores(model: Model | None, columns: list[str]):
-    def run(frames: Iterator[pd.DataFrame]):
-        for f in frames:
-            s = model.score(f[columns].to_numpy(dtype=float)) if model else np.full(len(f), 0.5)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
+    def run(batches):
+        for b in batches:
+            x = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns], axis=1) if b.num_rows else np.empty((0, len(columns)))
+            s = model.score(x.astype(float)) if model else np.full(len(x), 0.5)
+            told = [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(told, names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -137,10 +143,12 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     """One row for each row of docs: doc_id, held_out, score (0 to 1), predicted (score at least 0.3).
 
     Null and empty texts have zero statistics and are scored like any other; equal texts score
-    alike. Without usable labels every score is 0.5. Null ids count as the empty string for held_out.
+    alike, repeated rows and ids included; very long texts are counted whole in one row. Without usable labels every score is
+    0.5; an id labelled both ways counts as good. Null ids count as the empty string for held_out and come back null,
+    ids of any size as they are. An empty table gives none; other columns are ignored.
     """
     model = fit(docs, labels, rows)
     found = statistics(docs).select(F.col("doc_id").cast("long"), (id_crc32() % 5 == 0).alias("held_out"), *_inputs())
     columns = found.columns[2:]
     schema = "doc_id long, held_out boolean, score double, predicted int"
-    return found.mapInPandas(_scores(model, columns), schema)
+    return found.mapInArrow(_scores(model, columns), schema)

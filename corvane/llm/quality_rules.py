@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD
+from corvane.llm.common import WORD, every
 
 #: Labelled rows that rules are learned from, at most; a smaller table is used whole.
 SAMPLE_ROWS = 8192
@@ -188,7 +188,10 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray) -> list[list[Term]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features and marks (quality 0) of at most ``rows`` labelled documents, ordered by hash of the id."""
+    """Features and marks (quality 0) of at most ``rows`` labelled rows, ordered by hashes of id and features.
+
+    An id that is labelled both ways counts as bad (quality 0). Rows that share an id are rows of their own.
+    """
     picked = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id")
@@ -197,9 +200,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
         .limit(rows)
     )
     ids = F.broadcast(picked)  # at most ``rows`` ids
-    found = statistics(docs.join(ids.select("doc_id"), "doc_id", "left_semi")).join(ids, "doc_id")
-    got = found.select("doc_id", "quality", *(c.alias(f"f_{n}") for n, c in features().items())).collect()
-    got.sort(key=lambda r: hash((r["doc_id"] * 2654435761) & 0xFFFFFFFF))
+    some = statistics(docs.join(ids.select("doc_id"), "doc_id", "left_semi")).join(ids, "doc_id")
+    names = [f"f_{n}" for n in FEATURES]
+    found = some.select("doc_id", "quality", *(c.alias(n) for c, n in zip(features().values(), names, strict=True)))
+    # equal rows may come in any order; different ones never do
+    got = found.orderBy(F.xxhash64("doc_id", F.lit("turn")), "doc_id", *names).limit(rows).collect()
     return {f: np.array([r[f"f_{f}"] for r in got], dtype=float) for f in FEATURES}, np.array([r["quality"] == 0 for r in got], dtype=bool)
 
 
@@ -219,8 +224,9 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFr
 
     base_failed: under 50 words, or more than half of the words lie in repeated three-word
     windows. Null and empty texts have no words and fail. Without usable labels the list is
-    empty and only base_failed decides. Equal texts get equal verdicts; columns other than
-    doc_id and text are ignored, whatever their names.
+    empty and only base_failed decides. Equal texts get equal verdicts, repeated rows and ids included; very long texts
+    are counted whole in one row. An empty table gives none. Columns other than doc_id and text are ignored, whatever
+    their names.
     """
     rules = learn(*sample(docs, labels, rows))
     found = statistics(docs).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
@@ -228,8 +234,11 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the documents that ``judge`` rejects, all columns kept, in one pass."""
+    """docs without the documents that ``judge`` rejects, all columns kept, whatever their names, in one pass.
+
+    Null, empty and short texts go; repeated rows stay or go together; an empty table gives none.
+    """
     rules = learn(*sample(docs, labels, rows))
-    row = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text"))
+    row = docs.select(F.struct(*every(docs)).alias("doc_id"), F.col("text"))
     found = statistics(row).where("NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)")
     return found.where(fired(rules) == 0).select("doc_id.*")
