@@ -20,6 +20,7 @@ through the shuffle in packets, one for each slice of rows and bucket of keys, n
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from corvane.llm.wordhash import WordHasher, cut_words
 WINDOW, ANCHOR, MAX_RUNS = 20, 6, 2
 #: Batches that a whole table is fed in; each one meets the runs of those before it.
 BATCHES = 3
-#: Buckets of keys in a packet shuffle, for each partition of a shuffle; rows that a task sorts before it sends packets, for each bucket at least.
-BUCKETS, SLOTS = 4, 1 << 18
+#: Rows that a task sorts before it sends packets, at least.
+SLOTS = 1 << 18
 #: Bytes of text hashed at once.
 SLICE = 1 << 20
 
@@ -159,12 +160,35 @@ def _unpack(blob: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
     return out
 
 
-def _reduced(keys: int, first_only: bool, buckets: int, slots: int = SLOTS):
+def dealt_to(n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark deals there, so that buckets of keys fill all partitions alike.
+
+    Spark's partition of a number is its 32-bit Murmur3 hash, seed 42, modulo n. Where that is not so buckets only meet more often.
+    """
+    found, at = np.full(n, -1, dtype=np.int64), 0
+    while (found < 0).any():
+        v = np.arange(at, at + 4 * n, dtype=np.uint32)
+        k = v * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        part = h.view(np.int32).astype(np.int64) % n
+        found[part[::-1]] = np.where(found[part[::-1]] < 0, v[::-1], found[part[::-1]])
+        at += 4 * n
+    return found.astype(np.int32)
+
+
+def _reduced(keys: int, first_only: bool, deal: np.ndarray, slots: int = SLOTS):
     """Combines equal keys before the shuffle, so that a hot key sends few rows from each task.
 
     Of rows with one key in a slice the first (in order of the other columns) goes on, in the packet of its key's bucket.
-    The others are decided here: they go on in packets of no bucket (-1), as does the first unless ``first_only``.
+    The others are decided here: they go on in packets marked so, dealt by what they hold, as does the first unless ``first_only``.
     """
+    buckets = len(deal)
 
     def flush(parts):
         cols = _sorted(parts)
@@ -175,10 +199,12 @@ def _reduced(keys: int, first_only: bool, buckets: int, slots: int = SLOTS):
         order = np.argsort(bucket, kind="stable")
         bucket, first = bucket[order].astype(np.int32), [c[order] for c in first]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        out = [(int(bucket[a]), _pack([c[a:b] for c in first])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [(int(deal[bucket[a]]), False, _pack([c[a:b] for c in first])) for a, b in zip(cuts, cuts[1:], strict=False)]
         told = [c[again] for c in cols]
-        out += [(-1, _pack([c[at : at + 16384] for c in told])) for at in range(0, len(told[0]), 16384)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "rows"])
+        packets = [_pack([c[at : at + 16384] for c in told]) for at in range(0, len(told[0]), 16384)]
+        out += [(int(deal[zlib.crc32(p) % buckets]), True, p) for p in packets]
+        kinds = (pa.int32(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["bucket", "told", "rows"])
 
     def run(batches):
         parts, size = [], 0
@@ -207,9 +233,9 @@ def _decided(kinds: list[np.dtype], keys: int, first_only: bool, name: str):
     def run(batches):
         now, parts = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, told, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 cols = _unpack(blob, kinds)
-                if bucket < 0:
+                if told:
                     yield _places(cols[keys], cols[keys + 1], name)
                     continue
                 if bucket != now and parts:
@@ -342,12 +368,10 @@ class SubstringIndex:
 
         make turns batches of rows into those with the keys, in the same worker: a second one would hold its memory too.
         """
-        buckets = BUCKETS * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        reduce = tidy(_reduced(keys, first_only, buckets))
-        split = rows.mapInArrow(lambda batches: reduce(make(batches)), "bucket int, rows binary")
-        # packets that belong to no bucket are dealt by what they hold
-        here = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket").cast("long"))
-        dealt = split.repartition(here).sortWithinPartitions("bucket")
+        deal = dealt_to(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        reduce = tidy(_reduced(keys, first_only, deal))
+        split = rows.mapInArrow(lambda batches: reduce(make(batches)), "bucket int, told boolean, rows binary")
+        dealt = split.repartition("bucket").sortWithinPartitions("told", "bucket")
         return dealt.mapInArrow(_decided([np.dtype(k) for k in kinds.split()], keys, first_only, name), f"doc_id long, {name} int")
 
     def _within(self, rows: DataFrame) -> DataFrame:
@@ -356,7 +380,7 @@ class SubstringIndex:
 
     def compact(self) -> None:
         """Merges all runs into one; the old ones go with the next manifest."""
-        self.runs = [self._write_run(self._read(self.runs).repartition("h"))]
+        self.runs = [self._write_run(self._read(self.runs).repartition(F.xxhash64("h", "doc_id")))]  # a frequent h is spread
 
 
 def repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW) -> DataFrame:
