@@ -28,8 +28,8 @@ from corvane.llm.common import materialise
 
 TOP, EVERY = 5, 50
 CURVES, DIMS, BITS, SEED = 8, 6, 8, 3
-#: Vectors in a range, about; sampled keys for each range; vectors that planes are fitted on; sampled queries; queries compared at once.
-RANGE, PER_RANGE, SAMPLE, PROBES, RECALL, TILE = 128, 4, 16_384, 256, 0.96, 256
+#: Vectors in a range, about; ranges at least, so that curves tell something on small tables too; sampled keys for each range; vectors that planes are fitted on; sampled queries; queries compared at once.
+RANGE, LEAST_RANGES, PER_RANGE, SAMPLE, PROBES, RECALL, TILE = 1024, 8, 8, 16_384, 256, 0.96, 256
 #: Curves that are used at least, of ``CURVES``.
 LEAST_CURVES = 2
 
@@ -123,12 +123,13 @@ def _keys(curves: Curves):
 
 
 def cut(curves: Curves, found: DataFrame, n: int, size: int = RANGE) -> Curves:
-    """curves with the cuts of n // size ranges, from about ``PER_RANGE`` keys for each range."""
-    every = max(1, size // PER_RANGE)
+    """curves with the cuts of n // size ranges, ``LEAST_RANGES`` at least, from about ``PER_RANGE`` keys for each range."""
+    many = max(LEAST_RANGES, n // size)
+    every = max(1, n // (PER_RANGE * many))
     some = found.where(F.pmod(F.xxhash64("rep", F.lit("cut")), F.lit(every)) == 0).select("rep", "v")
     schema = ", ".join(f"k{c} long" for c in range(len(curves.planes)))
     keys = np.sort(some.mapInPandas(_keys(curves), schema).toPandas().to_numpy(dtype=np.int64), axis=0)
-    many = max(1, min(n // size, len(keys)))
+    many = max(1, min(many, len(keys)))
     curves.cuts = keys[[len(keys) * i // many for i in range(1, many)]].T if many > 1 else np.empty((len(curves.planes), 0), dtype=np.int64)
     return curves
 
