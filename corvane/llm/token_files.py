@@ -26,6 +26,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -337,23 +338,30 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.size = 0
 
-    def ids(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        cut = [t.split() for t in texts]
-        new = {w for words in cut for w in words if w not in self.known}
-        if self.size > CACHE_BYTES:
-            self.known, self.size = {}, 0
-            new = {w for words in cut for w in words}
-        learn = list(new)
-        for at in range(0, len(learn), LEARN):
-            words = learn[at : at + LEARN]
-            for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), LEARN):
+            some = words[at : at + LEARN]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[w] = found = array("H", e.ids).tobytes()
                 self.size += len(w) + len(found) + ENTRY
-        last = np.array([end], dtype="<u2").tobytes()
-        return [np.frombuffer(b"".join([*map(self.known.__getitem__, words), last]), dtype="<u2") for words in cut]
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text with its end, all these ids): words are told apart by Arrow, so Python sees each different one once."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
+        self._learn([w for w in words if w not in self.known])
+        blobs = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 2
+        table = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(blobs), dtype="<u2")))
+        flat = table.take(coded.indices).flatten().to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(sizes[at])][lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]]
+        return np.diff(ends, prepend=0) + 1, np.insert(flat, ends, end)
 
 
 @lru_cache(2)
@@ -364,25 +372,39 @@ def _words(path: str) -> WordTokens:
 
 def _write(path: str, end: int):
     def run(batches):
-        tokens, doc_ids, ids, size = _words(path), [], [], 0
-        made = count(TaskContext.get().partitionId() << 32)
+        tokens, made = _words(path), count(TaskContext.get().partitionId() << 32)
+        doc_ids, counts, ids, size = [], [], [], 0
+        held, held_bytes = [], 0
+
+        def encode():
+            nonlocal held, held_bytes, size
+            n, flat = tokens.ids(pa.concat_arrays(held), end)
+            counts.append(n)
+            ids.append(flat)
+            size += held_bytes
+            held, held_bytes = [], 0
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
                 doc_ids += part.column(0).to_pylist()
-                ids += tokens.ids(texts, end)
-                size += sum(map(len, texts))
+                held.append(part.column(1))
+                held_bytes += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+                if held_bytes >= FILE_BYTES // 4:
+                    encode()
                 if size >= FILE_BYTES:
-                    yield _file(next(made), doc_ids, ids)
-                    doc_ids, ids, size = [], [], 0
-        if ids:
-            yield _file(next(made), doc_ids, ids)
-
-    def _file(nth, doc_ids, ids):
+                    yield _file(next(made), doc_ids, counts, ids)
+                    doc_ids, counts, ids, size = [], [], [], 0
+        if held:
+            encode()
+        if doc_ids:
+            yield _file(next(made), doc_ids, counts, ids)
+
+    def _file(nth, doc_ids, counts, ids):
         known = np.array([-1 if d is None else d for d in doc_ids], dtype=np.int64)
-        data = pack(known, np.array([len(i) for i in ids]), np.concatenate(ids))
-        row = (nth, len(ids), sum(map(len, ids)), doc_ids.count(None))
+        n, flat = np.concatenate(counts), np.concatenate(ids)
+        data = pack(known, n, flat)
+        row = (nth, len(doc_ids), len(flat), doc_ids.count(None))
         return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row), pa.array([data], pa.binary())], names=["nth", "docs", "tokens", "unnamed", "data"])
 
     return tidy(run)
@@ -454,6 +476,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes docs as token files, reads these back and returns one row for each row of docs, as ``read_files``.
 
     Null and empty texts are only the end id. Repeated rows come one after another in order of
-    text; an empty table gives an empty result. Other columns are ignored.
+    text, rows without doc_id last; a very long text is encoded whole and may make its file longer. An empty table gives
+    an empty result. Other columns are ignored.
     """
     return read_files(docs.sparkSession, write_files(docs, path))
