@@ -206,8 +206,9 @@ class Codec:
         if not self.segments:
             got = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
             want = self.peer.encode([t.decode() for t in texts], num_threads=1)
-            self.odd += sum(a != b for a, b in zip(got, want, strict=True))
-            return [np.array(x, dtype=np.int32) for x in want]
+            odd = [a != b for a, b in zip(got, want, strict=True)]
+            self.odd += sum(odd)
+            return [np.array(b if o else a, dtype=np.int32) for a, b, o in zip(got, want, odd, strict=True)]
         cut = [_cut(t) for t in texts]
         seen = set().union(*cut)
         new = seen.difference(self.known)
@@ -273,7 +274,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     round_trip: decoding the ids gives back the normalised text. mended: segments of the
     row's batch for which the rebuilt tokenizer differed from the original library, whose ids were then
-    taken. Null and empty texts have no ids. Equal texts have equal ids; other columns are ignored.
+    taken. Null and empty texts have no ids. Equal texts have equal ids, and rows that repeat come as often as they are; a very
+    long text is encoded whole, in one task. An empty table gives none; other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids array<int>, round_trip boolean, mended long"

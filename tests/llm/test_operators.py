@@ -238,16 +238,6 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    good = quality_rules.keep_good(docs, labels)
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in simhash.keep_one(good).collect()}
-
-
 def test_substring_sql(spark):
     from compare import connection, difference
 
