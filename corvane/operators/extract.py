@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import hooks
 from corvane.operators.classify import extractor_for, hits
 
 # Patterns and cascades.
@@ -247,3 +248,28 @@ def dispatch(df: DataFrame, category: str = "category", text: str = "text") -> D
         part = full.select(*rows.columns, valid(full).alias("valid"), F.to_json(F.struct(*added)).alias("entities"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+#: What a model is asked for.
+STRUCTURE = "classification string, parties array<string>, articles_cites array<string>, dates_importantes array<string>, resume string, mots_cles array<string>"
+
+
+def structured(df: DataFrame, hook=None, text: str = "text", path: str = "context_path", chars: int = 3000) -> DataFrame:
+    """Adds structured (the six fields), from_model and classification: a model's JSON for the first characters of a text and its folder.
+
+    hook gives JSON, fenced or not, for each of a list of prompts. Without a hook, or where it gives nothing, articles and dates come from
+    ``entities`` and the classification is Inconnu.
+    """
+    prompt = F.concat(F.lit("Contexte: "), F.coalesce(path, F.lit("")), F.lit("\nTexte: "), F.substring(F.coalesce(text, F.lit("")), 1, chars))
+    rows = df.withColumn("_prompt", prompt)
+    rows = hooks.apply(rows, "_prompt", hook, "_told", "string") if hook else rows.withColumn("_told", F.lit(None).cast("string"))
+    told = F.from_json(T.sanitise_json("_told"), STRUCTURE)
+    t = F.coalesce(F.col(text), F.lit(""))
+    none = F.array().cast("array<string>")
+    plain = F.struct(
+        F.lit("Inconnu").alias("classification"), none.alias("parties"), every(t, ARTICLE, 10).alias("articles_cites"), every(t, DATE, 5).alias("dates_importantes"),
+        F.lit("").alias("resume"), none.alias("mots_cles"),
+    )
+    out = rows.withColumn("_got", told).withColumn("from_model", F.coalesce(F.col("_got.classification").isNotNull(), F.lit(False)))
+    out = out.withColumn("structured", F.when(F.col("from_model"), F.col("_got")).otherwise(plain))
+    return out.withColumn("classification", F.col("structured.classification")).drop("_prompt", "_told", "_got")

@@ -316,3 +316,24 @@ def report_summary(spark, d):
 @query("SELECT * FROM (VALUES ('adversarial', 2::BIGINT), ('standard', 3)) AS v(suite, n)")
 def builtin_cases(spark, d):
     return evaluation.cases(spark).groupBy("suite").agg(F.count(F.lit(1)).alias("n"))
+
+
+# questions that ask for the graph
+
+
+def _triggered(spark, d):
+    asks = samples.table(spark, "asks")
+    wants = classify.analyse(classify.graph_trigger(asks)).where("use_graph OR wants_graph")
+    law = samples.table(spark, "law").select(F.col("chunk_id").alias("doc_id"), "text")
+    asked = graph.mentions(wants.select(F.col("query_id").alias("doc_id"), "text"), 4).withColumnRenamed("doc_id", "query_id")
+    return graph.context(wants.select("query_id"), asked, graph.edges(graph.mentions(law, 4), 1), "local")
+
+
+@query(
+    f"""{_ASKS}, {samples.cte('law')}, w AS (SELECT query_id, text FROM asks WHERE query_id IN ({{ids}})), qm AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(text), '\\p{{{{L}}}}+'), lambda x: length(x) >= 4)) AS entity FROM w),
+    me AS (SELECT DISTINCT chunk_id AS doc_id, unnest(list_filter(regexp_extract_all(lower(text), '\\p{{{{L}}}}+'), lambda x: length(x) >= 4)) AS entity FROM law), ed AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM me a JOIN me b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2),
+    bo AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed), nr AS (SELECT DISTINCT query_id, entity AS seed, dst AS neighbour, weight FROM qm JOIN bo ON src = entity), on1 AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY query_id, least(seed, neighbour), greatest(seed, neighbour) ORDER BY seed) = 1)
+    SELECT query_id, seed, neighbour, weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, seed, neighbour) AS INT) AS rnk FROM on1 QUALIFY rnk <= 10""".format(ids="1, 2, 3, 7, 13, 15, 24")
+)
+def triggered_graph(spark, d):
+    return _triggered(spark, d)

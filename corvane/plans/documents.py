@@ -282,3 +282,43 @@ def spell_fix(spark, d):
     asked = known.where("contains(word, 'e')").select(F.replace("word", F.lit("e"), F.lit("x")).alias("typed"))
     fixed = classify.correct_words(asked.select(F.col("typed").alias("id"), F.col("typed").alias("text")), known)
     return fixed.select(F.col("id").alias("typed"), F.col("text").alias("corrected"))
+
+
+_ARA = ARA.format("text")
+
+
+@query(
+    f"""WITH {samples.cte('asks')}, {samples.cte('rulings')}, t AS (SELECT query_id, text FROM asks UNION ALL SELECT 1000 + CAST(substr(id, 2) AS BIGINT), text FROM rulings)
+    SELECT query_id, CASE WHEN {_ARA} > 0.5 THEN 'ar' WHEN {_ARA} > 0.1 THEN 'mixed' ELSE 'fr' END AS of_page, CASE WHEN {_ARA} > 0.3 THEN 'ar' WHEN {_ARA} > 0.1 THEN 'mixed' ELSE 'fr' END AS of_document,
+    CASE WHEN {_ARA} > 0.3 THEN 'ar' ELSE 'fr' END AS of_question FROM t"""
+)
+def language_thresholds(spark, d):
+    more = _rulings(spark).select((1000 + F.substring("id", 2, 9).cast("long")).alias("query_id"), "text")
+    rows = samples.table(spark, "asks").unionByName(more)
+    return rows.select("query_id", T.language("text", 0.5, 0.1).alias("of_page"), T.language("text", 0.3, 0.1).alias("of_document"), T.language("text", 0.3).alias("of_question"))
+
+
+@query(f"{_R} SELECT id, replace(replace(replace(regexp_replace(text, '([0-9])[ ]+([0-9]{{3}})', '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS text FROM r UNION ALL SELECT 'x', '102 30 1000'")
+def repaired_numbers(spark, d):
+    rows = _rulings(spark).select("id", F.coalesce("text", F.lit("")).alias("text")).unionByName(spark.createDataFrame([("x", "١٠٢ 30 1 000")], "id string, text string"))
+    return rows.select("id", T.repair_numbers("text").alias("text"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'ete  cafe'), (2, 'fin 2'), (3, '')) AS v(id, key)")
+def plain_keys(spark, d):
+    rows = spark.createDataFrame([(1, "Été  «Café»!"), (2, "ﬁn ②"), (3, None)], "id long, text string")
+    return rows.select("id", T.plain_key("text").alias("key"))
+
+
+@query(f"WITH {samples.cte('answers')} SELECT id, CASE id WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN '{{\"b\":[1,2]}}' ELSE '{{}}' END AS value FROM answers")
+def parsed_json(spark, d):
+    return samples.table(spark, "answers").select("id", F.to_json(T.parse_json("text")).alias("value"))
+
+
+_DOC_ENTITIES = f"array_to_string(({_distinct(_all(extract.ARTICLE))})[1:10], '|') AS articles, array_to_string(({_distinct(_all(extract.DATE))})[1:5], '|') AS dates"
+
+
+@query(f"{_R} SELECT id, false AS from_model, 'Inconnu' AS classification, {_DOC_ENTITIES} FROM r")
+def structured_fallback(spark, d):
+    rows = extract.structured(_rulings(spark), path="path")
+    return rows.select("id", "from_model", "classification", F.array_join("structured.articles_cites", "|").alias("articles"), F.array_join("structured.dates_importantes", "|").alias("dates"))
