@@ -7,8 +7,8 @@ number of epochs. Every document gets a pseudo-random place in its source's perm
 epochs take all of it, the last one a prefix that meets the budget. Place and epoch name a
 block of the mixed stream, so every block holds the sources in the target weights.
 
-The text is never shuffled to decide this: per source only totals, and the block in which the
-last epoch ends, are looked at.
+The text is never shuffled to decide this: words are counted once into a table of (source, words, place), of which per
+source only totals, and ever smaller blocks of places around the end of the last epoch, are looked at.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corvane.llm.common import WORD, every
+from corvane.llm.common import WORD, discard, every, materialise
 
 #: No source is read more often than this; with the default budget the least repeated is read once.
 MAX_EPOCHS = 1.5
-#: Blocks of a source's permutation (a power of two) and blocks of the mixed stream.
-PLACES, BLOCKS, SEED = 1024, 256, 17
+#: Blocks into which a part of a source's permutation is cut (a power of two), blocks of the
+#: mixed stream, sources at most (they are names of data sets, and each has a row on the driver).
+PLACES, BLOCKS, SEED, MOST_SOURCES = 1024, 256, 17, 100_000
 
 
 @dataclass(frozen=True)
@@ -90,40 +90,49 @@ def _placed(docs: DataFrame) -> DataFrame:
     )
 
 
-def source_tokens(docs: DataFrame) -> dict:
-    """Words of each source; sources are names of data sets, few beside the documents."""
-    found = _placed(docs).groupBy("source").agg(F.sum("_n").alias("n")).collect()
+def _totals(slim: DataFrame) -> dict:
+    found = slim.groupBy("source").agg(F.sum("_n").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     return {r["source"]: r["n"] for r in found}
 
 
-def _ends(docs: DataFrame, plan: Plan) -> dict:
-    """For each source the place at which its last, partial epoch ends."""
-    part = {s: (e - math.floor(e)) * plan.tokens[s] for s in plan.tokens if (e := plan.epochs(s)) - math.floor(e) > 1e-9}
+def source_tokens(docs: DataFrame) -> dict:
+    """Words of each source."""
+    return _totals(_placed(docs))
+
+
+def _ends(slim: DataFrame, plan: Plan) -> dict:
+    """For each source the place at which its last, partial epoch ends.
+
+    The permutation is cut into ``PLACES`` blocks, then the block in which the end lies, and so on, until it
+    holds one place only. Every step is one sum by block, combined before the shuffle.
+    """
     ends = dict.fromkeys(plan.tokens, 0)
-    if not part:
-        return ends
-    shift = 63 - int(math.log2(PLACES))
-    placed = _placed(docs).select("source", "_n", "_u", F.shiftright("_u", shift).alias("b"))
-    blocks: dict = {}
-    for r in placed.groupBy("source", "b").agg(F.sum("_n").alias("n")).collect():  # PLACES rows a source at most
-        blocks.setdefault(r["source"], []).append((r["b"], r["n"]))
-    last, before = {}, {}
-    for s, want in part.items():
-        done = 0
-        for b, n in sorted(blocks[s]):
-            if done + n >= want:
-                last[s], before[s] = b, done
-                break
-            done += n
-    rest = docs.sparkSession.createDataFrame(
-        [(s, b, float(part[s] - before[s])) for s, b in last.items()], "source string, b long, want double"
-    )
-    same = placed.source.eqNullSafe(rest.source) & (placed.b == rest.b)
-    near = placed.join(F.broadcast(rest), same).select(placed.source, "_u", "_n", "want")
-    running = Window.partitionBy("source").orderBy("_u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = near.select("source", "_u", "want", (F.sum("_n").over(running)).alias("sum"))
-    for r in cut.where("sum >= want").groupBy("source").agg(F.min("_u").alias("u")).collect():
-        ends[r["source"]] = r["u"] + 1
+    want = {s: (e - math.floor(e)) * plan.tokens[s] for s in plan.tokens if (e := plan.epochs(s)) - math.floor(e) > 1e-9}
+    step, bits = int(math.log2(PLACES)), 63
+    inside = {s: (0, 0) for s in want}  # the first place of the block, words before it
+    while inside:
+        bits = max(0, bits - step)
+        low = slim.sparkSession.createDataFrame([(s, p) for s, (p, _) in inside.items()], "s string, low long")
+        same = slim.source.eqNullSafe(low.s) & (slim._u >= low.low) & (slim._u - low.low < (1 << min(62, bits + step)))
+        near = slim.join(F.broadcast(low), same) if bits + step < 63 else slim.join(F.broadcast(low), slim.source.eqNullSafe(low.s))
+        block = F.shiftright(F.col("_u") - F.col("low"), bits)
+        sums = near.groupBy("source", block.alias("b")).agg(F.sum("_n").alias("n"), F.min("_u").alias("first"), F.max("_u").alias("last"))
+        found: dict = {}
+        for r in sums.collect():  # PLACES rows a source at most
+            found.setdefault(r["source"], []).append((r["b"], r["n"], r["first"], r["last"]))
+        left = {}
+        for s, (p, done) in inside.items():
+            for b, n, first, last in sorted(found.get(s, [])):
+                if done + n >= want[s]:
+                    if first == last:
+                        ends[s] = last + 1
+                    else:
+                        left[s] = (p + (b << bits), done)
+                    break
+                done += n
+        inside = left
     return ends
 
 
@@ -136,8 +145,10 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_epochs: float
     (null, empty) cost nothing and are read once in each epoch begun; documents with the same
     id go together; an empty table gives none.
     """
-    plan = make_plan(source_tokens(docs), target_entropy, max_epochs, budget)
-    ends = _ends(docs, plan)
+    slim = materialise(_placed(docs).select("source", "_n", "_u"), "places")
+    plan = make_plan(_totals(slim), target_entropy, max_epochs, budget)
+    ends = _ends(slim, plan)
+    discard(slim)
     table = docs.sparkSession.createDataFrame(
         [(s, plan.weights[s], float(plan.epochs(s)), int(math.floor(plan.epochs(s) + 1e-9)), int(ends[s])) for s in plan.tokens],
         "source string, weight double, epochs double, whole int, until long",
