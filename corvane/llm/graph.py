@@ -17,9 +17,9 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _apart(least: DataFrame) -> DataFrame:
-    """least, dealt once more by u: a join whose sides are bare shuffles is split where a node has very many neighbours,
-    one that stands on an aggregate by the same key is not."""
-    return least.repartition("u")
+    """least, dealt anew, so that its join by u has a shuffle of its own: such a join is split where a node has very many
+    neighbours, one that stands on an aggregate by the same key is not. (Dealing by u itself would be optimized away.)"""
+    return least.repartition(F.xxhash64("u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
