@@ -345,9 +345,10 @@ class SubstringIndex:
         texts = batch.select("doc_id", "text")
         if history:
             old = self._read(history)
-            # dealt once more: a join between bare shuffles is split where a fingerprint is frequent
-            known = old.join(new.select("h").distinct().repartition("h"), "h", "left_semi")
-            again = new.join(old.select("h").distinct().repartition("h"), "h", "left_semi")
+            # dealt anew (by something else than h, which would be optimized away), so that the joins have shuffles of
+            # their own: those are split where a fingerprint is frequent
+            known = old.join(new.select("h").distinct().repartition(F.xxhash64("h")), "h", "left_semi")
+            again = new.join(old.select("h").distinct().repartition(F.xxhash64("h")), "h", "left_semi")
             hits = hits.unionByName(known.unionByName(again).select("doc_id", "pos"))
             texts = store.select("doc_id", "text").unionByName(texts)
         at = materialise(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "met")
