@@ -357,3 +357,12 @@ def cancel_appointments(spark, d):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_events(spark, d):
     return stream.windowed(_t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, k"""
+)
+def event_sessions(spark, d):
+    found = stream.sessions(_t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
