@@ -13,6 +13,27 @@ BLANKS = r"[ \t\n\r\f]+"
 ARABIC = r"[\x{0600}-\x{06FF}]"
 
 
+#: Every blank of Unicode and every decimal digit, as both are spelled out where a pattern says ``\\s`` or ``\\d``.
+BLANK_SET = r"\t\n\x0B\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+DIGIT_SET = r"\p{Nd}"
+
+
+def wide(pattern: str) -> str:
+    """A pattern whose ``\\s`` and ``\\d`` are blanks and digits of any script (engines take them for ASCII only)."""
+    out, within, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two in (r"\s", r"\d"):
+            known = BLANK_SET if two == r"\s" else DIGIT_SET
+            out.append(known if within or two == r"\d" else f"[{known}]")
+        else:
+            two = two if two[0] == "\\" else two[0]
+            within = two == "[" or within and two != "]"
+            out.append(two)
+        at += len(two)
+    return "".join(out)
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -129,7 +150,7 @@ REPLACEMENTS = (
 
 def expand_question(c) -> Column:
     """One or two variants of a question: normalised, and with a word added that usually goes with it."""
-    q = F.regexp_replace(F.lower(_col(c)), r"\b(art|art\.|article)\b[ \t\n\r\f]*([0-9]+)", "article $2")
+    q = F.regexp_replace(F.lower(_col(c)), wide(r"\b(art|art\.|article)\b\s*(\d+)"), "article $2")
     for a, b in REPLACEMENTS:
         q = F.replace(q, F.lit(a), F.lit(b))
     q = F.trim(q)
@@ -142,7 +163,7 @@ def expand_question(c) -> Column:
 
 
 def repair_numbers(c) -> Column:
-    return F.translate(F.regexp_replace(_col(c), r"([0-9])[ ]+([0-9]{3})", "$1$2"), "٠١٢", "012")
+    return F.translate(F.regexp_replace(_col(c), wide(r"(\d)\s+(\d{3})"), "$1$2"), "٠١٢", "012")
 
 
 def strip_markdown(c) -> Column:

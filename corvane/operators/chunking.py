@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import chunk_uid, normalize, short_sha, tokens_by_chars
+from corvane.functions.text import BLANK_SET, DIGIT_SET, chunk_uid, normalize, short_sha, tokens_by_chars
 from corvane.operators import extract
 from corvane.operators.vector import cosine
 from corvane.settings import SETTINGS
@@ -36,7 +36,8 @@ def pieces(docs: DataFrame, size: int = 600 * 4) -> DataFrame:
 
 def _python(pattern: str) -> re.Pattern:
     """A pattern of ``extract`` for Python's engine, which has no Unicode classes."""
-    return re.compile(pattern.replace("(?iu)", "").replace("[\\p{L}\\p{N}_]", "\\w").replace("\\x{0600}-\\x{06FF}", "؀-ۿ"), re.IGNORECASE)
+    plain = pattern.replace("(?iu)", "").replace(f"[{BLANK_SET}]", "\\s").replace(DIGIT_SET, "\\d")
+    return re.compile(plain.replace("[\\p{L}\\p{N}_]", "\\w").replace("\\x{0600}-\\x{06FF}", "؀-ۿ"), re.IGNORECASE)
 
 
 _HEADER, _NUMBER = _python(extract.HEADER), _python(extract.NUMBER)

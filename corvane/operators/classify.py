@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import language, words
+from corvane.functions.text import language, wide, words
 
 # Keyword and pattern lists of the classifiers.
 COMPLEX = {
@@ -33,15 +33,16 @@ RELATIONAL = {
         "لماذا", "كيف", "حلل", "تلخيص",
     ],
 }
-FACTUAL = r"^(quel[ ]+est[ ]+l'article|article[ ]+[0-9]+|définition|qu'est-ce|c'est[ ]+quoi|donne[ ]+moi|cite)"
-MULTI_HOP = r"article[ ]+[0-9]+.+article[ ]+[0-9]+|(code|loi).+(code|loi)|(bail|contrat|vente).+(obligations|pénal|civil)"
+FACTUAL = wide(r"^(quel\s+est\s+l'article|article\s+\d+|définition|qu'est-ce|c'est\s+quoi|donne\s+moi|cite)")
+MULTI_HOP = wide(r"article\s+\d+.+article\s+\d+|(code|loi).+(code|loi)|(bail|contrat|vente).+(obligations|pénal|civil)")
 DEFINITION = r"^(qu'est-ce que|définition|c'est quoi|ما هو|تعريف)"
 #: Questions that need no hypothetical answer, tested without punctuation.
-GATE = (
-    r"^(quel(le)?s?[ ]+est[ ]+(l[' ])?article|article[ ]+[0-9]+|définition[ ]+de|qu[' ]est[- ]ce[ ]+que"
-    r"|المادة[ ]+[0-9]+|ما[ ]+هو[ ]+تعريف|من[ ]+هو|cite(z)?[ ]+|donne(z)?[ ]+moi)"
+GATE = wide(
+    r"^(quel(le)?s?\s+est\s+(l[' ])?article|article\s+\d+|définition\s+de|qu[' ]est[- ]ce\s+que"
+    r"|المادة\s+\d+|ما\s+هو\s+تعريف|من\s+هو|cite(z)?\s+|donne(z)?\s+moi)"
 )
-ARTICLE_REFERENCE = r"(?:art\.?|article|المادة)[ \t\n\r\f]*[.\-]?[ \t\n\r\f]*([0-9]+)"
+ARTICLE_REFERENCE = wide(r"(?:art\.?|article|المادة)\s*[.\-]?\s*(\d+)")
+ARTICLE_COUNT = wide(r"art(?:icle)?[.\s]*\d+")
 APPOINTMENT = r"(rdv|rendez-vous|appointment|date|réserver|book|fixer)"
 MODE_TYPES = {"penal": ["articles_cp", "articles_cpp", "gravite", "peine"], "civil": ["articles_coc", "parties", "montants"]}
 MODE_WORDS = {
@@ -126,7 +127,7 @@ def _length_points(n: Column) -> Column:
 def route(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds route_score, mode, top_k, confidence, use_hypothesis, use_graph and reason."""
     t, q = F.col(text), F.trim(F.lower(F.col(text)))
-    articles, codes = F.regexp_count(q, F.lit(r"art(?:icle)?[. ]*[0-9]+")), F.regexp_count(q, F.lit("code|loi|décret"))
+    articles, codes = F.regexp_count(q, F.lit(ARTICLE_COUNT)), F.regexp_count(q, F.lit("code|loi|décret"))
     points = _length_points(F.size(words(q))) + 1.5 * _by_language(t, q, COMPLEX)
     points = points + F.when((articles >= 2) | (codes >= 2), 1.0).when(articles >= 1, 0.3).otherwise(0.0)
     s, n = F.col("route_score"), F.size(words(q))
@@ -186,7 +187,7 @@ def analyse(df: DataFrame, text: str = "text") -> DataFrame:
                 "n_words": F.size(words(t)),
                 "is_definition": q.rlike(DEFINITION),
                 "is_procedural": hits(q, PROCEDURAL) > 0,
-                "is_precise": t.rlike("[0-9]") & q.rlike("art|المادة"),
+                "is_precise": t.rlike(wide(r"\d")) & q.rlike("art|المادة"),
             }
         )
         .withColumn("strategy", strategy)
@@ -256,9 +257,9 @@ def request_language(c: Column) -> Column:
     return F.when(low.startswith("ar") | (low == "عربية"), "ar").when(low.startswith("en"), "en").otherwise("fr")
 
 
-def _points(kind: str, weight: float, patterns: list[str], head: Column, name: Column) -> tuple[Column, Column]:
-    """Score and signals of one document type."""
-    found = [(head.rlike(f"(?iu){p}"), weight / len(patterns), p[:40]) for p in patterns]
+def _points(kind: str, weight: float, patterns: list[str], met: list[Column], name: Column) -> tuple[Column, Column]:
+    """Score and signals of one document type; met: which of its patterns occur."""
+    found = [(hit, weight / len(patterns), p[:40]) for hit, p in zip(met, patterns, strict=True)]
     found += [(F.contains(name, F.lit(h)), 0.15, f"filename:{h}") for h in NAME_HINTS.get(kind, [])]
     score = reduce(lambda a, b: a + b, [F.when(hit, F.lit(w)).otherwise(F.lit(0.0)) for hit, w, _ in found])
     return F.least(F.lit(1.0), score), F.array_compact(F.array(*(F.when(hit, F.lit(s)) for hit, _, s in found)))
@@ -267,17 +268,24 @@ def _points(kind: str, weight: float, patterns: list[str], head: Column, name: C
 def detect_type(df: DataFrame, text: str = "text", file_name: str | None = None) -> DataFrame:
     """Adds doc_type, type_confidence, category, doc_lang, signals (five at most) and type_scores.
 
-    Weighted patterns of the first 3000 characters, and hints in the file name, make a type's score. Every pattern is
-    a literal of the plan, compiled once. Ties go to the type declared first; scores are rounded at the end only.
+    Weighted patterns of the first 3000 characters, and hints in the file name, make a type's score. Only the patterns of the
+    text's language are tried, each once: scores and signals read the array of what occurs. Ties go to the type declared first; scores are rounded at the end only.
     A penal word in the first 2000 characters makes the category Pénal. Null texts count as empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     head, lang = F.substring(t, 1, 3000), language(t, 0.3, 0.1)
     name = F.lower(F.coalesce(F.col(file_name), F.lit(""))) if file_name else F.lit("")
-    found = []
+    french, arabic = ([p for kind in TYPES.values() for p in kind[k]] for k in (2, 3))
+    met = [F.array(*(head.rlike("(?iu)" + wide(p)) for p in ps)) for ps in (arabic, french)]
+    df = df.withColumn("_lang", lang).withColumn("_met", F.when(F.col("_lang") == "ar", met[0]).otherwise(met[1]))
+    found, at = [], [0, 0]
     for i, (kind, (weight, category, fr, ar)) in enumerate(TYPES.items()):
-        (a_score, a_signals), (f_score, f_signals) = _points(kind, weight, ar, head, name), _points(kind, weight, fr, head, name)
-        score, signals = F.when(lang == "ar", a_score).otherwise(f_score), F.when(lang == "ar", a_signals).otherwise(f_signals)
+        (a_score, a_signals), (f_score, f_signals) = (
+            _points(kind, weight, ps, [F.get("_met", F.lit(begin + k)) for k in range(len(ps))], name) for ps, begin in zip((ar, fr), at, strict=True)
+        )
+        at = [at[0] + len(ar), at[1] + len(fr)]
+        is_arabic = F.col("_lang") == "ar"
+        score, signals = F.when(is_arabic, a_score).otherwise(f_score), F.when(is_arabic, a_signals).otherwise(f_signals)
         found.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(kind).alias("t"), F.lit(category).alias("c"), signals.alias("w")))
     out = df.withColumn("_all", F.array(*found)).withColumn("_best", F.array_max(F.transform("_all", lambda x: F.struct(x["s"], x["o"], x["t"], x["c"], x["w"]))))
     known = (F.col("_best.s") >= 0.1) & (t != "")
@@ -289,11 +297,11 @@ def detect_type(df: DataFrame, text: str = "text", file_name: str | None = None)
             "doc_type": F.when(known, F.col("_best.t")).otherwise("Inconnu"),
             "type_confidence": F.when(known, F.round("_best.s", 3)).otherwise(0.0),
             "category": F.when(known & penal, "Pénal").when(known, F.col("_best.c")).otherwise("Général"),
-            "doc_lang": F.when(t == "", "fr").otherwise(lang),
+            "doc_lang": F.when(t == "", "fr").otherwise(F.col("_lang")),
             "signals": F.when(known, F.slice("_best.w", 1, 5)).when(t == "", F.array(F.lit("Texte vide"))).otherwise(F.array(F.lit("Aucun pattern trouvé"))),
             "type_scores": F.when(known, F.map_from_entries(positive)).otherwise(none),
         }
-    ).drop("_all", "_best")
+    ).drop("_all", "_best", "_lang", "_met")
 
 
 def detector_accuracy(cases: DataFrame) -> DataFrame:

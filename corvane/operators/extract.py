@@ -6,26 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions.text import wide
 from corvane.operators import hooks
 from corvane.operators.classify import extractor_for, hits
 
 # Patterns and cascades.
-ARTICLE = r"(?iu)(Art(?:icle)?\.?[ ]*[0-9]+|(?:المادة|الفصل|الباب)[ ]*[0-9]+)"
-DATE = r"\b([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})\b"
-AMOUNT = r"(?iu)([0-9][0-9 ,.]*)[ ]*(?:TND|DT|دينار|dinars?)"
-NUMBER = r"(?iu)(?:Article|Art\.?|المادة|الفصل)[ ]*(?:n°|numéro|number|رقم)?[ ]*([0-9]+)"
-HEADER = r"(?iu)^((CHAPITRE|chapter|SECTION|TITRE|title)[ ]+[\p{L}\p{N}_]+|(ARTICLE|art\.?|المادة)[ ]+[0-9]+|[\x{0600}-\x{06FF}]{3,20}[ ]*$)"
-CP = r"(?iu)Art\.?[ ]*([0-9]+)[ ]*du[ ]*Code[ ]*pénal"
-CPP = r"(?iu)Art\.?[ ]*([0-9]+)[ ]*du[ ]*Code[ ]*de[ ]*procédure[ ]*pénale"
-TRIBUNAL = r"(?iu)(Tribunal[ ]+(?:de[ ]+)?(?:Première[ ]+Instance|d'Instance|de[ ]+Sfax|Tunis|Ariana))"
-PAGE = r"(?i)\bPage[ ]+[0-9]+\b"
-MONEY = r"[0-9][0-9 \t\n\r\f.,]*(?:DT|TND|دينار|dinars?)"
-MONEY_PARTS = r"(?iu)^([0-9][0-9 \t\n\r\f.,]*)(DT|TND|دينار|dinars?)$"
+ARTICLE = wide(r"(?iu)(Art(?:icle)?\.?\s*\d+|(?<![\p{L}\p{N}_])(?:المادة|الفصل|الباب)\s*\d+)")
+DATE = wide(r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\b")
+AMOUNT = wide(r"(?iu)(\d[\d\s,.]*)\s*(?:TND|DT|دينار|dinars?)")
+NUMBER = wide(r"(?iu)(?:Article|Art\.?|المادة|الفصل)\s*(?:n°|numéro|number|رقم)?\s*(\d+)")
+HEADER = wide(r"(?iu)^((CHAPITRE|chapter|SECTION|TITRE|title)\s+[\p{L}\p{N}_]+|(ARTICLE|art\.?|المادة)\s+\d+|[\x{0600}-\x{06FF}]{3,20}\s*$)")
+CP = wide(r"(?iu)Art\.?\s*(\d+)\s*du\s*Code\s*pénal")
+CPP = wide(r"(?iu)Art\.?\s*(\d+)\s*du\s*Code\s*de\s*procédure\s*pénale")
+TRIBUNAL = wide(r"(?iu)(Tribunal\s+(?:de\s+)?(?:Première\s+Instance|d'Instance|de\s+Sfax|Tunis|Ariana))")
+PAGE = wide(r"(?i)\bPage\s+\d+\b")
+MONEY = wide(r"\d[\d\s.,]*(?:DT|TND|دينار|dinars?)")
+MONEY_PARTS = wide(r"(?iu)^(\d[\d\s.,]*)(DT|TND|دينار|dinars?)$")
 PARTIES = (
-    r"(?iu)Entre[ ]*:?[ ]*([\p{L}\p{M}\p{N}_ \t\n\r\f]+?)(?:,|et|;)",
-    r"(?iu)(?:Promettant|Promettante)[ ]*:?[ ]*([^\n]+)",
-    r"(?iu)(?:Vendeur|Acheteur|Locator|Preneur)[ ]*:?[ ]*([^\n,]+)",
-    r"(?iu)الطرف[ ]+(?:الأول|الثاني)[ ]*:?[ ]*([^\n]+)",
+    wide(r"(?iu)Entre\s*:?\s*([\p{L}\p{M}\p{N}_\s]+?)(?:,|et|;)"),
+    wide(r"(?iu)(?:Promettant|Promettante)\s*:?\s*([^\n]+)"),
+    wide(r"(?iu)(?:Vendeur|Acheteur|Locator|Preneur)\s*:?\s*([^\n,]+)"),
+    wide(r"(?iu)الطرف\s+(?:الأول|الثاني)\s*:?\s*([^\n]+)"),
 )
 TRANSACTIONS = {
     "vente_immobiliere": ["vente", "بيع", "شراء", "acte authentique"],
@@ -35,20 +36,20 @@ TRANSACTIONS = {
     "travail": ["contrat de travail", "عقد عمل", "salarié"],
 }
 CITIES = ["Tunis", "Sfax", "Sousse", "Ariana", "Ezzahra", "تونس", "صفاقس", "سوسة"]
-DUTY = r"(?iu)(?:doit|s'engage|obligé| obliged|ملزم|يلتزم)[ \t\n\r\f]+([^.]+)"
-TELLING = r"[0-9]|DT|دينار|Article"
-CONTRACT_DATE = r"(?iu)([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{1,2}[ ]+(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)[ ]+[0-9]{4})"
-COC = r"(?iu)Art\.?[ ]*([0-9]+)[ ]*(?:du[ ]+)?Code[ ]+(?:des[ ]+obligations|des[ ]+contrats|civil)"
-GOODS = r"(?iu)(appartement|terrain|immeuble|voiture|véhicule|معدات|bien[ ]+immobilier)"
-DURATION = r"(?iu)([0-9]+[ ]*(?:année|an|mois|jour|سنة|شهر|يوم)s?)"
-PLAINTIFFS = (r"(?iu)(?: demandeur|مطالب|المدعي)s?[ ]*:?[ ]*([^\n,]+)", r"(?iu)(?:appelant|طاعن)s?[ ]*:?[ ]*([^\n,]+)")
-DEFENDANTS = (r"(?iu)(?:défendeur|مدعى[ ]+عليه|مطلوب[ ]+ضده)s?[ ]*:?[ ]*([^\n,]+)", r"(?iu)(?:intimé|معني|المحكوم[ ]+عليه)s?[ ]*:?[ ]*([^\n,]+)")
-FACTS = r"(?isu)(?:Faits[ ]*et[ ]*procédure|وقائع|الوقائع|الحيثيات)(.*?)(?:Droit|En[ ]*droit|القانون|المنطوق|$)"
+DUTY = wide(r"(?iu)(?:doit|s'engage|obligé| obliged|ملزم|يلتزم)\s+([^.]+)")
+TELLING = wide(r"\d|DT|دينار|Article")
+CONTRACT_DATE = wide(r"(?iu)(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\s+(?:janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)\s+\d{4})")
+COC = wide(r"(?iu)Art\.?\s*(\d+)\s*(?:du\s+)?Code\s+(?:des\s+obligations|des\s+contrats|civil)")
+GOODS = wide(r"(?iu)(appartement|terrain|immeuble|voiture|véhicule|معدات|bien\s+immobilier)")
+DURATION = wide(r"(?iu)(\d+\s*(?:an|mois|jour|année|سنة|شهر|يوم)s?)")
+PLAINTIFFS = (wide(r"(?iu)(?: demandeur|مطالب|المدعي)s?\s*:?\s*([^\n,]+)"), wide(r"(?iu)(?:appelant|طاعن)s?\s*:?\s*([^\n,]+)"))
+DEFENDANTS = (wide(r"(?iu)(?:défendeur|مدعى\s+عليه|مطلوب\s+ضده)s?\s*:?\s*([^\n,]+)"), wide(r"(?iu)(?:intimé|معني|المحكوم\s+عليه)s?\s*:?\s*([^\n,]+)"))
+FACTS = wide(r"(?isu)(?:Faits\s*et\s*procédure|وقائع|الوقائع|الحيثيات)(.*?)(?:Droit|En\s*droit|القانون|المنطوق|$)")
 MEANS = r"(?isu)(?:Moyens|Means|الوسائل)(.*?)(?:Réponse|Réponses|الرد|$)"
-HOLDING = r"(?iu)(?:Dispositif|Par[ ]*ces[ ]*motifs|المنطوق|قررنا)"
-HOLDING_TEXT = r"(?isu)(?:Dispositif|Par[ ]*ces[ ]*motifs|المنطوق|قررنا)(.*)$"
-PRINCIPLES = (r"(?iu)(?:Attendu[ ]+que|Considérant[ ]+que|حيث[ ]+أن)([^.]+)", r"(?iu)(?:alors[ ]+que|بما[ ]+أن)([^.]+)")
-APPLIED = r"(Articles?|Art\.)[ ]*([0-9]+[ -]*[0-9]*)[ ]*(?:du[ ]+)?(Code[ ]+[\p{L}\p{M}\p{N}_]+|loi[ ]+[\p{L}\p{M}\p{N}_]+)"
+HOLDING = wide(r"(?iu)(?:Dispositif|Par\s*ces\s*motifs|المنطوق|قررنا)")
+HOLDING_TEXT = wide(r"(?isu)(?:Dispositif|Par\s*ces\s*motifs|المنطوق|قررنا)(.*)$")
+PRINCIPLES = (wide(r"(?iu)(?:Attendu\s+que|Considérant\s+que|حيث\s+أن)([^.]+)"), wide(r"(?iu)(?:alors\s+que|بما\s+أن)([^.]+)"))
+APPLIED = wide(r"(Articles?|Art\.)\s*(\d+[\s-]*\d*)\s*(?:du\s+)?(Code\s+[\p{L}\p{M}\p{N}_]+|loi\s+[\p{L}\p{M}\p{N}_]+)")
 INCIDENTS = (
     ("Accident de la route", ("accident", "حادث", "دهس", "اصطدام")),
     ("Vol", ("vol", "سرقة", "اختلاس")),
@@ -66,10 +67,12 @@ DECISIONS = (
     ("Arret_Cour_Appel", ("appel", "استئناف")),
     ("Ordonnance", ("ordonnance", "أمر")),
 )
+DAY = wide(r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})")
+CASE_NUMBER = wide(r"(\d{1,5}[/\\-]\d{4})")
 COURTS = (
     r"(?iu)(Cour de Cassation|محكمة النقض)",
-    r"(?iu)(Cour d'Appel de[ ]+[\p{L}\p{N}_]+|محكمة الاستئناف)",
-    r"(?iu)(Tribunal de Première Instance de[ ]+[\p{L}\p{N}_]+|المحكمة الابتدائية)",
+    wide(r"(?iu)(Cour d'Appel de\s+[\p{L}\p{N}_]+|محكمة الاستئناف)"),
+    wide(r"(?iu)(Tribunal de Première Instance de\s+[\p{L}\p{N}_]+|المحكمة الابتدائية)"),
     r"(?iu)(Tribunal Administratif|المحكمة الإدارية)",
 )
 
@@ -128,16 +131,15 @@ def penal(df: DataFrame, text: str = "text") -> DataFrame:
 
 def decision(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
-    day = r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})"
     head = F.substring(t, 1, 500)
     courts = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in COURTS]
-    date = F.concat_ws("-", *(F.regexp_extract(head, day, g) for g in (3, 2, 1)))
+    date = F.concat_ws("-", *(F.regexp_extract(head, DAY, g) for g in (3, 2, 1)))
     return df.withColumns(
         {
             "decision": cascade(F.substring(t, 1, 1000), DECISIONS, "Decision_Judiciaire"),
             "court": F.coalesce(*courts),
-            "case_number": F.nullif(F.regexp_extract(t, r"([0-9]{1,5}[/\\-][0-9]{4})", 1), F.lit("")),
-            "decided": F.when(head.rlike(day), date),
+            "case_number": F.nullif(F.regexp_extract(t, CASE_NUMBER, 1), F.lit("")),
+            "decided": F.when(head.rlike(DAY), date),
         }
     )
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.frames import spread
-from corvane.functions.text import expand_question, sentences
+from corvane.functions.text import expand_question, sentences, wide
 from corvane.operators import classify, lexical, vector
 from corvane.operators.vector import cosine
 from corvane.settings import SETTINGS
 
 # Fixed value: what counts as a reference to an article.
-REFERENCE = r"(Art\.?|Article|المادة)[ \t\n\r\f]*[0-9]+"
+REFERENCE = wide(r"(Art\.?|Article|المادة)\s*\d+")
 
 
 def plan_questions(questions: DataFrame, key: str = "query_id") -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.leaders import lead
 from corvane.operators.vector import nearer_than, search
 from corvane.settings import SETTINGS
+from corvane.sources.storage import materialise
 
 
 def lookup(entries: DataFrame, questions: DataFrame, threshold: float = SETTINGS.cache_hit, now=None, ttl: int | None = None, keep_self: bool = False) -> DataFrame:
@@ -39,21 +41,52 @@ def live(entries: DataFrame, now, ttl: int | Column) -> DataFrame:
 
 
 def put(entries: DataFrame, new: DataFrame, same: float = SETTINGS.cache_same, least: int = 20) -> DataFrame:
-    """entries(vec_id, embedding, answer, ts) after new ones (of distinct ids) came.
+    """entries(vec_id, embedding, answer, ts) after new ones came, one after another in order of their ids.
 
-    Answers of under ``least`` characters are ignored. A new entry whose question is nearer than ``same`` to an old one does
-    not come in: its answer and time go to the oldest such entry (smallest vec_id), the latest of several winning.
-    New entries are compared with the old ones, not with each other.
+    Answers of under ``least`` characters are ignored, as are new rows without a usable vector. An answer whose question is nearer than
+    ``same`` to an entry, the first one in order of ids with old entries before new ones, replaces that entry's answer and time;
+    otherwise it becomes an entry itself, which later ones are compared with. New ids are distinct and none is an old one.
     """
-    usable = new.where(F.length(F.trim("answer")) >= least)
-    first = nearer_than(entries, usable, same)
-    told = first.join(usable.select(F.col("vec_id").alias("query_id"), "answer", "ts"), "query_id")
-    last = told.groupBy("vec_id").agg(F.max(F.struct("ts", "query_id", "answer")).alias("_new"))
-    old = entries.join(last, "vec_id", "left").select(
-        "vec_id", "embedding", F.coalesce("_new.answer", "answer").alias("answer"), F.coalesce("_new.ts", "ts").alias("ts")
-    )
-    fresh = usable.join(first.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    return old.unionByName(fresh.select("vec_id", "embedding", "answer", "ts"))
+    usable = materialise(new.where(F.length(F.trim("answer")) >= least).select("vec_id", "embedding", "answer", "ts"), "new")
+    to_old = materialise(nearer_than(entries, usable, same).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("entry")), "known")
+    own = usable.join(to_old.select("vec_id"), "vec_id", "left_anti")
+    to_new = lead(own, same).withColumnRenamed("leader", "entry")
+    told = to_old.unionByName(to_new).join(usable.select("vec_id", "answer", "ts"), "vec_id")
+    last = told.groupBy("entry").agg(F.max_by(F.struct("answer", "ts"), "vec_id").alias("_new"))
+    fresh = own.join(to_new.where("vec_id = entry").select("vec_id"), "vec_id", "left_semi")
+    both = entries.select("vec_id", "embedding", "answer", "ts").unionByName(fresh).join(last, F.col("vec_id") == F.col("entry"), "left")
+    return both.select("vec_id", "embedding", F.coalesce("_new.answer", "answer").alias("answer"), F.coalesce("_new.ts", "ts").alias("ts"))
+
+
+def versions(writes: DataFrame, ttl: int, same: float = SETTINGS.cache_same, least: int = 20) -> DataFrame:
+    """(entry, version, embedding, answer, since, until): what a cache that got ``writes`` held, and when, in seconds.
+
+    writes (vec_id, embedding, answer, ts) arrive in order of (ts, vec_id) and are taken in as by ``put``. A version begins with its write and ends when
+    the next one replaces it or, without one, when it has not been replaced for ``ttl`` seconds. An entry that has expired is replaced
+    like any other. ts is a timestamp; vec_id is a number.
+    """
+    usable = writes.where((F.length(F.trim("answer")) >= least) & F.col("ts").isNotNull())
+    # arrival as one sortable string, so that the order of ids is the order of arrival
+    key = F.format_string("%020d-%020d", F.unix_micros(F.col("ts").cast("timestamp")), F.col("vec_id"))
+    rows = materialise(usable.select(key.alias("vec_id"), F.col("vec_id").alias("version"), "embedding", "answer", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("since")), "writes")
+    told = lead(rows, same).join(rows, "vec_id")
+    heads = rows.select(F.col("vec_id").alias("leader"), F.col("version").alias("entry"), F.col("embedding").alias("_head"))
+    nth = Window.partitionBy("leader").orderBy("vec_id")
+    until = F.least(F.col("since") + ttl, F.coalesce(F.lead("since").over(nth), F.col("since") + ttl))
+    return told.withColumn("until", until).drop("embedding").join(heads, "leader").select("entry", "version", F.col("_head").alias("embedding"), "answer", "since", "until")
+
+
+def lookup_as_of(held: DataFrame, questions: DataFrame, threshold: float = SETTINGS.cache_hit) -> DataFrame:
+    """(query_id, version, sim, hit): what each question (vec_id, embedding, ts) met in ``versions`` of a cache at its time.
+
+    A question sees versions that began before it and had not ended. The best by cosine counts, the smaller id among equals; a question that sees nothing,
+    or has no usable vector, is a miss without version.
+    """
+    seen = held.select(F.col("version").alias("vec_id"), "embedding", "since", "until")
+    asked = questions.where("ts IS NOT NULL").select("vec_id", "embedding", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    found = search(seen, asked, 1, timed=True).select("query_id", F.col("vec_id").alias("version"), "sim")
+    every = questions.select(F.col("vec_id").alias("query_id")).join(found, "query_id", "left")
+    return every.select("query_id", "version", "sim", F.coalesce(F.col("sim") >= threshold, F.lit(False)).alias("hit"))
 
 
 def evict(entries: DataFrame, most: int) -> DataFrame:

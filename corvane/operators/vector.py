@@ -1,15 +1,26 @@
-"""Exact vector search of a query set, scores from distances, and vectors of articles."""
+"""Exact vector search of a query set, scores from distances, and vectors of articles.
+
+Queries are cut into blocks of a bounded number of bytes. A block is sent to every task, which multiplies each Arrow batch of
+vectors with it tile by tile and keeps a few rows of each query; Spark merges what the tasks kept. A set of one block is
+one lazy pass over the vectors; a larger one is a pass for each block, whose results are written before the next.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that are sent to every task as one matrix at most; a larger set goes as a table, in blocks of this many.
-BLOCK = 4096
+from corvane.functions.topk import Best, few
+from corvane.sources.storage import fresh_path, materialise
+
+#: Queries looked at first; bytes of a block of queries; queries and vectors of a tile.
+PEEK, BLOCK_BYTES, TILE_Q, TILE_V = 4096, 32 << 20, 1024, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,91 +32,159 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    return v / np.where(size > 0, size, 1.0)
-
-
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-
-
-def _nearest(ids: np.ndarray, matrix: np.ndarray, top: int):
-    """The best of every Arrow batch for each query, and all that tie with the last of them."""
+def _plain(vectors: DataFrame, key: str = "vec_id", *more: str) -> DataFrame:
+    """(key, v, more) of rows that have a key and a vector; what is not finite goes in the tasks."""
+    return vectors.where(F.col(key).isNotNull() & F.col("embedding").isNotNull()).select(key, F.col("embedding").cast("array<double>").alias("v"), *more)
+
+
+def _by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors at unit length), for each length of vectors; vectors with a null or non-finite component are left out, zero vectors stay."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    size = np.diff(column.offsets.to_numpy())
+    begin = np.cumsum(size) - size
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        v = flat.reshape(-1, n) if len(rows) == len(size) else flat[begin[rows][:, None] + np.arange(n)]
+        fine = np.isfinite(v).all(axis=1)
+        rows, v = rows[fine], v[fine]
+        if len(rows):
+            length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            yield rows, v / np.where(length > 0, length, 1.0)
+
+
+def _sortable(column: pa.Array) -> np.ndarray:
+    """Ids as an array that numpy can sort as Spark does."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else np.array(column.to_pylist(), dtype=str)
+
+
+def _blocks(asked: DataFrame, key: str) -> Iterator[tuple[pa.Table, bool]]:
+    """(block of queries, whether it is the only one), each of at most about ``BLOCK_BYTES``."""
+    first = asked.limit(PEEK + 1).toArrow()
+    if first.num_rows <= PEEK:
+        yield first, True
+        return
+    wide = max(1, max(len(v) for v in first.column("v")))
+    rows = max(PEEK // 4, BLOCK_BYTES // (8 * wide))
+    asked = materialise(asked, "queries")
+    n = math.ceil(2 * asked.count() / rows)  # half full on average: dealt by hash, none is much over its bytes
+    for block in range(n):
+        part = asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == block).toArrow()
+        if part.num_rows:
+            yield part, False
+
+
+def _tiles(batches, own: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """(places of queries, rounded similarities, rows, batch) for each tile of queries and vectors of one length."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TILE_V):
+            part = batch.slice(at, TILE_V)
+            for rows, units in _by_size(part.column(1)):
+                places, matrix = own.get(units.shape[1], (None, None))
+                for first in range(0, 0 if places is None else len(places), TILE_Q):
+                    yield places[first : first + TILE_Q], np.round(matrix[first : first + TILE_Q] @ units.T, 6), rows, part
+
+
+def _held(block: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {units.shape[1]: (rows, units) for rows, units in _by_size(block.column("v"))}
+
+
+def _nearest(block: pa.Table, top: int, keep_self: bool, same: bool, timed: bool):
+    """A task's best ``top`` vectors for each query of a block. The columns after the vector are those that queries and results
+    share (same), or the time of a query and the times between which a vector is there (timed)."""
 
     def run(batches):
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(own), 4096):
-                sims = np.round(matrix @ _unit(_matrix(batch.column(1).slice(at, 4096), matrix.shape[1])).T, 6)
-                k = min(top, sims.shape[1])
-                last = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-                i, j = np.nonzero(sims >= last[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[at + j]), pa.array(sims[i, j])], names=["query_id", "vec_id", "sim"])
+        own, ids = _held(block), block.column(0).combine_chunks()
+        mine = _sortable(ids)
+        group = np.array(block.column(2).to_pylist(), dtype=object) if same else None
+        at = block.column(2).to_numpy() if timed else None
+        best = Best(len(mine), top)
+        kind = None
+        for places, sims, rows, part in _tiles(batches, own):
+            kind = part.column(0).type
+            theirs = _sortable(part.column(0))[rows]
+            ok = sims >= best.bar[places][:, None]
+            if not keep_self:
+                ok &= mine[places][:, None] != theirs
+            if same:
+                ok &= group[places][:, None] == np.array(part.column(2).to_pylist(), dtype=object)[rows]
+            if timed:
+                since, until = (part.column(k).to_numpy(zero_copy_only=False)[rows] for k in (2, 3))
+                ok &= (since < at[places][:, None]) & (at[places][:, None] <= until)
+            i, j = np.nonzero(few(sims, ok, top))
+            best.add(places[i], sims[i, j], theirs[j])
+        slot, score, found = best.rows()
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(slot)), pa.array(found.tolist(), kind), pa.array(score)], names=["query_id", "vec_id", "sim"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int, keep_self: bool = True, same: str | None = None) -> DataFrame:
+def _each_block(rows: DataFrame, asked: DataFrame, key: str, schema: str, run, merged) -> DataFrame:
+    """merged(rows of all tasks) for the blocks of queries, read from a table if there are several."""
+    spark, path, kind = rows.sparkSession, None, None
+    for block, only in _blocks(asked, key):
+        if not block.num_rows:
+            return merged(spark.createDataFrame([], schema))
+        found = merged(rows.mapInArrow(run(block), schema))
+        if only:
+            return found
+        path, kind = path or fresh_path(spark, "nearest"), found.schema
+        found.write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
+
+
+def search(vectors: DataFrame, queries: DataFrame, top: int, keep_self: bool = True, same: str | None = None, timed: bool = False) -> DataFrame:
     """(query_id, vec_id, sim, rnk): every query of the stated set against every vector, the nearest ``top`` kept.
 
-    A set of up to ``BLOCK`` queries is one matrix that every batch of vectors is multiplied with; a larger one is
-    joined block by block. Ties go to the smaller vec_id. Null vectors take no part, zero vectors have
-    similarity 0; all vectors have one length. ``same`` names a column that a query and its results must share.
+    Ids are integers or strings. Ties go to the smaller vec_id. Null vectors and those with a null or non-finite component take no part,
+    as a query as little as a vector; a vector meets the queries of its own length; zero vectors have similarity 0. ``same`` names
+    a column that a query and its results must share (nulls share nothing). timed: queries have a time ``at`` (long), vectors ``since`` and
+    ``until``, and a query sees what was there: since < at <= until. Queries that repeat an id count as one if they are equal.
     """
-    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    asked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    few = asked.select("vec_id", F.col("embedding").cast("array<double>")).limit(BLOCK + 1).toArrow() if same is None else None
-    if few is not None and few.num_rows <= BLOCK:
-        if not few.num_rows:
-            return rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("sim"), F.lit(1).alias("rnk")).limit(0)
-        ids = few.column(0).to_numpy()
-        matrix = _unit(_matrix(few.column(1).combine_chunks(), len(few.column(1)[0])))
-        v = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-        pairs = v.mapInArrow(_nearest(ids, matrix, top if keep_self else top + 1), "query_id long, vec_id long, sim double").select("query_id", "vec_id", F.round("sim", 6).alias("sim"))
-    else:
-        keys = [] if same is None else [same]
-        v = rows.select("vec_id", *keys, F.col("embedding").cast("array<double>").alias("v"))
-        q = asked.select(F.col("vec_id").alias("query_id"), *keys, F.col("embedding").cast("array<double>").alias("q"))
-        met = v.join(q, same) if same else v.crossJoin(q)
-        pairs = met.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("sim"))
-    if not keep_self:
-        pairs = pairs.where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
-    return pairs.withColumn("rnk", rank).where(F.col("rnk") <= top)
-
-
-def _nearer(ids: np.ndarray, matrix: np.ndarray, least: float):
-    """The smallest vec_id of every Arrow batch that is nearer to a query than ``least``."""
+    more = [] if same is None else [same]
+    narrow = (lambda df: df.where(F.col(same).isNotNull())) if same else (lambda df: df)
+    rows = narrow(_plain(vectors, "vec_id", *more, *(["since", "until"] if timed else [])))
+    asked = narrow(_plain(queries, "vec_id", *more, *(["at"] if timed else []))).distinct()
+    kinds = [df.schema["vec_id"].dataType.simpleString() for df in (asked, rows)]
+    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, sim double"
+
+    def merged(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
+        each = found.select("query_id", "vec_id", F.round("sim", 6).alias("sim"))
+        return each.withColumn("rnk", rank).where(F.col("rnk") <= top)
+
+    return _each_block(rows, asked, "vec_id", schema, lambda block: _nearest(block, top, keep_self, same is not None, timed), merged)
+
+
+def _nearer(block: pa.Table, least: float):
+    """The smallest vec_id of a task's vectors that is nearer to a query than ``least``."""
 
     def run(batches):
-        first = np.full(len(ids), np.iinfo(np.int64).max)
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(own), 4096):
-                sims = np.round(matrix @ _unit(_matrix(batch.column(1).slice(at, 4096), matrix.shape[1])).T, 6)
-                near = np.where(sims > least, own[at : at + 4096][None, :], np.iinfo(np.int64).max)
-                first = np.minimum(first, near.min(axis=1))
-        met = first < np.iinfo(np.int64).max
-        yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(first[met])], names=["query_id", "vec_id"])
+        own, ids = _held(block), block.column(0).combine_chunks()
+        best = Best(len(ids), 1)
+        kind = None
+        for places, sims, rows, part in _tiles(batches, own):
+            kind = part.column(0).type
+            theirs = _sortable(part.column(0))[rows]
+            order = np.argsort(theirs, kind="stable")
+            hit = sims[:, order] > least
+            met = hit.any(axis=1)
+            best.add(places[met], np.zeros(met.sum()), theirs[order[hit[met].argmax(axis=1)]])
+        slot, _, found = best.rows()
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(slot)), pa.array(found.tolist(), kind)], names=["query_id", "vec_id"])
 
     return run
 
 
 def nearer_than(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(query_id, vec_id): of the vectors nearer to a query than ``least`` the one with the smallest id. Queries as in ``search``."""
-    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("q"))
-    few = asked.limit(BLOCK + 1).toArrow()
-    if few.num_rows <= BLOCK:
-        if not few.num_rows:
-            return rows.select(F.col("vec_id").alias("query_id"), "vec_id").limit(0)
-        matrix = _unit(_matrix(few.column(1).combine_chunks(), len(few.column(1)[0])))
-        each = rows.mapInArrow(_nearer(few.column(0).to_numpy(), matrix, least), "query_id long, vec_id long")
-    else:
-        met = rows.crossJoin(asked.select(F.col("vec_id").alias("query_id"), "q"))
-        each = met.where(F.round(cosine(F.col("q"), F.col("v")), 6) > least).select("query_id", "vec_id")
-    return each.groupBy("query_id").agg(F.min("vec_id").alias("vec_id"))
+    """(query_id, vec_id): of the vectors nearer to a query than ``least`` the one with the smallest id. Vectors and queries as in ``search``."""
+    rows, asked = _plain(vectors), _plain(queries).distinct()
+    kinds = [df.schema["vec_id"].dataType.simpleString() for df in (asked, rows)]
+    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}"
+    return _each_block(rows, asked, "vec_id", schema, lambda block: _nearer(block, least), lambda found: found.groupBy("query_id").agg(F.min("vec_id").alias("vec_id")))
 
 
 def min_max(found: DataFrame, value: str = "sim", key: str = "query_id") -> DataFrame:

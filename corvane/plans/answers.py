@@ -9,6 +9,7 @@ from corvane.operators import classify, context, evaluation, graph, semcache
 from corvane.plans import samples
 from corvane.plans.base import WRD, has, query, quote
 from corvane.plans.base import table as _t
+from corvane.settings import SETTINGS
 
 _ASKS = f"WITH {samples.cte('asks')}"
 _LAW = f"WITH {samples.cte('law')}"
@@ -240,17 +241,74 @@ def cache_stats(spark, d):
     return semcache.stats(semcache.lookup(entries, e.where("vec_id % 50 = 0"), now=day, ttl=6 * 3600))
 
 
-@query(
-    """WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS e, 'old ' || vec_id AS answer, 0 AS ts FROM embeddings WHERE vec_id % 2 = 0), n AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 3 = 0 THEN 'short' ELSE 'a new and longer answer ' || vec_id END AS answer, vec_id AS ts FROM embeddings WHERE vec_id % 2 = 1),
-    u AS (SELECT * FROM n WHERE length(trim(answer)) >= 20), p AS (SELECT u.vec_id AS q, o.vec_id AS old, u.answer, u.ts FROM u, o WHERE round(list_cosine_similarity(u.e, o.e), 6) > 0.3), f AS (SELECT q, min(old) AS old, any_value(answer) AS answer, any_value(ts) AS ts FROM p GROUP BY 1),
-    l AS (SELECT old, arg_max(answer, ts) AS answer, max(ts) AS ts FROM f GROUP BY 1) SELECT o.vec_id, coalesce(l.answer, o.answer) AS answer FROM o LEFT JOIN l ON l.old = o.vec_id UNION ALL SELECT vec_id, answer FROM u WHERE vec_id NOT IN (SELECT q FROM f)"""
-)
-def cache_put(spark, d):
-    e = _t(spark, d, "embeddings")
+def _led(source: str, threshold: float) -> str:
+    """walk (vec_id, leader) of source (vec_id, e, k), k from 1 in order of arrival: one row after another meets the leaders so far."""
+    return f"""nb AS (SELECT a.k, a.vec_id, list(b.vec_id ORDER BY b.k) FILTER (b.vec_id IS NOT NULL) AS near
+      FROM {source} a LEFT JOIN {source} b ON b.k < a.k AND round(list_cosine_similarity(a.e, b.e), 6) > {threshold} GROUP BY 1, 2),
+    walk(k, heads, vec_id, leader) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
+      UNION ALL SELECT k, CASE WHEN f IS NULL THEN list_append(heads, vec_id) ELSE heads END, vec_id, coalesce(f, vec_id)
+      FROM (SELECT nb.k, nb.vec_id, w.heads, list_filter(coalesce(nb.near, []), lambda x: list_contains(w.heads, x))[1] AS f FROM walk w JOIN nb ON nb.k = w.k + 1))"""
+
+
+def _put_sql(source: str, threshold: float) -> str:
+    """The cache after new entries came, over source (vec_id, e): every second one is old."""
+    return f"""WITH RECURSIVE {source}, o AS (SELECT vec_id, e, 'old ' || vec_id AS answer FROM src WHERE vec_id % 2 = 0),
+    u AS (SELECT vec_id, e, 'a new and longer answer ' || vec_id AS answer FROM src WHERE vec_id % 2 = 1 AND vec_id % 9 <> 0),
+    f AS (SELECT u.vec_id, min(o.vec_id) AS leader FROM u, o WHERE round(list_cosine_similarity(u.e, o.e), 6) > {threshold} GROUP BY 1),
+    own AS (SELECT vec_id, e, row_number() OVER (ORDER BY vec_id) AS k FROM u WHERE vec_id NOT IN (SELECT vec_id FROM f)), {_led('own', threshold)},
+    told AS (SELECT vec_id, leader FROM f UNION ALL SELECT vec_id, leader FROM walk WHERE k > 0),
+    l AS (SELECT leader, arg_max(answer, u.vec_id) AS answer, max(u.vec_id) AS ts FROM told JOIN u USING (vec_id) GROUP BY 1)
+    SELECT o.vec_id, coalesce(l.answer, o.answer) AS answer, coalesce(ts, 0) AS ts FROM o LEFT JOIN l ON l.leader = o.vec_id UNION ALL SELECT leader, answer, ts FROM l WHERE leader NOT IN (SELECT vec_id FROM o)"""
+
+
+#: Every vector three times, twice with its even components stretched: neighbours of .97 to .995.
+_STRETCHED = "src AS (SELECT vec_id * 3 + r.k AS vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x * CASE WHEN i % 2 = 0 THEN 1 + 0.3::DOUBLE * r.k ELSE 1 END) AS e FROM embeddings, (SELECT unnest([0, 1, 2]) AS k) r)"
+
+
+def _stretched(e):
+    each = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    moved = F.transform("v", lambda x, i: x * F.when(i % 2 == 1, 1 + F.lit(0.3) * F.col("k")).otherwise(F.lit(1.0)))
+    return each.select((F.col("vec_id") * 3 + F.col("k")).alias("vec_id"), moved.alias("embedding"))
+
+
+def _put(e, same: float):
     old = e.where("vec_id % 2 = 0").select("vec_id", "embedding", F.concat(F.lit("old "), "vec_id").alias("answer"), F.lit(0).cast("long").alias("ts"))
-    told = F.when(F.col("vec_id") % 3 == 0, "short").otherwise(F.concat(F.lit("a new and longer answer "), "vec_id"))
+    told = F.when(F.col("vec_id") % 9 == 0, "short").otherwise(F.concat(F.lit("a new and longer answer "), "vec_id"))
     new = e.where("vec_id % 2 = 1").select("vec_id", "embedding", told.alias("answer"), F.col("vec_id").alias("ts"))
-    return semcache.put(old, new, same=0.3).select("vec_id", "answer")
+    return semcache.put(old, new, same=same).select("vec_id", "answer", "ts")
+
+
+@query(_put_sql(_STRETCHED, SETTINGS.cache_same))
+def cache_put(spark, d):
+    return _put(_stretched(_t(spark, d, "embeddings")), SETTINGS.cache_same)
+
+
+@query(_put_sql("src AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", 0.3))
+def cache_put_loose(spark, d):
+    return _put(_t(spark, d, "embeddings"), 0.3)
+
+
+_AS_OF = f"""WITH RECURSIVE {_STRETCHED}, s AS (SELECT vec_id, e, ts FROM src JOIN events ON event_id = vec_id),
+    w AS (SELECT vec_id, e, epoch_us(ts) // 1000000 AS since, row_number() OVER (ORDER BY ts, vec_id) AS k FROM s WHERE vec_id % 2 = 0), {_led('w', SETTINGS.cache_same)},
+    v AS (SELECT w.vec_id AS version, leader, since, least(since + 432000, coalesce(lead(since) OVER (PARTITION BY leader ORDER BY w.k), since + 432000)) AS until FROM walk JOIN w USING (vec_id)),
+    q AS (SELECT vec_id AS query_id, e, epoch_us(ts) // 1000000 AS at FROM s WHERE vec_id % 2 = 1),
+    p AS (SELECT query_id, version, round(list_cosine_similarity(q.e, h.e), 6) AS sim FROM q JOIN v ON since < at AND at <= until JOIN w h ON h.vec_id = v.leader),
+    b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, version) = 1)
+    SELECT q.query_id, version, sim, coalesce(sim >= {SETTINGS.cache_hit}, false) AS hit FROM q LEFT JOIN b USING (query_id)"""
+
+
+@query(_AS_OF)
+def cache_as_of(spark, d):
+    """A cache of five days' memory that is written and asked at the times of events."""
+    when = _t(spark, d, "events").select(F.col("event_id").alias("vec_id"), "ts")
+    rows = _stretched(_t(spark, d, "embeddings")).join(when, "vec_id")
+    writes = rows.where("vec_id % 2 = 0").withColumn("answer", F.concat(F.lit("an answer that is long enough "), "vec_id"))
+    return semcache.lookup_as_of(semcache.versions(writes, 5 * 86_400), rows.where("vec_id % 2 = 1"))
+
+
+@query(f"WITH a AS ({_AS_OF}) SELECT count(*) AS lookups, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate, round(100 * (count(*) FILTER (hit)) / count(*), 2) AS hit_percent FROM a")
+def cache_as_of_stats(spark, d):
+    return semcache.stats(cache_as_of(spark, d))
 
 
 @query("SELECT user_id, max(ts) AS ts, count(*) AS n FROM (SELECT user_id, ts, event_type FROM events WHERE NOT contains(lower(event_type), 'click')) GROUP BY 1")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions.text import wide
 from corvane.operators import chunking, classify, extract
 from corvane.plans import samples
-from corvane.plans.base import ARA, WRD, has, query, quote, rx
+from corvane.plans.base import ARA, WRD, apart, has, query, quote, rx
 from corvane.plans.base import table as _t
 from corvane.settings import SETTINGS
 
@@ -94,7 +95,7 @@ def _marked(pattern: str, col: str = "t") -> str:
 
 
 @query(
-    f"""{_R}, c AS (SELECT id, replace(replace(replace(regexp_replace(text, '([0-9])[ ]+([0-9]{{3}})', '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS t FROM r),
+    f"""{_R}, c AS (SELECT id, replace(replace(replace(regexp_replace(text, {quote(wide('(\\d)\\s+(\\d{3})'))}, '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS t FROM r),
     p AS (SELECT id, t, unnest(ps) AS m, unnest(generate_series(1, len(ps))) AS i, list_transform(ps, lambda x: length(x)) AS sizes FROM (SELECT id, t, {_marked(extract.MONEY)} AS ps FROM c)),
     m AS (SELECT id, t, m, i, coalesce(list_sum(sizes[1:i - 1]), 0) AS p0 FROM p WHERE i % 2 = 0)
     SELECT id, replace(regexp_extract(m, {rx(extract.MONEY_PARTS)}, 1), ' ', '') AS value, regexp_extract(m, {rx(extract.MONEY_PARTS)}, 2) AS currency,
@@ -105,7 +106,7 @@ def contract_amounts(spark, d):
     return found.select("id", F.inline("amounts"))
 
 
-_C = f"{_R}, c AS (SELECT id, replace(replace(replace(regexp_replace(text, '([0-9])[ ]+([0-9]{{3}})', '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS text FROM r)"
+_C = f"{_R}, c AS (SELECT id, replace(replace(replace(regexp_replace(text, {quote(wide('(\\d)\\s+(\\d{3})'))}, '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS text FROM r)"
 _PARTIES = _distinct("(" + " || ".join(_trims(_all(p), 3) for p in extract.PARTIES) + ")")
 _KINDS = ", ".join(f"{{'n': {has('lower(text)', keys)}, 'o': {-i}, 't': '{name}'}}" for i, (name, keys) in enumerate(extract.TRANSACTIONS.items()))
 
@@ -161,7 +162,7 @@ def extractor_validity(spark, d):
 
 
 @query(
-    f"""{_R}, p AS (SELECT id, text, 4 AS pages, string_split(regexp_replace(text, '(?i)(\\bPage[ ]+[0-9]+\\b)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS ps FROM r),
+    f"""{_R}, p AS (SELECT id, text, 4 AS pages, string_split(regexp_replace(text, {rx('(' + extract.PAGE + ')')}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS ps FROM r),
     e AS (SELECT id, text, pages, list_transform(ps, lambda x: length(x)) AS sizes, len(ps) AS n FROM p),
     m AS (SELECT id, text, pages, list_transform(list_filter(generate_series(1, n), lambda i: i % 2 = 0), lambda i: list_sum(sizes[1:i - 1])) AS marks FROM e)
     SELECT id, array_to_string(list_transform(CASE WHEN len(marks) < pages - 1 THEN list_transform(generate_series(1, pages - 1), lambda i: i * CAST(floor(length(text) / pages) AS BIGINT)) ELSE marks END, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS breaks FROM m"""
@@ -298,7 +299,7 @@ def language_thresholds(spark, d):
     return rows.select("query_id", T.language("text", 0.5, 0.1).alias("of_page"), T.language("text", 0.3, 0.1).alias("of_document"), T.language("text", 0.3).alias("of_question"))
 
 
-@query(f"{_R} SELECT id, replace(replace(replace(regexp_replace(text, '([0-9])[ ]+([0-9]{{3}})', '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS text FROM r UNION ALL SELECT 'x', '102 30 1000'")
+@query(f"{_R} SELECT id, replace(replace(replace(regexp_replace(text, {quote(wide('(\\d)\\s+(\\d{3})'))}, '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS text FROM r UNION ALL SELECT 'x', '102 30 1000'")
 def repaired_numbers(spark, d):
     rows = _rulings(spark).select("id", F.coalesce("text", F.lit("")).alias("text")).unionByName(spark.createDataFrame([("x", "١٠٢ 30 1 000")], "id string, text string"))
     return rows.select("id", T.repair_numbers("text").alias("text"))
@@ -315,7 +316,7 @@ def parsed_json(spark, d):
     return samples.table(spark, "answers").select("id", F.to_json(T.parse_json("text")).alias("value"))
 
 
-_DOC_ENTITIES = f"array_to_string(({_distinct(_all(extract.ARTICLE))})[1:10], '|') AS articles, array_to_string(({_distinct(_all(extract.DATE))})[1:5], '|') AS dates"
+_DOC_ENTITIES = f"array_to_string(({_distinct(_all(extract.ARTICLE, apart()))})[1:10], '|') AS articles, array_to_string(({_distinct(_all(extract.DATE))})[1:5], '|') AS dates"
 
 
 @query(f"{_R} SELECT id, false AS from_model, 'Inconnu' AS classification, {_DOC_ENTITIES} FROM r")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions import text as T
 from corvane.operators import chunking, classify, evaluation, extract, graph, lexical, relational, retrieval, semcache, vector
-from corvane.plans.base import ARA, QUERIES, SQL, TOK, WRD, query
+from corvane.plans.base import ARA, QUERIES, SQL, TOK, WRD, apart, query
 from corvane.plans.base import has as _has
 from corvane.plans.base import quote as _quote
 from corvane.plans.base import rx as _rx
@@ -90,7 +90,7 @@ def paragraph_chunks(spark, d):
 @query(
     r"""WITH s AS (SELECT source, doc_id, unnest(p) AS x, unnest(generate_series(1, len(p))) AS pos FROM (SELECT source, doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)),
     k AS (SELECT *, row_number() OVER (PARTITION BY source, regexp_replace(lower(x), '[^\p{L}\p{M}\p{N}_]', '', 'g') ORDER BY doc_id, pos) AS k FROM s)
-    SELECT source, doc_id, md5(string_agg(x, ' ' ORDER BY pos)) AS digest FROM k WHERE k = 1 OR regexp_matches(x, '(?i)(Art\.?|Article|المادة)[ \t\n\r\f]*[0-9]+') GROUP BY 1, 2 HAVING length(trim(string_agg(x, ' ' ORDER BY pos))) > 20"""
+    SELECT source, doc_id, md5(string_agg(x, ' ' ORDER BY pos)) AS digest FROM k WHERE k = 1 OR regexp_matches(x, REFERENCE) GROUP BY 1, 2 HAVING length(trim(string_agg(x, ' ' ORDER BY pos))) > 20""".replace("REFERENCE", search.REF)
 )
 def sentence_dedup(spark, d):
     kept = retrieval.drop_repeated_sentences(_t(spark, d, "documents"), "source", "doc_id")
@@ -126,12 +126,12 @@ _LEN = f"CASE WHEN len({WRD.format('q')}) > 18 THEN 1.0 WHEN len({WRD.format('q'
 @query(
     f"""WITH {ASK}, a AS (SELECT *, trim(lower(text)) AS q, {_LANG} AS lg FROM asked),
     p AS (SELECT *, CASE WHEN regexp_matches(q, {_quote(classify.FACTUAL)}) THEN 0 ELSE round({_LEN} + 1.5 * CASE WHEN lg = 'ar' THEN {_has('q', classify.COMPLEX['ar'])} ELSE {_has('q', classify.COMPLEX['fr'])} END
-    + CASE WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 2 OR len(regexp_extract_all(q, 'code|loi|décret')) >= 2 THEN 1.0 WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 1 THEN 0.3 ELSE 0 END, 6) END::DOUBLE AS route_score FROM a)
+    + CASE WHEN len(regexp_extract_all(q, {_quote(classify.ARTICLE_COUNT)})) >= 2 OR len(regexp_extract_all(q, 'code|loi|décret')) >= 2 THEN 1.0 WHEN len(regexp_extract_all(q, {_quote(classify.ARTICLE_COUNT)})) >= 1 THEN 0.3 ELSE 0 END, 6) END::DOUBLE AS route_score FROM a)
     SELECT id, route_score, CASE WHEN route_score >= 2 THEN 'complex' WHEN route_score >= 1 THEN 'intermediate' ELSE 'simple' END AS mode,
     CAST(CASE WHEN route_score >= 2 THEN 50 WHEN route_score >= 1 THEN 40 ELSE 30 END AS INT) AS top_k, round(route_score / (route_score + 1), 6) AS confidence, route_score >= 1 AS use_hypothesis, route_score >= 2 AS use_graph,
     CASE WHEN regexp_matches(q, {_quote(classify.FACTUAL)}) THEN 'factual' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN len({WRD.format('q')}) > 18 THEN 'long' WHEN len({WRD.format('q')}) > 12 THEN 'medium' END,
     CASE WHEN len(CASE WHEN lg = 'ar' THEN {_some(classify.COMPLEX['ar'])} ELSE {_some(classify.COMPLEX['fr'])} END) > 0 THEN 'keywords: ' || array_to_string((CASE WHEN lg = 'ar' THEN {_some(classify.COMPLEX['ar'])} ELSE {_some(classify.COMPLEX['fr'])} END)[1:2], ', ') END,
-    CASE WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 2 OR len(regexp_extract_all(q, 'code|loi|décret')) >= 2 THEN 'several references' WHEN len(regexp_extract_all(q, 'art(?:icle)?[. ]*[0-9]+')) >= 1 THEN 'one reference' END), ''), 'default') END AS reason FROM p"""
+    CASE WHEN len(regexp_extract_all(q, {_quote(classify.ARTICLE_COUNT)})) >= 2 OR len(regexp_extract_all(q, 'code|loi|décret')) >= 2 THEN 'several references' WHEN len(regexp_extract_all(q, {_quote(classify.ARTICLE_COUNT)})) >= 1 THEN 'one reference' END), ''), 'default') END AS reason FROM p"""
 )
 def route_queries(spark, d):
     return classify.route(_asked(spark, d)).select("id", "route_score", "mode", "top_k", "confidence", "use_hypothesis", "use_graph", "reason")
@@ -175,11 +175,11 @@ def _type_sql(source: str) -> str:
     for i, (name, (weight, category, fr, ar)) in enumerate(classify.TYPES.items()):
         def some(ps, weight=weight, name=name):
             named = [f"CASE WHEN contains(fn, {_quote(h)}) THEN 0.15::DOUBLE ELSE 0 END" for h in classify.NAME_HINTS.get(name, [])]
-            return " + ".join([f"CASE WHEN regexp_matches(head, {_quote('(?i)' + p)}) THEN {weight / len(ps)!r}::DOUBLE ELSE 0 END" for p in ps] + named)
+            return " + ".join([f"CASE WHEN regexp_matches(head, {_quote('(?i)' + T.wide(p))}) THEN {weight / len(ps)!r}::DOUBLE ELSE 0 END" for p in ps] + named)
 
         def marks(ps, name=name):
             named = [f"CASE WHEN contains(fn, {_quote(h)}) THEN {_quote('filename:' + h)} END" for h in classify.NAME_HINTS.get(name, [])]
-            return "list_filter([" + ", ".join([f"CASE WHEN regexp_matches(head, {_quote('(?i)' + p)}) THEN {_quote(p[:40])} END" for p in ps] + named) + "], lambda x: x IS NOT NULL)[1:5]"
+            return "list_filter([" + ", ".join([f"CASE WHEN regexp_matches(head, {_quote('(?i)' + T.wide(p))}) THEN {_quote(p[:40])} END" for p in ps] + named) + "], lambda x: x IS NOT NULL)[1:5]"
 
         parts.append(f"SELECT id, t, lg, {i} AS o, {_quote(name)} AS kind, {_quote(category)} AS c, least(1, CASE WHEN lg = 'ar' THEN {some(ar)} ELSE {some(fr)} END) AS s, CASE WHEN lg = 'ar' THEN {marks(ar)} ELSE {marks(fr)} END AS w FROM h")
     lang = f"CASE WHEN text = '' THEN 'fr' WHEN {ARA.format('text')} > 0.3 THEN 'ar' WHEN {ARA.format('text')} > 0.1 THEN 'mixed' ELSE 'fr' END"
@@ -212,13 +212,13 @@ def detect_rulings(spark, d):
     return _typed(samples.table(spark, "rulings").select("id", "text", F.regexp_extract("path", "[^/]+$", 0).alias("file_name")), "file_name")
 
 
-def _list(p: str, most: int | str = "", distinct: bool = True) -> str:
-    found = f"regexp_extract_all(text, {_rx(p)}, 1)"
+def _list(p: str, most: int | str = "", distinct: bool = True, col: str = "text") -> str:
+    found = f"regexp_extract_all({col}, {_rx(p)}, 1)"
     firsts = f"list_filter({found}, lambda x, i: list_position({found}, x) = i)" if distinct else found
     return f"array_to_string(({firsts})[1:{most}], '|')"
 
 
-_ENT = f"""SELECT id, {_list(extract.ARTICLE, 10)} AS articles, {_list(extract.DATE, 5)} AS dates, {_list(extract.AMOUNT, 3, False)} AS amounts,
+_ENT = f"""SELECT id, {_list(extract.ARTICLE, 10, col=apart())} AS articles, {_list(extract.DATE, 5)} AS dates, {_list(extract.AMOUNT, 3, False)} AS amounts,
     nullif(regexp_extract(text, {_rx(extract.NUMBER)}, 1), '') AS article_number, regexp_matches(trim(text), {_rx(extract.HEADER)}) AS is_header FROM asked"""
 
 
@@ -248,8 +248,8 @@ def extract_penal(spark, d):
 
 @query(
     f"""WITH {ASK}, asked2 AS (SELECT * FROM asked UNION ALL SELECT 'd' || doc_id, text FROM documents) SELECT id, {_steps('lower(substr(text, 1, 1000))', extract.DECISIONS, 'Decision_Judiciaire')} AS decision,
-    coalesce({', '.join(f"nullif(regexp_extract(text, {_quote(p.replace('(?iu)', '(?i)'))}, 1), '')" for p in extract.COURTS)}) AS court, nullif(regexp_extract(text, '([0-9]{{1,5}}[/\\\\-][0-9]{{4}})', 1), '') AS case_number,
-    CASE WHEN regexp_matches(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})') THEN regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 3) || '-' || regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 2) || '-' || regexp_extract(substr(text, 1, 500), '([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}})', 1) END AS decided FROM asked2"""
+    coalesce({', '.join(f"nullif(regexp_extract(text, {_quote(p.replace('(?iu)', '(?i)'))}, 1), '')" for p in extract.COURTS)}) AS court, nullif(regexp_extract(text, {_quote(extract.CASE_NUMBER)}, 1), '') AS case_number,
+    CASE WHEN regexp_matches(substr(text, 1, 500), {_quote(extract.DAY)}) THEN regexp_extract(substr(text, 1, 500), {_quote(extract.DAY)}, 3) || '-' || regexp_extract(substr(text, 1, 500), {_quote(extract.DAY)}, 2) || '-' || regexp_extract(substr(text, 1, 500), {_quote(extract.DAY)}, 1) END AS decided FROM asked2"""
 )
 def extract_juris(spark, d):
     return extract.decision(_all_texts(spark, d)).drop("text")

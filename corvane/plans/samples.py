@@ -11,6 +11,7 @@ QUESTIONS = (
     "مجلة الجزاء التونسية الفصل الأول الباب الأول", "باسم الشعب التونسي تقضي المحكمة بإدانة المتهم", "procès-verbal dressé par l'officier de police judiciaire",
     "Arrêt 123/2023 du 5/3/2023 Cour de Cassation", "Article 3 Objet", "الفصل 12 من المجلة", "vol et agression, délit, amende 1 500,00 DT le 12/05/2021", "1 000 DT",
     "art5 de la loi", "art. 5", "art.5 du code", "quelle est l'article 9 ?", "Qu'est-ce que le dol ?", "qu'est ce que le dol", "المادة 5", "citez moi la loi",
+    "Article\n5", "Article\u00a05 du code", "والفصل 7 ثم الفصل ٥", "Art. 7\ndu Code\npénal", "Tribunal de Première\nInstance", "payer 1 500\nDT puis 2\u00a0300 DT", "article\t12 et article\u00a013",
     "je voudrais un rdv demain", "112/05/20219 puis 12/05/2021", "dossier 44\\2021 et 45-2022", "pb de delai", "hi",
 )
 

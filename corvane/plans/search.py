@@ -74,7 +74,7 @@ def label_vote(spark, d):
 
 def expanded(col: str) -> str:
     """The normalised form of a question."""
-    out = rf"regexp_replace(lower({col}), '\b(art|art\.|article)\b[ \t\n\r\f]*([0-9]+)', 'article \2', 'g')"
+    out = rf"regexp_replace(lower({col}), {quote(T.wide(r'\b(art|art\.|article)\b\s*(\d+)'))}, 'article \2', 'g')"
     for a, b in T.REPLACEMENTS:
         out = f"replace({out}, {quote(a)}, {quote(b)})"
     return f"trim({out})"
@@ -88,7 +88,7 @@ def widened(q: str) -> str:
 def analysed(source: str) -> str:
     """f AS the marks of each question in a table (id, text, ...), s AS these with strategy and alpha."""
     return f"""f0 AS (SELECT *, lower(text) AS q, CAST(len({WRD.format('text')}) AS INT) AS n_words FROM {source}),
-    f AS (SELECT *, regexp_matches(q, {quote(classify.DEFINITION)}) AS is_definition, {has('q', classify.PROCEDURAL)} > 0 AS is_procedural, regexp_matches(text, '[0-9]') AND regexp_matches(q, 'art|المادة') AS is_precise FROM f0),
+    f AS (SELECT *, regexp_matches(q, {quote(classify.DEFINITION)}) AS is_definition, {has('q', classify.PROCEDURAL)} > 0 AS is_procedural, regexp_matches(text, {quote(T.wide('\\d'))}) AND regexp_matches(q, 'art|المادة') AS is_precise FROM f0),
     s0 AS (SELECT *, CASE WHEN is_precise THEN 'bm25_heavy' WHEN is_definition THEN 'semantic' ELSE 'hybrid' END AS strategy FROM f),
     sa AS (SELECT *, round(CASE strategy WHEN 'bm25_heavy' THEN least(0.9, 0.5 + 0.02 * n_words) WHEN 'semantic' THEN 0.4 ELSE least(0.8, 0.4 + 0.02 * n_words) END::DOUBLE, 6) AS alpha FROM s0)"""
 

@@ -73,6 +73,18 @@ def test_extraction(spark):
     assert extract.entities(rows).collect()[3]["article_number"] == "12"
 
 
+def test_extraction_across_lines_blanks_and_digits(spark):
+    texts = ["Article\n5", "Article\u00a05 du code", "والفصل 7 ثم الفصل ٥", "Art. 7\ndu Code\npénal", "Tribunal de Première\nInstance", "1 500\nDT", "Art. ٩ du Code de\nprocédure\tpénale", "vu le ١٢/٥/٢٠٢١ et 3 années"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = [r.asDict() for r in extract.entities(rows).orderBy("id").collect()]
+    assert [f["articles"] for f in found[:4]] == [["Article\n5"], ["Article\u00a05"], ["الفصل ٥"], ["Art. 7"]]
+    assert (found[5]["amounts"], found[0]["article_number"], found[7]["dates"]) == (["1 500\n"], "5", ["١٢/٥/٢٠٢١"])
+    p = [r.asDict() for r in extract.penal(rows).orderBy("id").collect()]
+    assert (p[3]["articles_cp"], p[4]["courts"], p[6]["articles_cpp"]) == (["7"], ["Tribunal de Première\nInstance"], ["٩"])
+    c = [r.asDict() for r in extract.contract(rows).orderBy("id").collect()]
+    assert ([x["value"] for x in c[5]["amounts"]], c[7]["durations"]) == (["1500\n"], ["3 an"])
+
+
 def test_chunks_cache_roles_files_and_streams(spark, tmp_path):
     assert chunking.pack("", 10, 5) == [] and chunking.pack("a b", 10, 5) == [("a b", None, 0, 3, True)]
     parts = chunking.pack("Article 7\n\n" + "mot " * 30 + "\n\n" + "fin " * 30, 50, 0)
@@ -158,7 +170,8 @@ def test_many_queries_and_few_agree(spark, monkeypatch):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     first = sorted(map(tuple, vector.search(e, e.where("vec_id < 20"), 5).collect()))
     near = sorted(map(tuple, vector.nearer_than(e, e.where("vec_id < 20"), 0.5).collect()))
-    monkeypatch.setattr(vector, "BLOCK", 3)
+    monkeypatch.setattr(vector, "PEEK", 3)
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 2000)
     assert sorted(map(tuple, vector.search(e, e.where("vec_id < 20"), 5).collect())) == first
     assert sorted(map(tuple, vector.nearer_than(e, e.where("vec_id < 20"), 0.5).collect())) == near
     assert vector.search(e, e.limit(0), 5).count() == 0
