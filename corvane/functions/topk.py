@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+
+def sortable(column: pa.Array) -> np.ndarray:
+    """Ids, integers or strings, as an array that numpy sorts as Spark does."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else np.array(column.to_pylist(), dtype=str)
 
 
 class Best:

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.vector import _by_size, _held, _plain, _sortable
+from corvane.functions.topk import sortable
+from corvane.operators.vector import _by_size, _held, _plain
 from corvane.sources.storage import fresh_path, materialise
 
 #: Rows that are settled at once; rows of a tile; pivots.
@@ -119,7 +120,7 @@ def lead(vectors: DataFrame, threshold: float) -> DataFrame:
             break
         cut = first.column(0)[-1].as_py()
         batch = left.where(F.col("id") <= F.lit(cut)).toArrow()
-        ids = _sortable(batch.column("id"))
+        ids = sortable(batch.column("id"))
         batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
         names = batch.column("id").combine_chunks()
         told, heads = np.full(len(names), -1), []

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.frames import spread
 from corvane.functions.text import search_tokens
+from corvane.functions.topk import sortable
 from corvane.settings import SETTINGS
 
 #: Rows of (query, term) and bytes of their matrix that go to every task at most; a larger query set is joined by a shuffle.
@@ -87,6 +88,54 @@ def _figures(rows: DataFrame, asked: DataFrame) -> tuple[int, float, dict[str, f
     return n, whole["m"] / n, weights
 
 
+def strongest(parts, queries: int, top: int, slack: np.ndarray):
+    """(query, id, score) arrays, joined, without what is worse than a query's ``top`` best by more than its slack."""
+    q, d, r = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((-r, q))
+    q, d, r = q[order], d[order], r[order]
+    first = np.searchsorted(q, np.arange(queries))
+    many = np.searchsorted(q, np.arange(queries), side="right") - first
+    last = np.where(many >= top, r[np.minimum(first + top - 1, len(r) - 1)], -np.inf)
+    kept = r >= (last - slack)[q]
+    return q[kept], d[kept], r[kept]
+
+
+def spread_rows(q, d, r, kind: pa.DataType, low, high, met) -> pa.RecordBatch:
+    """A task's best rows and, with a null id, what it has seen of each query: lowest and highest score, matching documents."""
+    some = np.flatnonzero(met)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[q, some], pa.int32()),
+            pa.concat_arrays([pa.array(d.tolist(), kind), pa.nulls(len(some), kind)]),
+            pa.array(np.r_[r, low[some]]),
+            pa.array(np.r_[np.zeros(len(q)), high[some]]),
+            pa.array(np.r_[np.zeros(len(q), dtype=np.int64), met[some]], pa.int64()),
+        ],
+        names=["_q", "doc_id", "raw", "high", "met"],
+    )
+
+
+def asked_terms(queries: DataFrame, q: list[str]) -> DataFrame:
+    """(q, term, qtf) of questions with text."""
+    return queries.select(*q, F.explode_outer(search_tokens("text")).alias("term")).where("term IS NOT NULL").groupBy(*q, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def numbered_queries(queries: DataFrame, keys: list[tuple], q: list[str]) -> DataFrame:
+    """(_q, q): the questions' numbers, from the driver."""
+    kinds = [queries.schema[c].dataType.simpleString() for c in q]
+    named = pa.table({"_q": pa.array(range(len(keys)), pa.int32()), **{c: [k[at] for k in keys] for at, c in enumerate(q)}})
+    return queries.sparkSession.createDataFrame(named).select("_q", *(F.col(c).cast(kind).alias(c) for c, kind in zip(q, kinds, strict=True)))
+
+
+def spread_out(scored: DataFrame, n: int) -> DataFrame:
+    """(_q, doc_id, raw, low, high) of the rows of ``spread_rows``: with the spread of a query over all documents."""
+    w = Window.partitionBy("_q")
+    own = F.col("doc_id").isNull()  # the rows that tell a query's spread
+    low = F.min(F.when(own, F.col("raw"))).over(w)
+    low = F.when(F.sum("met").over(w) < n, F.least(F.lit(0.0), low)).otherwise(low)
+    return scored.select("_q", "doc_id", "raw", low.alias("low"), F.max(F.when(own, F.col("high"))).over(w).alias("high")).where("doc_id IS NOT NULL")
+
+
 def _score(names: list[str], weights: np.ndarray, asks: np.ndarray, avgdl: float, top: int, most: float):
     """Scores of every query for blocks of documents as products of matrices; a task returns its best rows and the spread of each query.
 
@@ -97,23 +146,17 @@ def _score(names: list[str], weights: np.ndarray, asks: np.ndarray, avgdl: float
     slack = most * np.abs(weights).sum(axis=0) * (k1 + 1)
 
     def cut(parts):
-        q, d, r = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((-r, q))
-        q, d, r = q[order], d[order], r[order]
-        first = np.searchsorted(q, np.arange(queries))
-        many = np.searchsorted(q, np.arange(queries), side="right") - first
-        last = np.where(many >= top, r[np.minimum(first + top - 1, len(r) - 1)], -np.inf)
-        kept = r >= (last - slack)[q]
-        return q[kept], d[kept], r[kept]
+        return strongest(parts, queries, top, slack)
 
     def run(batches):
         dictionary = pa.array(names, pa.string())
         low, high, met = np.full(queries, np.inf), np.full(queries, -np.inf), np.zeros(queries, dtype=np.int64)
         best: list = []
+        kind = None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = part.column(2)
+                lists, kind = part.column(2), part.column(0).type
                 at_term = pc.index_in(lists.flatten(), value_set=dictionary)
                 row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
                 known = at_term.is_valid().to_numpy(zero_copy_only=False)
@@ -128,21 +171,13 @@ def _score(names: list[str], weights: np.ndarray, asks: np.ndarray, avgdl: float
                 low = np.minimum(low, np.where(hit, raw, np.inf).min(axis=0))
                 high = np.maximum(high, np.where(hit, raw, -np.inf).max(axis=0))
                 i, j = np.nonzero(hit & (raw > 0))
-                best.append((j, part.column(0).to_numpy()[i], raw[i, j]))
+                best.append((j, sortable(part.column(0))[i], raw[i, j]))
                 if sum(len(x[0]) for x in best) > 1 << 20:
                     best = [cut(best)]
+        if kind is None:
+            return
         q, d, r = cut(best) if best and sum(len(x[0]) for x in best) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        some = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[q, some], pa.int32()),
-                pa.concat_arrays([pa.array(d, pa.int64()), pa.nulls(len(some), pa.int64())]),
-                pa.array(np.r_[r, low[some]]),
-                pa.array(np.r_[np.zeros(len(q)), high[some]]),
-                pa.array(np.r_[np.zeros(len(q), dtype=np.int64), met[some]], pa.int64()),
-            ],
-            names=["_q", "doc_id", "raw", "high", "met"],
-        )
+        yield spread_rows(q, d, r, kind, low, high, met)
 
     return run
 
@@ -159,14 +194,14 @@ def search(docs: DataFrame, queries: DataFrame, top: int, qkey: str | list[str]
     spark = docs.sparkSession
     q = [qkey] if isinstance(qkey, str) else qkey
     rows = tokenised(docs)
-    terms = queries.select(*q, F.explode_outer(search_tokens("text")).alias("term")).where("term IS NOT NULL").groupBy(*q, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = asked_terms(queries, q)
     found = terms.limit(BROADCAST_ROWS + 1).collect()
     names = sorted({r["term"] for r in found})
     keys = sorted({tuple(r[k] for k in q) for r in found})
     if len(found) > BROADCAST_ROWS or len(names) * len(keys) * 8 > MATRIX_BYTES:
         return _joined(rows, terms, top, q)
     number, place = {k: i for i, k in enumerate(keys)}, {t: i for i, t in enumerate(names)}
-    asked = spark.createDataFrame([(t,) for t in names], "term string")
+    asked = spark.createDataFrame(pa.table({"term": pa.array(names, pa.string())}), "term string")
     n, avgdl, idf = _figures(rows, asked)
     weights = np.zeros((len(names), len(keys)))
     asks = np.zeros(weights.shape, dtype=np.float32)
@@ -175,15 +210,9 @@ def search(docs: DataFrame, queries: DataFrame, top: int, qkey: str | list[str]
         weights[at] = r["qtf"] * idf.get(r["term"], 0.0)
         asks[at] = 1
     shared = _score(names, weights, asks, avgdl or 1.0, top, 1e-6)
-    ids = spark.createDataFrame([(*k, i) for k, i in number.items()], ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in q) + ", _q int")
-    scored = rows.select(F.col("doc_id").cast("long"), "dl", "tokens").mapInArrow(shared, "_q int, doc_id long, raw double, high double, met long")
-    w = Window.partitionBy("_q")
-    own = F.col("doc_id").isNull()  # the rows that tell a query's spread
-    low = F.min(F.when(own, F.col("raw"))).over(w)
-    low = F.when(F.sum("met").over(w) < n, F.least(F.lit(0.0), low)).otherwise(low)
-    spread = scored.select("_q", "doc_id", "raw", low.alias("low"), F.max(F.when(own, F.col("high"))).over(w).alias("high"))
-    kept = _ranked(spread.where("doc_id IS NOT NULL"), ["_q"], top)
-    return kept.join(F.broadcast(ids), "_q").select(*q, "doc_id", F.round("raw", 6).alias("raw"), "score", "rnk")
+    scored = rows.select("doc_id", "dl", "tokens").mapInArrow(shared, f"_q int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, raw double, high double, met long")
+    kept = _ranked(spread_out(scored, n), ["_q"], top)
+    return kept.join(F.broadcast(numbered_queries(queries, keys, q)), "_q").select(*q, "doc_id", F.round("raw", 6).alias("raw"), "score", "rnk")
 
 
 def _ranked(spread: DataFrame, q: list[str], top: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.topk import Best, few
+from corvane.functions.topk import Best, few, sortable
 from corvane.sources.storage import fresh_path, materialise
 
 #: Queries looked at first; bytes of a block of queries; queries and vectors of a tile.
@@ -53,12 +53,6 @@ def _by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, v / np.where(length > 0, length, 1.0)
 
 
-def _sortable(column: pa.Array) -> np.ndarray:
-    """Ids as an array that numpy can sort as Spark does."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else np.array(column.to_pylist(), dtype=str)
-
-
 def _blocks(asked: DataFrame, key: str) -> Iterator[tuple[pa.Table, bool]]:
     """(block of queries, whether it is the only one), each of at most about ``BLOCK_BYTES``."""
     first = asked.limit(PEEK + 1).toArrow()
@@ -96,14 +90,14 @@ def _nearest(block: pa.Table, top: int, keep_self: bool, same: bool, timed: bool
 
     def run(batches):
         own, ids = _held(block), block.column(0).combine_chunks()
-        mine = _sortable(ids)
+        mine = sortable(ids)
         group = np.array(block.column(2).to_pylist(), dtype=object) if same else None
         at = block.column(2).to_numpy() if timed else None
         best = Best(len(mine), top)
         kind = None
         for places, sims, rows, part in _tiles(batches, own):
             kind = part.column(0).type
-            theirs = _sortable(part.column(0))[rows]
+            theirs = sortable(part.column(0))[rows]
             ok = sims >= best.bar[places][:, None]
             if not keep_self:
                 ok &= mine[places][:, None] != theirs
@@ -167,7 +161,7 @@ def _nearer(block: pa.Table, least: float):
         kind = None
         for places, sims, rows, part in _tiles(batches, own):
             kind = part.column(0).type
-            theirs = _sortable(part.column(0))[rows]
+            theirs = sortable(part.column(0))[rows]
             order = np.argsort(theirs, kind="stable")
             hit = sims[:, order] > least
             met = hit.any(axis=1)

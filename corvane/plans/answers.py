@@ -291,8 +291,8 @@ def cache_put_loose(spark, d):
 _AS_OF = f"""WITH RECURSIVE {_STRETCHED}, s AS (SELECT vec_id, e, ts FROM src JOIN events ON event_id = vec_id),
     w AS (SELECT vec_id, e, epoch_us(ts) // 1000000 AS since, row_number() OVER (ORDER BY ts, vec_id) AS k FROM s WHERE vec_id % 2 = 0), {_led('w', SETTINGS.cache_same)},
     v AS (SELECT w.vec_id AS version, leader, since, least(since + 432000, coalesce(lead(since) OVER (PARTITION BY leader ORDER BY w.k), since + 432000)) AS until FROM walk JOIN w USING (vec_id)),
-    q AS (SELECT vec_id AS query_id, e, epoch_us(ts) // 1000000 AS at FROM s WHERE vec_id % 2 = 1),
-    p AS (SELECT query_id, version, round(list_cosine_similarity(q.e, h.e), 6) AS sim FROM q JOIN v ON since < at AND at <= until JOIN w h ON h.vec_id = v.leader),
+    q AS (SELECT vec_id AS query_id, e, epoch_us(ts) // 1000000 AS asked_at FROM s WHERE vec_id % 2 = 1),
+    p AS (SELECT query_id, version, round(list_cosine_similarity(q.e, h.e), 6) AS sim FROM q JOIN v ON since < asked_at AND asked_at <= until JOIN w h ON h.vec_id = v.leader),
     b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, version) = 1)
     SELECT q.query_id, version, sim, coalesce(sim >= {SETTINGS.cache_hit}, false) AS hit FROM q LEFT JOIN b USING (query_id)"""
 

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as T
-from corvane.operators import classify, context, evaluation, lexical, retrieval, vector
+from corvane.operators import classify, context, evaluation, index, lexical, retrieval, vector
 from corvane.plans import samples
 from corvane.plans.base import TOK, WRD, has, query, quote
 from corvane.plans.base import table as _t
+from corvane.sources.storage import fresh_path
 
-POST = f"""tok AS (SELECT doc_id, unnest({TOK}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
-dl AS (SELECT doc_id, len({TOK}) AS dl FROM documents), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+POST = f"""lists AS MATERIALIZED (SELECT doc_id, {TOK} AS l FROM documents), tok AS (SELECT doc_id, unnest(l) AS term FROM lists), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+dl AS (SELECT doc_id, len(l) AS dl FROM lists), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, s), me AS MATERIALIZED (SELECT avg(r) AS m FROM raw),
 idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, me)"""
 
@@ -46,6 +47,42 @@ def bm25_topk(spark, d):
     return lexical.search(_t(spark, d, "documents"), _t(spark, d, "benchmark"), 10)
 
 
+def _kept(spark, *batches):
+    """An index that got its documents in batches."""
+    made = index.Index(spark, fresh_path(spark, "index"))
+    for b in batches:
+        made.append(b)
+    return made
+
+
+_TOP10 = f"WITH {BM25} SELECT item_id, doc_id, raw, score, CAST(rnk AS INT) AS rnk FROM bm WHERE rnk <= 10"
+
+
+@query(_TOP10)
+def indexed_search(spark, d):
+    """BM25 from an index that is written first and then read by the buckets of the questions' terms."""
+    return _kept(spark, _t(spark, d, "documents")).search(_t(spark, d, "benchmark"), 10)
+
+
+@query(_TOP10)
+def indexed_appends(spark, d):
+    """The same after three appends, the third of which brings documents of the first again, now with their right texts."""
+    docs = _t(spark, d, "documents")
+    third = F.col("doc_id") % 3 == 0
+    return _kept(spark, docs.where(third).withColumn("text", F.concat(F.lit("older "), F.reverse("text"))), docs.where(~third), docs.where(third)).search(_t(spark, d, "benchmark"), 10)
+
+
+@query(f"WITH {POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def indexed_merge(spark, d):
+    """Figures of all terms after a merge of segments that replaced documents, some of which had waited."""
+    docs = _t(spark, d, "documents")
+    made = _kept(spark, docs.where("doc_id % 2 = 0").withColumn("text", F.reverse("text")), docs.where("doc_id % 2 = 1"))
+    made.defer(docs.where("doc_id % 2 = 0"))
+    made.flush()
+    made.merge()
+    return made.figures().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 KNN = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
 nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rnk FROM pairs)"""
 
