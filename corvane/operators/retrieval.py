@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.frames import spread
 from corvane.functions.text import expand_question, sentences, wide
-from corvane.operators import classify, lexical, vector
+from corvane.operators import classify, hooks, lexical, vector
+from corvane.operators.index import Index
 from corvane.operators.vector import cosine
 from corvane.settings import SETTINGS
+from corvane.sources.storage import materialise
 
 # Fixed value: what counts as a reference to an article.
 REFERENCE = wide(r"(Art\.?|Article|المادة)\s*\d+")
@@ -131,34 +135,36 @@ def strongest(found: DataFrame) -> DataFrame:
     return found.where(F.col("hybrid") > SETTINGS.min_hybrid).withColumn("rnk", rank).where(F.col("rnk") <= limit)
 
 
-def drop_repeated_sentences(chunks: DataFrame, group: str | list[str], order: str | list[str], text: str = "text", least: int = 20, full: bool = False) -> DataFrame:
-    """(group, order, text): sentences already seen in the group go, unless they name an article; chunks left with
-    ``least`` characters or fewer go. full: sentences of under 30 letters and digits go too, unless they name one."""
+def drop_repeated_sentences(chunks: DataFrame, group: str | list[str], order: str | list[str], text: str = "text", least: int = 20, full: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(group, order, carry, text): sentences already seen in the group go, unless they name an article; chunks left with
+    ``least`` characters or fewer go. full: sentences of under 30 letters and digits go too, unless they name one. carry: columns that come along."""
     group, order = ([x] if isinstance(x, str) else x for x in (group, order))
-    each = spread(chunks.select(*group, *order, text)).select(*group, *order, F.posexplode(sentences(text)).alias("_pos", "_s"))
+    rest = F.struct(*carry).alias("_rest") if carry else F.lit(None).cast("struct<x:int>").alias("_rest")
+    each = spread(chunks.select(*group, *order, text, rest)).select(*group, *order, "_rest", F.posexplode(sentences(text)).alias("_pos", "_s"))
     each = each.withColumn("_key", F.regexp_replace(F.lower("_s"), r"[^\p{L}\p{M}\p{N}_]", "")).withColumn("_ref", F.col("_s").rlike("(?iu)" + REFERENCE))
     if full:
         each = each.where((F.length("_key") >= 30) | F.col("_ref"))
     first = F.row_number().over(Window.partitionBy(*group, "_key").orderBy(*order, "_pos"))
-    kept = each.withColumn("_k", first).where("_k = 1 OR _ref").groupBy(*group, *order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_s"))).alias("_parts"))
-    out = kept.select(*group, *order, F.array_join(F.transform("_parts", lambda p: p["_s"]), " ").alias(text))
+    kept = each.withColumn("_k", first).where("_k = 1 OR _ref").groupBy(*group, *order).agg(F.array_sort(F.collect_list(F.struct("_pos", "_s"))).alias("_parts"), F.first("_rest").alias("_rest"))
+    out = kept.select(*group, *order, *(f"_rest.{c}" for c in carry), F.array_join(F.transform("_parts", lambda p: p["_s"]), " ").alias(text))
     return out.where(F.length(F.trim(text)) > least)
 
 
 def compress(found: DataFrame, full: bool = False) -> DataFrame:
     """found with shorter texts, ranked anew: within a question's article a sentence is read once."""
-    short = drop_repeated_sentences(found, ["query_id", "article_id"], ["rnk", "chunk_id"], full=full)
-    out = found.drop("text").join(short.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"])
-    return out.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid"), "chunk_id")))
+    own = ["query_id", "article_id", "rnk", "chunk_id", "text"]
+    out = drop_repeated_sentences(found, own[:2], own[2:4], full=full, carry=tuple(c for c in found.columns if c not in own))
+    return out.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid"), "chunk_id"))).select(*found.columns)
 
 
 def rerank(found: DataFrame, logit: str | None = None, failed: bool = False) -> DataFrame:
     """Adds final and keeps the question's top_k by it. logit: a reranker's column, mixed in by its sigmoid; without one
-    final is hybrid, and where the model failed it is 0.7 hybrid + 0.3 b."""
+    final is hybrid, and where the model failed (failed, or a null logit) it is 0.7 hybrid + 0.3 b."""
+    without = 0.7 * F.col("hybrid") + 0.3 * F.col("b")
     if logit is not None:
-        final = 0.55 * F.col("hybrid") + 0.45 / (1 + F.exp(-F.col(logit)))
+        final = F.coalesce(0.55 * F.col("hybrid") + 0.45 / (1 + F.exp(-F.col(logit))), without)
     else:
-        final = 0.7 * F.col("hybrid") + 0.3 * F.col("b") if failed else F.col("hybrid")
+        final = without if failed else F.col("hybrid")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "chunk_id"))
     return found.withColumn("final", F.round(final, 6)).withColumn("rnk", rank).where(F.col("rnk") <= F.col("top_k"))
 
@@ -170,21 +176,33 @@ def above_threshold(found: DataFrame) -> DataFrame:
     return kept.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "chunk_id")))
 
 
-def scores(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, asked_vectors: DataFrame) -> DataFrame:
+def scores(
+    questions: DataFrame, chunks: DataFrame, vectors: DataFrame, asked_vectors: DataFrame, where: Column | str | None = None, filter_lexical: bool = False, index: Index | None = None
+) -> DataFrame:
     """(query_id, chunk_id, article_id, b, d, hybrid): the fused score of every chunk that either branch finds.
 
     questions (query_id, text, alpha, top_k); chunks (chunk_id, text, article_id, ...), with titled and dated as optional
-    columns; vectors (chunk_id, embedding); asked_vectors (query_id, variant, embedding).
+    columns; vectors (chunk_id, embedding); asked_vectors (query_id, variant, embedding). Ids are integers or strings. where: a condition on
+    chunks, which holds for the dense branch only unless ``filter_lexical``, with which BM25 knows these chunks only. index: an index of
+    the chunks to search instead of their texts.
     """
     asked = variants(questions, asked_vectors)
-    corpus = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
-    lex = lexical.search(corpus, asked, SETTINGS.retrieve_k, ["query_id", "variant"])
-    lex = lex.select("query_id", "variant", F.col("doc_id").alias("chunk_id"), "score")
-    # a variant's vector is a query of its own; both numbers come back from one id
-    here = asked_vectors.join(asked.select("query_id", "variant"), ["query_id", "variant"])
-    q = here.select((F.col("query_id") * 2 + F.col("variant")).alias("vec_id"), "embedding")
-    near = vector.min_max(vector.search(vectors.select(F.col("chunk_id").alias("vec_id"), "embedding"), q, SETTINGS.retrieve_k))
-    dense = near.select(F.expr("query_id div 2").alias("query_id"), F.expr("int(query_id % 2)").alias("variant"), F.col("vec_id").alias("chunk_id"), "score")
+    meant = chunks if where is None else chunks.where(where)
+    keys = ["query_id", "variant"]
+    if index is not None:
+        if where is not None and filter_lexical:
+            raise ValueError("an index knows all chunks: filter_lexical needs the texts")
+        lex = index.search(asked, SETTINGS.retrieve_k, keys).withColumnRenamed(index.key, "chunk_id")
+    else:
+        corpus = (meant if filter_lexical else chunks).select(F.col("chunk_id").alias("doc_id"), "text")
+        lex = lexical.search(corpus, asked, SETTINGS.retrieve_k, keys).withColumnRenamed("doc_id", "chunk_id")
+    lex = lex.select("query_id", "variant", "chunk_id", "score")
+    # a variant's vector is a query of its own
+    here = asked_vectors.join(asked.select(*keys), keys).withColumn("vec_id", F.concat_ws("#", F.col("variant").cast("string"), F.col("query_id").cast("string")))
+    known_vectors = vectors if where is None else vectors.join(meant.select("chunk_id"), "chunk_id", "left_semi")
+    near = vector.min_max(vector.search(known_vectors.select(F.col("chunk_id").alias("vec_id"), "embedding"), here.select("vec_id", "embedding"), SETTINGS.retrieve_k))
+    near = near.select(F.col("query_id").alias("asked"), F.col("vec_id").alias("chunk_id"), "score")
+    dense = near.join(here.select(F.col("vec_id").alias("asked"), *keys), "asked").select(*keys, "chunk_id", "score")
     b = merge_variants(lex, asked=asked).withColumnRenamed("score", "b")
     d = merge_variants(dense, asked=asked).withColumnRenamed("score", "d")
     fused = fuse(b, d, questions.select("query_id", "alpha"))
@@ -210,15 +228,34 @@ def candidates(scored: DataFrame, questions: DataFrame, chunks: DataFrame, vecto
     return strongest(met.drop("_v", "_q", "_titled").join(questions.select("query_id", "top_k"), "query_id"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, asked_vectors: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, article_id, b, d, hybrid, text, top_k, final, rnk): the whole retrieval of a question set.
+def retrieve(
+    questions: DataFrame,
+    chunks: DataFrame,
+    vectors: DataFrame,
+    asked_vectors: DataFrame,
+    where: Column | str | None = None,
+    filter_lexical: bool = False,
+    index: Index | None = None,
+    logits: DataFrame | None = None,
+    reranker: Callable[[list[str], list[str]], list[float]] | None = None,
+) -> DataFrame:
+    """(query_id, chunk_id, article_id, b, d, hybrid, text, top_k, (logit,) final, rnk): the whole retrieval of a question set.
 
     Lexical and dense search of each variant, fusion by the question's own weight, articles, boosts,
-    compression, ranks without a model, compression again, and the threshold. Arguments as in ``scores``.
+    compression, ranks, compression again, and the threshold. Arguments as in ``scores``. Ranks take a model's logits, given as
+    a table (query_id, chunk_id, logit; without query_id it holds for every question) or by a function of questions and texts; a result without logit is ranked as if the model had failed.
+    What is used more than once is written to shared storage: the fused scores and the candidates.
     """
     plan = plan_questions(questions)
-    found = candidates(scores(plan, chunks, vectors, asked_vectors), plan, chunks, vectors, asked_vectors)
-    ranked = rerank(compress(found))
+    fused = materialise(scores(plan, chunks, vectors, asked_vectors, where, filter_lexical, index), "fused")
+    found = compress(materialise(candidates(fused, plan, chunks, vectors, asked_vectors), "candidates"))
+    if logits is not None:
+        keys = [c for c in ("query_id", "chunk_id") if c in logits.columns]
+        found = found.join(logits.select(*keys, "logit"), keys, "left")
+    elif reranker is not None:
+        asked = found.join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+        found = hooks.rerank_logits(asked, reranker).drop("question")
+    ranked = rerank(found, "logit" if "logit" in found.columns else None)
     return above_threshold(compress(ranked, full=True))
 
 
@@ -245,7 +282,8 @@ def for_evaluation(ranked: DataFrame, answers: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rnk", "chunk_id"))).alias("c"), F.sort_array(F.collect_set("article_id")).alias("article_ids"), F.count(F.lit(1)).alias("n_contexts")
     )
     out = answers.select("query_id", "answer").join(lists, "query_id", "left").join(joined_context(ranked), "query_id", "left")
-    ids = F.coalesce(F.transform("c", lambda x: x["chunk_id"]), F.array().cast("array<bigint>"))
+    kind = ranked.schema["chunk_id"].dataType.simpleString()
+    ids = F.coalesce(F.transform("c", lambda x: x["chunk_id"]), F.array().cast(f"array<{kind}>"))
     return out.select("query_id", "answer", F.coalesce("context", F.lit("")).alias("context"), ids.alias("chunk_ids"), "article_ids", F.coalesce("n_contexts", F.lit(0)).alias("n_contexts"))
 
 

@@ -243,7 +243,7 @@ def cache_stats(spark, d):
 
 def _led(source: str, threshold: float) -> str:
     """walk (vec_id, leader) of source (vec_id, e, k), k from 1 in order of arrival: one row after another meets the leaders so far."""
-    return f"""nb AS (SELECT a.k, a.vec_id, list(b.vec_id ORDER BY b.k) FILTER (b.vec_id IS NOT NULL) AS near
+    return f"""nb AS MATERIALIZED (SELECT a.k, a.vec_id, list(b.vec_id ORDER BY b.k) FILTER (b.vec_id IS NOT NULL) AS near
       FROM {source} a LEFT JOIN {source} b ON b.k < a.k AND round(list_cosine_similarity(a.e, b.e), 6) > {threshold} GROUP BY 1, 2),
     walk(k, heads, vec_id, leader) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
       UNION ALL SELECT k, CASE WHEN f IS NULL THEN list_append(heads, vec_id) ELSE heads END, vec_id, coalesce(f, vec_id)
@@ -288,9 +288,9 @@ def cache_put_loose(spark, d):
     return _put(_t(spark, d, "embeddings"), 0.3)
 
 
-_AS_OF = f"""WITH RECURSIVE {_STRETCHED}, s AS (SELECT vec_id, e, ts FROM src JOIN events ON event_id = vec_id),
-    w AS (SELECT vec_id, e, epoch_us(ts) // 1000000 AS since, row_number() OVER (ORDER BY ts, vec_id) AS k FROM s WHERE vec_id % 2 = 0), {_led('w', SETTINGS.cache_same)},
-    v AS (SELECT w.vec_id AS version, leader, since, least(since + 432000, coalesce(lead(since) OVER (PARTITION BY leader ORDER BY w.k), since + 432000)) AS until FROM walk JOIN w USING (vec_id)),
+_AS_OF = f"""WITH RECURSIVE {_STRETCHED}, s AS MATERIALIZED (SELECT vec_id, e, ts FROM src JOIN events ON event_id = vec_id),
+    w AS MATERIALIZED (SELECT vec_id, e, epoch_us(ts) // 1000000 AS since, row_number() OVER (ORDER BY ts, vec_id) AS k FROM s WHERE vec_id % 2 = 0), {_led('w', SETTINGS.cache_same)},
+    v AS MATERIALIZED (SELECT w.vec_id AS version, leader, since, least(since + 432000, coalesce(lead(since) OVER (PARTITION BY leader ORDER BY w.k), since + 432000)) AS until FROM walk JOIN w USING (vec_id)),
     q AS (SELECT vec_id AS query_id, e, epoch_us(ts) // 1000000 AS asked_at FROM s WHERE vec_id % 2 = 1),
     p AS (SELECT query_id, version, round(list_cosine_similarity(q.e, h.e), 6) AS sim FROM q JOIN v ON since < asked_at AND asked_at <= until JOIN w h ON h.vec_id = v.leader),
     b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, version) = 1)

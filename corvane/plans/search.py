@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as T
-from corvane.operators import classify, context, evaluation, index, lexical, retrieval, vector
+from corvane.operators import chunking, classify, context, evaluation, index, lexical, retrieval, vector
 from corvane.plans import samples
 from corvane.plans.base import TOK, WRD, has, query, quote
 from corvane.plans.base import table as _t
-from corvane.sources.storage import fresh_path
+from corvane.sources.storage import fresh_path, materialise
 
 POST = f"""lists AS MATERIALIZED (SELECT doc_id, {TOK} AS l FROM documents), tok AS (SELECT doc_id, unnest(l) AS term FROM lists), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
 dl AS (SELECT doc_id, len(l) AS dl FROM lists), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -149,8 +149,8 @@ HYB = f"""{analysed('qs')}, pq AS (SELECT query_id, alpha, least(20, 5 + n_words
 qn AS (SELECT query_id, {expanded('text')} AS q FROM qs), v0 AS (SELECT query_id, 0 AS variant, q AS text FROM qn UNION ALL SELECT query_id, 1, {widened('q')} FROM qn WHERE {widened('q')} <> q),
 cl AS (SELECT a.query_id FROM qv a JOIN qv b ON a.query_id = b.query_id AND a.variant = 1 AND b.variant = 0 WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 0.9),
 va AS (SELECT * FROM v0 WHERE variant = 0 OR query_id NOT IN (SELECT query_id FROM cl)), vw AS (SELECT query_id, sum(CASE variant WHEN 0 THEN 1.0::DOUBLE ELSE 0.8 END) AS w FROM va GROUP BY 1),
-tok AS (SELECT chunk_id, unnest({TOK}) AS term FROM ch), tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
-dl AS (SELECT chunk_id, len({TOK}) AS dl FROM ch), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+vf AS (SELECT * FROM ve), lc AS (SELECT * FROM ch), lists AS MATERIALIZED (SELECT chunk_id, {TOK} AS l FROM lc), tok AS (SELECT chunk_id, unnest(l) AS term FROM lists), tf AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+dl AS (SELECT chunk_id, len(l) AS dl FROM lists), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, s), me AS MATERIALIZED (SELECT avg(r) AS m FROM raw),
 idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, me),
 qt AS (SELECT query_id, variant, term, count(*) AS qtf FROM (SELECT query_id, variant, unnest({TOK}) AS term FROM va) GROUP BY 1, 2, 3),
@@ -158,7 +158,7 @@ sc AS (SELECT query_id, variant, tf.chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1
 mm AS (SELECT *, CASE WHEN count(*) OVER w < (SELECT n FROM s) THEN least(0, min(raw) OVER w) ELSE min(raw) OVER w END AS lo, max(raw) OVER w AS hi FROM sc WINDOW w AS (PARTITION BY query_id, variant)),
 un AS (SELECT query_id, variant, chunk_id, round((raw - lo) / (hi - lo), 6) AS score FROM mm WHERE raw > 0 AND hi > lo),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, chunk_id) AS rnk FROM un QUALIFY rnk <= 50),
-dp AS (SELECT query_id, variant, chunk_id, round(list_cosine_similarity(qv.embedding::DOUBLE[], ve.embedding::DOUBLE[]), 6) AS c FROM qv JOIN va USING (query_id, variant), ve),
+dp AS (SELECT query_id, variant, chunk_id, round(list_cosine_similarity(qv.embedding::DOUBLE[], ve.embedding::DOUBLE[]), 6) AS c FROM qv JOIN va USING (query_id, variant), vf ve),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY c DESC, chunk_id) AS k FROM dp QUALIFY k <= 50),
 dn AS (SELECT query_id, variant, chunk_id, {_SCALE} AS score FROM dr WINDOW w AS (PARTITION BY query_id, variant)),
 mb AS (SELECT query_id, chunk_id, sum(CASE variant WHEN 0 THEN 1.0::DOUBLE ELSE 0.8 END * score) / any_value(w) AS b FROM bm JOIN vw USING (query_id) GROUP BY 1, 2),
@@ -277,6 +277,65 @@ def law_retrieval(spark, d):
     return _found(spark, d, body_of_law)
 
 
+#: Windows of the documents as chunks, whose ids are strings; every seventh document's chunks are meant, every chunk has one of the vectors, and a stand-in for a model gives logits.
+_WINDOWS = f"""WITH wi AS (SELECT doc_id, unnest(generate_series(0, greatest(1, CAST(ceil((length(text) - 480) / 1920.0) AS INT)) - 1)) AS idx, text FROM documents),
+wn AS (SELECT doc_id, idx, trim(substr(text, idx * 1920 + 1, 2400)) AS text FROM wi), nv AS (SELECT count(*) AS nv FROM embeddings),
+qs AS (SELECT 'q' || item_id AS query_id, text FROM benchmark WHERE text IS NOT NULL),
+ch AS (SELECT doc_id || '_' || idx AS chunk_id, 'art_' || doc_id AS article_id, text, doc_id % 7 = 0 AS titled, false AS dated FROM wn WHERE length(text) > 0),
+ve AS (SELECT doc_id || '_' || idx AS chunk_id, embedding FROM wn, nv JOIN embeddings ON vec_id = (doc_id * 31 + idx) % nv WHERE length(text) > 0),
+qv AS (SELECT 'q' || item_id AS query_id, v AS variant, embedding FROM benchmark, (VALUES (0), (1)) AS x(v) JOIN embeddings ON vec_id = item_id + 100 * v), {HYB}"""
+_LOGIT = "((length(chunk_id) * 13 + length(text)) % 17 - 8) / 4.0"
+_MEANT = _WINDOWS.replace("vf AS (SELECT * FROM ve)", "vf AS (SELECT ve.* FROM ve JOIN ch USING (chunk_id) WHERE titled)").replace(
+    "rr AS (SELECT * EXCLUDE (rnk), hybrid AS final, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, chunk_id) AS rnk FROM li QUALIFY rnk <= top_k)",
+    f"lf AS (SELECT li.*, 0.55 * hybrid + 0.45 / (1 + exp(-lg.logit)) AS f0, 0.7 * hybrid + 0.3 * b AS f1 FROM li LEFT JOIN (SELECT chunk_id, {_LOGIT} AS logit FROM ch WHERE chunk_id NOT LIKE '%3_0') lg USING (chunk_id)), rr AS (SELECT * EXCLUDE (rnk, f0, f1), round(coalesce(f0, f1), 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(f0, f1) DESC, chunk_id) AS rnk FROM lf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(f0, f1) DESC, chunk_id) <= top_k)",
+)
+
+
+def _logits(chunks):
+    """A model that looks at texts only, and failed on some."""
+    return chunks.where("chunk_id NOT LIKE '%3_0'").select("chunk_id", F.expr("((length(chunk_id) * 13 + length(text)) % 17 - 8) / 4.0D").alias("logit"))
+
+
+def windows_of_documents(spark, d):
+    """The arguments of ``retrieval.retrieve`` over the library's own chunks of ``documents``."""
+    docs, items, e = (_t(spark, d, n) for n in ("documents", "benchmark", "embeddings"))
+    cut = chunking.windows(docs).withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("idx").cast("string")))
+    chunks = cut.select("chunk_id", F.concat(F.lit("art_"), F.col("doc_id").cast("string")).alias("article_id"), "text", (F.col("doc_id") % 7 == 0).alias("titled"))
+    vectors = cut.withColumn("vec_id", (F.col("doc_id") * 31 + F.col("idx")) % e.count()).join(e, "vec_id").select("chunk_id", "embedding")
+    questions = items.where("text IS NOT NULL").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "text")
+    asked = _asked(items.select(F.col("item_id").alias("query_id")), e, 100).withColumn("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    return questions, chunks, vectors, asked
+
+
+@query(f"{_WINDOWS} {_FI}")
+def retrieved_windows(spark, d):
+    """Chunking, an index of the chunks that is written and read back, and the whole retrieval."""
+    questions, chunks, *rest = windows_of_documents(spark, d)
+    chunks = materialise(chunks, "chunks")
+    kept = index.Index(spark, fresh_path(spark, "index"), key="chunk_id")
+    kept.append(chunks)
+    found = retrieval.retrieve(questions, chunks, *rest, index=kept)
+    return found.select("query_id", "chunk_id", "article_id", "final", "rnk", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"{_MEANT} {_FI}")
+def filtered_retrieval(spark, d):
+    """With a condition that only the dense branch knows, and a model's logits, which some chunks lack."""
+    questions, chunks, *rest = windows_of_documents(spark, d)
+    chunks = materialise(chunks, "chunks")
+    found = retrieval.retrieve(questions, chunks, *rest, where="titled", logits=_logits(chunks))
+    return found.select("query_id", "chunk_id", "article_id", "final", "rnk", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"{_MEANT.replace('lc AS (SELECT * FROM ch)', 'lc AS (SELECT * FROM ch WHERE titled)')} {_FI}")
+def filtered_both(spark, d):
+    """With a condition that both branches know, and logits."""
+    questions, chunks, *rest = windows_of_documents(spark, d)
+    chunks = materialise(chunks, "chunks")
+    found = retrieval.retrieve(questions, chunks, *rest, where=F.col("titled"), filter_lexical=True, logits=_logits(chunks))
+    return found.select("query_id", "chunk_id", "article_id", "final", "rnk", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(f"{FLAG} SELECT query_id, count(*) AS n, round(min(final), 6) AS least, round(avg(final), 6) AS mean FROM fi GROUP BY 1")
 def final_threshold(spark, d):
     found = retrieval.retrieve(*flagship(spark, d))
