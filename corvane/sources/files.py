@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import garbage
+from corvane.sources.storage import StoredTable, write_beside
 
 # What may hold a document.
 SUFFIXES = [".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp", ".gif"]
@@ -95,12 +96,13 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, folder: str, by: tuple[str, ...] = ("category", "subcategory")) -> None:
-    """JSON documents in folders by category and subcategory."""
-    docs.write.mode("overwrite").partitionBy(*by).json(folder)
+    """JSON documents in folders by category and subcategory, in place of those that are there."""
+    write_beside(docs, folder, lambda rows, to: rows.write.partitionBy(*by).json(to))
 
 
 def write_postings(postings: DataFrame, folder: str) -> None:
-    postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(folder)
+    """A flat table of postings; ``operators.index`` keeps one that can be searched and appended to."""
+    write_beside(postings, folder, lambda rows, to: rows.repartition("term").sortWithinPartitions("term").write.parquet(to))
 
 
 def read_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -117,14 +119,24 @@ def read_table(spark: SparkSession, name: str, url: str | None = None, folder: s
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def write_cache(entries: DataFrame, folder: str) -> None:
-    """A new snapshot of the cache; readers see the one before until the commit."""
-    entries.write.mode("overwrite").json(folder)
+def write_cache(entries: DataFrame, folder: str) -> int:
+    """A new snapshot of the cache and its version; readers see the one before until it is whole, and for good if the write fails."""
+    return StoredTable(entries.sparkSession, folder).replace(entries)
 
 
 def read_cache(spark: SparkSession, folder: str, now: float) -> DataFrame:
     """Entries (timestamp and ttl in seconds) that have not expired."""
-    return spark.read.json(folder).where(F.col("timestamp") + F.col("ttl") >= F.lit(now))
+    return StoredTable(spark, folder).read().where(F.col("timestamp") + F.col("ttl") >= F.lit(now))
+
+
+def upsert_vectors(chunks: DataFrame, vectors: DataFrame, folder: str, key: str = "chunk_id", newest_by: str = "ingested") -> int:
+    """Stores the vectors of chunks by key, the newest of each, and returns the version. Nothing is written unless every chunk has one vector."""
+    both = chunks.select(key).join(vectors, key, "left")
+    n = chunks.count()
+    told = both.agg(F.count(F.lit(1)).alias("rows"), F.count("embedding").alias("vectors")).first()
+    if (told["rows"], told["vectors"]) != (n, n):
+        raise ValueError(f"{told['vectors']} vectors for {n} chunks: not written")
+    return StoredTable(chunks.sparkSession, folder, key).upsert(both, newest_by)
 
 
 def append_stats(spark: SparkSession, folder: str, **values) -> None:
@@ -138,7 +150,7 @@ def last_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_report(report: DataFrame, folder: str) -> None:
-    report.coalesce(1).write.mode("overwrite").json(folder)
+    write_beside(report, folder, lambda rows, to: rows.coalesce(1).write.json(to))
 
 
 def graph_nodes(spark: SparkSession, path: str, tag: str = "node") -> DataFrame:

@@ -43,6 +43,31 @@ def bucket_of(key: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def write_beside(df: DataFrame, folder: str, write) -> None:
+    """Writes df by ``write(rows, folder)`` beside a folder and only then puts it in its place, so that df may come from there and a failed write costs nothing.
+
+    A reader finds the old files or the new ones; between two renames it may find none for a moment (``StoredTable`` has no such moment).
+    """
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, old = (path(f"{folder}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    try:
+        write(df, fresh.toString())
+    except BaseException:
+        fs.delete(fresh, True)
+        raise
+    if fs.exists(target):
+        fs.rename(target, old)
+    else:
+        fs.mkdirs(target.getParent())
+    if not fs.rename(fresh, target):
+        fs.rename(old, target)
+        raise RuntimeError(f"{folder} could not be replaced")
+    fs.delete(old, True)
+
+
 class Log:
     """Manifests of a folder, numbered from 1; a number is taken once."""
 
