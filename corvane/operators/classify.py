@@ -354,13 +354,60 @@ def case_type(context_path: Column) -> Column:
     return out
 
 
+#: Words of up to so many letters are compared by what is left without some of them, longer ones by pieces that stay whole.
+SHORT_WORD = 20
+
+
+def _shortened(word: Column, most: int) -> Column:
+    """The word and what is left of it without up to ``most`` of its letters."""
+    out = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>")))))
+        out = F.concat(out, last)
+    return F.transform(F.array_distinct(out), lambda w: F.struct(F.lit(0).alias("length"), F.lit(0).alias("piece"), w.alias("part")))
+
+
+def _pieces(word: Column, most: int, shifted: bool) -> Column:
+    """(length, piece, part): a word's ``most`` + 1 pieces; shifted: what may stand in the place of the pieces of words of about this length."""
+    n, pieces = F.length(word), most + 1
+    lengths = F.sequence(n - most, n + most) if shifted else F.array(n)
+    shifts = range(-most, most + 1) if shifted else (0,)
+
+    def cut(m: Column) -> Column:
+        found = []
+        for i in range(pieces):
+            begin, end = F.floor(m * i / pieces).cast("int"), F.floor(m * (i + 1) / pieces).cast("int")
+            for shift in shifts:
+                at = begin + 1 + shift
+                inside = (at >= 1) & (at + end - begin - 1 <= n)
+                found.append(F.when(inside, F.struct(m.alias("length"), F.lit(i).alias("piece"), F.substring(word, at, end - begin).alias("part"))))
+        return F.array_compact(F.array(*found))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, cut)))
+
+
+def near_words(asked: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
+    """(asked, word, n): pairs of asked(word) and dictionary(word) of at most ``most`` edits, found by equal keys.
+
+    Two such words agree after some ``most`` letters of either are left out; of a longer word one of ``most`` + 1 pieces stays whole and
+    moves by ``most`` places at most. Words whose keys agree are compared.
+    """
+    a, d = F.col("asked"), F.col("word")
+    mine = asked.select(F.col("word").alias("asked")).distinct()
+    theirs = dictionary.select("word").distinct()
+    none = F.array().cast("array<struct<length:int,piece:int,part:string>>")
+    keys_a = F.when(F.length(a) <= SHORT_WORD, _shortened(a, most)).otherwise(_pieces(a, most, True))
+    keys_d = F.concat(F.when(F.length(d) <= SHORT_WORD + most, _shortened(d, most)).otherwise(none), F.when(F.length(d) > SHORT_WORD - most, _pieces(d, most, False)).otherwise(none))
+    met = mine.select("asked", F.explode(keys_a).alias("_key")).join(theirs.select("word", F.explode(keys_d).alias("_key")), "_key").select("asked", "word").distinct()
+    return met.withColumn("n", F.levenshtein("asked", "word", most)).where("n >= 0")
+
+
 def correct_words(df: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", most: int = 2) -> DataFrame:
     """(key, text): every word that the dictionary(word) lacks becomes its nearest one of at most ``most`` edits, the first in order
-    among equals; words without one stay. Different unknown words are few beside the texts and are compared once each."""
+    among equals; words without one stay. Different unknown words are few beside the texts and are looked up once each."""
     each = df.select(key, F.posexplode(words(text)).alias("_pos", "_w"))
-    unknown = each.select("_w").distinct().join(dictionary.select(F.col("word").alias("_w")), "_w", "left_anti")
-    met = unknown.join(dictionary, F.abs(F.length("_w") - F.length("word")) <= most).withColumn("_n", F.levenshtein("_w", "word"))
-    best = met.where(F.col("_n") <= most).groupBy("_w").agg(F.min(F.struct("_n", "word"))["word"].alias("_best"))
+    unknown = each.select(F.col("_w").alias("word")).distinct().join(dictionary.select("word"), "word", "left_anti")
+    best = near_words(unknown, dictionary, most).groupBy(F.col("asked").alias("_w")).agg(F.min(F.struct("n", "word"))["word"].alias("_best"))
     fixed = each.join(best, "_w", "left").withColumn("_w", F.coalesce("_best", "_w"))
     lists = fixed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_ws"))
     out = F.array_join(F.transform("_ws", lambda x: x["_w"]), " ")

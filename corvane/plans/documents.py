@@ -11,6 +11,7 @@ from corvane.plans import samples
 from corvane.plans.base import ARA, WRD, apart, has, query, quote, rx
 from corvane.plans.base import table as _t
 from corvane.settings import SETTINGS
+from corvane.sources.storage import materialise
 
 _W = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
 _R = f"WITH {samples.cte('rulings')}, r AS (SELECT id, path, category, coalesce(text, '') AS text FROM rulings)"
@@ -285,6 +286,22 @@ def spell_fix(spark, d):
     return fixed.select(F.col("id").alias("typed"), F.col("text").alias("corrected"))
 
 
+@query(
+    """WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents), known AS MATERIALIZED (SELECT word FROM w GROUP BY 1 HAVING count(*) >= 10),
+    a AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark), e AS (SELECT item_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos FROM a),
+    u AS MATERIALIZED (SELECT DISTINCT word FROM e WHERE word NOT IN (SELECT word FROM known)),
+    best AS (SELECT u.word, arg_min(k.word, {'n': levenshtein(u.word, k.word), 'w': k.word}) AS fixed FROM u, known k WHERE abs(length(u.word) - length(k.word)) <= 2 AND levenshtein(u.word, k.word) <= 2 GROUP BY 1),
+    t AS (SELECT item_id, string_agg(coalesce(fixed, e.word), ' ' ORDER BY pos) AS text FROM e LEFT JOIN best ON best.word = e.word GROUP BY 1)
+    SELECT item_id, coalesce(t.text, '') AS text FROM a LEFT JOIN t USING (item_id)"""
+)
+def spell_benchmark(spark, d):
+    """Every benchmark text by the dictionary of words that ten documents have."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    known = _t(spark, d, "documents").select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("word")
+    asked = _t(spark, d, "benchmark").select("item_id", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), " ").alias("text"))
+    return classify.correct_words(asked, materialise(known, "dictionary"), key="item_id")
+
+
 _ARA = ARA.format("text")
 
 

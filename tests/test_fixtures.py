@@ -148,6 +148,35 @@ def test_windows_end_with_sentences():
     assert chunking.cuts("ab", 100, 20) == [(0, 2)]
 
 
+def test_near_words_are_all_found(spark):
+    import random
+
+    rng = random.Random(7)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 2, 2, 3, 4, 6, 8, 18, 19, 20, 21, 22, 23, 40, 60)] + ["é" * 21, "école", "a" * 300]
+    asked = []
+    for w in words:
+        for _ in range(6):
+            x = list(w)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randrange(2)] = rng.choice(["", "a", "z", "b"])
+            asked.append("".join(x))
+    df = [spark.createDataFrame([(w,) for w in sorted(set(ws)) if w], "word string") for ws in (asked, words)]
+    want = {(a, w, edits(a, w)) for a in set(asked) if a for w in set(words) if edits(a, w) <= 2}
+    found = classify.near_words(*df)
+    assert set(map(tuple, found.select("asked", "word", "n").collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
 def test_golden_documents(spark):
     rows = [("باسم الشعب التونسي\nتقضي المحكمة بإدانة المتهم", "حكم_2024.pdf"), ("contrat de bail d'habitation\nbailleur: Mohamed Ali\nlocataire: Ahmed", "bail.pdf"), ("procès-verbal dressé par l'officier de police judiciaire", "pv_123.pdf"), ("مجلة الجزاء التونسية\nالفصل الأول\nالباب الأول", "code_penal.pdf")]
     got = classify.detect_type(spark.createDataFrame(rows, "text string, name string"), file_name="name").collect()
