@@ -11,7 +11,8 @@ from corvane.plans.base import WRD, has, query, quote
 from corvane.plans.base import table as _t
 from corvane.settings import SETTINGS
 
-_ASKS = f"WITH {samples.cte('asks')}"
+_ASKS = f"WITH {samples.cte('asks', True)}"
+_OWN_ASKS = f"WITH {samples.cte('asks')}"
 _LAW = f"WITH {samples.cte('law')}"
 ARABIC = r"(len(regexp_extract_all(text, '[\x{0600}-\x{06FF}]')) / greatest(length(text), 1)) > 0.3"
 
@@ -21,25 +22,25 @@ ARABIC = r"(len(regexp_extract_all(text, '[\x{0600}-\x{06FF}]')) / greatest(leng
 
 @query(f"{_ASKS}, p AS (SELECT *, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_ \\t\\n\\r\\f]', '', 'g')) AS c FROM asks) SELECT query_id, (len({WRD.format('text')}) < 6 AND regexp_matches(c, {quote(classify.GATE)})) OR length(trim(text)) < 5 AS skipped FROM p")
 def expansion_gate(spark, d):
-    return samples.table(spark, "asks").select("query_id", classify.skip_expansion(F.col("text")).alias("skipped"))
+    return samples.table(spark, "asks", d).select("query_id", classify.skip_expansion(F.col("text")).alias("skipped"))
 
 
 @query(f"{_ASKS}, p AS (SELECT *, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_ \\t\\n\\r\\f]', '', 'g')) AS c FROM asks), g AS (SELECT *, (len({WRD.format('text')}) < 6 AND regexp_matches(c, {quote(classify.GATE)})) OR length(trim(text)) < 5 AS sk FROM p) SELECT query_id, CASE WHEN sk OR query_id % 3 = 0 THEN text ELSE text || chr(10) || chr(10) || 'réponse ' || query_id END AS combined, CASE WHEN sk OR query_id % 3 = 0 THEN text ELSE 'réponse ' || query_id END AS alone FROM g")
 def hypothetical_queries(spark, d):
     told = F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("réponse "), "query_id"))
-    rows = samples.table(spark, "asks")
+    rows = samples.table(spark, "asks", d)
     return rows.select("query_id", classify.hypothesis(F.col("text"), told).alias("combined"), classify.hypothesis(F.col("text"), told, "hypo_only").alias("alone"))
 
 
 @query(f"{_ASKS} SELECT query_id, regexp_matches(text, {quote('(?i)' + classify.APPOINTMENT)}) AS wanted FROM asks UNION ALL SELECT -conv_id * 1000 - turn, regexp_matches(text, {quote('(?i)' + classify.APPOINTMENT)}) FROM conversations")
 def appointment_intent(spark, d):
     said = _t(spark, d, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn")).alias("query_id"), "text")
-    return samples.table(spark, "asks").unionByName(said).select("query_id", classify.wants_appointment(F.col("text")).alias("wanted"))
+    return samples.table(spark, "asks", d).unionByName(said).select("query_id", classify.wants_appointment(F.col("text")).alias("wanted"))
 
 
-@query(f"WITH {samples.cte('modes')} SELECT id, CASE WHEN type IN ('articles_cp', 'articles_cpp', 'gravite', 'peine') THEN 'penal' WHEN type IN ('articles_coc', 'parties', 'montants') THEN 'civil' WHEN {has('lower(value)', classify.MODE_WORDS['penal'])} > 0 THEN 'penal' WHEN {has('lower(value)', classify.MODE_WORDS['civil'])} > 0 THEN 'civil' ELSE 'general' END AS mode FROM modes")
+@query(f"WITH {samples.cte('modes', True)} SELECT id, CASE WHEN type IN ('articles_cp', 'articles_cpp', 'gravite', 'peine') THEN 'penal' WHEN type IN ('articles_coc', 'parties', 'montants') THEN 'civil' WHEN {has('lower(value)', classify.MODE_WORDS['penal'])} > 0 THEN 'penal' WHEN {has('lower(value)', classify.MODE_WORDS['civil'])} > 0 THEN 'civil' ELSE 'general' END AS mode FROM modes")
 def legal_modes(spark, d):
-    rows = samples.table(spark, "modes").groupBy("id").agg(F.collect_list(F.struct("type", "value")).alias("entities"))
+    rows = samples.table(spark, "modes", d).groupBy("id").agg(F.collect_list(F.struct("type", "value")).alias("entities"))
     return rows.select("id", classify.legal_mode(F.col("entities")).alias("mode"))
 
 
@@ -124,7 +125,7 @@ _PROFILES = ", ".join("(" + ", ".join(map(quote, p)) + ")" for p in context.PROF
 def synthesis_prompts(spark, d):
     k = F.col("query_id")
     names = F.create_map(F.lit("parties"), F.array(k.cast("string")), F.lit("articles"), F.array(*map(F.lit, "1234")), F.lit("none"), F.array().cast("array<string>"))
-    rows = samples.table(spark, "asks").select(
+    rows = samples.table(spark, "asks", d).select(
         "query_id", F.when(k % 3 == 0, "penal").when(k % 3 == 1, "civil").otherwise("other").alias("mode"), F.when(F.col("text").rlike("[ء-ي]{3}"), "ar").otherwise("fr").alias("lang"),
         F.col("text").alias("context"), names.alias("entities"), ((k % 10) / 10).alias("confidence"), (k % 4).alias("sources"),
     )
@@ -134,7 +135,7 @@ def synthesis_prompts(spark, d):
 @query(f"{_ASKS} SELECT query_id, 'Répondez brièvement.' || chr(10) || chr(10) || 'QUESTION:' || chr(10) || text AS quick, 'Comparez les deux textes.' || chr(10) || chr(10) || 'TEXTE 1:' || chr(10) || text || chr(10) || chr(10) || 'TEXTE 2:' || chr(10) || query_id AS comparison FROM asks")
 def plain_prompts(spark, d):
     t, k = F.col("text"), F.col("query_id").cast("string")
-    return samples.table(spark, "asks").select("query_id", context.plain_prompt("quick", t).alias("quick"), context.plain_prompt("comparison", t, k).alias("comparison"))
+    return samples.table(spark, "asks", d).select("query_id", context.plain_prompt("quick", t).alias("quick"), context.plain_prompt("comparison", t, k).alias("comparison"))
 
 
 @query("SELECT conv_id, 'system:P|' || string_agg(role || ':' || text, '|' ORDER BY turn) AS messages FROM conversations GROUP BY 1")
@@ -358,17 +359,17 @@ def overall_score(spark, d):
     return evaluation.overall(_t(spark, d, "conversations").select(suite.alias("suite"), ((F.col("conv_id") % 10) / 10).alias("composite")))
 
 
-_T = f"WITH {samples.cte('tests')}"
+_T = f"WITH {samples.cte('tests', True)}"
 
 
 @query(f"{_T} SELECT component, test_name, '  ' || repeat('█', CAST(floor(score * 20) AS BIGINT)) || repeat('░', CAST(20 - floor(score * 20) AS BIGINT)) || ' ' || lpad(format('{{:.1f}}', score * 100), 5, ' ') || '%  ' || component || '/' || test_name || CASE WHEN error IS NOT NULL THEN ' [ERR: ' || error || ']' ELSE '' END AS line FROM tests")
 def report_lines(spark, d):
-    return evaluation.test_lines(samples.table(spark, "tests"))
+    return evaluation.test_lines(samples.table(spark, "tests", d))
 
 
 @query(f"{_T} SELECT count(*) AS tests, round(avg(score), 4) AS global_score, round(count(*) FILTER (passed) / count(*), 4) AS pass_rate FROM tests")
 def report_summary(spark, d):
-    return evaluation.test_summary(samples.table(spark, "tests"))
+    return evaluation.test_summary(samples.table(spark, "tests", d))
 
 
 @query("SELECT * FROM (VALUES ('adversarial', 2::BIGINT), ('standard', 3)) AS v(suite, n)")
@@ -388,10 +389,10 @@ def _triggered(spark, d):
 
 
 @query(
-    f"""{_ASKS}, {samples.cte('law')}, w AS (SELECT query_id, text FROM asks WHERE query_id IN ({{ids}})), qm AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(text), '\\p{{{{L}}}}+'), lambda x: length(x) >= 4)) AS entity FROM w),
+    f"""{_OWN_ASKS}, {samples.cte('law')}, w AS (SELECT query_id, text FROM asks WHERE query_id IN ({{ids}})), qm AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(text), '\\p{{{{L}}}}+'), lambda x: length(x) >= 4)) AS entity FROM w),
     me AS (SELECT DISTINCT chunk_id AS doc_id, unnest(list_filter(regexp_extract_all(lower(text), '\\p{{{{L}}}}+'), lambda x: length(x) >= 4)) AS entity FROM law), ed AS (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM me a JOIN me b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2),
     bo AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed), nr AS (SELECT DISTINCT query_id, entity AS seed, dst AS neighbour, weight FROM qm JOIN bo ON src = entity), on1 AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY query_id, least(seed, neighbour), greatest(seed, neighbour) ORDER BY seed) = 1)
-    SELECT query_id, seed, neighbour, weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, seed, neighbour) AS INT) AS rnk FROM on1 QUALIFY rnk <= 10""".format(ids="1, 2, 3, 7, 13, 15, 24")
+    SELECT query_id, seed, neighbour, weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, seed, neighbour) AS INT) AS rnk FROM on1 QUALIFY rnk <= 10""".format(ids="1, 2, 3, 7, 13, 15, 24, 34")
 )
 def triggered_graph(spark, d):
     return _triggered(spark, d)

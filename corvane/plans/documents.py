@@ -14,11 +14,12 @@ from corvane.settings import SETTINGS
 from corvane.sources.storage import materialise
 
 _W = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"
-_R = f"WITH {samples.cte('rulings')}, r AS (SELECT id, path, category, coalesce(text, '') AS text FROM rulings)"
+_R = f"WITH {samples.cte('rulings', True)}, r AS (SELECT id, path, category, coalesce(text, '') AS text FROM rulings)"
 
 
-def _rulings(spark):
-    return samples.table(spark, "rulings")
+def _rulings(spark, d):
+    """Literal rulings and the documents."""
+    return samples.table(spark, "rulings", d)
 
 
 def _joined(c: str, sep: str = "|"):
@@ -50,13 +51,13 @@ def _trims(expr: str, longer: int = 0) -> str:
     coalesce(hier[2], hier[1], 'général') AS subcategory FROM t"""
 )
 def folder_topology(spark, d):
-    found = classify.topology(_rulings(spark))
+    found = classify.topology(_rulings(spark, d))
     return found.select("id", F.array_join("hierarchy", "/").alias("hierarchy"), "context_path", "category", "subcategory")
 
 
 @query(f"{_R} SELECT id, CASE WHEN lower(trim(coalesce(category, ''))) IN ('pénal', 'penal', 'pénale') THEN 'penal' WHEN lower(trim(coalesce(category, ''))) = 'civil' THEN 'contract' ELSE 'ruling' END AS extractor FROM r")
 def extractor_choice(spark, d):
-    return _rulings(spark).select("id", classify.extractor_for(F.col("category")).alias("extractor"))
+    return _rulings(spark, d).select("id", classify.extractor_for(F.col("category")).alias("extractor"))
 
 
 @query("""SELECT * FROM (VALUES ('g1', 'Jugement'), ('g2', 'Bail'), ('g3', 'PV'), ('g4', 'Code_de_loi')) AS v(id, doc_type)""")
@@ -83,7 +84,7 @@ def final_nature(spark, d):
 
 @query(f"{_R} SELECT id, CASE WHEN {has('path', ['حوادث', 'accident', 'مرور'])} > 0 THEN 'Accident de circulation' WHEN {has('path', ['مخدرات', 'stupéfiant', 'drogue'])} > 0 THEN 'Affaire de stupéfiants' END AS case_type FROM r UNION ALL SELECT 'x1', 'Accident de circulation' UNION ALL SELECT 'x2', 'Affaire de stupéfiants'")
 def path_case_type(spark, d):
-    rows = _rulings(spark).select("id", "path").unionByName(spark.createDataFrame([("x1", "Pénal > accident"), ("x2", "Pénal > drogue")], "id string, path string"))
+    rows = _rulings(spark, d).select("id", "path").unionByName(spark.createDataFrame([("x1", "Pénal > accident"), ("x2", "Pénal > drogue")], "id string, path string"))
     return rows.select("id", classify.case_type(F.col("path")).alias("case_type"))
 
 
@@ -103,7 +104,7 @@ def _marked(pattern: str, col: str = "t") -> str:
     trim(substr(t, CAST(greatest(p0 - 19, 1) AS BIGINT), CAST(length(m) + 20 + least(p0, 20) AS BIGINT)), {_W}) AS context FROM m"""
 )
 def contract_amounts(spark, d):
-    found = extract.contract(_rulings(spark))
+    found = extract.contract(_rulings(spark, d))
     return found.select("id", F.inline("amounts"))
 
 
@@ -120,7 +121,7 @@ _KINDS = ", ".join(f"{{'n': {has('lower(text)', keys)}, 'o': {-i}, 't': '{name}'
     array_to_string(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '{extract.TELLING}'))[1:3], '|') AS snippets FROM t"""
 )
 def extract_contract(spark, d):
-    found = extract.contract(_rulings(spark))
+    found = extract.contract(_rulings(spark, d))
     return found.select("id", *(_joined(c) for c in ("parties", "dates", "articles_coc")), "transaction", "city", *(_joined(c) for c in ("duties", "goods", "durations", "snippets")))
 
 
@@ -137,7 +138,7 @@ _RULED = f"""array_to_string({' || '.join(_trims(_all(p), -1) for p in extract.P
 
 @query(f"{_R} SELECT id, {_RULED} FROM r")
 def extract_rulings(spark, d):
-    found = extract.ruling(_rulings(spark), strict=False)
+    found = extract.ruling(_rulings(spark, d), strict=False)
     parts = {"refs": "reference", "numbers": "number", "codes": "code"}
     applied = [F.array_join(F.col(f"applied.{n}"), "|").alias(c) for c, n in parts.items()]
     return found.select("id", _joined("plaintiffs"), _joined("defendants"), "facts", "means", "holding", _joined("principles"), *applied)
@@ -145,7 +146,7 @@ def extract_rulings(spark, d):
 
 @query(f"{_R} SELECT id, CASE WHEN regexp_matches(text, {rx(extract.HOLDING)}) THEN '' END AS holding FROM r")
 def strict_holdings(spark, d):
-    return extract.ruling(_rulings(spark)).select("id", "holding")
+    return extract.ruling(_rulings(spark, d)).select("id", "holding")
 
 
 _COURT = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {rx(p)}, 1), '')" for p in extract.COURTS) + ")"
@@ -159,7 +160,7 @@ _GRAVE = " OR ".join(f"contains(lower(text), {quote(k)})" for _, keys in extract
     SELECT v.id, extractor, CASE extractor WHEN 'contract' THEN c WHEN 'ruling' THEN j ELSE p END AS valid FROM v JOIN x USING (id)"""
 )
 def extractor_validity(spark, d):
-    return extract.dispatch(_rulings(spark)).select("id", "extractor", "valid")
+    return extract.dispatch(_rulings(spark, d)).select("id", "extractor", "valid")
 
 
 @query(
@@ -169,7 +170,7 @@ def extractor_validity(spark, d):
     SELECT id, array_to_string(list_transform(CASE WHEN len(marks) < pages - 1 THEN list_transform(generate_series(1, pages - 1), lambda i: i * CAST(floor(length(text) / pages) AS BIGINT)) ELSE marks END, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS breaks FROM m"""
 )
 def page_breaks(spark, d):
-    rows = _rulings(spark)
+    rows = _rulings(spark, d)
     return rows.select("id", F.array_join(F.transform(extract.page_breaks(F.col("text"), F.lit(4)), lambda x: x.cast("string")), ",").alias("breaks"))
 
 
@@ -184,7 +185,7 @@ _BREAKS = r"(\n[ \t\n\r\f]*\n|\r\n[ \t\n\r\f]*\r\n)"
     SELECT id, trim(t, {_W}) AS text, CAST(coalesce(list_sum(sizes[1:i - 1]), 0) AS INT) AS start, CAST(coalesce(list_sum(sizes[1:i]), 0) AS INT) AS "end" FROM e WHERE i % 2 = 1 AND trim(t, {_W}) <> ''"""
 )
 def paragraph_offsets(spark, d):
-    return _rulings(spark).select("id", F.inline(T.placed_paragraphs("text")))
+    return _rulings(spark, d).select("id", F.inline(T.placed_paragraphs("text")))
 
 
 _CHUNK = f"""b AS (SELECT doc_id, t, 0 AS idx, 0 AS p0, {{end}} AS stop FROM (SELECT doc_id, t, 0 AS p0 FROM docs WHERE t <> '') UNION ALL
@@ -226,7 +227,8 @@ def semantic_chunks(spark, d):
 
 @query()
 def packed_rulings(spark, d):
-    rows = _rulings(spark).select(F.substring("id", 2, 9).cast("long").alias("doc_id"), "id", "path", "text")
+    number = F.substring("id", 2, 12).cast("long")
+    rows = _rulings(spark, d).select(F.when(F.col("id").startswith("d"), number + 1000).otherwise(number).alias("doc_id"), "id", "path", "text")
     rows = rows.withColumn("uid", T.document_uid(F.coalesce("text", F.lit("")), "path")).withColumn("page_breaks", extract.page_breaks(F.coalesce("text", F.lit("")), F.lit(3)))
     return chunking.paragraphs(rows, 60, 120)
 
@@ -243,11 +245,11 @@ def chosen_chunks(spark, d):
 
 
 @query(
-    f"""WITH {samples.cte('answers')}, b AS (SELECT id, regexp_extract(regexp_replace(text, '```(?:json)?', '', 'g'), '(?s)\\{{.*\\}}') AS body FROM answers)
+    f"""WITH {samples.cte('answers', True)}, b AS (SELECT id, regexp_extract(regexp_replace(text, '```(?:json)?', '', 'g'), '(?s)\\{{.*\\}}') AS body FROM answers)
     SELECT id, CASE WHEN body = '' THEN '{{}}' ELSE regexp_replace(body, '[ \\t\\n\\r\\f]+', ' ', 'g') END AS clean FROM b"""
 )
 def sanitised_json(spark, d):
-    return samples.table(spark, "answers").select("id", T.sanitise_json("text").alias("clean"))
+    return samples.table(spark, "answers", d).select("id", T.sanitise_json("text").alias("clean"))
 
 
 _STRIP = "text"
@@ -259,9 +261,9 @@ for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("
 _HTML = f"""replace(regexp_replace({_HTML}, '(https?://[^ \\t\\n\\r\\f]+)', '<a href="\\1" target="_blank" style="color: var(--accent-green); text-decoration: underline;">\\1</a>', 'g'), chr(10), '<br>')"""
 
 
-@query(f"WITH {samples.cte('marked')} SELECT id, {_STRIP} AS plain, {_HTML} AS html FROM marked")
+@query(f"WITH {samples.cte('marked', True)} SELECT id, {_STRIP} AS plain, {_HTML} AS html FROM marked")
 def html_text(spark, d):
-    return samples.table(spark, "marked").select("id", T.strip_markdown("text").alias("plain"), T.to_html("text").alias("html"))
+    return samples.table(spark, "marked", d).select("id", T.strip_markdown("text").alias("plain"), T.to_html("text").alias("html"))
 
 
 def _said(lang: str) -> str:
@@ -306,19 +308,19 @@ _ARA = ARA.format("text")
 
 
 @query(
-    f"""WITH {samples.cte('asks')}, {samples.cte('rulings')}, t AS (SELECT query_id, text FROM asks UNION ALL SELECT 1000 + CAST(substr(id, 2) AS BIGINT), text FROM rulings)
+    f"""WITH {samples.cte('asks', True)}, {samples.cte('rulings', True)}, t AS (SELECT query_id, text FROM asks UNION ALL SELECT 1000 + CAST(substr(id, 2) AS BIGINT), text FROM rulings)
     SELECT query_id, CASE WHEN {_ARA} > 0.5 THEN 'ar' WHEN {_ARA} > 0.1 THEN 'mixed' ELSE 'fr' END AS of_page, CASE WHEN {_ARA} > 0.3 THEN 'ar' WHEN {_ARA} > 0.1 THEN 'mixed' ELSE 'fr' END AS of_document,
     CASE WHEN {_ARA} > 0.3 THEN 'ar' ELSE 'fr' END AS of_question FROM t"""
 )
 def language_thresholds(spark, d):
-    more = _rulings(spark).select((1000 + F.substring("id", 2, 9).cast("long")).alias("query_id"), "text")
-    rows = samples.table(spark, "asks").unionByName(more)
+    more = _rulings(spark, d).select((1000 + F.substring("id", 2, 12).cast("long")).alias("query_id"), "text")
+    rows = samples.table(spark, "asks", d).unionByName(more)
     return rows.select("query_id", T.language("text", 0.5, 0.1).alias("of_page"), T.language("text", 0.3, 0.1).alias("of_document"), T.language("text", 0.3).alias("of_question"))
 
 
 @query(f"{_R} SELECT id, replace(replace(replace(regexp_replace(text, {quote(wide('(\\d)\\s+(\\d{3})'))}, '\\1\\2', 'g'), '٠', '0'), '١', '1'), '٢', '2') AS text FROM r UNION ALL SELECT 'x', '102 30 1000'")
 def repaired_numbers(spark, d):
-    rows = _rulings(spark).select("id", F.coalesce("text", F.lit("")).alias("text")).unionByName(spark.createDataFrame([("x", "١٠٢ 30 1 000")], "id string, text string"))
+    rows = _rulings(spark, d).select("id", F.coalesce("text", F.lit("")).alias("text")).unionByName(spark.createDataFrame([("x", "١٠٢ 30 1 000")], "id string, text string"))
     return rows.select("id", T.repair_numbers("text").alias("text"))
 
 
@@ -328,9 +330,9 @@ def plain_keys(spark, d):
     return rows.select("id", T.plain_key("text").alias("key"))
 
 
-@query(f"WITH {samples.cte('answers')} SELECT id, CASE id WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN '{{\"b\":[1,2]}}' ELSE '{{}}' END AS value FROM answers")
+@query(f"WITH {samples.cte('answers', True)} SELECT id, CASE id WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN '{{\"b\":[1,2]}}' ELSE CASE WHEN id < 1000 THEN '{{}}' WHEN id % 1000 % 3 = 0 THEN '{{\"turn\":' || id % 1000 || '}}' WHEN id % 1000 % 3 = 2 THEN '{{\"a\":[' || id % 1000 || ']}}' ELSE '{{}}' END END AS value FROM answers")
 def parsed_json(spark, d):
-    return samples.table(spark, "answers").select("id", F.to_json(T.parse_json("text")).alias("value"))
+    return samples.table(spark, "answers", d).select("id", F.to_json(T.parse_json("text")).alias("value"))
 
 
 _DOC_ENTITIES = f"array_to_string(({_distinct(_all(extract.ARTICLE, apart()))})[1:10], '|') AS articles, array_to_string(({_distinct(_all(extract.DATE))})[1:5], '|') AS dates"
@@ -338,5 +340,5 @@ _DOC_ENTITIES = f"array_to_string(({_distinct(_all(extract.ARTICLE, apart()))})[
 
 @query(f"{_R} SELECT id, false AS from_model, 'Inconnu' AS classification, {_DOC_ENTITIES} FROM r")
 def structured_fallback(spark, d):
-    rows = extract.structured(_rulings(spark), path="path")
+    rows = extract.structured(_rulings(spark, d), path="path")
     return rows.select("id", "from_model", "classification", F.array_join("structured.articles_cites", "|").alias("articles"), F.array_join("structured.dates_importantes", "|").alias("dates"))

@@ -12,13 +12,13 @@ from corvane.plans import samples
 from corvane.plans.base import query
 from corvane.plans.base import table as _t
 
-_ACC = f"WITH {samples.cte('accounts')}"
+_ACC = f"WITH {samples.cte('accounts', True)}"
 _PERMS = ", ".join(f"('{r}', '{p}')" for r, ps in relational.PERMISSIONS.items() for p in ps)
 
 
 @query(f"{_ACC}, p(role, permission) AS (VALUES {_PERMS}) SELECT key, permission FROM accounts JOIN p USING (role) WHERE is_active AND (status = 'active' OR (status = 'pending' AND permission IN ('use_chatbot', 'request_appointment')))")
 def account_permissions(spark, d):
-    return relational.allowed(samples.table(spark, "accounts"))
+    return relational.allowed(samples.table(spark, "accounts", d))
 
 
 @query(
@@ -26,18 +26,18 @@ def account_permissions(spark, d):
     SELECT key, may_enter, may_enter AND role = 'admin' AS is_admin, may_enter AND role IN ('lawyer', 'admin') AS is_lawyer, may_enter AND role IN ('premium', 'lawyer', 'admin') AS is_premium, role IN ('admin', 'lawyer', 'premium') AS is_vip FROM e"""
 )
 def role_gates(spark, d):
-    return relational.gates(samples.table(spark, "accounts"))
+    return relational.gates(samples.table(spark, "accounts", d))
 
 
 @query(f"{_ACC} SELECT key, trim(concat_ws(' ', first_name, last_name)) AS full_name, role IN ('premium', 'lawyer', 'admin') AS is_premium, role = 'admin' AS can_access_admin FROM accounts")
 def account_names(spark, d):
-    return relational.people(samples.table(spark, "accounts"))
+    return relational.people(samples.table(spark, "accounts", d))
 
 
 @query(f"{_ACC}, s AS (SELECT * FROM (VALUES (9, 'd@x.tn', 'client', 'banned'), (10, 'z@x.tn', 'admin', 'active')) AS v(key, email, role, status)) SELECT a.key, a.email, coalesce(s.role, a.role) AS role, coalesce(s.status, a.status) AS status FROM accounts a LEFT JOIN s USING (email) UNION ALL SELECT key, email, role, status FROM s WHERE email NOT IN (SELECT email FROM accounts)")
 def seeded_accounts(spark, d):
     admin = spark.createDataFrame([(9, "d@x.tn", "client", "banned"), (10, "z@x.tn", "admin", "active")], "key long, email string, role string, status string")
-    return relational.seed(samples.table(spark, "accounts").select("key", "email", "role", "status"), admin)
+    return relational.seed(samples.table(spark, "accounts", d).select("key", "email", "role", "status"), admin)
 
 
 _MSG = "m AS (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id % 50 + turn AS INT)) AS created_at FROM conversations), o AS (SELECT DISTINCT conv_id, conv_id % 7 AS user_id FROM conversations)"
@@ -137,12 +137,12 @@ def appointments_by_status(spark, d):
 
 @query(f"{_ACC}, {_APP} SELECT appointment_id, client_id FROM a WHERE status = 'pending' ORDER BY preferred_date, appointment_id")
 def pending_appointments(spark, d):
-    return relational.pending_for(_appointments(spark, d), samples.table(spark, "accounts"), 3).select("appointment_id", "client_id")
+    return relational.pending_for(_appointments(spark, d), samples.table(spark, "accounts", d), 3).select("appointment_id", "client_id")
 
 
 @query(f"{_ACC}, {_APP} SELECT appointment_id, client_id FROM a WHERE false")
 def pending_without_permission(spark, d):
-    return relational.pending_for(_appointments(spark, d), samples.table(spark, "accounts"), 1).select("appointment_id", "client_id")
+    return relational.pending_for(_appointments(spark, d), samples.table(spark, "accounts", d), 1).select("appointment_id", "client_id")
 
 
 @query(f"WITH {_APP} SELECT status, count(*) AS n FROM (SELECT CASE WHEN appointment_id % 10 = 0 AND client_id % 2 = 0 AND status <> 'completed' THEN 'cancelled' ELSE status END AS status FROM a) GROUP BY 1")
@@ -160,18 +160,19 @@ def decided_appointments(spark, d):
     return found.groupBy("status", "approved_by_lawyer").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CHECKED = """SELECT * FROM (VALUES (1::BIGINT, '2030-01-05 09:00:00', NULL), (2, '2030-01-05 00:00:00', NULL), (3, '2001-01-01 00:00:00', 'past'), (4, NULL, 'bad_date'), (5, '2030-06-01 08:30:00', NULL), (6, NULL, 'bad_date')) AS v(request, preferred_date, problem)"""
+_CHECKED = """SELECT * FROM (VALUES (1::BIGINT, '2030-01-05 09:00:00', NULL), (2, '2030-01-05 00:00:00', NULL), (3, '2001-01-01 00:00:00', 'past'), (4, NULL, 'bad_date'), (5, '2030-06-01 08:30:00', NULL), (6, NULL, 'bad_date')) AS v(request, preferred_date, problem)
+    UNION ALL SELECT request, day || hour, CASE WHEN day || hour < '2025-01-01' THEN 'past' END FROM (SELECT 1000 + o_orderkey AS request, strftime(CASE WHEN o_custkey % 2 = 0 THEN o_orderdate + INTERVAL 35 YEAR ELSE o_orderdate END, '%Y-%m-%d') AS day, CASE o_orderkey % 3 WHEN 0 THEN ' 10:00:00' WHEN 1 THEN ' 00:00:00' ELSE ' 22:30:00' END AS hour FROM orders)"""
 
 
 @query(_CHECKED)
 def checked_requests(spark, d):
-    found = relational.requests(samples.table(spark, "requests"), "2025-01-01 00:00:00")
+    found = relational.requests(samples.table(spark, "requests", d), "2025-01-01 00:00:00")
     return found.select("request", F.date_format("preferred_date", "yyyy-MM-dd HH:mm:ss").alias("preferred_date"), "problem")
 
 
-@query(f"WITH {_APP} SELECT count(*) + 3 AS n, count(*) FILTER (status = 'pending') + 3 AS pending FROM a")
+@query(f"WITH {_APP}, x AS (SELECT count(*) AS more FROM ({_CHECKED}) WHERE problem IS NULL) SELECT count(*) + any_value(more) AS n, count(*) FILTER (status = 'pending') + any_value(more) AS pending FROM a, x")
 def appended_requests(spark, d):
-    checked = relational.requests(samples.table(spark, "requests"), "2025-01-01 00:00:00")
+    checked = relational.requests(samples.table(spark, "requests", d), "2025-01-01 00:00:00")
     found = relational.append_requests(_appointments(spark, d), checked)
     return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "pending").alias("pending"))
 

@@ -207,9 +207,9 @@ def detect_documents(spark, d):
     return _typed(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("file_name")), "file_name")
 
 
-@query(_type_sql(f"{samples.cte('rulings')}, asked AS (SELECT id, text, regexp_extract(path, '[^/]+$') AS file_name FROM rulings)"))
+@query(_type_sql(f"{samples.cte('rulings', True)}, asked AS (SELECT id, text, regexp_extract(path, '[^/]+$') AS file_name FROM rulings)"))
 def detect_rulings(spark, d):
-    return _typed(samples.table(spark, "rulings").select("id", "text", F.regexp_extract("path", "[^/]+$", 0).alias("file_name")), "file_name")
+    return _typed(samples.table(spark, "rulings", d).select("id", "text", F.regexp_extract("path", "[^/]+$", 0).alias("file_name")), "file_name")
 
 
 def _list(p: str, most: int | str = "", distinct: bool = True, col: str = "text") -> str:

@@ -95,10 +95,43 @@ SCHEMAS = {
 }
 
 
-def cte(name: str) -> str:
-    return values(name, *SCHEMAS[name])
+#: What the driver's tables give for these tables, beside the literals that meet every branch: (table, its rows in SQL that both engines read).
+GIVEN = {
+    "asks": ("conversations", "100000 + conv_id * 1000 + turn AS query_id, text"),
+    "rulings": (
+        "documents",
+        "concat('d', CAST(doc_id AS STRING)) AS id, concat('/data/corpus/', coalesce(source, 'x'), '/', coalesce(lang, 'x'), '/doc_', CAST(doc_id AS STRING), '.pdf') AS path,"
+        " CASE doc_id % 3 WHEN 0 THEN 'Civil' WHEN 1 THEN 'Pénal' END AS category, text",
+    ),
+    "contexts": ("conversations", "1000 + conv_id * 1000 + turn AS query_id, CASE turn % 3 WHEN 0 THEN concat('FAITS:\n- ', text, '\nENTITÉS:\n', role, '\nRELATIONS:\n', role, ' -> ', role) ELSE text END AS raw"),
+    "accounts": (
+        "customer",
+        "1000 + c_custkey AS key, concat(lower(c_name), '@x.tn') AS email, c_name AS first_name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS last_name,"
+        " CASE c_custkey % 4 WHEN 0 THEN 'client' WHEN 1 THEN 'premium' WHEN 2 THEN 'lawyer' ELSE 'admin' END AS role, CASE c_custkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'pending' ELSE 'suspended' END AS status, c_custkey % 7 <> 0 AS is_active",
+    ),
+    "requests": ("orders", "1000 + o_orderkey AS request, 1000 + o_custkey AS client_id, concat(CAST(CAST(CASE WHEN o_custkey % 2 = 0 THEN o_orderdate + INTERVAL 35 YEAR ELSE o_orderdate END AS DATE) AS STRING), CASE o_orderkey % 3 WHEN 0 THEN 'T10:00:00Z' WHEN 1 THEN '' ELSE 'T23:30:00+01:00' END) AS preferred"),
+    "answers": ("conversations", "1000 + conv_id * 1000 + turn AS id, CASE turn % 3 WHEN 0 THEN concat('```json\n{\"turn\":\n  ', CAST(turn AS STRING), '}\n```') WHEN 1 THEN text ELSE concat(role, ' {\"a\": [', CAST(turn AS STRING), ']} ', role) END AS text"),
+    "marked": ("conversations", "1000 + conv_id * 1000 + turn AS id, CASE turn % 2 WHEN 0 THEN concat('**', text, '** & _', role, '_') ELSE text END AS text"),
+    "tests": ("events", "event_type AS component, concat('t', CAST(event_id AS STRING)) AS test_name, round(least(value, 100) / 100, 2) AS score, value > 20 AS passed, CASE WHEN value > 90 THEN 'slow' END AS error"),
+    "modes": ("conversations", "1000 + conv_id * 1000 + turn AS id, CASE turn % 4 WHEN 3 THEN 'parties' ELSE 'autre' END AS type, text AS value"),
+}
+
+
+def cte(name: str, given: bool = False) -> str:
+    """The literals; given: and what the driver's tables give."""
+    if not given:
+        return values(name, *SCHEMAS[name])
+    source, columns = GIVEN[name]
+    told = columns.replace("AS STRING", "AS VARCHAR").replace("\\n", "' || chr(10) || '")
+    return f"{values('l_' + name, *SCHEMAS[name])}, {name} AS (SELECT * FROM l_{name} UNION ALL SELECT {told} FROM {source})"
 
 
-def table(spark: SparkSession, name: str) -> DataFrame:
+def table(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
+    """The literals; with a folder, and what the tables there give."""
     columns, rows = SCHEMAS[name]
-    return spark.createDataFrame(list(rows), columns)
+    own = spark.createDataFrame(list(rows), columns)
+    if folder is None:
+        return own
+    source, found = GIVEN[name]
+    more = spark.sql(f"SELECT {found} FROM parquet.`{folder}/{source}.parquet`")
+    return own.unionByName(more.select(*(more[f.name].cast(f.dataType) for f in own.schema.fields)))
