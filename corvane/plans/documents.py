@@ -233,12 +233,21 @@ def packed_rulings(spark, d):
     return chunking.paragraphs(rows, 60, 120)
 
 
-@query("SELECT 'existing' AS kind, count(*) AS n FROM documents WHERE doc_id % 3 = 0")
+@query(
+    f"""WITH RECURSIVE docs AS (SELECT doc_id, trim(text, {_W}) AS t FROM documents WHERE doc_id % 3 = 2), {_CHUNK.format(end=_END)},
+    c AS (SELECT doc_id, CAST(idx AS INT) AS idx, trim(substr(t, CAST(p0 + 1 AS BIGINT), CAST(stop - p0 AS BIGINT)), {_W}) AS text FROM b),
+    k AS (SELECT 0 AS kind, doc_id, 0 AS idx, 'c' || doc_id AS chunk_id, text FROM documents WHERE doc_id % 3 = 0
+      UNION ALL SELECT 1, doc_id, 0, substr(sha256(doc_id || ':' || doc_id || ':0:' || substr(text, 1, 40)), 1, 16), text FROM documents WHERE doc_id % 3 = 1 AND length(trim(text)) >= 10
+      UNION ALL SELECT 2, doc_id, idx, substr(sha256(doc_id || ':' || doc_id || ':' || idx || ':' || substr(text, 1, 40)), 1, 16), text FROM c WHERE text <> '' AND {_TOKENS} >= {SETTINGS.min_tokens})
+    SELECT kind, doc_id, idx, chunk_id, md5(text) AS digest FROM k"""
+)
 def chosen_chunks(spark, d):
+    """A third of the documents has chunks already, a third semantic ones, the rest gets windows."""
     docs = _t(spark, d, "documents")
-    known = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("idx"), F.lit("c").alias("chunk_id"), F.lit("a").alias("article_id"), "text")
-    found = chunking.choose(docs, known).withColumn("kind", F.when(F.col("chunk_id") == "c", "existing").otherwise("windows"))
-    return found.where("kind = 'existing'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    known = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("idx"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("a").alias("article_id"), "text")
+    meant = docs.where("doc_id % 3 = 1").select("doc_id", F.lit(0).alias("idx"), F.lit(1).alias("n"), "text")
+    found = chunking.choose(docs, known, meant)
+    return found.select((F.col("doc_id") % 3).cast("int").alias("kind"), "doc_id", "idx", "chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 # text helpers
@@ -324,10 +333,14 @@ def repaired_numbers(spark, d):
     return rows.select("id", T.repair_numbers("text").alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'ete  cafe'), (2, 'fin 2'), (3, '')) AS v(id, key)")
+_KEY = r"trim(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}_ \t\n\r\f]', '', 'g'))"
+
+
+@query(f"SELECT * FROM (VALUES (1::BIGINT, 'ete  cafe'), (2, 'fin 2'), (3, '')) AS v(id, key) UNION ALL SELECT 1000 + conv_id * 1000 + turn, {_KEY} FROM conversations")
 def plain_keys(spark, d):
     rows = spark.createDataFrame([(1, "Été  «Café»!"), (2, "ﬁn ②"), (3, None)], "id long, text string")
-    return rows.select("id", T.plain_key("text").alias("key"))
+    said = _t(spark, d, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return rows.unionByName(said).select("id", T.plain_key("text").alias("key"))
 
 
 @query(f"WITH {samples.cte('answers', True)} SELECT id, CASE id WHEN 0 THEN '{{\"a\":1}}' WHEN 1 THEN '{{\"b\":[1,2]}}' ELSE CASE WHEN id < 1000 THEN '{{}}' WHEN id % 1000 % 3 = 0 THEN '{{\"turn\":' || id % 1000 || '}}' WHEN id % 1000 % 3 = 2 THEN '{{\"a\":[' || id % 1000 || ']}}' ELSE '{{}}' END END AS value FROM answers")

@@ -112,7 +112,7 @@ GIVEN = {
     "requests": ("orders", "1000 + o_orderkey AS request, 1000 + o_custkey AS client_id, concat(CAST(CAST(CASE WHEN o_custkey % 2 = 0 THEN o_orderdate + INTERVAL 35 YEAR ELSE o_orderdate END AS DATE) AS STRING), CASE o_orderkey % 3 WHEN 0 THEN 'T10:00:00Z' WHEN 1 THEN '' ELSE 'T23:30:00+01:00' END) AS preferred"),
     "answers": ("conversations", "1000 + conv_id * 1000 + turn AS id, CASE turn % 3 WHEN 0 THEN concat('```json\n{\"turn\":\n  ', CAST(turn AS STRING), '}\n```') WHEN 1 THEN text ELSE concat(role, ' {\"a\": [', CAST(turn AS STRING), ']} ', role) END AS text"),
     "marked": ("conversations", "1000 + conv_id * 1000 + turn AS id, CASE turn % 2 WHEN 0 THEN concat('**', text, '** & _', role, '_') ELSE text END AS text"),
-    "tests": ("events", "event_type AS component, concat('t', CAST(event_id AS STRING)) AS test_name, round(least(value, 100) / 100, 2) AS score, value > 20 AS passed, CASE WHEN value > 90 THEN 'slow' END AS error"),
+    "tests": ("events", "event_type AS component, concat('t', CAST(event_id AS STRING)) AS test_name, floor(least(value, 100)) / 100 AS score, value > 20 AS passed, CASE WHEN value > 90 THEN 'slow' END AS error"),
     "modes": ("conversations", "1000 + conv_id * 1000 + turn AS id, CASE turn % 4 WHEN 3 THEN 'parties' ELSE 'autre' END AS type, text AS value"),
 }
 

@@ -369,15 +369,19 @@ def context_pack(spark, d):
     return packed.withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
-@query(f"WITH {samples.cte('law')} SELECT count(DISTINCT doc_uid) AS documents, count(*) AS chunks, count(DISTINCT article_id) AS articles, (SELECT count(*) FROM embeddings WHERE vec_id < 10) AS vectors, count(*) FILTER (chunk_id >= 10) AS pending FROM law")
+@query("SELECT count(DISTINCT source) AS documents, count(*) AS chunks, count(DISTINCT doc_id // 4) AS articles, (SELECT count(*) FROM embeddings) AS vectors, count(*) FILTER (doc_id NOT IN (SELECT vec_id FROM embeddings)) AS pending FROM documents")
 def index_health(spark, d):
-    vectors = _t(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("chunk_id"))
-    return retrieval.health(samples.table(spark, "law"), vectors)
+    """Every document is a chunk of its source; those beyond the vectors wait for one."""
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return retrieval.health(_t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("article_id"), F.col("source").alias("doc_uid")), vectors)
 
 
-@query(f"WITH {samples.cte('law')} SELECT article_id, min(doc_uid) AS doc_uid, arg_min(coalesce(section, ''), chunk_id) AS title, count(*) AS n_chunks, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) AS chunk_ids FROM law GROUP BY 1")
+@query(f"WITH {samples.cte('law')}, al AS (SELECT chunk_id, article_id, doc_uid, section FROM law UNION ALL SELECT 1000 + doc_id, 'art_' || (doc_id // 4), coalesce(source, 'x'), CASE WHEN doc_id % 5 > 0 THEN lang END FROM documents) SELECT article_id, min(doc_uid) AS doc_uid, arg_min(coalesce(section, ''), chunk_id) AS title, count(*) AS n_chunks, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) AS chunk_ids FROM al GROUP BY 1")
 def article_index(spark, d):
-    chunks = samples.table(spark, "law").withColumn("index", F.col("chunk_id"))
+    names = ["chunk_id", "article_id", "doc_uid", "section"]
+    article = F.concat(F.lit("art_"), F.expr("doc_id div 4").cast("string"))
+    more = _t(spark, d, "documents").select((1000 + F.col("doc_id")).alias("chunk_id"), article.alias("article_id"), F.coalesce("source", F.lit("x")).alias("doc_uid"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("section"))
+    chunks = samples.table(spark, "law").select(*names).unionByName(more).withColumn("index", F.col("chunk_id"))
     found = vector.article_index(chunks.withColumn("section", F.coalesce("section", F.lit(""))))
     return found.select("article_id", "doc_uid", "title", "n_chunks", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ",").alias("chunk_ids"))
 
