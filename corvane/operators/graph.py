@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.frames import spread
-from corvane.functions.text import plain_key, sentences
+from corvane.functions.text import plain_key, sanitise_json, sentences
+from corvane.operators import hooks
+from corvane.sources.storage import materialise
 
 # What names a section of a graph context, and what begins a bullet.
 HEADINGS = (
@@ -17,6 +22,8 @@ HEADINGS = (
     ("chunks", ["chunk", "extrait", "text", "source", "contexte", "passage"]),
 )
 BULLET = r"^(-|•|\*|→|▸|›)"
+#: Ids in a list of an entity or a relation, about.
+PAGE = 100_000
 CAPS = {"facts": 15, "entities": 15, "relations": 10, "chunks": 5}
 
 
@@ -44,28 +51,85 @@ def entity_chunks(found: DataFrame) -> DataFrame:
     return found.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_chunks"), F.min("doc_id").alias("first_chunk"))
 
 
-def entity_lists(found: DataFrame) -> DataFrame:
-    """(entity, chunk_ids, n): the inverted list of each entity, with its length."""
-    out = found.groupBy("entity").agg(F.sort_array(F.collect_set("doc_id")).alias("chunk_ids"))
-    return out.select("entity", "chunk_ids", F.size("chunk_ids").alias("n"))
+def _listed(rows: DataFrame, key: str, page: int) -> DataFrame:
+    """(key, page, chunk_ids, n) of distinct rows(key, doc_id): a list for every ``page`` ids or so, n is all of a key's."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    dealt = rows.join(counts, key).withColumn("page", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / page)).cast("int"))
+    return dealt.groupBy(key, "page", "n").agg(F.sort_array(F.collect_list("doc_id")).alias("chunk_ids")).select(key, "page", "chunk_ids", "n")
+
+
+def entity_lists(found: DataFrame, page: int = PAGE) -> DataFrame:
+    """(entity, page, chunk_ids, n): the inverted list of each entity, in pages, with its whole length."""
+    return _listed(found.where("doc_id IS NOT NULL").select("entity", "doc_id").distinct(), "entity", page)
 
 
-def relation_lists(pairs: DataFrame) -> DataFrame:
-    """(relation, chunk_ids, n) of pairs(src, dst, doc_id): one list for a pair in either order."""
+def relation_lists(pairs: DataFrame, page: int = PAGE) -> DataFrame:
+    """(relation, page, chunk_ids, n) of pairs(src, dst, doc_id): one list for a pair in either order, in pages."""
     key = F.concat_ws("<SEP>", F.least("src", "dst"), F.greatest("src", "dst"))
-    out = pairs.where("src <> dst").groupBy(key.alias("relation")).agg(F.sort_array(F.collect_set("doc_id")).alias("chunk_ids"))
-    return out.select("relation", "chunk_ids", F.size("chunk_ids").alias("n"))
+    return _listed(pairs.where("src <> dst AND doc_id IS NOT NULL").select(key.alias("relation"), "doc_id").distinct(), "relation", page)
 
 
 def edges(found: DataFrame, least: int = 2) -> DataFrame:
-    """(src, dst, weight), src < dst: entities that share ``least`` chunks, however frequent they are."""
+    """(src, dst, weight), src < dst: entities that share ``least`` chunks, however frequent they are.
+
+    Pairs come from a join of the mentions with themselves, whose large chunks Spark can split, not from lists that every row carries along.
+    """
     many = entity_chunks(found).where(F.col("n_chunks") >= least).select("entity")  # rarer ones can't share as many
-    each = found.where("doc_id IS NOT NULL").join(many, "entity").groupBy("doc_id").agg(F.sort_array(F.collect_set("entity")).alias("all"))
-    firsts = each.select("all", F.posexplode("all").alias("i", "src"))
-    pairs = firsts.select("src", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("dst"))
+    each = found.where("doc_id IS NOT NULL").select("doc_id", "entity").distinct().join(many, "entity")
+    pairs = each.select("doc_id", F.col("entity").alias("src")).join(each.select("doc_id", F.col("entity").alias("dst")), "doc_id").where("src < dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 
 
+#: What a generator answers for a text, as JSON.
+GRAPH = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,description:string,weight:double>>"
+
+
+def extract(chunks: DataFrame, generator: Callable[[list[str]], list[str | dict | None]], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Entities (doc_id, entity, kind, description) and relations (doc_id, src, dst, description, weight) that a generator finds in chunks(doc_id, text).
+
+    The generator answers a list of texts with JSON texts or dicts of the form ``GRAPH``; equal texts are sent once. Names are compared in capitals,
+    without blanks at their ends; nameless entities, relations without one of their ends or with itself, and answers that are no JSON give nothing. A relation
+    without weight counts 1. Ends that no entity names become entities of kind ``unknown``.
+    """
+
+    def answers(texts: list[str]) -> list[str | None]:
+        return [a if a is None or isinstance(a, str) else json.dumps(a) for a in generator(texts)]
+
+    told = hooks.apply(chunks.select("doc_id", F.col(text).alias("text")), "text", answers, "_said", "string")
+    read = materialise(told.select("doc_id", F.from_json(sanitise_json("_said"), GRAPH).alias("g")), "extracted")
+
+    def name(c: str) -> Column:
+        return F.nullif(F.upper(F.trim(c, F.lit(" \t\n\r\f"))), F.lit(""))
+
+    each = read.select("doc_id", F.explode("g.relations").alias("r")).select("doc_id", name("r.source").alias("a"), name("r.target").alias("b"), "r.description", F.coalesce("r.weight", F.lit(1.0)).alias("weight"))
+    relations = each.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("doc_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "description", "weight")
+    named = read.select("doc_id", F.explode("g.entities").alias("e")).select("doc_id", name("e.name").alias("entity"), F.coalesce("e.type", F.lit("unknown")).alias("kind"), "e.description").where("entity IS NOT NULL")
+    ends = relations.select("doc_id", F.explode(F.array("src", "dst")).alias("entity")).distinct().join(named.select("doc_id", "entity").distinct(), ["doc_id", "entity"], "left_anti")
+    entities = named.unionByName(ends.withColumns({"kind": F.lit("unknown"), "description": F.lit(None).cast("string")}))
+    return entities, relations
+
+
+def _described(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, description): the first ``most`` different descriptions in order of their first chunk, joined by the separator."""
+    first = rows.where("description IS NOT NULL AND description <> ''").groupBy(*keys, "description").agg(F.min("doc_id").alias("_first"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_first", "description"))
+    kept = first.withColumn("_n", nth).where(F.col("_n") <= most)
+    return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "description"))), lambda x: x["description"]), "<SEP>").alias("description"))
+
+
+def merged_entities(entities: DataFrame, most: int = 20) -> DataFrame:
+    """(entity, kind, n_chunks, first_chunk, description): an entity over all its chunks. The most frequent kind counts, a known one before ``unknown``."""
+    kinds = entities.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n"))
+    best = kinds.groupBy("entity").agg(F.min(F.struct(F.col("kind") == "unknown", -F.col("n"), "kind"))["kind"].alias("kind"))
+    return best.join(entity_chunks(entities), "entity").join(_described(entities, ["entity"], most), "entity", "left").select("entity", "kind", "n_chunks", "first_chunk", "description")
+
+
+def merged_relations(relations: DataFrame, most: int = 20) -> DataFrame:
+    """(src, dst, weight, n_chunks, description): a relation over all its chunks, weights added up; the edges for ``context``, ``degrees`` and ``one_hop``."""
+    sums = relations.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.countDistinct("doc_id").alias("n_chunks"))
+    return sums.join(_described(relations, ["src", "dst"], most), ["src", "dst"], "left")
+
+
 def degrees(e: DataFrame) -> DataFrame:
     ends = e.select(F.col("src").alias("node"), "weight").unionByName(e.select(F.col("dst").alias("node"), "weight"))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -209,6 +211,63 @@ def graph_context_local(spark, d):
     return _graph_context(spark, d, "local")
 
 
+@query(_context("global"))
+def graph_context_global(spark, d):
+    return _graph_context(spark, d, "global")
+
+
+#: A generator by rule: long capitalised words are entities, each is related to the next one in the text.
+_NAMES = "[A-Z][a-z]{6,}"
+_STATED = f"""l AS (SELECT doc_id, regexp_extract_all(text, '{_NAMES}') AS ns FROM documents), m AS (SELECT doc_id, ns[i] AS n, ns[i + 1] AS after, i FROM (SELECT doc_id, ns, unnest(generate_series(1, len(ns))) AS i FROM l)),
+    me AS (SELECT DISTINCT doc_id, upper(n) AS entity, CASE WHEN length(n) > 9 THEN 'long' ELSE 'short' END AS kind, n || ' of ' || doc_id % 3 AS description FROM m),
+    re AS (SELECT doc_id, least(upper(n), upper(after)) AS src, greatest(upper(n), upper(after)) AS dst, 1.0::DOUBLE + i % 2 AS weight FROM m WHERE after IS NOT NULL AND upper(n) <> upper(after)),
+    ed AS (SELECT src, dst, sum(weight) AS weight, count(DISTINCT doc_id) AS n_chunks FROM re GROUP BY 1, 2)"""
+
+
+def _generator(texts):
+    """For texts that begin with their id."""
+    out = []
+    for t in texts:
+        doc_id, _, body = t.partition(" ")
+        names = re.findall(_NAMES, body)
+        entities = [{"name": n, "type": "long" if len(n) > 9 else "short", "description": f"{n} of {int(doc_id) % 3}"} for n in names]
+        out.append({"entities": entities, "relations": [{"source": a, "target": b, "weight": 1.0 + i % 2} for i, (a, b) in enumerate(zip(names, names[1:]), 1)]})
+    return out
+
+
+def _extracted(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("text"))
+    return graph.extract(rows, _generator)
+
+
+@query(f"WITH {_STATED}, f AS (SELECT entity, description, min(doc_id) AS first FROM me GROUP BY 1, 2), de AS (SELECT entity, string_agg(description, '<SEP>' ORDER BY first, description) AS description FROM f GROUP BY 1) SELECT entity, min(kind) AS kind, count(DISTINCT doc_id) AS n_chunks, min(doc_id) AS first_chunk, any_value(de.description) AS description FROM me JOIN de USING (entity) GROUP BY 1")
+def extracted_entities(spark, d):
+    return graph.merged_entities(_extracted(spark, d)[0])
+
+
+@query(f"WITH {_STATED} SELECT src, dst, weight, n_chunks FROM ed")
+def extracted_relations(spark, d):
+    return graph.merged_relations(_extracted(spark, d)[1]).drop("description")
+
+
+@query(f"WITH {_STATED}, li AS (SELECT entity, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS chunk_ids, CAST(count(*) AS INT) AS n FROM (SELECT DISTINCT entity, doc_id FROM me) GROUP BY 1) SELECT * FROM li")
+def extracted_lists(spark, d):
+    found = graph.entity_lists(_extracted(spark, d)[0])
+    return found.select("entity", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ",").alias("chunk_ids"), "n")
+
+
+@query(
+    f"""WITH {_STATED}, qm AS (SELECT DISTINCT item_id AS query_id, upper(unnest(regexp_extract_all(text, '{_NAMES}'))) AS entity FROM benchmark), bo AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed),
+    nr AS (SELECT DISTINCT query_id, entity AS seed, dst AS neighbour, weight FROM qm JOIN bo ON src = entity), on1 AS (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY query_id, least(seed, neighbour), greatest(seed, neighbour) ORDER BY seed) = 1)
+    SELECT query_id, seed, neighbour, weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, seed, neighbour) AS INT) AS rnk FROM on1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, seed, neighbour) <= 10"""
+)
+def extracted_context(spark, d):
+    """Contexts of the questions from stated relations instead of shared chunks."""
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = items.select("query_id", F.explode(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0))).alias("n")).select("query_id", F.upper("n").alias("entity")).distinct()
+    return graph.context(items, asked, graph.merged_relations(_extracted(spark, d)[1]).select("src", "dst", "weight"), "local")
+
+
 @query(_context("hybrid"))
 def graph_context_hybrid(spark, d):
     return _graph_context(spark, d, "hybrid")
