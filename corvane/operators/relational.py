@@ -243,3 +243,16 @@ def seed(users: DataFrame, admin: DataFrame) -> DataFrame:
     known = users.join(admin.select("email", F.col("role").alias("_r"), F.col("status").alias("_s")), "email", "left")
     kept = known.withColumns({"role": F.coalesce("_r", "role"), "status": F.coalesce("_s", "status")}).select(*users.columns)
     return kept.unionByName(admin.join(users.select("email"), "email", "left_anti").select(*users.columns))
+
+
+def grouped_counts(rows: DataFrame, by: list[str], how: str = "cube", distinct: str | None = None, mean: str | None = None) -> DataFrame:
+    """(by, level, n, (n_distinct), (mean)): counts for the combinations of some columns and for their totals.
+
+    how: cube for every combination of columns, rollup for each column within those before it. level tells which columns a row sums over,
+    the last one as bit 1, so that a total is told from a null value. distinct and mean name a column of which different values are counted or the mean is taken.
+    """
+    grouped = {"cube": rows.cube, "rollup": rows.rollup}[how](*by)
+    aggs = [F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n")]
+    aggs += [F.countDistinct(distinct).alias("n_distinct")] if distinct else []
+    aggs += [F.round(F.avg(mean), 6).alias("mean")] if mean else []
+    return grouped.agg(*aggs)

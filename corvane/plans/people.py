@@ -185,3 +185,19 @@ def appended_requests(spark, d):
 def rate_limit_accepted(spark, d):
     found = relational.rate_limited(_t(spark, d, "events"), 6 * 3600)
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("limited").alias("n_limited"))
+
+
+@query(f"{_ACC}, p(role, permission) AS (VALUES {_PERMS}), g AS (SELECT key, role, permission, status FROM accounts JOIN p USING (role) WHERE is_active AND (status = 'active' OR (status = 'pending' AND permission IN ('use_chatbot', 'request_appointment')))) SELECT permission, role, CAST(GROUPING_ID(permission, role) AS INT) AS level, count(*) AS n, count(DISTINCT key) AS n_distinct FROM g GROUP BY CUBE (permission, role)")
+def permission_cube(spark, d):
+    """How many accounts may do what, by permission, by role, by both and in all."""
+    accounts = samples.table(spark, "accounts", d)
+    rows = relational.allowed(accounts).join(accounts.select("key", "role"), "key")
+    return relational.grouped_counts(rows, ["permission", "role"], distinct="key")
+
+
+@query("SELECT suite, role, CAST(GROUPING_ID(suite, role) AS INT) AS level, count(*) AS n, count(DISTINCT conv_id) AS n_distinct, round(avg(length(text)), 6) AS mean FROM (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'adversarial' WHEN conv_id % 5 < 4 THEN 'standard' END AS suite FROM conversations) GROUP BY ROLLUP (suite, role)")
+def evaluation_rollup(spark, d):
+    """Turns, conversations and mean length by suite and role; a suite may be null."""
+    suite = F.when(F.col("conv_id") % 5 == 0, "adversarial").when(F.col("conv_id") % 5 < 4, "standard")
+    rows = _t(spark, d, "conversations").select("conv_id", "role", suite.alias("suite"), F.length("text").alias("chars"))
+    return relational.grouped_counts(rows, ["suite", "role"], "rollup", "conv_id", "chars")
