@@ -11,6 +11,8 @@ from corvane.operators import relational
 from corvane.plans import samples
 from corvane.plans.base import query
 from corvane.plans.base import table as _t
+from corvane.sources.storage import fresh_path
+from corvane.streaming import events as stream_events
 
 _ACC = f"WITH {samples.cte('accounts', True)}"
 _PERMS = ", ".join(f"('{r}', '{p}')" for r, ps in relational.PERMISSIONS.items() for p in ps)
@@ -177,11 +179,12 @@ def appended_requests(spark, d):
     return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "pending").alias("pending"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), a AS (SELECT user_id, k, ts FROM e WHERE k = 1 UNION ALL
+_ACCEPTED = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), a AS (SELECT user_id, k, ts FROM e WHERE k = 1 UNION ALL
     SELECT e.user_id, e.k, e.ts FROM a JOIN e ON e.user_id = a.user_id AND e.k = (SELECT min(f.k) FROM e f WHERE f.user_id = a.user_id AND f.k > a.k AND f.ts >= a.ts + INTERVAL 6 HOUR))
     SELECT e.user_id, count(*) AS n, count(*) - count(a.k) AS n_limited FROM e LEFT JOIN a ON a.user_id = e.user_id AND a.k = e.k GROUP BY 1"""
-)
+
+
+@query(_ACCEPTED)
 def rate_limit_accepted(spark, d):
     found = relational.rate_limited(_t(spark, d, "events"), 6 * 3600)
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("limited").alias("n_limited"))
@@ -201,3 +204,19 @@ def evaluation_rollup(spark, d):
     suite = F.when(F.col("conv_id") % 5 == 0, "adversarial").when(F.col("conv_id") % 5 < 4, "standard")
     rows = _t(spark, d, "conversations").select("conv_id", "role", suite.alias("suite"), F.length("text").alias("chars"))
     return relational.grouped_counts(rows, ["suite", "role"], "rollup", "conv_id", "chars")
+
+
+@query(_ACCEPTED)
+def streamed_rate_limit(spark, d):
+    """The same limits of a stream of files, a third of the month each, in which every fifth event comes with the file after its own."""
+    events = _t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    part = F.floor((F.dayofmonth("ts") - 1) / 10) + (F.col("event_id") % 5 == 0).cast("int")
+    source, kept, state = (fresh_path(spark, n) for n in ("events", "limited", "state"))
+    for k in range(5):  # one file after another: the file source goes by their times
+        events.where(part == k).coalesce(1).write.mode("append").parquet(source)
+    # an event long after all others lets the watermark pass them
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"))
+    last.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = stream_events.drained(stream_events.rate_limited(stream, 6 * 3600, "21 days"), kept, state).where("event_id >= 0")
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("limited").alias("n_limited"))

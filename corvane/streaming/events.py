@@ -1,9 +1,15 @@
-"""Event streams: windowed counts with late data, and sessions."""
+"""Event streams: windowed counts with late data, sessions, and request limits in order of event time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from corvane.operators import relational
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -17,3 +23,52 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     agg = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return agg.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def _limit(seconds: int):
+    """One user's events: they wait until the watermark has passed them, so that late ones are judged in their place, and leave in order of time.
+
+    The state is the last event that was let through and the events that wait; it goes when nothing waits and the last one limits nobody any more.
+    """
+    gap = seconds * 1_000_000
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, times, ids = state.get if state.exists else (None, [], [])
+        waiting = list(zip(times, ids))
+        if not state.hasTimedOut:
+            for f in frames:
+                waiting += zip(f["us"].tolist(), f["event_id"].tolist())
+        now = state.getCurrentWatermarkMs()
+        waiting.sort()
+        out = []
+        while waiting and waiting[0][0] < now * 1000:
+            at, event = waiting.pop(0)
+            limited = last is not None and at < last + gap
+            last = last if limited else at
+            out.append((event, key[0], limited))
+        if waiting or last is not None and last + gap >= now * 1000:
+            state.update((last, [t for t, _ in waiting], [i for _, i in waiting]))
+            state.setTimeoutTimestamp(max(now, (waiting[0][0] if waiting else last + gap) // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "limited"])
+
+    return run
+
+
+def rate_limited(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
+    """(event_id, user_id, limited) as ``relational.rate_limited`` gives them for a table, of a stream too.
+
+    An event of a stream is judged once the watermark, ``late`` behind the newest event, has passed it; what comes later than that is left out.
+    """
+    if not events.isStreaming:
+        return relational.rate_limited(events, seconds)
+    rows = events.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    shape = "last long, times array<long>, ids array<long>"
+    return rows.groupBy("user_id").applyInPandasWithState(_limit(seconds), "event_id long, user_id long, limited boolean", shape, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all there is and reads what it wrote."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
