@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import sql
 from corvane.functions import text as T
 from corvane.functions.text import wide
 from corvane.operators import chunking, classify, extract
 from corvane.plans import samples
-from corvane.plans.base import ARA, WRD, apart, has, query, quote, rx
+from corvane.plans.base import ARA, TOK, WRD, apart, has, query, quote, rx
 from corvane.plans.base import table as _t
 from corvane.settings import SETTINGS
 from corvane.sources.storage import materialise
@@ -208,6 +209,37 @@ def snapped_chunks(spark, d):
     return found.select("doc_id", "idx", "chunk_id", F.length("text").alias("chars"), F.md5(F.col("normalized_text").cast("binary")).alias("norm"))
 
 
+@query(
+    f"""WITH RECURSIVE docs AS (SELECT doc_id, trim(text, {_W}) AS t FROM documents), {_CHUNK.format(end=_END)},
+    c AS (SELECT doc_id, CAST(idx AS INT) AS idx, trim(substr(t, CAST(p0 + 1 AS BIGINT), CAST(stop - p0 AS BIGINT)), {_W}) AS text FROM b)
+    SELECT doc_id, idx, md5(text) AS digest, CAST(len({TOK}) AS INT) AS tokens,
+    md5(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]', ' ', 'g'), ' +', ' ', 'g')))) AS norm FROM c"""
+)
+def sql_windows(spark, d):
+    """Chunking, tokens and normalising said in SQL."""
+    sql.register(spark)
+    call = f"SELECT d.doc_id, w.idx, md5(CAST(w.text AS BINARY)) AS digest, size(search_tokens(w.text)) AS tokens, md5(CAST(normalized_text(w.text) AS BINARY)) AS norm FROM {{docs}} d, LATERAL snap_windows(d.text, {SETTINGS.window_chars}, {SETTINGS.overlap_chars}) w"
+    return spark.sql(call, docs=_t(spark, d, "documents"))
+
+
+@query()
+def sql_packed(spark, d):
+    """The chunks of ``paragraph_chunks`` by a table function."""
+    sql.register(spark)
+    return spark.sql(f"SELECT d.doc_id, p.* FROM {{docs}} d, LATERAL pack_paragraphs(d.text, {SETTINGS.pack_tokens}, {SETTINGS.pack_overlap}) p", docs=_t(spark, d, "documents"))
+
+
+@query(
+    """WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT x, y, sim FROM p"""
+)
+def sql_cosines(spark, d):
+    """Neighbouring vectors compared by the function of SQL."""
+    sql.register(spark)
+    call = "SELECT a.vec_id AS x, b.vec_id AS y, round(vector_cosine(CAST(a.embedding AS ARRAY<DOUBLE>), CAST(b.embedding AS ARRAY<DOUBLE>)), 6) AS sim FROM {e} a JOIN {e} b ON b.vec_id = a.vec_id + 1"
+    return spark.sql(call, e=_t(spark, d, "embeddings"))
+
+
 @query("SELECT doc_id, CAST(idx AS INT) AS idx, CAST(length(trim(substr(text, CAST(idx * 2400 + 1 AS BIGINT), 2400))) AS INT) AS chars FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(greatest(1, ceil(length(text) / 2400.0)) AS INT) - 1)) AS idx FROM documents) WHERE trim(substr(text, CAST(idx * 2400 + 1 AS BIGINT), 2400)) <> ''")
 def basic_chunks(spark, d):
     return chunking.pieces(_t(spark, d, "documents")).select("doc_id", "idx", F.length("text").alias("chars"))

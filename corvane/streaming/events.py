@@ -41,11 +41,12 @@ def _limit(seconds: int):
         now = state.getCurrentWatermarkMs()
         waiting.sort()
         out = []
-        while waiting and waiting[0][0] < now * 1000:
-            at, event = waiting.pop(0)
+        passed = sum(at < now * 1000 for at, _ in waiting)
+        for at, event in waiting[:passed]:
             limited = last is not None and at < last + gap
             last = last if limited else at
             out.append((event, key[0], limited))
+        waiting = waiting[passed:]
         if waiting or last is not None and last + gap >= now * 1000:
             state.update((last, [t for t, _ in waiting], [i for _, i in waiting]))
             state.setTimeoutTimestamp(max(now, (waiting[0][0] if waiting else last + gap) // 1000) + 1)

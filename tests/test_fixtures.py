@@ -148,6 +148,33 @@ def test_windows_end_with_sentences():
     assert chunking.cuts("ab", 100, 20) == [(0, 2)]
 
 
+def test_packing_in_sql_is_packing(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["doc_id", "idx", "text", "char_start", "char_end"]
+    want = sorted(map(tuple, chunking.paragraphs(docs).select(*names).collect()))
+    from corvane.plans import registry
+
+    assert sorted(map(tuple, registry.QUERIES["sql_packed"](spark, folder).select(*names).collect())) == want
+    got = spark.sql("SELECT bm25_gain(2, 10, 5D) AS g, arabic_share('ab') AS a, normalized_text(' A--b ') AS n, (SELECT count(*) FROM snap_windows(NULL, 10, 2)) AS none").first()
+    assert (round(got["g"], 6), got["a"], got["n"], got["none"]) == (round(2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 2)), 6), 0.0, "a b", 0)
+
+
+def test_graphs_from_a_generator(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "broken"), (5, None)], "doc_id long, text string")
+    said = {
+        "a": {"entities": [{"name": " Bail ", "type": "contract", "description": "d1"}, {"name": ""}], "relations": [{"source": "bail", "target": "Loyer", "description": "r", "weight": 2}, {"source": "x", "target": "X"}, {"source": None, "target": "y"}]},
+        "b": '```json {"entities": [{"name": "BAIL", "type": "act", "description": "d0"}], "relations": [{"source": "loyer", "target": "bail"}]} ```',
+        "broken": "no json",
+    }
+    entities, relations = graph.extract(rows, lambda texts: [said[t] for t in texts])
+    got = {r["entity"]: tuple(r)[1:] for r in graph.merged_entities(entities).collect()}
+    assert got == {"BAIL": ("contract", 3, 1, "d1<SEP>d0"), "LOYER": ("unknown", 3, 1, None)}
+    assert [tuple(r) for r in graph.merged_relations(relations).collect()] == [("BAIL", "LOYER", 5.0, 3, "r")]
+    lists = graph.entity_lists(entities, page=1)
+    assert sorted(i for r in lists.where("entity = 'BAIL'").collect() for i in r["chunk_ids"]) == [1, 2, 3]
+
+
 def test_near_words_are_all_found(spark):
     import random
 
