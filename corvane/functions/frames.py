@@ -16,3 +16,9 @@ def spread(df: DataFrame, most: int = SMALL) -> DataFrame:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df over all cores by some columns, for work that is heavy beside its bytes: partitions of a given number are not merged for being small."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)

@@ -71,9 +71,10 @@ def _figures(rows: DataFrame, asked: DataFrame) -> tuple[int, float, dict[str, f
     marks = F.array_append(F.array_distinct("tokens"), F.lit(""))
     each = rows.select(F.explode_outer(marks).alias("term"), "dl")
     df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(0)).alias("m"))
-    some = df.join(F.broadcast(asked), "term", "left_semi").unionByName(df.where("term = ''"))
-    often = df.where("term <> ''").groupBy("df").agg(F.count(F.lit(1)).alias("m")).select(F.lit(None).cast("string").alias("term"), "df", "m")
-    found = some.unionByName(often).collect()
+    marked = df.join(F.broadcast(asked.withColumn("_asked", F.lit(True))), "term", "left")
+    # one grouping: a row for each asked term and the document's, one for each frequency of the others
+    own = F.when(F.col("_asked") | (F.col("term") == ""), F.col("term"))
+    found = marked.groupBy(own.alias("term"), "df").agg(F.count(F.lit(1)).alias("terms"), F.sum("m").alias("m")).collect()
     whole = next((r for r in found if r["term"] == ""), None)
     if whole is None:
         return 0, 1.0, {}
@@ -82,8 +83,8 @@ def _figures(rows: DataFrame, asked: DataFrame) -> tuple[int, float, dict[str, f
     def idf(k: int) -> float:
         return math.log(n - k + 0.5) - math.log(k + 0.5)
 
-    spread = [(r["df"], r["m"]) for r in found if r["term"] is None]
-    mean = sum(idf(k) * m for k, m in spread) / max(1, sum(m for _, m in spread))
+    often = [(r["df"], r["terms"]) for r in found if r["term"] != ""]
+    mean = sum(idf(k) * m for k, m in often) / max(1, sum(m for _, m in often))
     weights = {r["term"]: idf(r["df"]) if idf(r["df"]) >= 0 else SETTINGS.epsilon * mean for r in found if r["term"]}
     return n, whole["m"] / n, weights
 

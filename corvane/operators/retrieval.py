@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.frames import spread
+from corvane.functions.frames import dealt, spread
 from corvane.functions.text import expand_question, sentences, wide
 from corvane.operators import classify, hooks, lexical, vector
 from corvane.operators.index import Index
@@ -220,7 +220,7 @@ def candidates(scored: DataFrame, questions: DataFrame, chunks: DataFrame, vecto
     near = chunk_texts(scored.join(best, ["query_id", "article_id"]), chunks)
     titled = F.col("titled") if "titled" in chunks.columns else F.lit(False)
     near = near.join(chunks.select("chunk_id", titled.alias("_titled")), "chunk_id", "left")
-    near = near.withColumn("hybrid", F.round(legal_boost(F.col("hybrid"), F.col("text"), F.col("_titled")), 6))
+    near = dealt(near, "query_id", "chunk_id").withColumn("hybrid", F.round(legal_boost(F.col("hybrid"), F.col("text"), F.col("_titled")), 6))
     v = vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("_v"))
     q = asked_vectors.where("variant = 0").select("query_id", F.col("embedding").cast("array<double>").alias("_q"))
     met = distinct_texts(near).join(v, "chunk_id", "left").join(q, "query_id", "left")
