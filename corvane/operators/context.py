@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import words
 from corvane.settings import SETTINGS
+from corvane.sources.storage import materialise
 
 # Phrases that an answer should not contain, and what is answered instead of next to nothing.
 HEDGES = ["je ne suis pas sûr", "peut-être", "il se peut que", "selon certaines sources", "d'après ce que je sais", "à mon avis"]
@@ -102,9 +103,19 @@ def check_answers(df: DataFrame, answer: str = "answer", context: str = "context
 
 
 def running_means(df: DataFrame, order: str, values: list[str]) -> DataFrame:
-    """(order, mean of each value over the rows so far): one pass in order, for logs of single requests."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(order, *(F.round(F.avg(v).over(w), 4).alias(v) for v in values))
+    """(order, mean of each value over the rows so far), in order of one column (ties as one) and of any length.
+
+    Rows are dealt out by ranges of the order; each range's sums, one row a range, tell the next ranges where to begin. Null values don't
+    count; rows without an order come first.
+    """
+    rows = df.select(order, *values).repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    rows = materialise(rows, "ranges")
+    sums = rows.groupBy("_part").agg(*(f(v).alias(f"_{n}_{v}") for v in values for n, f in (("s", F.sum), ("n", F.count))))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    begun = sums.select("_part", *(F.coalesce(F.sum(f"_{n}_{v}").over(before), F.lit(0)).alias(f"_{n}_{v}") for v in values for n in "sn"))
+    w = Window.partitionBy("_part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    here = rows.join(F.broadcast(begun), "_part")
+    return here.select(order, *(F.round((F.col(f"_s_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0))) / F.nullif(F.col(f"_n_{v}") + F.count(v).over(w), F.lit(0)), 4).alias(v) for v in values))
 
 
 def confidence_note(confidence: Column, sources: Column, arabic: Column) -> Column:

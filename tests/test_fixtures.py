@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, classify, extract, graph, lexical, relational, retrieval, semcache, vector
+from corvane.operators import chunking, classify, context, evaluation, extract, graph, lexical, relational, retrieval, semcache, vector
 from corvane.sources import files
 from corvane.streaming import events
 
@@ -175,6 +175,28 @@ def test_graphs_from_a_generator(spark):
     assert sorted(i for r in lists.where("entity = 'BAIL'").collect() for i in r["chunk_ids"]) == [1, 2, 3]
 
 
+def test_faithfulness_by_an_encoder(spark):
+    def encoder(texts):
+        if any("fail" in t for t in texts):
+            raise ValueError
+        return [[1.0, 0.0] if "bail" in t else [0.6, 0.8] if "loyer" in t else [-1.0, 0.0] for t in texts]
+
+    rows = [("q", "le loyer", "Le BAIL"), ("q", "x", "un bail"), ("q", "", "bail"), ("q", "bail", None)]
+    df = spark.createDataFrame(rows, "question string, answer string, context string")
+    assert sorted(r["faithfulness"] for r in evaluation.faithfulness(df, encoder).collect()) == [0.0, 0.0, 0.0, 0.6]
+    bad = spark.createDataFrame([("q", "fail", "bail")], "question string, answer string, context string")
+    assert evaluation.faithfulness(bad, encoder).first()["faithfulness"] == 0.5
+
+
+def test_running_means_over_ranges(spark):
+    rows = [(i, float(i % 7) if i % 11 else None) for i in range(500)]
+    got = {r["k"]: r["v"] for r in context.running_means(spark.createDataFrame(rows, "k long, v double"), "k", ["v"]).collect()}
+    seen = []
+    for k, v in rows:
+        seen += [v] if v is not None else []
+        assert got[k] == (pytest.approx(sum(seen) / len(seen), abs=6e-5) if seen else None)
+
+
 def test_near_words_are_all_found(spark):
     import random
 
