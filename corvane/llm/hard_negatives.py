@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.topk import Best, few
 from corvane.llm.common import fresh_path, materialise
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 3, 50, 95, 256
@@ -59,50 +60,6 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-class Best:
-    """The best ``top`` (score, id) of each slot so far: higher scores first, then smaller ids."""
-
-    def __init__(self, slots: int, top: int):
-        self.top, self.slots = top, slots
-        self.slot, self.score, self.id = (np.empty(0, dtype=np.int64) for _ in range(3))
-        self.bar = np.full(slots, np.iinfo(np.int64).min)  # what a slot that is full asks for
-        self.waiting: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
-
-    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Takes candidates in; they are sorted in once there are as many as half of what is kept."""
-        if len(slot):
-            self.waiting.append((slot, score, ids))
-            self.size += len(slot)
-            if self.size >= max(1 << 14, len(self.slot) // 2):
-                self._settle()
-
-    def _settle(self) -> None:
-        slot, score, ids = (np.concatenate(x) for x in zip((self.slot, self.score, self.id), *self.waiting, strict=True))
-        self.waiting, self.size = [], 0
-        order = np.lexsort((ids, -score, slot))
-        slot, score, ids = slot[order], score[order], ids[order]
-        nth = np.arange(len(slot)) - np.searchsorted(slot, slot)
-        kept = nth < self.top
-        self.slot, self.score, self.id, nth = slot[kept], score[kept], ids[kept], nth[kept]
-        full = nth == self.top - 1
-        self.bar[self.slot[full]] = self.score[full]
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot, score, id) of all that is kept."""
-        self._settle()
-        return self.slot, self.score, self.id
-
-
-def _few(scores: np.ndarray, ok: np.ndarray, top: int) -> np.ndarray:
-    """ok, where a row has many, narrowed to what is no worse than its ``top`` best."""
-    if scores.shape[1] <= top or ok.sum() <= 4 * top * len(ok):
-        return ok
-    low = np.where(ok, scores, -np.inf)
-    last = np.partition(low, low.shape[1] - top, axis=1)[:, low.shape[1] - top]
-    return ok & (scores >= last[:, None])
-
-
 def _tiles(batches):
     """(ids, labels, vectors) of at most ``CANDIDATES`` rows."""
     for batch in batches:
@@ -116,7 +73,7 @@ def _positives(shared, top: int):
 
     def run(batches):
         ids, labels, anchors = shared.value
-        best = Best(len(ids), top)
+        best = Best(len(ids), top, np.int64)
         where = {label: np.flatnonzero(labels == label) for label in np.unique(labels)}
         for own, of, vectors in _tiles(batches):
             for label in np.unique(of):
@@ -125,7 +82,7 @@ def _positives(shared, top: int):
                     a = asks[at : at + ANCHORS]
                     scores = products(anchors[a], vectors[c])
                     ok = (ids[a][:, None] != own[c]) & (scores >= best.bar[a][:, None])
-                    i, j = np.nonzero(_few(scores, ok, top))
+                    i, j = np.nonzero(few(scores, ok, top))
                     best.add(a[i], scores[i, j].astype(np.int64), own[c[j]])
         slot, score, found = best.rows()
         yield pa.RecordBatch.from_arrays([pa.array(ids[slot]), pa.array(found), pa.array(score)], names=["anchor_id", "positive_id", "score"])
@@ -139,7 +96,7 @@ def _negatives(shared, top: int):
     def run(batches):
         ids, labels, anchors, low, high = shared.value
         width = low.shape[1]
-        best = Best(len(ids) * width, top)
+        best = Best(len(ids) * width, top, np.int64)
         for own, of, vectors in _tiles(batches):
             for at in range(0, len(ids), ANCHORS):
                 a = np.arange(at, min(at + ANCHORS, len(ids)))
@@ -148,7 +105,7 @@ def _negatives(shared, top: int):
                 for k in range(width):
                     slot = a * width + k
                     ok = other & (scores >= np.maximum(low[a, k], best.bar[slot])[:, None]) & (scores <= high[a, k][:, None])
-                    i, j = np.nonzero(_few(scores, ok, top))
+                    i, j = np.nonzero(few(scores, ok, top))
                     best.add(slot[i], scores[i, j].astype(np.int64), own[j])
         slot, score, found = best.rows()
         yield pa.RecordBatch.from_arrays([pa.array(ids[slot // width]), pa.array(slot % width, pa.int32()), pa.array(found), pa.array(score)], names=["anchor_id", "nth", "negative_id", "score"])
