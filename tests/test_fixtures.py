@@ -135,7 +135,7 @@ def test_sentences_of_an_oversized_paragraph():
 def test_packed_rulings(spark):
     from corvane.plans import registry
 
-    rows = [r for r in registry.QUERIES["packed_rulings"](spark, "").orderBy("doc_id", "idx").collect() if r["doc_id"] == 6]
+    rows = [r for r in registry.QUERIES["packed_rulings"](spark, "/root/testdata/sf0.001").orderBy("doc_id", "idx").collect() if r["doc_id"] == 6]
     assert rows[0]["article_id"] == rows[0]["uid"] + "_art_" + hashlib.md5(b"1").hexdigest()[:8]
     assert [r["idx"] for r in rows] == list(range(len(rows))) and rows[0]["chunk_id"].endswith("_chunk_0") and rows[0]["section"] == "header"
     assert all(r["char_start"] <= r["char_end"] for r in rows)
