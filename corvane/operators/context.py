@@ -120,13 +120,12 @@ def running_means(df: DataFrame, order: str, values: list[str]) -> DataFrame:
 
 def confidence_note(confidence: Column, sources: Column, arabic: Column) -> Column:
     """How sure an answer may sound: under 0.6, under 0.8, and above; Arabic has two bands."""
-    percent = F.concat(F.lit("[CONFIDENCE: "), F.round(confidence * 100, 0).cast("int").cast("string"), F.lit("%] "))
     n = sources.cast("string")
-    weak = F.concat(percent, F.lit("Les sources sont partielles ("), n, F.lit(" documents). Adoptez un ton prudent, nuancez chaque affirmation."))
-    fair = F.concat(percent, F.lit("Sources modérées. Vous pouvez répondre mais signalez les incertitudes."))
-    good = F.concat(percent, F.lit("Sources solides. Réponse affirmative autorisée mais restez factuel."))
-    few = F.concat(F.lit("[Sources limitées: "), n, F.lit("] Soyez prudent et nuancé."))
-    in_arabic = F.when(confidence < 0.6, few).otherwise("[Sources fiables] Vous pouvez être affirmatif.")
+    sure = F.concat(F.lit("Certitude "), F.round(confidence * 100, 0).cast("int").cast("string"), F.lit(" % ("), n, F.lit(" documents) : "))
+    weak = F.concat(sure, F.lit("dites ce qui manque et ne tranchez pas."))
+    fair = F.concat(sure, F.lit("répondez et dites ce qui reste incertain."))
+    good = F.concat(sure, F.lit("répondez clairement, sans dépasser les textes."))
+    in_arabic = F.concat(n, F.when(confidence < 0.6, " documents seulement : ne tranchez pas.").otherwise(" documents : répondez clairement."))
     return F.when(arabic, in_arabic).when(confidence < 0.6, weak).when(confidence < 0.8, fair).otherwise(good)
 
 

@@ -113,9 +113,9 @@ def running_means(spark, d):
     return context.running_means(rows, "conv_id", ["chars", "latency"])
 
 
-_NOTE = """CASE WHEN lang = 'ar' THEN CASE WHEN conf < 0.6 THEN '[Sources limitées: ' || n || '] Soyez prudent et nuancé.' ELSE '[Sources fiables] Vous pouvez être affirmatif.' END
-    WHEN conf < 0.6 THEN '[CONFIDENCE: ' || pc || '%] Les sources sont partielles (' || n || ' documents). Adoptez un ton prudent, nuancez chaque affirmation.'
-    WHEN conf < 0.8 THEN '[CONFIDENCE: ' || pc || '%] Sources modérées. Vous pouvez répondre mais signalez les incertitudes.' ELSE '[CONFIDENCE: ' || pc || '%] Sources solides. Réponse affirmative autorisée mais restez factuel.' END"""
+_SURE = "'Certitude ' || pc || ' % (' || n || ' documents) : '"
+_NOTE = f"""CASE WHEN lang = 'ar' THEN n || CASE WHEN conf < 0.6 THEN ' documents seulement : ne tranchez pas.' ELSE ' documents : répondez clairement.' END
+    WHEN conf < 0.6 THEN {_SURE} || 'dites ce qui manque et ne tranchez pas.' WHEN conf < 0.8 THEN {_SURE} || 'répondez et dites ce qui reste incertain.' ELSE {_SURE} || 'répondez clairement, sans dépasser les textes.' END"""
 _PROFILES = ", ".join("(" + ", ".join(map(quote, p)) + ")" for p in context.PROFILES)
 
 
