@@ -322,10 +322,10 @@ def _put_sql(source: str, threshold: float) -> str:
 
 
 #: Every vector three times, twice with its even components stretched: neighbours of .97 to .995.
-_STRETCHED = "src AS (SELECT vec_id * 3 + r.k AS vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x * CASE WHEN i % 2 = 0 THEN 1 + 0.3::DOUBLE * r.k ELSE 1 END) AS e FROM embeddings, (SELECT unnest([0, 1, 2]) AS k) r)"
+STRETCHED = "src AS (SELECT vec_id * 3 + r.k AS vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x * CASE WHEN i % 2 = 0 THEN 1 + 0.3::DOUBLE * r.k ELSE 1 END) AS e FROM embeddings, (SELECT unnest([0, 1, 2]) AS k) r)"
 
 
-def _stretched(e):
+def stretched(e):
     each = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
     moved = F.transform("v", lambda x, i: x * F.when(i % 2 == 1, 1 + F.lit(0.3) * F.col("k")).otherwise(F.lit(1.0)))
     return each.select((F.col("vec_id") * 3 + F.col("k")).alias("vec_id"), moved.alias("embedding"))
@@ -338,9 +338,9 @@ def _put(e, same: float):
     return semcache.put(old, new, same=same).select("vec_id", "answer", "ts")
 
 
-@query(_put_sql(_STRETCHED, SETTINGS.cache_same))
+@query(_put_sql(STRETCHED, SETTINGS.cache_same))
 def cache_put(spark, d):
-    return _put(_stretched(_t(spark, d, "embeddings")), SETTINGS.cache_same)
+    return _put(stretched(_t(spark, d, "embeddings")), SETTINGS.cache_same)
 
 
 @query(_put_sql("src AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", 0.3))
@@ -348,7 +348,7 @@ def cache_put_loose(spark, d):
     return _put(_t(spark, d, "embeddings"), 0.3)
 
 
-_AS_OF = f"""WITH RECURSIVE {_STRETCHED}, s AS MATERIALIZED (SELECT vec_id, e, ts FROM src JOIN events ON event_id = vec_id),
+_AS_OF = f"""WITH RECURSIVE {STRETCHED}, s AS MATERIALIZED (SELECT vec_id, e, ts FROM src JOIN events ON event_id = vec_id),
     w AS MATERIALIZED (SELECT vec_id, e, epoch_us(ts) // 1000000 AS since, row_number() OVER (ORDER BY ts, vec_id) AS k FROM s WHERE vec_id % 2 = 0), {_led('w', SETTINGS.cache_same)},
     v AS MATERIALIZED (SELECT w.vec_id AS version, leader, since, least(since + 432000, coalesce(lead(since) OVER (PARTITION BY leader ORDER BY w.k), since + 432000)) AS until FROM walk JOIN w USING (vec_id)),
     q AS (SELECT vec_id AS query_id, e, epoch_us(ts) // 1000000 AS asked_at FROM s WHERE vec_id % 2 = 1),
@@ -361,7 +361,7 @@ _AS_OF = f"""WITH RECURSIVE {_STRETCHED}, s AS MATERIALIZED (SELECT vec_id, e, t
 def cache_as_of(spark, d):
     """A cache of five days' memory that is written and asked at the times of events."""
     when = _t(spark, d, "events").select(F.col("event_id").alias("vec_id"), "ts")
-    rows = _stretched(_t(spark, d, "embeddings")).join(when, "vec_id")
+    rows = stretched(_t(spark, d, "embeddings")).join(when, "vec_id")
     writes = rows.where("vec_id % 2 = 0").withColumn("answer", F.concat(F.lit("an answer that is long enough "), "vec_id"))
     return semcache.lookup_as_of(semcache.versions(writes, 5 * 86_400), rows.where("vec_id % 2 = 1"))
 

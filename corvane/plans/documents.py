@@ -9,6 +9,7 @@ from corvane.functions import text as T
 from corvane.functions.text import wide
 from corvane.operators import chunking, classify, extract
 from corvane.plans import samples
+from corvane.plans.answers import STRETCHED, stretched
 from corvane.plans.base import ARA, TOK, WRD, apart, has, query, quote, rx
 from corvane.plans.base import table as _t
 from corvane.settings import SETTINGS
@@ -257,6 +258,18 @@ def semantic_chunks(spark, d):
     return chunking.semantic(rows, 0.2)
 
 
+@query(
+    f"""WITH {STRETCHED}, s AS (SELECT vec_id // 75 AS doc_id, vec_id % 75 AS pos, 'phrase ' || vec_id AS text, e FROM src), l AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM s),
+    i AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND round(list_cosine_similarity(e, before), 6) < 0.75 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INT) AS idx, count(*) AS n, string_agg(text, ' ' ORDER BY pos) AS text FROM i GROUP BY doc_id, island"""
+)
+def semantic_chunks_close(spark, d):
+    """With the usual cut, over vectors of which every three are near copies."""
+    e = stretched(_t(spark, d, "embeddings"))
+    rows = e.select(F.expr("vec_id div 75").alias("doc_id"), (F.col("vec_id") % 75).alias("pos"), F.concat(F.lit("phrase "), "vec_id").alias("text"), "embedding")
+    return chunking.semantic(rows)
+
+
 @query()
 def packed_rulings(spark, d):
     number = F.substring("id", 2, 12).cast("long")
