@@ -1,14 +1,16 @@
 """One document of each group of near copies: five-word shingles, similarity 0.8 at least.
 
-The SimHash operator cannot do this stage right: at similarity 0.8 two 64-bit fingerprints differ in some ten
-bits, and keys that allow so many are met by unrelated texts in every bucket. So here candidates come from MinHash.
-
-A document is the set of its shingles (XXH64 of each). Equal sets are one member. Candidates
-share one of ``BANDS`` keys, each of ``ROWS`` MinHash values: two sets of similarity 0.8 miss each
-other with probability (1 - 0.8^4)^20 = 0.00003, more similar ones less often. Only
-candidates whose sets are similar enough are linked; they are compared by the high 32 bits of the hashes, of which
-unlike shingles of a 400-word pair share one with probability 0.0001. Keys that hold the same members
-are verified once; one with more than ``BLOCK_LIMIT`` members in pairs of blocks.
+A document is the set of its shingles (XXH64 of each). Equal sets are one member. Two rounds link sets:
+
+* SimHash: sets whose fingerprints differ in at most ``simhash.RADIUS`` bits meet by the Golay-code keys of the SimHash operator, and
+  are linked if the shingles bear it out. Their components go into the second round.
+* At similarity 0.8 two 64-bit fingerprints differ in some ten bits, and keys that allow so many are met by unrelated texts in every bucket. So the
+  rest comes from MinHash: candidates share one of ``BANDS`` keys, each of ``ROWS`` MinHash values, and two sets of similarity 0.8 miss each
+  other with probability (1 - 0.8^4)^20 = 0.00003, more similar ones less often. Keys that hold members of one component only are left out, and
+  what SimHash has linked is not compared again.
+
+Candidates are compared by the high 32 bits of the hashes, of which unlike shingles of a 400-word pair share one with probability 0.0001. Keys that
+hold the same members are verified once; one with more than ``BLOCK_LIMIT`` members in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm import simhash
 from corvane.llm.common import byte_rows, every, materialise, small_batches, text_bytes, tidy
 from corvane.llm.graph import components
 
@@ -61,17 +64,22 @@ def _keys(batches):
     for part, texts in byte_rows(batches):
         sets = [shingles(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array(map(_body, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))],
-            names=["doc_id", "line", "body", "keys"],
+            [
+                part.column(0),
+                part.column(1),
+                pa.array(map(_body, sets), pa.int64()),
+                pa.array(np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)),
+                pa.array(map(band_keys, sets), pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "line", "body", "fp", "keys"],
         )
 
 
 @tidy
 def _sets(batches):
-    for _, texts in byte_rows(batches):
-        sets = [shingles(t) for t in texts]
-        short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(map(_body, sets), pa.int64()), pa.array(short, pa.binary())], names=["body", "hashes"])
+    for part, texts in byte_rows(batches):
+        short = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(short, pa.binary())], names=["body", "hashes"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -81,57 +89,78 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return ALL * shared >= SHARED * (len(a) + len(b) - shared)
 
 
-def linked(bodies: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of all similar pairs: pairs inside one tree need no comparison."""
-    trees: list[list[int]] = []
+def linked(bodies: list[int], sets: list[np.ndarray], fps: list[int], roots: list[int], radius: int = 64) -> list[tuple[int, int]]:
+    """A spanning forest of all similar pairs with at most ``radius`` differing bits: pairs inside one tree, and those of one root, need no comparison."""
+    trees: list[tuple[set[int], list[int]]] = []
     edges = []
     for i, s in enumerate(sets):
         near, far = [], []
         for tree in trees:
-            j = next((j for j in tree if similar(s, sets[j])), None)
+            if roots[i] in tree[0]:
+                near.append(tree)
+                continue
+            j = next((j for j in tree[1] if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= radius and similar(s, sets[j])), None)
             (far if j is None else near).append(tree)
             if j is not None:
                 edges.append((bodies[i], bodies[j]))
-        trees = [[*(k for tree in near for k in tree), i], *far]
+        trees = [({roots[i]}.union(*(t[0] for t in near)), [*(k for t in near for k in t[1]), i]), *far]
     return edges
 
 
-@tidy
-def _verify(batches):
-    def out():
-        edges = linked(bodies, sets)
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-    now, bodies, sets = None, [], []
-    for batch in batches:
-        for group, body, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if group != now:
-                if len(bodies) > 1:
-                    yield out()
-                now, bodies, sets = group, [], []
-            bodies.append(body)
-            sets.append(np.frombuffer(hashes, dtype=np.uint32))
-    if len(bodies) > 1:
-        yield out()
-
-
-def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(u, v) over the distinct sets: edges that connect what similar candidates connect."""
-    keys = found.select("body", "keys").dropDuplicates(["body"]).select("body", F.explode("keys").alias("key"))
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("body").alias("x"), F.bit_xor(F.xxhash64("body")).alias("y"))
-    once = groups.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+def _verify(radius: int):
+    @tidy
+    def run(batches):
+        def out():
+            edges = linked(bodies, sets, fps, roots, radius)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        now, bodies, sets, fps, roots = None, [], [], [], []
+        for batch in batches:
+            for group, body, fp, root, hashes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if group != now:
+                    if len(bodies) > 1:
+                        yield out()
+                    now, bodies, sets, fps, roots = group, [], [], [], []
+                bodies.append(body)
+                sets.append(np.frombuffer(hashes, dtype=np.uint32))
+                fps.append(fp)
+                roots.append(root)
+        if len(bodies) > 1:
+            yield out()
+
+    return run
+
+
+def _links(rows: DataFrame, found: DataFrame, keys: DataFrame, radius: int = 64) -> DataFrame:
+    """(u, v) over the distinct sets: edges that connect what similar candidates of keys(key, body, fp, root) connect, beyond what has one root already."""
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("body").alias("x"), F.bit_xor(F.xxhash64("body")).alias("y"), F.min("root").alias("a"), F.max("root").alias("b"))
+    once = groups.where("n > 1 AND a < b").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     members = (
         keys.join(once, "key")
         .withColumn("blocks", F.when(F.col("n") > BLOCK_LIMIT, F.ceil(F.col("n") / BLOCK_SIZE)).otherwise(1))
         .withColumn("own", F.pmod(F.xxhash64("body"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "body")
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "body", "fp", "root")
     )
     members = materialise(members, "members")
-    sets = docs.select(text_bytes().alias("text")).mapInArrow(_sets, "body long, hashes binary")
-    asked = sets.join(members.select("body").distinct(), "body", "left_semi").dropDuplicates(["body"])
-    met = members.join(asked, "body").select("group", "body", "hashes")
-    return met.repartition("group").sortWithinPartitions("group").mapInArrow(_verify, "u long, v long")
+    # the text of one row for each set that is asked for
+    asked = found.join(members.select("body").distinct(), "body").groupBy("body").agg(F.min("line").alias("line"))
+    sets = rows.join(asked, "line").select("body", "text").mapInArrow(_sets, "body long, hashes binary").dropDuplicates(["body"])
+    met = members.join(sets, "body").select("group", "body", "fp", "root", "hashes")
+    return met.repartition("group").sortWithinPartitions("group").mapInArrow(_verify(radius), "u long, v long")
+
+
+def _simhash_round(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(u, v): what SimHash links, by the keys of its operator."""
+    keys = simhash.keyed(found.groupBy("body").agg(F.first("fp").alias("fp")).select("fp", F.col("body").alias("rep")))
+    keys = materialise(keys.select("key", F.col("rep").alias("body"), "fp", F.col("rep").alias("root")), "golay-keys")
+    return _links(rows, found, keys, simhash.RADIUS)
+
+
+def _minhash_round(rows: DataFrame, found: DataFrame, linked: DataFrame) -> DataFrame:
+    """(u, v): what else is similar, beyond the components linked(node, root)."""
+    sets = found.select("body", "fp", "keys").dropDuplicates(["body"]).join(linked, F.col("body") == F.col("node"), "left")
+    return _links(rows, found, sets.select(F.explode("keys").alias("key"), "body", "fp", F.coalesce("root", "body").alias("root")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -145,8 +174,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     line = F.xxhash64(F.col("doc_id").cast("long"), "text")
     rows = docs.select(F.col("doc_id").cast("long"), line.alias("line"), text_bytes().alias("text"))
-    found = materialise(rows.mapInArrow(_keys, "doc_id long, line long, body long, keys array<long>"), "shingled")
-    roots = components(_links(docs, found))
+    found = materialise(rows.mapInArrow(_keys, "doc_id long, line long, body long, fp long, keys array<long>"), "shingled")
+    close = components(_simhash_round(rows, found))
+    rest = _minhash_round(rows, found, close)
+    roots = components(rest.unionByName(close.toDF("u", "v")))
     grouped = found.select("doc_id", "line", "body").join(roots, F.col("body") == F.col("node"), "left").withColumn("root", F.coalesce("root", "body"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line")).alias("first"))
     kept = first.select(F.col("first.line").alias("line"))

@@ -50,8 +50,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return majority(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: the bits that are set in over half of them; zero for none."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
@@ -183,10 +187,15 @@ def _verify(radius: int):
     return run
 
 
+def keyed(fps: DataFrame) -> DataFrame:
+    """(key, fp, rep): the candidate keys of ``fps(fp long, rep long)``."""
+    return fps.select("fp", "rep").mapInArrow(_emit_keys, "key long, fp long, rep long")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, block_limit: int = BLOCK_LIMIT, block_size: int = BLOCK_SIZE) -> DataFrame:
     """(u, v): edges between the reps of ``fps(fp long, rep long)`` (distinct fp) that
     connect exactly what links at ``radius`` or fewer differing bits connect."""
-    keys = materialise(fps.select("fp", "rep").mapInArrow(_emit_keys, "key long, fp long, rep long"), "keys")
+    keys = materialise(keyed(fps), "keys")
     many = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
     met = (
         # with bare shuffles on both sides a frequent key is split when the join is skewed

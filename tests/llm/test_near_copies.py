@@ -1,7 +1,12 @@
 """The pipeline's near-duplicate stage against all pairs of shingle sets."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from corvane.llm import near_copies, simhash
+from corvane.llm.graph import components
 
 
 def _set(t):
@@ -40,3 +45,20 @@ def test_small_table(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert got == _kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_simhash_links_come_first(spark):
+    """Close fingerprints are linked by their Golay keys, and what they link is not compared again."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(["other", *words[1:]])), (4, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: near_copies.shingles(t.encode()) for d, t in rows}
+    found = [(d, d, near_copies._body(s), int(np.uint64(simhash.majority(s)).view(np.int64)), near_copies.band_keys(s)) for d, s in sets.items()]
+    fps = [simhash.majority(s) for s in sets.values()]
+    assert {(fps[0] ^ f).bit_count() <= simhash.RADIUS for f in fps[1:3]} == {True}
+    found = spark.createDataFrame(found, "doc_id long, line long, body long, fp long, keys array<long>")
+    texts = docs.select(F.col("doc_id").alias("line"), F.encode("text", "utf-8").alias("text"))
+    close = components(near_copies._simhash_round(texts, found))
+    assert {r["node"] for r in close.collect()} | {r["root"] for r in close.collect()} == {near_copies._body(sets[d]) for d in (1, 2, 3)}
+    assert near_copies._minhash_round(texts, found, close).count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 4}
