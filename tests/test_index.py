@@ -107,3 +107,21 @@ def test_keys_of_any_kind_and_empty_indexes(spark, docs, asks, tmp_path):
     made.append(named.limit(1))
     with pytest.raises(RuntimeError):
         made._commit(state)
+
+
+def test_postings_are_packed_where_documents_are_numbered(spark, built, docs):
+    """Rows of (term, block) alone are shuffled: packing needs neither a row for each word nor a list of terms for each document."""
+    import pyarrow as pa
+
+    rows = [(64 * 5 + i, ["a", "b", "a"] if i % 2 else ["b"]) for i in range(3)] + [(64 * 7, []), (64 * 2 + 63, ["a"]), (64 * 3, ["a"])]
+    batches = [pa.RecordBatch.from_pydict({"doc": [d for d, _ in part], "tokens": pa.array([t for _, t in part], pa.list_(pa.string()))}) for part in (rows[:2], rows[2:5], rows[5:])]
+    got = sorted(tuple(r.values()) for b in index._packed(batches) for r in b.to_pylist())
+    assert got == [("a", 2, [63, 1, 1]), ("a", 3, [0, 1, 1]), ("a", 5, [1, 2, 3]), ("b", 5, [0, 1, 2, 1, 1, 1, 1, 3, 1])]
+    stored = index._unpacked(spark.createDataFrame(got, index.PACKED).withColumn("bucket", F.lit(0))).drop("bucket").orderBy("term", "block")
+    assert [tuple(r) for r in stored.collect()] == [
+        ("a", 2, -(2**63), 1, 1, [63], [1], [1]), ("a", 3, 1, 1, 1, [0], [1], [1]), ("a", 5, 2, 2, 3, [1], [2], [3]), ("b", 5, 7, 1, 1, [0, 1, 2], [1, 1, 1], [1, 3, 1]),
+    ]
+    segment = built.state()["segments"][0]
+    assert "terms" not in spark.read.parquet(f"{built.folder}/{segment}/documents").columns
+    kept = built._read("postings", [segment])
+    assert kept.agg(F.sum(F.size("slots"))).first()[0] == lexical.postings(docs).count()
