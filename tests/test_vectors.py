@@ -140,3 +140,53 @@ def test_lookup_as_of_a_time(spark):
     got = semcache.lookup_as_of(semcache.versions(w, ttl, same), a, least)
     assert {r["query_id"]: (r["version"], r["sim"], r["hit"]) for r in got.collect()} == want
     assert sum(x[2] for x in want.values()) > 3
+
+
+@pytest.mark.parametrize("near", [1, 16])
+def test_leaders_in_wide_batches(spark, monkeypatch, near):
+    """After the first batch a pass over the rows settles many times as many, also where groups of near copies hold more than is told of a row."""
+    monkeypatch.setattr(leaders, "BATCH", 20)
+    monkeypatch.setattr(leaders, "NEAR", near)
+    monkeypatch.setattr(leaders, "HEADS", 7)
+    monkeypatch.setattr(leaders, "BLOCK_BYTES", 200 * 8 * 6)
+    passes = []
+    monkeypatch.setattr(leaders, "materialise", lambda df, name, f=leaders.materialise: passes.append(name) or f(df, name))
+    data = rows(420, copies=40) + BAD
+    got = leaders.lead(spark.createDataFrame(data, VEC), 0.98)
+    assert {r["vec_id"]: r["leader"] for r in got.collect()} == led(data, 0.98)
+    if near == 16:
+        assert len(passes) <= 8
+
+
+def test_timed_search_in_blocks_of_time(spark, monkeypatch):
+    monkeypatch.setattr(vector, "PEEK", 8)
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(vector, "TILE_Q", 3)
+    monkeypatch.setattr(vector, "TILE_V", 7)
+    rng = np.random.default_rng(2)
+    held = [(i, v, int(t), int(t) + 30) for (i, v, _), t in zip(rows(150, seed=1), rng.integers(0, 300, 150), strict=True)]
+    asks = [(1000 + i, [x + 1e-7 * i for x in held[i][1]], int(t)) for i, t in enumerate(rng.integers(0, 300, 60))]
+    want = set()
+    for q, u, at in asks:
+        met = sorted((-cos(u, v), i) for i, v, since, until in held if since < at <= until)
+        want |= {(q, i, -s, k) for k, (s, i) in enumerate(met[:2], 1)}
+    vectors = spark.createDataFrame(held, "vec_id long, embedding array<double>, since long, until long")
+    asked = spark.createDataFrame(asks, "vec_id long, embedding array<double>, at long")
+    assert set(map(tuple, vector.search(vectors, asked, 2, timed=True).select("query_id", "vec_id", "sim", "rnk").collect())) == want
+    times = [b.times for b in vector._blocks(vector._plain(asked, "vec_id", "at"), "vec_id", True)]
+    assert len(set(times)) > 3
+    assert all(a == b or a[1] < b[0] or b[1] < a[0] for a in times for b in times)
+
+
+def test_pairs_at_the_threshold_are_judged_in_double_precision():
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(40, 64))
+    a /= np.sqrt((a * a).sum(axis=1, keepdims=True))
+    b = a + rng.normal(size=a.shape) * 1e-2
+    b /= np.sqrt((b * b).sum(axis=1, keepdims=True))
+    least = float(np.round((a * b).sum(axis=1), 6)[5])
+    rough = a.astype(np.float32) @ b.astype(np.float32).T
+    for at in (least, least - 1e-6):
+        near = np.round(a @ b.T, 6) > at
+        found = vector.first_near(rough, at, vector.slack(64), lambda i, j: vector.exact(a, b, i, j))
+        assert (found == np.where(near.any(axis=1), near.argmax(axis=1), -1)).all()
