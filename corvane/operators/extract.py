@@ -166,9 +166,8 @@ def amounts(text: Column) -> Column:
     )
 
 
-def transaction(text: Column) -> Column:
-    """The type with the most keywords, the one declared first among equals."""
-    low = F.lower(text)
+def transaction(low: Column) -> Column:
+    """The type of a lower-cased text with the most keywords, the one declared first among equals."""
     scored = [F.struct(hits(low, keys).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("t")) for i, (name, keys) in enumerate(TRANSACTIONS.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["n"] > 0, best["t"]).otherwise("non_identifie")
@@ -176,7 +175,9 @@ def transaction(text: Column) -> Column:
 
 def contract(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds what a contract holds: amounts, parties, dates, articles_coc, transaction, city, duties, goods, durations, snippets."""
-    t = T.repair_numbers(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_repaired", T.repair_numbers(F.coalesce(F.col(text), F.lit(""))))  # a column of its own, so that it is computed once
+    df = df.withColumn("_lowered", F.lower("_repaired"))
+    t = F.col("_repaired")
     parties = F.array_distinct(F.concat(*(trimmed(found(t, p), 3) for p in PARTIES)))
     city = F.coalesce(*(F.when(F.contains(t, F.lit(c)), F.lit(c)) for c in CITIES))
     return df.withColumns(
@@ -185,14 +186,14 @@ def contract(df: DataFrame, text: str = "text") -> DataFrame:
             "parties": F.slice(parties, 1, 10),
             "dates": every(t, CONTRACT_DATE),
             "articles_coc": every(t, COC),
-            "transaction": transaction(t),
+            "transaction": transaction(F.col("_lowered")),
             "city": city,
             "duties": F.slice(trimmed(found(t, DUTY), -1), 1, 5),
             "goods": every(t, GOODS),
             "durations": every(t, DURATION),
             "snippets": F.slice(F.filter(F.split(t, "\n\n"), lambda p: p.rlike(TELLING)), 1, 3),
         }
-    )
+    ).drop("_repaired", "_lowered")
 
 
 def section(text: Column, pattern: str) -> Column:

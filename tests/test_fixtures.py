@@ -350,3 +350,49 @@ def test_request_gap_counts_from_the_last_one_let_through(spark):
     rows = rows.withColumn("ts", F.timestamp_seconds("s"))
     got = {r["event_id"]: r["limited"] for r in relational.rate_limited(rows, 2).collect()}
     assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_pieces_that_patterns_need():
+    """A text in any case that a pattern of document types matches holds one of the pieces by which texts are picked for it."""
+    import re
+
+    from corvane.operators import classify
+
+    assert classify.needed(r"(?:jugement|JUGEMENT)\s+n[°o]?\s*\d+") == ["jugement", "jugement"]
+    assert classify.needed(r"(?:loi n[°o]?\s*\d+[/-]\d+)") == ["loi n"]
+    assert classify.needed(r"a|b") == [] and classify.needed(r"[ab]+") == [] and classify.needed(r"(?:ab)?c") == []
+    patterns = [p for kind in classify.TYPES.values() for ps in kind[2:] for p in ps]
+    assert all(classify.needed(p) for p in patterns)  # all of them save a search of most texts
+    told = ["JUGEMENT  N° 12", "Arrêt no 3", "COUR D'APPEL", "PROCÈS-VERBAL", "à 12 HEURES", "Loi n°5/1", "CODE PÉNAL", "Objet :", "قرار عدد 5", "عقد  كراء", "D'UNE PART"]
+    for text in told:
+        met = [p for p in patterns if re.search(p, text, re.IGNORECASE)]
+        assert met and all(any(x in text.lower() for x in classify.needed(p)) for p in met)
+
+
+def test_types_are_met_in_any_case(spark):
+    """ſ, ı and İ are letters in another case."""
+    from corvane.operators import classify
+
+    rows = [(1, "au nom du peuple tunıſıen"), (2, "CİRCULAİRE"), (3, "Locataıre et PRENEUR"), (4, "rien")]
+    found = classify.detect_type(spark.createDataFrame(rows, "id long, text string"))
+    assert {r["id"]: r["signals"] for r in found.select("id", F.array_join("signals", "~").alias("signals")).collect()} == {
+        1: "(?:au nom du peuple tunisien|tribunal)", 2: "(?:note de service|circulaire|instructio", 3: "(?:bailleur|preneur|locataire)", 4: "Aucun pattern trouvé",
+    }
+
+
+def test_contract_repairs_numbers_once(spark):
+    """The repaired text is a column of its own, which the plan keeps apart."""
+    from corvane.operators import extract
+
+    df = spark.range(1).select(F.concat(F.col("id").cast("string"), F.lit(" Le preneur doit payer 1 500 DT à Sfax")).alias("text"))
+    found = extract.contract(df)
+    assert found.columns[-1] == "snippets" and found.select("duties").first()["duties"] == ["payer 1500 DT à Sfax"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_documents_of_samples_are_dealt_out(spark):
+    """A file with one row group is worked on by more than one task."""
+    from corvane.plans import samples
+
+    found = samples.table(spark, "rulings", "/root/testdata/sf0.01").where("id LIKE 'd%'")
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
