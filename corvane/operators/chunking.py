@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.frames import bounded_batches
 from corvane.functions.text import BLANK_SET, DIGIT_SET, chunk_uid, normalize, short_sha, tokens_by_chars
 from corvane.operators import extract
 from corvane.operators.vector import cosine
@@ -159,6 +160,7 @@ def paragraphs(docs: DataFrame, size: int = SETTINGS.pack_tokens, overlap: int =
     breaks = F.col("page_breaks") if "page_breaks" in docs.columns else F.lit(None).cast("array<int>")
     rows = docs.select("doc_id", uid.alias("uid"), F.coalesce("text", F.lit("")).alias("text"), breaks.cast("array<int>").alias("breaks"))
     schema = "doc_id long, idx int, chunk_id string, uid string, article string, alone boolean, page int, section string, char_start int, char_end int, word_count int, text string"
+    bounded_batches(docs.sparkSession)
     found = rows.mapInPandas(_pack_all(size, overlap), schema)
     number = F.substring(F.md5(F.col("article").cast("binary")), 1, 8)
     article = F.when(F.col("alone"), F.col("uid")).otherwise(F.concat("uid", F.lit("_art_"), F.coalesce(number, F.lit("0"))))
@@ -200,6 +202,7 @@ def snapped(docs: DataFrame, size: int = SETTINGS.window_chars, overlap: int = S
     uid = F.col("uid") if "uid" in docs.columns else F.col("doc_id").cast("string")
     article = F.col("article_id") if "article_id" in docs.columns else uid
     rows = docs.select("doc_id", uid.alias("uid"), F.coalesce(article, uid).alias("article_id"), "text")
+    bounded_batches(docs.sparkSession)
     cut = rows.mapInPandas(_cut_all(size, overlap), "doc_id long, idx int, uid string, article_id string, text string")
     kept = cut.where((F.length("text") > 0) & (tokens_by_chars("text") >= least))
     return kept.select("doc_id", "idx", chunk_uid("uid", "article_id", "idx", "text").alias("chunk_id"), "uid", "article_id", "text", normalize("text", False).alias("normalized_text"))

@@ -396,3 +396,23 @@ def test_documents_of_samples_are_dealt_out(spark):
 
     found = samples.table(spark, "rulings", "/root/testdata/sf0.01").where("id LIKE 'd%'")
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """What a worker holds doesn't grow with the splits of a table: one split of 12 MB comes in many batches, for every operator that sends texts to workers."""
+    from corvane.functions.frames import BATCH_BYTES
+    from corvane.operators import hooks
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("mot "), 500).alias("text")).coalesce(1)
+    asked = spark.createDataFrame([(1, "mot")], "item_id long, text string")
+
+    def sizes(frames):
+        for f in frames:
+            yield f.groupby(lambda _: 0).agg({"text": lambda x: int(x.str.len().sum())})
+
+    for call in (lambda: chunking.paragraphs(texts), lambda: chunking.snapped(texts), lambda: lexical.search(texts, asked, 3), lambda: hooks.apply(texts, "text", list, "told", "string")):
+        spark.conf.set(key, "64m")
+        call()
+        found = [r["text"] for r in texts.mapInPandas(sizes, "text long").collect()]
+        assert sum(found) == 12_000_000 and max(found) <= 2 * BATCH_BYTES
