@@ -38,7 +38,9 @@ MAGIC, BLOCK, SLOTS, END_ID = b"CVT2", 4096, 2048, 2
 #: Bytes of text that go to one file, about; bytes of words that a worker remembers, with what Python needs for
 #: an entry; words encoded in one call, as what the library holds for a call grows with their number.
 RANGES_BITS = 12
-FILE_BYTES, CACHE_BYTES, ENTRY, LEARN = 12_000_000, 64_000_000, 180, 8192
+FILE_BYTES, CACHE_BYTES, ENTRY, LEARN = 12_000_000, 160_000_000, 180, 8192
+#: Words of one text that is encoded, with a word between them whose only id tells them apart.
+JOINED, BETWEEN = 64, "\x01"
 #: A state's range stays at 2**36 or more and is cut into 2**34 units: 12 bits of decision, 11 for each byte.
 _LEAST_BITS, _TOTAL, _WORD = np.uint64(36), np.uint64(34), np.uint64(16)
 _LEAST, _REST = np.uint64(1 << 36), np.uint64((1 << 36) - 1)
@@ -145,39 +147,40 @@ class Decisions:
 
     Three logits, of the hit rates by order-2 trust, by order-1 trust and by order-0 evidence, are mixed
     with weights that each block learns. Counts go on with every id, mixed tables are renewed at ``_due`` steps.
+    Blocks are the last axis of all tables, so that sums over contexts run along them.
     """
 
     def __init__(self, lanes: int):
-        self.seen = np.zeros(lanes * CONTEXTS * 3, dtype=np.int32)
+        self.lanes = lanes
+        self.seen = np.zeros(3 * CONTEXTS * lanes, dtype=np.int32)
         self.weights = np.full((2, 3, lanes), 26_000, dtype=np.int64)
         self.renew()
 
     def _mix(self, hits: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """hits, n: (lanes, trust 2, trust 1, evidence, same). The mixed 12-bit probability of a hit."""
+        """hits, n: (trust 2, trust 1, evidence, same, lanes). The mixed 12-bit probability of a hit."""
         stretch, squash = _logistic()
         logits = []
-        for axes in ((2, 3), (1, 3), (1, 2)):
+        for axes in ((1, 2), (0, 2), (0, 1)):
             h, k = hits.sum(axis=axes, keepdims=True), n.sum(axis=axes, keepdims=True)
             logits.append(stretch[np.minimum(((2 * h + 1) * 4096) // (2 * k + 4), 4095)].astype(np.int64))
-        w = weights[:, :, None, None, None, None]
-
         def mixed():
-            total = w[0] * logits[0] + w[1] * logits[1] + w[2] * logits[2]
+            total = weights[0] * logits[0] + weights[1] * logits[1] + weights[2] * logits[2]
             return squash[np.clip(total >> 16, -2047, 2047) + 2048].astype(np.int64)
 
         miss = hits * 4096 - n * mixed()
-        every = np.maximum(n.sum(axis=(1, 2, 3, 4)), 1)
+        every = np.maximum(n.sum(axis=(0, 1, 2, 3)), 1)
         for i, s in enumerate(logits):
-            weights[i] += ((miss * s).sum(axis=(1, 2, 3, 4)) // every) >> 5
+            weights[i] += ((miss * s).sum(axis=(0, 1, 2, 3)) // every) >> 5
         np.clip(weights, -65_536, 131_072, out=weights)
         return np.clip(mixed(), 64, 4032)
 
     def renew(self) -> None:
-        by = self.seen.reshape(-1, TRUST, TRUST, EVIDENCE, 2, 3).astype(np.int64)
-        second = self._mix(by[..., 0], by.sum(axis=-1), self.weights[0])
-        first = self._mix(by[..., 1], by[..., 1] + by[..., 2], self.weights[1])
+        by = self.seen.reshape(3, TRUST, TRUST, EVIDENCE, 2, self.lanes).astype(np.int64)
+        other = by[1] + by[2]
+        second = self._mix(by[0], by[0] + other, self.weights[0])
+        first = self._mix(by[1], other, self.weights[1])
         until = second + ((4096 - second) * first >> 12)
-        until[..., 1] = second[..., 1]  # equal predictions fail together
+        until[:, :, :, 1] = second[:, :, :, 1]  # equal predictions fail together
         self.ends = (second << 16 | until).astype(np.uint32).reshape(-1)
 
 
@@ -223,7 +226,7 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
     tables = np.zeros((2, lanes * SLOTS), dtype=np.uint32)  # trust << 16 | predicted id, by order
     decisions, spelling = Decisions(lanes), Spelling(lanes, ids is None)
     every = np.arange(lanes)
-    slot, context, byte = every * SLOTS, every * CONTEXTS, every * 256
+    slot, byte = every * SLOTS, every * 256
     one = np.zeros(lanes, dtype=np.int64)
     two = np.zeros(lanes, dtype=np.int64)
     for t in range(steps):
@@ -238,7 +241,7 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         e2, e1 = tables[0].take(h2).astype(np.int64), tables[1].take(h1).astype(np.int64)
         g2, g1, k2, k1 = e2 & 0xFFFF, e1 & 0xFFFF, e2 >> 16, e1 >> 16
         evidence = _EVIDENCE_OF.take(spelling.high.take(byte[:m] + (g2 >> 8)) & np.uint32(0xFFFF))
-        where = context[:m] + (((k2 * TRUST + k1) * EVIDENCE + evidence) * 2 + (g1 == g2))
+        where = (((k2 * TRUST + k1) * EVIDENCE + evidence) * 2 + (g1 == g2)) * lanes + every[:m]
         ends = decisions.ends.take(where).astype(np.int64)
         until2, until1 = ends >> 16, ends & 0xFFFF
         if ids is None:
@@ -277,7 +280,7 @@ def _run(coder, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
             size[lane] = share * a_size * (b & 0xFFFF)
             spelling.add(lane, high, low_at)
         coder.narrow(m, start, size)
-        decisions.seen[where * 3 + kind] += 1
+        decisions.seen[kind * (CONTEXTS * lanes) + where] += 1
         if ids is None:
             out[t, :m] = got
         for table, h, e, g, k in ((tables[0], h2, e2, g2, k2), (tables[1], h1, e1, g1, k1)):
@@ -340,12 +343,36 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.size = 0
+        self.between = self._between()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _between(self) -> int | None:
+        """The id of the word between words; None if this tokenizer does not keep it apart, then words are encoded one by one."""
+        alone, x, joined = self._encode([BETWEEN, "x", f"x {BETWEEN} x"])
+        return alone[0] if len(alone) == 1 and joined == x + alone + x else None
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), LEARN):
-            some = words[at : at + LEARN]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = found = array("H", e.ids).tobytes()
+        """Calls of the library cost more than most words, so some words make one text; where its pieces are not as many as they, they are encoded one by one."""
+        single = [w for w in words if BETWEEN in w] if self.between is not None else words
+        rest = [w for w in words if BETWEEN not in w] if self.between is not None else []
+        for at in range(0, len(rest), LEARN):
+            groups = [rest[k : k + JOINED] for k in range(at, min(at + LEARN, len(rest)), JOINED)]
+            for some, ids in zip(groups, self._encode([f" {BETWEEN} ".join(g) for g in groups]), strict=True):
+                found = np.array(ids, dtype="<u2")
+                cuts = 2 * np.flatnonzero(found == self.between)
+                if len(cuts) != len(some) - 1:
+                    single = single + some
+                    continue
+                data, cuts = found.tobytes(), cuts.tolist()
+                for w, a, b in zip(some, [0, *(c + 2 for c in cuts)], [*cuts, len(data)], strict=True):
+                    self.known[w] = data[a:b]
+                self.size += sum(map(len, some)) + len(data) + ENTRY * len(some)
+        for at in range(0, len(single), LEARN):
+            some = single[at : at + LEARN]
+            for w, ids in zip(some, self._encode(some), strict=True):
+                self.known[w] = found = array("H", ids).tobytes()
                 self.size += len(w) + len(found) + ENTRY
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
