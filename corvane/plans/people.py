@@ -208,15 +208,16 @@ def evaluation_rollup(spark, d):
 
 @query(_ACCEPTED)
 def streamed_rate_limit(spark, d):
-    """The same limits of a stream of files, a third of the month each, in which every fifth event comes with the file after its own."""
+    """The same limits of a stream of files, a third of the month at a time, in which every fifth event comes with the third after its own."""
     events = _t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     part = F.floor((F.dayofmonth("ts") - 1) / 10) + (F.col("event_id") % 5 == 0).cast("int")
     source, kept, state = (fresh_path(spark, n) for n in ("events", "limited", "state"))
-    for k in range(5):  # one file after another: the file source goes by their times
-        events.where(part == k).coalesce(1).write.mode("append").parquet(source)
+    files = 1 + events.count() // 2_000_000  # of a third: as many are read at a time
+    for k in range(5):  # one third after another: the file source goes by the files' times
+        events.where(part == k).repartition(files).write.mode("append").parquet(source)
     # an event long after all others lets the watermark pass them
     last = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"))
     last.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source)
     found = stream_events.drained(stream_events.rate_limited(stream, 6 * 3600, "21 days"), kept, state).where("event_id >= 0")
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("limited").alias("n_limited"))

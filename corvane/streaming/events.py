@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,48 +26,76 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return agg.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
+#: Users are dealt to so many groups of the stream, as each group costs a call and a row of state however few events it has.
+USER_GROUPS = 1024
+#: What stands for a null event_id, which comes first among events of one time.
+_NO_ID = -(1 << 63)
+
+
 def _limit(seconds: int):
-    """One user's events: they wait until the watermark has passed them, so that late ones are judged in their place, and leave in order of time.
+    """The events of a group of users: they wait until the watermark has passed them, so that late ones are judged in their place, and leave in a user's order of time.
 
-    The state is the last event that was let through and the events that wait; it goes when nothing waits and the last one limits nobody any more.
+    The state is the last event of each user that was let through, as rows (no_user, user_id, us), and the events that wait, as rows
+    (no_user, user_id, us, event_id); a user goes when nothing of theirs waits and the last one limits nobody any more.
     """
     gap = seconds * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, times, ids = state.get if state.exists else (None, [], [])
-        waiting = list(zip(times, ids))
+        kept, held = state.get if state.exists else (b"", b"")
+        last = {(no, user): at for no, user, at in np.frombuffer(kept, dtype=np.int64).reshape(-1, 3).tolist()}
+        parts = [np.frombuffer(held, dtype=np.int64).reshape(-1, 4)]
         if not state.hasTimedOut:
-            for f in frames:
-                waiting += zip(f["us"].tolist(), f["event_id"].tolist())
+            parts += [f[["no_user", "user", "us", "id"]].to_numpy(dtype=np.int64) for f in frames]
         now = state.getCurrentWatermarkMs()
-        waiting.sort()
-        out = []
-        passed = sum(at < now * 1000 for at, _ in waiting)
-        for at, event in waiting[:passed]:
-            limited = last is not None and at < last + gap
-            last = last if limited else at
-            out.append((event, key[0], limited))
-        waiting = waiting[passed:]
-        if waiting or last is not None and last + gap >= now * 1000:
-            state.update((last, [t for t, _ in waiting], [i for _, i in waiting]))
-            state.setTimeoutTimestamp(max(now, (waiting[0][0] if waiting else last + gap) // 1000) + 1)
+        rows = np.concatenate(parts)
+        passed = rows[:, 2] < now * 1000
+        waiting, rows = rows[~passed], rows[passed]
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        limited = np.zeros(len(rows), dtype=bool)
+        whose, before = None, None
+        for i, (no, user, at, _) in enumerate(rows.tolist()):
+            if (no, user) != whose:
+                whose = no, user
+                before = last.get(whose)
+            if before is not None and at < before + gap:
+                limited[i] = True
+            else:
+                last[whose] = before = at
+        owed = set(map(tuple, np.unique(waiting[:, :2], axis=0).tolist()))
+        last = {u: at for u, at in last.items() if u in owed or at + gap >= now * 1000}
+        if len(waiting) or last:
+            state.update((np.array([(*u, at) for u, at in last.items()], dtype=np.int64).tobytes(), np.ascontiguousarray(waiting).tobytes()))
+            due = int(waiting[:, 2].min()) if len(waiting) else max(last.values()) + gap
+            state.setTimeoutTimestamp(max(now, due // 1000) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "limited"])
+        if len(rows):
+            ids, users = (pd.Series(pd.arrays.IntegerArray(rows[:, c].copy(), gone)) for c, gone in ((3, rows[:, 3] == _NO_ID), (1, rows[:, 0] == 1)))
+            yield pd.DataFrame({"event_id": ids, "user_id": users, "limited": limited})
 
     return run
 
 
-def rate_limited(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
+def rate_limited(events: DataFrame, seconds: int, late: str = "1 hour", groups: int = USER_GROUPS) -> DataFrame:
     """(event_id, user_id, limited) as ``relational.rate_limited`` gives them for a table, of a stream too.
 
-    An event of a stream is judged once the watermark, ``late`` behind the newest event, has passed it; what comes later than that is left out.
+    An event of a stream is judged once the watermark, ``late`` behind the newest event, has passed it; what comes later than that is left
+    out, and so is an event without time. groups: how many groups users are dealt to, which must not change while a stream's checkpoint is kept.
     """
     if not events.isStreaming:
         return relational.rate_limited(events, seconds)
-    rows = events.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    shape = "last long, times array<long>, ids array<long>"
-    return rows.groupBy("user_id").applyInPandasWithState(_limit(seconds), "event_id long, user_id long, limited boolean", shape, "append", GroupStateTimeout.EventTimeTimeout)
+    user = F.coalesce("user_id", F.lit(0)).cast("long")
+    rows = events.withWatermark("ts", late).where("ts IS NOT NULL").select(
+        F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("_group"),
+        F.col("user_id").isNull().cast("long").alias("no_user"),
+        user.alias("user"),
+        "ts",
+        F.unix_micros("ts").alias("us"),
+        F.coalesce("event_id", F.lit(_NO_ID)).cast("long").alias("id"),
+    )
+    return rows.groupBy("_group").applyInPandasWithState(
+        _limit(seconds), "event_id long, user_id long, limited boolean", "last binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
